@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 SHIFT = 7
 HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
@@ -93,7 +94,7 @@ def hyp2f1_series(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray,
     return total
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def bgnbd_tail_udf(r: pd.Series, alpha: pd.Series, a: pd.Series, b: pd.Series,
                    x: pd.Series, T: pd.Series, t: pd.Series) -> pd.Series:
     """((alpha+T)/(alpha+T+t))^(r+x) * 2F1(r+x, b+x; a+b+x-1; t/(alpha+T+t)).
@@ -108,3 +109,15 @@ def bgnbd_tail_udf(r: pd.Series, alpha: pd.Series, a: pd.Series, b: pd.Series,
     c = a + b + x - 1.0
     hyp = hyp2f1_series(c - r - x, a - 1.0, c, z)
     return pd.Series(np.power(1.0 - z, a - 1.0) * hyp)
+
+
+def np_digamma(z: np.ndarray) -> np.ndarray:
+    """psi(z) for z > 0 in numpy, same shift and series as ``digamma``."""
+    z = np.asarray(z, dtype=float)
+    w = z + SHIFT
+    inv = 1.0 / w
+    inv2 = inv * inv
+    out = np.log(w) - 0.5 * inv - inv2 * (1.0 / 12 - inv2 * (1.0 / 120 - inv2 * (1.0 / 252 - inv2 * (1.0 / 240))))
+    for i in range(SHIFT):
+        out = out - 1.0 / (z + i)
+    return out
