@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from ..operators import cohort as coh
 from ..operators import rfm
+from ..operators.clv import estimate as CE
+from ..operators.clv import models as M
+from ..operators.clv import uncertainty as CU
+from ..operators.clv.summary import clv_summary
 from ..sources import tables as src
 from . import sql as S
 
@@ -134,6 +138,96 @@ def q_cohort_average_retention(spark, sf):
     return a.select("period_offset", r6("avg_retention").alias("avg_retention"))
 
 
+# ------------------------------------------------------------------ CLV ----
+# Our own fixed test parameters (close to the fitted values on ``txn``) for
+# the oracle-checked formulas; the fits themselves are separate queries.
+BG_FIXED = M.BGNBDParams(r=2.4, alpha=480.0, a=1.2, b=140.0)
+GG_FIXED = M.GammaGammaParams(p=570.0, q=1.8, gamma=570.0)
+
+
+def _txn_summary(spark, sf):
+    return clv_summary(src.txn(spark, sf))
+
+
+@register("clv_summary", f"""WITH {S.clv_summary_cte()}
+SELECT customer_id, frequency, T, recency, round(monetary_value, 6) AS monetary_value FROM s""")
+def q_clv_summary(spark, sf):
+    s = _txn_summary(spark, sf)
+    return s.select("customer_id", "frequency", "T", "recency", r6("monetary_value").alias("monetary_value"))
+
+
+@register("bgnbd_loglik", f"""WITH {S.clv_summary_cte()}
+SELECT round(sum({S.bgnbd_ll_sql(BG_FIXED.r, BG_FIXED.alpha, BG_FIXED.a, BG_FIXED.b)}), 3) AS loglik FROM s""")
+def q_bgnbd_loglik(spark, sf):
+    d = CE.bgnbd_data(_txn_summary(spark, sf))
+    return CE.bgnbd_loglik(d, BG_FIXED).select(F.round("loglik", 3).alias("loglik"))
+
+
+@register("gg_loglik", f"""WITH {S.clv_summary_cte()}
+SELECT round(sum({S.gg_ll_sql(GG_FIXED.p, GG_FIXED.q, GG_FIXED.gamma)}), 3) AS loglik FROM s WHERE frequency >= 1""")
+def q_gg_loglik(spark, sf):
+    d = CE.gg_data(_txn_summary(spark, sf))
+    return CE.gg_loglik(d, GG_FIXED).select(F.round("loglik", 3).alias("loglik"))
+
+
+@register("bgnbd_predict", f"""WITH {S.clv_summary_cte()},
+{S.expected_purchases_cte(BG_FIXED.r, BG_FIXED.alpha, BG_FIXED.a, BG_FIXED.b, 365.0)}
+SELECT customer_id, round(p_alive, 6) AS p_alive, round(expected_purchases, 6) AS expected_purchases_365d FROM ep""")
+def q_bgnbd_predict(spark, sf):
+    out = CE.score(_txn_summary(spark, sf), BG_FIXED, None, purchases_t=365.0)
+    return out.select("customer_id", r6("p_alive").alias("p_alive"),
+                      r6("expected_purchases_365d").alias("expected_purchases_365d"))
+
+
+_P, _Q, _G = GG_FIXED.p, GG_FIXED.q, GG_FIXED.gamma
+
+
+@register("gg_expected_spend", f"""WITH {S.clv_summary_cte()}
+SELECT customer_id, round({_P} * ({_G} + frequency * monetary_value) / ({_P} * frequency + {_Q} - 1), 6) AS expected_spend
+FROM s""")
+def q_gg_expected_spend(spark, sf):
+    out = CE.score(_txn_summary(spark, sf), BG_FIXED, GG_FIXED)
+    return out.select("customer_id", r6("expected_spend").alias("expected_spend"))
+
+
+@register("clv_fixed_params", f"""WITH {S.clv_summary_cte()},
+{S.expected_purchases_cte(BG_FIXED.r, BG_FIXED.alpha, BG_FIXED.a, BG_FIXED.b, 365.0)}
+SELECT customer_id, round(expected_purchases * {_P} * ({_G} + frequency * monetary_value)
+                          / ({_P} * frequency + {_Q} - 1), 0) AS clv_365d FROM ep""")
+def q_clv_fixed_params(spark, sf):
+    out = CE.score(_txn_summary(spark, sf), BG_FIXED, GG_FIXED, horizon=365.0)
+    return out.select("customer_id", F.round("clv_365d", 0).alias("clv_365d"))
+
+
+@register("bgnbd_fit")
+def q_bgnbd_fit(spark, sf):
+    s = _txn_summary(spark, sf).persist()
+    bg = CE.fit_bgnbd(s)
+    gg = CE.fit_gamma_gamma(s)
+    s.unpersist()
+    return CE.params_frame(spark, bg, gg)
+
+
+@register("clv_fitted")
+def q_clv_fitted(spark, sf):
+    s = _txn_summary(spark, sf).persist()
+    bg, gg = CE.fit_bgnbd(s), CE.fit_gamma_gamma(s)
+    return CE.score(s, bg, gg, horizon=365.0, purchases_t=30.0).drop("first_purchase", "last_purchase")
+
+
+@register("clv_bootstrap")
+def q_clv_bootstrap(spark, sf):
+    s = _txn_summary(spark, sf).persist()
+    per_customer, _totals = CU.bootstrap_clv(s, horizon=365.0, n_bootstrap=100, alpha=0.05, seed=42)
+    return per_customer
+
+
+@register("clv_perturbation")
+def q_clv_perturbation(spark, sf):
+    return CU.parameter_perturbation_clv(BG_FIXED, GG_FIXED, _txn_summary(spark, sf), horizon=365.0,
+                                         n_perturbations=200, relative_noise=0.05, seed=42)
+
+
 def queries() -> dict:
     return {k: v[0] for k, v in REGISTRY.items()}
 

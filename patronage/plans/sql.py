@@ -80,3 +80,44 @@ report AS (
          COALESCE(c.revenue, 0) / g.cohort_size AS arpu
   FROM (SELECT cohort, cohort_size, period_offset FROM sizes, offs) g
   LEFT JOIN cells c ON c.cohort = g.cohort AND c.period_offset = g.period_offset)"""
+
+
+def clv_summary_cte(source: str = TXN) -> str:
+    return f"""t AS ({source}),
+e AS (SELECT max(date) AS end_ts FROM t),
+g AS (SELECT customer_id, min(date) AS fp, max(date) AS lp, COUNT(*) - 1 AS frequency, avg(amount) AS mv
+      FROM t WHERE customer_id IS NOT NULL GROUP BY customer_id),
+s AS (SELECT customer_id, frequency, {days('e.end_ts', 'fp')} AS T, {days('lp', 'fp')} AS recency,
+             CASE WHEN frequency = 0 THEN 0.0 ELSE mv END AS monetary_value FROM g, e)"""
+
+
+def bgnbd_ll_sql(r, alpha, a, b) -> str:
+    return f"""(lgamma({r} + frequency) - lgamma({r}) + {r} * ln({alpha}) - ({r} + frequency) * ln({alpha} + T)
+  + lgamma({a} + {b}) + lgamma({b} + frequency) - lgamma({b}) - lgamma({a} + {b} + frequency)
+  + CASE WHEN frequency > 0 THEN ln(1 + exp(ln({a}) - ln({b} + frequency - 1)
+        + ({r} + frequency) * ln(({alpha} + T) / ({alpha} + recency)))) ELSE 0 END)"""
+
+
+def gg_ll_sql(p, q, g) -> str:
+    return f"""(lgamma({p} * frequency + {q}) - lgamma({p} * frequency) - lgamma({q}) + {q} * ln({g})
+  + ({p} * frequency - 1) * ln(monetary_value) + {p} * frequency * ln(frequency)
+  - ({p} * frequency + {q}) * ln({g} + frequency * monetary_value))"""
+
+
+def expected_purchases_cte(r, alpha, a, b, t, terms=150) -> str:
+    """E[X(t)] through the untransformed 2F1 series summed with lgamma."""
+    return f"""hs AS (
+  SELECT customer_id, sum(exp(
+      lgamma({r} + frequency + n) - lgamma({r} + frequency)
+    + lgamma({b} + frequency + n) - lgamma({b} + frequency)
+    - lgamma({a} + {b} + frequency - 1 + n) + lgamma({a} + {b} + frequency - 1)
+    - lgamma(n + 1) + n * ln({t} / ({alpha} + T + {t})))) AS hyp
+  FROM s CROSS JOIN range(0, {terms}) AS rr(n) GROUP BY customer_id),
+ep AS (
+  SELECT s.*, greatest(0.0, ({a} + {b} + frequency - 1) / ({a} - 1)
+      * (1 - power(({alpha} + T) / ({alpha} + T + {t}), {r} + frequency) * hs.hyp)
+      / (1 + CASE WHEN frequency > 0 THEN {a} / ({b} + frequency - 1)
+                 * power(({alpha} + T) / ({alpha} + recency), {r} + frequency) ELSE 0 END)) AS expected_purchases,
+      1.0 / (1 + CASE WHEN frequency > 0 THEN {a} / ({b} + frequency - 1)
+                 * power(({alpha} + T) / ({alpha} + recency), {r} + frequency) ELSE 0 END) AS p_alive
+  FROM s JOIN hs ON s.customer_id = hs.customer_id)"""
