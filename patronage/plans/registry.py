@@ -228,9 +228,15 @@ def q_clv_perturbation(spark, sf):
                                          n_perturbations=200, relative_noise=0.05, seed=42)
 
 
+def _load_all():
+    from . import registry_more  # noqa: F401  (registers the remaining queries)
+
+
 def queries() -> dict:
+    _load_all()
     return {k: v[0] for k, v in REGISTRY.items()}
 
 
 def oracle_sql() -> dict:
+    _load_all()
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
