@@ -96,8 +96,8 @@ def q_marketing_report_distribution(spark, sf):
 
 @register("marketing_report_summary", f"""WITH {SEG},
 tot AS (SELECT COUNT(*) AS total_customers,
-             sum(CASE WHEN segment IN ('Champions', 'Loyal Customers') THEN 1 ELSE 0 END) AS high_value,
-             sum(CASE WHEN segment IN ('At Risk', 'Lost') THEN 1 ELSE 0 END) AS at_risk FROM seg)
+             CAST(sum(CASE WHEN segment IN ('Champions', 'Loyal Customers') THEN 1 ELSE 0 END) AS BIGINT) AS high_value,
+             CAST(sum(CASE WHEN segment IN ('At Risk', 'Lost') THEN 1 ELSE 0 END) AS BIGINT) AS at_risk FROM seg)
 SELECT total_customers, high_value, at_risk, round(high_value / total_customers * 100, 6) AS high_value_share,
        '总客户数：' || format('{{:,}}', total_customers) || '。高价值客户占比：' || printf('%.1f', high_value / total_customers * 100)
        || '%。建议重点关注 Champions, Loyal Customers 群体的维护和增值。' AS executive_summary FROM tot""")
