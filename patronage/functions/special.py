@@ -78,8 +78,8 @@ def hyp2f1_series(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray,
 
     Each lane stops once its term is below ``tol`` relative to its sum.
     """
-    a, b, c, z = (np.asarray(v, dtype=float) for v in (a, b, c, z))
-    a, b, c, z = np.broadcast_arrays(a, b, c, z)
+    a, b, c, z = (np.atleast_1d(np.asarray(v, dtype=float)) for v in (a, b, c, z))
+    a, b, c, z = (np.array(v) for v in np.broadcast_arrays(a, b, c, z))
     total = np.ones_like(z)
     term = np.ones_like(z)
     active = np.ones(z.shape, dtype=bool)
