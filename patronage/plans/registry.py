@@ -222,10 +222,11 @@ def q_clv_bootstrap(spark, sf):
     return per_customer
 
 
-@register("clv_perturbation")
+@register("clv_perturbation", S.perturbation_sql(CU.perturbation_draws(BG_FIXED, GG_FIXED, 200, 0.05, 42), 365.0))
 def q_clv_perturbation(spark, sf):
-    return CU.parameter_perturbation_clv(BG_FIXED, GG_FIXED, _txn_summary(spark, sf), horizon=365.0,
-                                         n_perturbations=200, relative_noise=0.05, seed=42)
+    out = CU.parameter_perturbation_clv(BG_FIXED, GG_FIXED, _txn_summary(spark, sf), horizon=365.0,
+                                        n_perturbations=200, relative_noise=0.05, seed=42)
+    return out.select("customer_id", *[F.round(c, 0).alias(c) for c in ("clv_mean", "clv_p05", "clv_p95", "clv_std")])
 
 
 def _load_all():

@@ -121,3 +121,30 @@ ep AS (
       1.0 / (1 + CASE WHEN frequency > 0 THEN {a} / ({b} + frequency - 1)
                  * power(({alpha} + T) / ({alpha} + recency), {r} + frequency) ELSE 0 END) AS p_alive
   FROM s JOIN hs ON s.customer_id = hs.customer_id)"""
+
+
+def perturbation_sql(draws: dict, horizon: float = 365.0, terms: int = 150) -> str:
+    """CLV over literal perturbed parameter rows; published spend formula."""
+    vals = ", ".join(f"({k}, {', '.join(repr(float(v)) for v in row)})" for k, row in draws.items())
+    t = float(horizon)
+    return f"""WITH {clv_summary_cte()},
+d(k, r, alpha, a, b, p, q, g) AS (VALUES {vals}),
+mb AS (SELECT COALESCE(avg(monetary_value), 0) AS mbar FROM s WHERE frequency >= 1),
+sd AS (SELECT * FROM s CROSS JOIN d),
+hs AS (SELECT customer_id, k, sum(exp(
+      lgamma(r + frequency + n) - lgamma(r + frequency) + lgamma(b + frequency + n) - lgamma(b + frequency)
+    - lgamma(a + b + frequency - 1 + n) + lgamma(a + b + frequency - 1) - lgamma(n + 1)
+    + n * ln({t} / (alpha + T + {t})))) AS hyp
+  FROM sd CROSS JOIN range(0, {terms}) AS rr(n) GROUP BY customer_id, k),
+v AS (SELECT sd.customer_id, sd.k,
+    CASE WHEN a <= 1 THEN frequency * ({t} / greatest(T, 1e-9))
+         ELSE greatest(0.0, (a + b + frequency - 1) / (a - 1)
+              * (1 - power((alpha + T) / (alpha + T + {t}), r + frequency) * hs.hyp)
+              / (1 + CASE WHEN frequency > 0 THEN a / greatest(b + frequency - 1, 1e-9)
+                     * power((alpha + T) / (alpha + recency), r + frequency) ELSE 0 END)) END
+    * CASE WHEN p * frequency + q - 1 > 1e-9 THEN p * (g + frequency * monetary_value) / (p * frequency + q - 1)
+           ELSE mb.mbar END AS clv
+  FROM sd JOIN hs ON sd.customer_id = hs.customer_id AND sd.k = hs.k, mb)
+SELECT customer_id, round(avg(clv), 0) AS clv_mean, round(quantile_cont(clv, 0.05), 0) AS clv_p05,
+       round(quantile_cont(clv, 0.95), 0) AS clv_p95, round(stddev_samp(clv), 0) AS clv_std
+FROM v GROUP BY customer_id"""
