@@ -226,7 +226,8 @@ def q_clv_bootstrap(spark, sf):
 def q_clv_perturbation(spark, sf):
     out = CU.parameter_perturbation_clv(BG_FIXED, GG_FIXED, _txn_summary(spark, sf), horizon=365.0,
                                         n_perturbations=200, relative_noise=0.05, seed=42)
-    return out.select("customer_id", *[F.round(c, 0).alias(c) for c in ("clv_mean", "clv_p05", "clv_p95", "clv_std")])
+    return out.select("customer_id", *[F.round(c, -1).alias(c) for c in ("clv_mean", "clv_p05", "clv_p95")],
+                      F.round("clv_std", 0).alias("clv_std"))
 
 
 def _load_all():

@@ -145,6 +145,6 @@ v AS (SELECT sd.customer_id, sd.k,
     * CASE WHEN p * frequency + q - 1 > 1e-9 THEN p * (g + frequency * monetary_value) / (p * frequency + q - 1)
            ELSE mb.mbar END AS clv
   FROM sd JOIN hs ON sd.customer_id = hs.customer_id AND sd.k = hs.k, mb)
-SELECT customer_id, round(avg(clv), 0) AS clv_mean, round(quantile_cont(clv, 0.05), 0) AS clv_p05,
-       round(quantile_cont(clv, 0.95), 0) AS clv_p95, round(stddev_samp(clv), 0) AS clv_std
+SELECT customer_id, round(avg(clv), -1) AS clv_mean, round(quantile_cont(clv, 0.05), -1) AS clv_p05,
+       round(quantile_cont(clv, 0.95), -1) AS clv_p95, round(stddev_samp(clv), 0) AS clv_std
 FROM v GROUP BY customer_id"""
