@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scaling import zscore
 from ..operators import clustering as CL
+from ..operators import dbscan as DB
 from ..operators import explain as EX
 from ..operators import features as FE
 from ..operators import kpi
@@ -248,6 +249,22 @@ def q_kmeans_k_search(spark, sf):
     return CL.k_search(_txn_rfm(spark, sf), CLUSTER_FEATURES, range(2, 11), n_init=10)
 
 
+@register("dbscan_segments")
+def q_dbscan_segments(spark, sf):
+    """DBSCAN with the reference defaults (eps 0.5, min_samples 5) on
+    population-z-scored R/F/M of the purchase log."""
+    z = zscore(_txn_rfm(spark, sf), CLUSTER_FEATURES, ddof=0, keep=["customer_id"])
+    return DB.dbscan(z, CLUSTER_FEATURES, eps=0.5, min_samples=5)
+
+
+@register("dbscan_profiles")
+def q_dbscan_profiles(spark, sf):
+    base = _txn_rfm(spark, sf)
+    z = zscore(base, CLUSTER_FEATURES, ddof=0, keep=["customer_id"])
+    lab = DB.dbscan(z, CLUSTER_FEATURES, eps=0.5, min_samples=5)
+    return CL.cluster_profiles(base, lab, CLUSTER_FEATURES)
+
+
 @register("pca_projection")
 def q_pca_projection(spark, sf):
     lab, _ = CL.kmeans_labels(_txn_rfm(spark, sf), CLUSTER_FEATURES, k=4, n_init=10)
