@@ -19,6 +19,8 @@ Scale design:
 from __future__ import annotations
 
 import itertools
+import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -29,9 +31,24 @@ from ..session import ensure_checkpoint_dir
 from .rank import global_rank
 
 
+def grid_side(df: DataFrame, xs, eps: float, target: int) -> float:
+    """Cell side: at least eps (so 3^d cells hold every neighbour), larger
+    when the data are sparse, aiming at ~``target`` points per occupied
+    cell from the bounding box (one scalar aggregate)."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
+                 *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]).first()
+    n = row["n"] or 1
+    vol = 1.0
+    for i in range(len(xs)):
+        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        vol *= (float(hi - lo) if lo is not None else 0.0) + eps
+    return max(float(eps), (vol * target / n) ** (1.0 / len(xs)))
+
+
 def _cells(df: DataFrame, xs, eps: float, chunk: int, id_col: str):
     d = len(xs)
-    cell_cols = [F.floor(F.col(x) / F.lit(float(eps))).cast("long").alias(f"__c{i}") for i, x in enumerate(xs)]
+    side = grid_side(df, xs, eps, max(chunk // 2, 1))
+    cell_cols = [F.floor(F.col(x) / F.lit(side)).cast("long").alias(f"__c{i}") for i, x in enumerate(xs)]
     pts = df.select(F.col(id_col).alias("__id"), *[F.col(x).cast("double").alias(f"__x{i}") for i, x in enumerate(xs)],
                     *cell_cols)
     cc = [f"__c{i}" for i in range(d)]
@@ -75,6 +92,11 @@ def _within(xl, xr, eps2, rows=512):
         yield lo, (diff * diff).sum(axis=2) <= eps2
 
 
+def _log(msg, t0):
+    if os.environ.get("PATRONAGE_DEBUG"):
+        print(f"[dbscan] {msg} {time.time() - t0:.2f}s", flush=True)
+
+
 def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: str = "customer_id",
            chunk: int = 2048, max_rounds: int = 200) -> DataFrame:
     """(id, cluster) for every row; noise is -1."""
@@ -84,8 +106,10 @@ def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: st
     eps2 = float(eps) * float(eps) * (1 + 1e-12)
     xcols = [f"__x{i}" for i in range(d)]
     pts, cells, cc = _cells(df, xs, eps, chunk, id_col)
+    t0 = time.time()
     pts = pts.checkpoint(eager=True)
     cells = cells.checkpoint(eager=True)
+    _log("cells", t0)
 
     # 1. neighbour counts (self included)
     pairs, key = _pairs(pts, pts, cells, cc, d)
@@ -103,6 +127,7 @@ def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: st
     counts = pairs.groupBy(*key).applyInPandas(count, "__id long, __n long").groupBy("__id").agg(F.sum("__n").alias("__n"))
     pts = pts.join(counts, "__id").withColumn("__core", (F.col("__n") >= min_samples).cast("long")).drop("__n")
     pts = pts.checkpoint(eager=True)
+    _log("counts", t0)
     core = pts.where(F.col("__core") == 1)
 
     # 2. stars of local core components
@@ -135,6 +160,7 @@ def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: st
 
     edges = pairs.groupBy(*key).applyInPandas(stars, "src long, dst long").distinct()
     edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).checkpoint(eager=True)
+    _log("stars", t0)
 
     # 3. global components: min-label propagation with pointer jumping
     labels = core.select(F.col("__id").alias("v"), F.col("__id").alias("lab")).checkpoint(eager=True)
@@ -148,6 +174,7 @@ def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: st
         l2 = l2.checkpoint(eager=True)
         changed = l2.join(labels.withColumnRenamed("lab", "old"), "v").where(F.col("lab") != F.col("old")).count()
         labels = l2
+        _log(f"round changed={changed}", t0)
         if changed == 0:
             break
     else:
