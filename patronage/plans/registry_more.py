@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scaling import zscore
 from ..operators import clustering as CL
 from ..operators import dbscan as DB
+from ..operators import hierarchical as HC
 from ..operators import explain as EX
 from ..operators import features as FE
 from ..operators import kpi
@@ -265,6 +266,14 @@ def q_dbscan_profiles(spark, sf):
     return CL.cluster_profiles(base, lab, CLUSTER_FEATURES)
 
 
+@register("hierarchical_segments")
+def q_hierarchical_segments(spark, sf):
+    """Ward agglomerative clustering into 4 groups of population-z-scored
+    R/F/M (exact while there are at most 2,000 distinct points)."""
+    z = zscore(_txn_rfm(spark, sf), CLUSTER_FEATURES, ddof=0, keep=["customer_id"])
+    return HC.hierarchical(z, CLUSTER_FEATURES, n_clusters=4, linkage="ward")
+
+
 @register("pca_projection")
 def q_pca_projection(spark, sf):
     lab, _ = CL.kmeans_labels(_txn_rfm(spark, sf), CLUSTER_FEATURES, k=4, n_init=10)
@@ -326,6 +335,13 @@ def q_churn_linear_shap(spark, sf):
     return EX.linear_shap(tr, df)
 
 
+@register("churn_tree_shapley")
+def q_churn_tree_shapley(spark, sf):
+    df = _labelled(spark, sf).persist()
+    tr = SU.train_classifier(df, MODEL_FEATURES, "churn", name="random_forest")
+    return EX.shapley_sampling(tr, df, n_permutations=10, background=100, seed=0)
+
+
 # rule score: an expression in place of a fitted model, so SQL can check
 # the metric operators exactly
 _RULE = "1.0 / (1.0 + exp(-(recency - 150.0) / 50.0))"
