@@ -274,6 +274,51 @@ def q_hierarchical_segments(spark, sf):
     return HC.hierarchical(z, CLUSTER_FEATURES, n_clusters=4, linkage="ward")
 
 
+# second clustering input: the embedding vectors
+EMB_DIM_SQL = "len(embedding)"
+
+
+def _embedding_columns(spark, sf):
+    emb = src.table(spark, sf, "embeddings")
+    d = len(emb.select("embedding").first()[0])
+    cols = [f"e{i}" for i in range(d)]
+    return emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]), cols
+
+
+@register("embedding_label_indices", """WITH
+e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(generate_series(1, len(embedding))) AS dim
+      FROM embeddings),
+c AS (SELECT label, dim, avg(v) AS cv FROM e GROUP BY label, dim),
+nk AS (SELECT label, COUNT(*) AS n_k FROM embeddings GROUP BY label),
+g AS (SELECT dim, avg(v) AS gv FROM e GROUP BY dim),
+pd AS (SELECT e.vec_id, e.label, sum((v - cv) * (v - cv)) AS d2 FROM e JOIN c ON e.label = c.label AND e.dim = c.dim
+       GROUP BY e.vec_id, e.label),
+w AS (SELECT label, sum(d2) AS w_k, avg(sqrt(d2)) AS s_k FROM pd GROUP BY label),
+dd AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.cv - b.cv) * (a.cv - b.cv))) AS dij
+       FROM c a JOIN c b ON a.dim = b.dim AND a.label <> b.label GROUP BY a.label, b.label),
+db AS (SELECT avg(r) AS davies_bouldin FROM (
+         SELECT dd.la, max((wa.s_k + wb.s_k) / dij) AS r FROM dd JOIN w wa ON dd.la = wa.label JOIN w wb ON dd.lb = wb.label
+         GROUP BY dd.la)),
+bb AS (SELECT sum(nk.n_k * s) AS B FROM (SELECT label, sum((cv - gv) * (cv - gv)) AS s FROM c JOIN g ON c.dim = g.dim
+       GROUP BY label) x JOIN nk ON x.label = nk.label),
+ch AS (SELECT (B / ((SELECT COUNT(*) FROM nk) - 1)) / ((SELECT sum(w_k) FROM w)
+              / ((SELECT COUNT(*) FROM embeddings) - (SELECT COUNT(*) FROM nk))) AS calinski_harabasz,
+              (SELECT sum(w_k) FROM w) AS inertia FROM bb)
+SELECT round(calinski_harabasz, 6) AS calinski_harabasz, round(davies_bouldin, 6) AS davies_bouldin,
+       round(inertia, 6) AS inertia FROM ch, db""")
+def q_embedding_label_indices(spark, sf):
+    df, cols = _embedding_columns(spark, sf)
+    q = CL.quality_indices(df, cols, label="label")
+    return q.select(*[r6(c).alias(c) for c in ("calinski_harabasz", "davies_bouldin", "inertia")])
+
+
+@register("embedding_kmeans")
+def q_embedding_kmeans(spark, sf):
+    df, cols = _embedding_columns(spark, sf)
+    lab, _ = CL.kmeans_labels(df.withColumnRenamed("vec_id", "customer_id"), cols, k=10, n_init=10)
+    return lab.select(F.col("customer_id").alias("vec_id"), "cluster")
+
+
 @register("pca_projection")
 def q_pca_projection(spark, sf):
     lab, _ = CL.kmeans_labels(_txn_rfm(spark, sf), CLUSTER_FEATURES, k=4, n_init=10)
