@@ -189,3 +189,9 @@ def pca_projection(vec_labelled: DataFrame, n_features: int, keep=("customer_id"
     arr = vector_to_array("features")
     comps = [sum(arr[i] * float(pc[i, j]) for i in range(n_features)).alias(f"PC{j + 1}") for j in range(2)]
     return vec_labelled.select(*keep, *comps)
+
+
+def scatter(df: DataFrame, labels: DataFrame, f1: str, f2: str, id_col: str = "customer_id",
+            label: str = "cluster") -> DataFrame:
+    """Two chosen features with the cluster label (M8)."""
+    return df.select(id_col, f1, f2).join(labels.select(id_col, label), id_col)

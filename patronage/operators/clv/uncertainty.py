@@ -165,3 +165,10 @@ def parameter_perturbation_clv(bg: M.BGNBDParams, gg: M.GammaGammaParams, summar
     scored = score_replicates(summary, params, n_perturbations, horizon, discount_rate, formula, id_col)
     return _summarise(scored, id_col, 5.0, 95.0, "clv_p05", "clv_p95").select(
         id_col, "clv_mean", "clv_p05", "clv_p95", "clv_std")
+
+
+def describe(customer_clv: DataFrame) -> DataFrame:
+    """count, mean, std, min, quartiles and max of every per-customer column
+    (A23, the reference's ``describe()`` in the result's dictionary form)."""
+    cols = [c for c in customer_clv.columns if c.startswith("clv_")]
+    return customer_clv.select(*cols).summary("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")

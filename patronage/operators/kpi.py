@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scaling import attach_row
 
 
-def heuristic_ltv(df: DataFrame, monetary="monetary", frequency="frequency", recency="recency"):
+def heuristic_ltv(monetary="monetary", frequency="frequency", recency="recency"):
     """monetary * frequency * (12 / (recency / 30 + 1)) when no label exists."""
     return F.col(monetary) * F.col(frequency) * (12.0 / (F.col(recency) / 30.0 + 1.0))
 

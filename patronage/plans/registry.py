@@ -222,6 +222,15 @@ def q_clv_bootstrap(spark, sf):
     return per_customer
 
 
+@register("clv_bootstrap_totals")
+def q_clv_bootstrap_totals(spark, sf):
+    """The result record (V11): replicate count, failures, total CLV mean and
+    interval, customers."""
+    s = _txn_summary(spark, sf).persist()
+    _per_customer, totals = CU.bootstrap_clv(s, horizon=365.0, n_bootstrap=100, alpha=0.05, seed=42)
+    return totals
+
+
 @register("clv_perturbation", S.perturbation_sql(CU.perturbation_draws(BG_FIXED, GG_FIXED, 200, 0.05, 42), 365.0))
 def q_clv_perturbation(spark, sf):
     out = CU.parameter_perturbation_clv(BG_FIXED, GG_FIXED, _txn_summary(spark, sf), horizon=365.0,

@@ -169,12 +169,23 @@ for _c in ("recency", "frequency", "monetary"):
 _LTV_H = "monetary * frequency * (12.0 / (recency / 30.0 + 1.0))"
 
 
+@register("histogram_ltv", f"""WITH {S.rfm_cte()}, h AS (SELECT {_LTV_H} AS v FROM rfm),
+mm AS (SELECT min(v) AS lo, max(v) AS hi FROM h),
+b AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 50)), 49) END AS INTEGER) AS bin,
+             lo, hi FROM h, mm WHERE v IS NOT NULL)
+SELECT bin, round(lo + bin * (hi - lo) / 50, 2) AS lower, round(lo + (bin + 1) * (hi - lo) / 50, 2) AS upper,
+       COUNT(*) AS count FROM b GROUP BY bin, lo, hi""")
+def q_histogram_ltv(spark, sf):
+    h = kpi.histogram(_txn_rfm(spark, sf).select(kpi.heuristic_ltv().alias("v")), "v", 50)
+    return h.select("bin", F.round("lower", 2).alias("lower"), F.round("upper", 2).alias("upper"), "count")
+
+
 @register("ltv_distribution", f"""WITH {S.rfm_cte()}, h AS (SELECT {_LTV_H} AS v FROM rfm)
 SELECT round(avg(v), 2) AS mean, round(quantile_cont(v, 0.5), 2) AS median, round(stddev_pop(v), 2) AS std,
        round(min(v), 2) AS min, round(max(v), 2) AS max, round(quantile_cont(v, 0.25), 2) AS q25,
        round(quantile_cont(v, 0.75), 2) AS q75, round(quantile_cont(v, 0.9), 2) AS q90 FROM h""")
 def q_ltv_distribution(spark, sf):
-    d = kpi.distribution(_txn_rfm(spark, sf).select(kpi.heuristic_ltv(None).alias("v")), "v")
+    d = kpi.distribution(_txn_rfm(spark, sf).select(kpi.heuristic_ltv().alias("v")), "v")
     return d.select(*[F.round(c, 2).alias(c) for c in d.columns])
 
 
@@ -387,6 +398,29 @@ def q_churn_tree_shapley(spark, sf):
     return EX.shapley_sampling(tr, df, n_permutations=10, background=100, seed=0)
 
 
+def _folds_frame(spark, res: dict, first: str, second: str):
+    rows = [(i, float(v)) for i, v in enumerate(res[f"{first}_scores"])]
+    df = spark.createDataFrame(rows, f"fold int, {first} double")
+    summary = spark.createDataFrame([(float(res[f"{first}_mean"]), float(res[f"{first}_std"]),
+                                      float(res[f"{second}_mean"]), float(res[f"{second}_std"]))],
+                                    f"{first}_mean double, {first}_std double, {second}_mean double, {second}_std double")
+    from ..functions.scaling import attach_row
+    return attach_row(df, summary)
+
+
+@register("ltv_cross_validation")
+def q_ltv_cross_validation(spark, sf):
+    res = SU.cross_validate(_labelled(spark, sf), MODEL_FEATURES, "ltv", name="linear", cv=5)
+    return _folds_frame(spark, res, "r2", "mae")
+
+
+@register("churn_cross_validation")
+def q_churn_cross_validation(spark, sf):
+    res = SU.cross_validate(_labelled(spark, sf), MODEL_FEATURES, "churn", name="logistic_regression", cv=5,
+                            kind="classification")
+    return _folds_frame(spark, res, "roc_auc", "f1")
+
+
 # rule score: an expression in place of a fitted model, so SQL can check
 # the metric operators exactly
 _RULE = "1.0 / (1.0 + exp(-(recency - 150.0) / 50.0))"
@@ -442,6 +476,14 @@ def q_churn_rule_roc(spark, sf):
     return r.select("threshold", *[r6(c).alias(c) for c in ("fpr", "tpr", "precision", "recall")])
 
 
+@register("churn_rule_high_risk", f"""{_RULE_SQL}
+SELECT CAST(sum(CASE WHEN score >= 0.7 THEN 1 ELSE 0 END) AS BIGINT) AS high_risk,
+       round(avg(CASE WHEN score >= 0.7 THEN 1.0 ELSE 0.0 END) * 100, 6) AS high_risk_pct FROM s""")
+def q_churn_rule_high_risk(spark, sf):
+    h = kpi.high_risk_summary(_rule_scored(spark, sf).withColumnRenamed("score", "churn_probability"), threshold=0.7)
+    return h.select("high_risk", r6("high_risk_pct").alias("high_risk_pct"))
+
+
 CONTRIB_WEIGHTS = {"recency": 0.8, "frequency": -0.5, "monetary": 0.3, "acctbal": 0.1}
 CONTRIB_MEANS = {"recency": 100.0, "frequency": 8.0, "monetary": 2000000.0, "acctbal": 4500.0}
 
