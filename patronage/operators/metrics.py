@@ -1,9 +1,12 @@
 """Model metrics as Spark aggregates."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scaling import attach_row
+from .rank import prefix_sums
+
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                        group: str | None = None) -> DataFrame:
@@ -32,17 +35,16 @@ def auc_frame(pred: DataFrame, label: str = "label", score: str = "score", group
     """Exact tie-aware ROC AUC by the rank-sum over grouped scores.
 
     Rows are first reduced to one row per (group, score) with positive and
-    negative counts (a map-side partial aggregate), so the window that
-    accumulates negatives runs over distinct scores, partitioned by group.
-    ``decimals`` bins the scores first to bound that set at scale.
+    negative counts (a map-side partial aggregate); negatives below each
+    score come from a distributed prefix sum (range-sorted, no group in one
+    task). ``decimals`` optionally bins the scores first.
     """
     s = F.col(score) if decimals is None else F.round(F.col(score), decimals)
     keys = [group] if group else []
     by = (pred.groupBy(*keys, s.alias("__s"))
           .agg(F.sum(F.col(label).cast("long")).alias("pos"),
                F.sum(1 - F.col(label).cast("long")).alias("neg")))
-    w = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    by = prefix_sums(by, [F.col("__s")], ["neg"], keys, suffix="_below")
     return by.groupBy(*keys).agg(
         ((F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))))
          / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
@@ -73,14 +75,14 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
 
 def roc_points(pred: DataFrame, label: str = "label", score: str = "score", decimals: int = 6) -> DataFrame:
     """ROC and precision-recall points per distinct (binned) score, from the
-    highest threshold down: threshold, fpr, tpr, precision, recall."""
+    highest threshold down: threshold, fpr, tpr, precision, recall. The
+    running counts are distributed prefix sums; totals are one-row
+    aggregates."""
     by = (pred.groupBy(F.round(F.col(score), decimals).alias("threshold"))
           .agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg")))
-    # one row per distinct binned score: bounded by 10^decimals, not by the data
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(F.lit(1))
-    by = (by.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
-          .withColumn("P", F.sum("pos").over(tot)).withColumn("N", F.sum("neg").over(tot)))
+    by = prefix_sums(by, [F.col("threshold").desc()], ["pos", "neg"], inclusive=True, suffix="_cum")
+    by = attach_row(by.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp"),
+                    by.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
     return by.select("threshold",
                      F.when(F.col("N") > 0, F.col("fp") / F.col("N")).otherwise(0.0).alias("fpr"),
                      F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(0.0).alias("tpr"),

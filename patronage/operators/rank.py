@@ -56,3 +56,29 @@ def quantile_bin(rn, n: int, q: int = 5):
         edge = (i * (n - 1)) // q + 1
         out = out + F.when(rn > F.lit(edge), 1).otherwise(0)
     return out
+
+
+def prefix_sums(df: DataFrame, order_cols, value_cols, group_cols=(), inclusive: bool = False,
+                suffix: str = "_before") -> DataFrame:
+    """Running sums of ``value_cols`` along ``order_cols`` within each group,
+    without gathering a group into one task.
+
+    The frame is range-sorted by (group, order) and checkpointed; sums run
+    inside each (partition, group) slice, and the totals of the earlier
+    slices of the same group (a table of at most partitions x groups rows)
+    are added as offsets. ``order_cols`` must make the order unique within a
+    group. ``inclusive`` includes the current row.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    groups = [F.col(g) for g in group_cols]
+    tagged = (df.orderBy(*groups, *order_cols).withColumn("__pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    totals = tagged.groupBy("__pid", *group_cols).agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
+    w_off = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__pid", *group_cols, *[F.coalesce(F.sum(f"__t_{v}").over(w_off), F.lit(0)).alias(f"__o_{v}")
+                                                    for v in value_cols])
+    end = 0 if inclusive else -1
+    w_in = Window.partitionBy("__pid", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
+    local = tagged.select("*", *[F.coalesce(F.sum(v).over(w_in), F.lit(0)).alias(f"__l_{v}") for v in value_cols])
+    out = local.join(F.broadcast(offsets), ["__pid", *group_cols])
+    return out.select(*df.columns, *[(F.col(f"__l_{v}") + F.col(f"__o_{v}")).alias(f"{v}{suffix}") for v in value_cols])
