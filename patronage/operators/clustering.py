@@ -16,18 +16,31 @@ from ..functions.scaling import attach_row
 from .features import prepare
 
 
+MAX_CONCURRENT_FITS = 16
+
+
+def _fit_many(vec: DataFrame, specs, features: str = "features", max_iter: int = 300, tol: float = 1e-4):
+    """Fit K-means for every (k, seed) in ``specs`` as concurrent Spark jobs
+    (each fit is a chain of small jobs; running them side by side keeps the
+    executors busy). Returns {(k, seed): (cost, model)}."""
+    def one(spec):
+        k, sd = spec
+        m = KMeans(k=k, seed=sd, maxIter=max_iter, tol=tol, featuresCol=features, predictionCol="cluster").fit(vec)
+        return spec, (m.summary.trainingCost, m)
+    with ThreadPoolExecutor(max_workers=min(len(specs), MAX_CONCURRENT_FITS)) as pool:
+        return dict(pool.map(one, specs))
+
+
+def _best(fits: dict, k: int):
+    spec = min((s for s in fits if s[0] == k), key=lambda s: (fits[s][0], s[1]))
+    return fits[spec][1], fits[spec][0]
+
+
 def kmeans_best_of(vec: DataFrame, k: int, n_init: int = 10, seed: int = 42, features: str = "features",
                    max_iter: int = 300, tol: float = 1e-4):
-    """K-means from ``n_init`` seeds, keeping the least inertia (M2). The
-    fits are independent Spark jobs submitted concurrently."""
-    def one(i):
-        km = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=features, predictionCol="cluster")
-        m = km.fit(vec)
-        return m.summary.trainingCost, i, m
-    with ThreadPoolExecutor(max_workers=min(n_init, 4)) as pool:
-        fits = list(pool.map(one, range(n_init)))
-    cost, _, model = min(fits, key=lambda t: (t[0], t[1]))
-    return model, cost
+    """K-means from ``n_init`` seeds, keeping the least inertia (M2)."""
+    fits = _fit_many(vec, [(k, seed + i) for i in range(n_init)], features, max_iter, tol)
+    return _best(fits, k)
 
 
 def relabel(labelled: DataFrame, model, col: str = "cluster") -> DataFrame:
@@ -139,8 +152,9 @@ def k_search(df: DataFrame, cols, k_values=range(2, 11), n_init: int = 10, seed:
     vec = scaled_labelled(vec, cols).persist()
     xs = [f"__x{i}" for i in range(len(cols))]
     rows = []
+    fits = _fit_many(vec, [(int(k), seed + i) for k in k_values for i in range(n_init)])
     for k in k_values:
-        model, cost = kmeans_best_of(vec, k, n_init, seed)
+        model, cost = _best(fits, int(k))
         lab = model.transform(vec)
         q = quality_indices(lab, xs).first()
         sil = silhouette(lab, xs).first()["silhouette"]

@@ -86,6 +86,15 @@ def fit_gamma_gamma(summary: DataFrame, penalty: float = 1e-3, max_iter: int = 5
     return M.GammaGammaParams(*map(float, res[0].theta))
 
 
+def fit_both(summary: DataFrame, penalty: float = 1e-3, max_iter: int = 500):
+    """Both fits as concurrent driver loops (independent Spark jobs)."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        bg = pool.submit(fit_bgnbd, summary, penalty, max_iter)
+        gg = pool.submit(fit_gamma_gamma, summary, penalty, max_iter)
+        return bg.result(), gg.result()
+
+
 def params_frame(spark: SparkSession, bg: M.BGNBDParams, gg: M.GammaGammaParams | None = None) -> DataFrame:
     """One-row parameter frame."""
     vals = bg.to_dict()

@@ -91,8 +91,7 @@ def bootstrap_clv(summary: DataFrame, horizon: float = 365.0, discount_rate: flo
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie in (0, 1)")
     spark = summary.sparkSession
-    bg0 = E.fit_bgnbd(summary, penalty)
-    gg0 = E.fit_gamma_gamma(summary, penalty)
+    bg0, gg0 = E.fit_both(summary, penalty)
 
     weighted = (summary.select(id_col, "frequency", "recency", "T", "monetary_value")
                 .withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bootstrap - 1).cast("long"))))
@@ -105,11 +104,14 @@ def bootstrap_clv(summary: DataFrame, horizon: float = 365.0, discount_rate: flo
         repeat = {r["replicate"]: r["n"] for r in gg_data.groupBy("replicate").agg(F.sum("w").alias("n")).collect()}
         start_bg = np.array([bg0.r, bg0.alpha, bg0.a, bg0.b])
         start_gg = np.array([gg0.p, gg0.q, gg0.gamma])
-        bg_fits = maximize(bg_data, K.bgnbd, ["frequency", "recency", "T"], M.BGNBD_NAMES,
-                           {b: [start_bg] for b in range(n_bootstrap)}, M.BGNBD_LOWER, M.BGNBD_UPPER, penalty)
-        ok_gg = [b for b in bg_fits if repeat.get(b, 0) >= 2]
-        gg_fits = maximize(gg_data, K.gamma_gamma, ["frequency", "monetary_value"], M.GG_NAMES,
-                           {b: [start_gg] for b in ok_gg}, M.GG_LOWER, M.GG_UPPER, penalty)
+        ok_gg = [b for b in range(n_bootstrap) if repeat.get(b, 0) >= 2]
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            f_bg = pool.submit(maximize, bg_data, K.bgnbd, ["frequency", "recency", "T"], M.BGNBD_NAMES,
+                               {b: [start_bg] for b in range(n_bootstrap)}, M.BGNBD_LOWER, M.BGNBD_UPPER, penalty)
+            f_gg = pool.submit(maximize, gg_data, K.gamma_gamma, ["frequency", "monetary_value"], M.GG_NAMES,
+                               {b: [start_gg] for b in ok_gg}, M.GG_LOWER, M.GG_UPPER, penalty)
+            bg_fits, gg_fits = f_bg.result(), f_gg.result()
     finally:
         bg_data.unpersist()
         gg_data.unpersist()

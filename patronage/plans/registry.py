@@ -202,8 +202,7 @@ def q_clv_fixed_params(spark, sf):
 @register("bgnbd_fit")
 def q_bgnbd_fit(spark, sf):
     s = _txn_summary(spark, sf).persist()
-    bg = CE.fit_bgnbd(s)
-    gg = CE.fit_gamma_gamma(s)
+    bg, gg = CE.fit_both(s)
     s.unpersist()
     return CE.params_frame(spark, bg, gg)
 
@@ -211,7 +210,7 @@ def q_bgnbd_fit(spark, sf):
 @register("clv_fitted")
 def q_clv_fitted(spark, sf):
     s = _txn_summary(spark, sf).persist()
-    bg, gg = CE.fit_bgnbd(s), CE.fit_gamma_gamma(s)
+    bg, gg = CE.fit_both(s)
     return CE.score(s, bg, gg, horizon=365.0, purchases_t=30.0).drop("first_purchase", "last_purchase")
 
 
