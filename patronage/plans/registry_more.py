@@ -261,7 +261,14 @@ def q_kmeans_k_search(spark, sf):
     return CL.k_search(_txn_rfm(spark, sf), CLUSTER_FEATURES, range(2, 11), n_init=10)
 
 
-@register("dbscan_segments")
+_Z_POINTS = f"""{S.rfm_cte()},
+zst AS (SELECT avg(recency) mr, stddev_pop(recency) sr, avg(frequency) mf, stddev_pop(frequency) sf,
+               avg(monetary) mm, stddev_pop(monetary) sm FROM rfm),
+pts AS (SELECT customer_id AS id, (recency - mr) / sr AS recency, (frequency - mf) / sf AS frequency,
+               (monetary - mm) / sm AS monetary FROM rfm, zst)"""
+
+
+@register("dbscan_segments", S.dbscan_sql(_Z_POINTS, ["recency", "frequency", "monetary"], 0.5, 5))
 def q_dbscan_segments(spark, sf):
     """DBSCAN with the reference defaults (eps 0.5, min_samples 5) on
     population-z-scored R/F/M of the purchase log."""

@@ -148,3 +148,23 @@ v AS (SELECT sd.customer_id, sd.k,
 SELECT customer_id, round(avg(clv), -1) AS clv_mean, round(quantile_cont(clv, 0.05), -1) AS clv_p05,
        round(quantile_cont(clv, 0.95), -1) AS clv_p95, round(stddev_samp(clv), 0) AS clv_std
 FROM v GROUP BY customer_id"""
+
+
+def dbscan_sql(points_cte: str, dims, eps: float, min_samples: int) -> str:
+    """DBSCAN in SQL: neighbours by a self-join, components by a recursive
+    transitive closure over core-core edges, borders to the smallest
+    adjacent component; clusters numbered by their smallest core id."""
+    d2 = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in dims)
+    lim = float(eps) * float(eps) * (1 + 1e-12)
+    return f"""WITH RECURSIVE {points_cte},
+nb AS (SELECT p.id AS a, q.id AS b FROM pts p JOIN pts q ON {d2} <= {lim}),
+core AS (SELECT a AS id FROM nb GROUP BY a HAVING COUNT(*) >= {min_samples}),
+ce AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON nb.a = c1.id JOIN core c2 ON nb.b = c2.id),
+reach(src, dst) AS (SELECT id, id FROM core UNION SELECT r.src, ce.b FROM reach r JOIN ce ON r.dst = ce.a),
+comp AS (SELECT src AS id, min(dst) AS lab FROM reach GROUP BY src),
+border AS (SELECT nb.a AS id, min(comp.lab) AS lab FROM nb JOIN comp ON nb.b = comp.id
+           WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
+lab AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+num AS (SELECT lab, CAST(dense_rank() OVER (ORDER BY lab) - 1 AS BIGINT) AS cluster FROM (SELECT DISTINCT lab FROM comp))
+SELECT pts.id AS customer_id, COALESCE(num.cluster, -1) AS cluster
+FROM pts LEFT JOIN lab ON pts.id = lab.id LEFT JOIN num ON lab.lab = num.lab"""
