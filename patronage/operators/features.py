@@ -75,9 +75,43 @@ def prepare(df: DataFrame, cols, out: str = "features"):
     return assemble(scaled, cols, out), stats
 
 
-def split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
+def split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: int = 42, exact: bool = False,
+          stratify: str | None = None) -> DataFrame:
     """Add ``is_test`` from a hash of (id, seed) (M9): deterministic, stable
     under repartitioning and re-execution, and stratified in expectation
-    because the draw is independent of the label."""
+    because the draw is independent of the label.
+
+    ``exact=True`` cuts at exact ranks instead: ceil(test_size * n) test rows
+    (as sklearn), and with ``stratify`` each class gets its share of them
+    (floors first, the remainder to the largest fractions). The ranks come
+    from one range-sorted global rank over (class, hash, id); only the class
+    counts reach the driver.
+    """
     u = F.xxhash64(F.col(id_col), F.lit(int(seed))).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
-    return df.withColumn("is_test", u < F.lit(float(test_size)))
+    if not exact:
+        return df.withColumn("is_test", u < F.lit(float(test_size)))
+    import math
+
+    from .rank import global_rank
+    cls = F.col(stratify) if stratify else F.lit(0)
+    keyed = df.withColumn("__cls", cls).withColumn("__u", u)
+    counts = {r["__cls"]: r["n"] for r in keyed.groupBy("__cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(counts.values())
+    n_test = math.ceil(test_size * n)
+    keys = sorted(counts, key=lambda v: (v is None, v))
+    quota = {c: (n_test * counts[c]) // n for c in keys}
+    rest = n_test - sum(quota.values())
+    for c in sorted(keys, key=lambda c: (-((n_test * counts[c]) % n), keys.index(c)))[:rest]:
+        quota[c] += 1
+    offsets, acc = {}, 0
+    for c in keys:
+        offsets[c] = acc
+        acc += counts[c]
+    table = df.sparkSession.createDataFrame([(i, offsets[c], quota[c]) for i, c in enumerate(keys)],
+                                            "__ci int, __off long, __q long")
+    idx = F.create_map(*[v for i, c in enumerate(keys) for v in (F.lit(c), F.lit(i))]) if stratify else F.lit(0)
+    ranked = global_rank(keyed.withColumn("__ci", idx[F.col("__cls")] if stratify else idx),
+                         [F.col("__ci"), F.col("__u"), F.col(id_col)], "__rn")
+    return (ranked.join(F.broadcast(table), "__ci")
+            .withColumn("is_test", F.col("__rn") - F.col("__off") <= F.col("__q"))
+            .drop("__cls", "__u", "__ci", "__rn", "__off", "__q"))

@@ -190,6 +190,16 @@ def q_gg_expected_spend(spark, sf):
     return out.select("customer_id", r6("expected_spend").alias("expected_spend"))
 
 
+@register("gg_expected_spend_reference", f"""WITH {S.clv_summary_cte()}
+SELECT customer_id, round(({_P} * frequency * monetary_value + {_G} * ({_Q} - 1) * ({_G} * {_P} / ({_Q} - 1)))
+                          / greatest({_P} * frequency + {_Q} - 1, 1e-9), 6) AS expected_spend FROM s""")
+def q_gg_expected_spend_reference(spark, sf):
+    """The reference library's own spend formula (gamma * (q - 1) * m_bar
+    with m_bar = gamma p / (q - 1)), kept as ``formula='reference'``."""
+    out = CE.score(_txn_summary(spark, sf), BG_FIXED, GG_FIXED, formula="reference")
+    return out.select("customer_id", r6("expected_spend").alias("expected_spend"))
+
+
 @register("clv_fixed_params", f"""WITH {S.clv_summary_cte()},
 {S.expected_purchases_cte(BG_FIXED.r, BG_FIXED.alpha, BG_FIXED.a, BG_FIXED.b, 365.0)}
 SELECT customer_id, round(expected_purchases * {_P} * ({_G} + frequency * monetary_value)

@@ -119,3 +119,33 @@ def test_perturbation(spark):
         U.bootstrap_clv(s, n_bootstrap=5)
     with pytest.raises(ValueError):
         U.bootstrap_clv(s, alpha=1.5)
+
+
+def _simulate_bgnbd(spark, n, r, alpha, a, b, seed=11):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        T = float(rng.uniform(100, 400))
+        lam, p = rng.gamma(r, 1.0 / alpha), rng.beta(a, b)
+        t, times = 0.0, []
+        while True:
+            t += rng.exponential(1.0 / lam)
+            if t > T:
+                break
+            times.append(t)
+            if rng.random() < p:
+                break
+        rows.append((i, len(times), float(times[-1]) if times else 0.0, T, 1.0))
+    return spark.createDataFrame(rows, "customer_id long, frequency long, recency double, T double, monetary_value double")
+
+
+def test_fit_recovers_known_parameters(spark):
+    true = M.BGNBDParams(r=0.5, alpha=5.0, a=2.5, b=4.0)
+    s = _simulate_bgnbd(spark, 4000, true.r, true.alpha, true.a, true.b).persist()
+    fit = E.fit_bgnbd(s)
+    d = E.bgnbd_data(s)
+
+    def objective(p):
+        return -E.bgnbd_loglik(d, p).first()[0] + 1e-3 * sum(v * v for v in p.to_dict().values())
+    assert objective(fit) <= objective(true) + 1e-6
+    assert abs(fit.r - true.r) / true.r < 0.25 and abs(fit.alpha - true.alpha) / true.alpha < 0.35

@@ -34,3 +34,13 @@ def test_wide_and_average(spark):
 def test_bad_period(spark):
     with pytest.raises(ValueError):
         coh.cohort_report(_txn(spark), period="X")
+
+
+def test_partition_independence(spark):
+    from patronage.sources import tables
+    t = tables.txn(spark, "/root/testdata/sf0.001")
+    a = coh.cohort_report(t.repartition(1), period="M").orderBy("cohort", "period_offset").collect()
+    b = coh.cohort_report(t.repartition(5), period="M").orderBy("cohort", "period_offset").collect()
+    assert [(r.cohort, r.period_offset, r.active, r.cohort_size) for r in a] == \
+           [(r.cohort, r.period_offset, r.active, r.cohort_size) for r in b]
+    assert all(abs(x.revenue - y.revenue) < 1e-6 for x, y in zip(a, b))

@@ -56,3 +56,13 @@ def test_explanations(spark):
     assert set(pi.feature) == set(FEATS) and (pi.importance_std >= 0).all()
     top = EX.contributions(df, FEATS, {"recency": 1.0, "frequency": -2.0, "monetary": 0.5, "age": 0.0}, top_k=2)
     assert all(len(r.top_features) == 2 for r in top.collect())
+
+
+def test_exact_stratified_split(spark):
+    df = _data(spark, 400, 3)
+    s = SU.split(df, "customer_id", 0.2, exact=True).toPandas()
+    assert s.is_test.sum() == 80
+    st = SU.split(df, "customer_id", 0.2, exact=True, stratify="churn").toPandas()
+    assert st.is_test.sum() == 80
+    for c, grp in st.groupby("churn"):
+        assert abs(grp.is_test.sum() - 0.2 * len(grp)) <= 1
