@@ -169,14 +169,14 @@ def k_search(df: DataFrame, cols, k_values=range(2, 11), n_init: int = 10, seed:
 def cluster_profiles(df: DataFrame, labels: DataFrame, cols, id_col: str = "customer_id",
                      label: str = "cluster") -> DataFrame:
     """Mean of each feature and size per cluster (A8), on original units."""
-    j = df.join(labels.select(id_col, label), id_col)
+    j = df.drop(label).join(labels.select(id_col, label), id_col)
     return j.groupBy(label).agg(*[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("count"))
 
 
 def cluster_statistics(df: DataFrame, labels: DataFrame, cols, id_col: str = "customer_id",
                        label: str = "cluster") -> DataFrame:
     """Mean, sample std and non-null count per feature and cluster."""
-    j = df.join(labels.select(id_col, label), id_col)
+    j = df.drop(label).join(labels.select(id_col, label), id_col)
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.count(c).alias(f"{c}_count")]

@@ -214,8 +214,49 @@ def q_segment_profile_norm(spark, sf):
     return p.select("segment", *[r6(c).alias(c) for c in ("recency", "frequency", "monetary")])
 
 
+@register("at_risk_customers", f"""WITH {SEG}
+SELECT customer_id, recency, frequency, round(monetary, 6) AS monetary FROM seg WHERE segment = 'At Risk'""")
+def q_at_risk_customers(spark, sf):
+    """Filter one segment."""
+    seg = _txn_segments(spark, sf).where(F.col("segment") == "At Risk")
+    return seg.select("customer_id", "recency", "frequency", r6("monetary").alias("monetary"))
+
+
 # ----------------------------------------------------------- clustering ----
 
+@register("segment_radar", f"""WITH {SEG},
+p AS (SELECT segment, avg(recency) AS r, avg(frequency) AS f, avg(monetary) AS m FROM seg GROUP BY segment),
+mm AS (SELECT min(recency) rl, max(recency) rh, min(frequency) fl, max(frequency) fh, min(monetary) ml,
+              max(monetary) mh FROM seg)
+SELECT segment, round((r - rl) / (rh - rl + 1e-10), 6) AS recency, round((f - fl) / (fh - fl + 1e-10), 6) AS frequency,
+       round((m - ml) / (mh - ml + 1e-10), 6) AS monetary FROM p, mm""")
+def q_segment_radar(spark, sf):
+    """Radar normalisation (A9) of group profiles against the data's global
+    min and max, with the RFM segments as the groups."""
+    segs = _txn_segments(spark, sf)
+    prof = CL.cluster_profiles(segs, segs, CLUSTER_FEATURES, label="segment")
+    out = CL.radar(prof, segs, CLUSTER_FEATURES, label="segment")
+    return out.select("segment", *[r6(c).alias(c) for c in CLUSTER_FEATURES])
+
+
+@register("segment_cluster_statistics", f"""WITH {SEG}
+SELECT segment, round(avg(recency), 6) AS recency_mean, round(stddev_samp(recency), 6) AS recency_std,
+       COUNT(recency) AS recency_count, round(avg(frequency), 6) AS frequency_mean,
+       round(stddev_samp(frequency), 6) AS frequency_std, COUNT(frequency) AS frequency_count,
+       round(avg(monetary), 4) AS monetary_mean, round(stddev_samp(monetary), 4) AS monetary_std,
+       COUNT(monetary) AS monetary_count FROM seg GROUP BY segment""")
+def q_segment_cluster_statistics(spark, sf):
+    """Cluster statistics (A7: mean, sample std, non-null count per feature)
+    with the RFM segments as the groups."""
+    segs = _txn_segments(spark, sf)
+    st = CL.cluster_statistics(segs, segs, CLUSTER_FEATURES, label="segment")
+    cols = []
+    for c in CLUSTER_FEATURES:
+        nd = 4 if c == "monetary" else 6
+        cols += [F.round(f"{c}_mean", nd).alias(f"{c}_mean"), F.round(f"{c}_std", nd).alias(f"{c}_std"), f"{c}_count"]
+    return st.select("segment", *cols)
+
+
 @register("cluster_indices_rule", f"""WITH {SEG},
 st AS (SELECT avg(recency) mr, stddev_pop(recency) sr, avg(frequency) mf, stddev_pop(frequency) sf,
               avg(monetary) mm, stddev_pop(monetary) sm FROM seg),
@@ -380,8 +421,17 @@ def q_churn_model_comparison(spark, sf):
 @register("churn_high_risk")
 def q_churn_high_risk(spark, sf):
     df = _labelled(spark, sf).persist()
-    tr = SU.train_classifier(df, MODEL_FEATURES, "churn", name="logistic_regression")
-    return SU.high_risk(tr, df, threshold=0.5).select("customer_id", "churn_probability")
+    tr = SU.train_classifier(df, MODEL_FEATURES, "churn", name="random_forest")
+    return SU.high_risk(tr, df, threshold=0.7).select("customer_id", "churn_probability")
+
+
+@register("churn_high_risk_top20")
+def q_churn_high_risk_top20(spark, sf):
+    """The page's top-20 list (T1): highest churn probabilities at or above
+    0.7 (a TakeOrderedAndProject; the limit is the report)."""
+    df = _labelled(spark, sf).persist()
+    tr = SU.train_classifier(df, MODEL_FEATURES, "churn", name="random_forest")
+    return SU.high_risk(tr, df, threshold=0.7).select("customer_id", "churn_probability").limit(20)
 
 
 @register("churn_permutation_importance")
