@@ -57,6 +57,7 @@ def kmeans_labels(df: DataFrame, cols, k: int = 4, n_init: int = 10, seed: int =
     """Prepared features + cluster label per row. Returns (frame, inertia)."""
     vec, _ = prepare(df.select(id_col, *cols), cols)
     vec = vec.persist()
+    vec.count()  # materialise once before the concurrent fits read it
     model, cost = kmeans_best_of(vec, k, n_init, seed)
     return relabel(model.transform(vec), model), cost
 
@@ -150,6 +151,7 @@ def k_search(df: DataFrame, cols, k_values=range(2, 11), n_init: int = 10, seed:
     spark = df.sparkSession
     vec, _ = prepare(df.select(id_col, *cols), cols)
     vec = scaled_labelled(vec, cols).persist()
+    vec.count()  # materialise once before the concurrent fits read it
     xs = [f"__x{i}" for i in range(len(cols))]
     rows = []
     fits = _fit_many(vec, [(int(k), seed + i) for k in k_values for i in range(n_init)])

@@ -107,19 +107,22 @@ def hierarchical(df: DataFrame, xs, n_clusters: int = 4, linkage: str = "ward",
         summ = distinct.collect()  # at most max_micro rows
         centres = np.array([[r[x] for x in xs] for r in summ], dtype=float)
         weights = np.array([r["__w"] for r in summ], dtype=float)
+        ids = list(range(len(centres)))
         key = pts.join(F.broadcast(spark.createDataFrame(
             [(i, *[float(v) for v in c]) for i, c in enumerate(centres)],
             StructType([StructField("__micro", LongType())] + [f for f in distinct.select(*xs).schema.fields]))), xs)
     else:
         vec = VectorAssembler(inputCols=list(xs), outputCol="__v").transform(pts).persist()
-        km = KMeans(k=max_micro, seed=seed, featuresCol="__v", predictionCol="__micro", maxIter=50).fit(vec)
+        # micro-clusters only need to be small cells: random initialisation
+        # (k-means|| ends in a driver-side k-means++ over k x steps candidates)
+        km = KMeans(k=max_micro, seed=seed, featuresCol="__v", predictionCol="__micro", maxIter=20,
+                    initMode="random").fit(vec)
         key = km.transform(vec).withColumn("__micro", F.col("__micro").cast("long"))
         sizes = {r["__micro"]: r["n"] for r in key.groupBy("__micro").agg(F.count(F.lit(1)).alias("n")).collect()}
-        ids = sorted(sizes)
-        centres = np.array([km.clusterCenters()[i] for i in ids], dtype=float)
+        ids = sorted(sizes)  # non-empty micro-clusters
+        all_centres = km.clusterCenters()  # one transfer of the k centres
+        centres = np.array([all_centres[i] for i in ids], dtype=float)
         weights = np.array([sizes[i] for i in ids], dtype=float)
-        remap = {old: new for new, old in enumerate(ids)}
-        key = key.withColumn("__micro", F.create_map(*[v for o, nw in remap.items() for v in (F.lit(o), F.lit(nw))])[F.col("__micro")])
     if len(centres) < n_clusters:
         raise ValueError("fewer distinct points than clusters")
     roots = cut(merge_tree(centres, weights, linkage), len(centres), n_clusters)
@@ -128,5 +131,7 @@ def hierarchical(df: DataFrame, xs, n_clusters: int = 4, linkage: str = "ward",
         tot[r] = tot.get(r, 0) + weights[i]
     order = sorted(tot, key=lambda r: (-tot[r], r))
     lab = {r: i for i, r in enumerate(order)}
-    mapping = spark.createDataFrame([(int(i), int(lab[r])) for i, r in enumerate(roots)], "__micro long, cluster long")
+    # summary position -> micro id (the K-means index, or the distinct-point index)
+    mapping = spark.createDataFrame([(int(ids[i]), int(lab[r])) for i, r in enumerate(roots)],
+                                    "__micro long, cluster long")
     return key.join(F.broadcast(mapping), "__micro").select(id_col, "cluster", F.lit(exact).alias("exact"))
