@@ -51,10 +51,30 @@ def linear_shap(tr: Trained, df: DataFrame, id_col: str = "customer_id") -> Data
     return vec.select(id_col, *[(arr[i] * float(coef[i])).alias(f) for i, f in enumerate(tr.prep.features)])
 
 
+def _grouped_score(scored: DataFrame, scoring: str, group: str | None = None) -> DataFrame:
+    """roc_auc, accuracy or f1 per group (or overall) of a scored frame."""
+    if scoring == "roc_auc":
+        return auc_frame(scored, "label", "score", group=group).withColumnRenamed("roc_auc", "value")
+    y = F.col("label").cast("int")
+    p = (F.col("score") >= 0.5).cast("int")
+    keys = [group] if group else []
+    c = scored.groupBy(*keys).agg(F.sum((y * p)).alias("tp"), F.sum(((1 - y) * p)).alias("fp"),
+                                  F.sum((y * (1 - p))).alias("fn"), F.count(F.lit(1)).alias("n"),
+                                  F.sum(F.when(y == p, 1).otherwise(0)).alias("ok"))
+    if scoring == "accuracy":
+        return c.select(*keys, (F.col("ok") / F.col("n")).alias("value"))
+    if scoring == "f1":
+        den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+        return c.select(*keys, F.when(den > 0, 2 * F.col("tp") / den).otherwise(0.0).alias("value"))
+    raise ValueError(f"unknown scoring: {scoring}")
+
+
 def permutation_importance(tr: Trained, df: DataFrame, target: str, n_repeats: int = 10,
-                           seed: int = 0, id_col: str = "customer_id") -> DataFrame:
-    """Drop in ROC-AUC when one feature is shuffled (M27): importance_mean
+                           seed: int = 0, id_col: str = "customer_id", scoring: str = "roc_auc") -> DataFrame:
+    """Drop in the score when one feature is shuffled (M27): importance_mean
     and importance_std (population) over ``n_repeats`` shuffles per feature.
+    ``scoring`` is roc_auc (default), accuracy or f1; a model without class
+    probabilities is scored by accuracy.
 
     Shuffle g = (feature, repeat) pairs the i-th row in id order with the
     i-th row in the order of hash(id, g, seed). Both orders are exact global
@@ -77,16 +97,18 @@ def permutation_importance(tr: Trained, df: DataFrame, target: str, n_repeats: i
     fidx = (F.col("g") / n_repeats).cast("int")
     permuted = joined.select(id_col, "g", "label", *[
         F.when(fidx == i, F.col(f"__d_{f}")).otherwise(F.col(f)).alias(f) for i, f in enumerate(feats)])
+    if not hasattr(tr.model, "probabilityCol"):
+        scoring = "accuracy"
     scored = with_probability(tr.model.transform(tr.prep.apply(permuted)))
-    auc_g = auc_frame(scored, "label", "score", group="g")
+    score_g = _grouped_score(scored, scoring, "g")
     base_scored = with_probability(tr.model.transform(tr.prep.apply(base)))
-    baseline = auc_frame(base_scored, "label", "score").first()["roc_auc"]
-    rows = auc_g.collect()  # one row per (feature, repeat)
+    baseline = _grouped_score(base_scored, scoring).first()["value"]
+    rows = score_g.collect()  # one row per (feature, repeat)
     base.unpersist()
     spark = df.sparkSession
     drops = {}
     for r in rows:
-        drops.setdefault(int(r["g"]) // n_repeats, []).append(baseline - r["roc_auc"])
+        drops.setdefault(int(r["g"]) // n_repeats, []).append(baseline - r["value"])
     out = [(feats[i], float(np.mean(v)), float(np.std(v))) for i, v in sorted(drops.items())]
     return (spark.createDataFrame(out, "feature string, importance_mean double, importance_std double")
             .orderBy(F.desc("importance_mean")))

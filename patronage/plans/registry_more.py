@@ -410,6 +410,15 @@ def q_ltv_predictions(spark, sf):
     return SU.predict(tr, df, keep=("customer_id", "ltv"), out="predicted_ltv")
 
 
+@register("ltv_prediction_distribution")
+def q_ltv_prediction_distribution(spark, sf):
+    """Distribution of predicted LTV (A14: mean, median, population std,
+    min, max, q25, q75, q90) from the ridge model."""
+    df = _labelled(spark, sf).persist()
+    tr = SU.train_regression(df, MODEL_FEATURES, "ltv", name="linear")
+    return kpi.distribution(SU.predict(tr, df, out="predicted_ltv"), "predicted_ltv")
+
+
 @register("churn_model_comparison")
 def q_churn_model_comparison(spark, sf):
     df = _labelled(spark, sf).persist()

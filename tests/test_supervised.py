@@ -66,3 +66,11 @@ def test_exact_stratified_split(spark):
     assert st.is_test.sum() == 80
     for c, grp in st.groupby("churn"):
         assert abs(grp.is_test.sum() - 0.2 * len(grp)) <= 1
+
+
+def test_permutation_scorings(spark):
+    df = _data(spark, 300, 4)
+    tr = SU.train_classifier(df, FEATS, "churn", name="logistic_regression")
+    for scoring in ("accuracy", "f1"):
+        pi = EX.permutation_importance(tr, df, "churn", n_repeats=2, scoring=scoring).toPandas()
+        assert len(pi) == len(FEATS) and np.isfinite(pi.importance_mean).all()
