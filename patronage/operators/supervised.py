@@ -91,6 +91,7 @@ def train_regression(df: DataFrame, features, target: str = "ltv", id_col: str =
     pred = model.transform(vec).withColumn("part", F.when(F.col("is_test"), "test").otherwise("train"))
     m = {r["part"]: r for r in regression_metrics(pred, group="part").collect()}
     metrics = {f"{p}_{k}": float(m[p][k]) for p in ("train", "test") if p in m for k in ("rmse", "mae", "r2")}
+    vec.unpersist()
     return Trained(name, model, prep, metrics, _weights(model, features))
 
 
@@ -141,6 +142,7 @@ def train_classifier(df: DataFrame, features, target: str = "churn", id_col: str
     test = with_probability(model.transform(vec.where(F.col("is_test"))))
     test = test.withColumn("prediction", (F.col("score") >= threshold).cast("double"))
     m = classification_metrics(test).first().asDict()
+    vec.unpersist()
     return Trained(name, model, prep, {k: float(v) for k, v in m.items()}, _weights(model, features))
 
 

@@ -394,13 +394,16 @@ def q_ltv_model_comparison(spark, sf):
     df = _labelled(spark, sf).persist()
     trained = [SU.train_regression(df, MODEL_FEATURES, "ltv", name=n)
                for n in ("linear", "random_forest", "gradient_boosting")]
+    df.unpersist()
     return SU.comparison(trained, "regression")
 
 
 @register("ltv_feature_importance")
 def q_ltv_feature_importance(spark, sf):
     df = _labelled(spark, sf).persist()
-    return SU.importance([SU.train_regression(df, MODEL_FEATURES, "ltv", name="random_forest")], 10)
+    out = SU.importance([SU.train_regression(df, MODEL_FEATURES, "ltv", name="random_forest")], 10)
+    df.unpersist()
+    return out
 
 
 @register("ltv_predictions")
@@ -424,6 +427,7 @@ def q_churn_model_comparison(spark, sf):
     df = _labelled(spark, sf).persist()
     trained = [SU.train_classifier(df, MODEL_FEATURES, "churn", name=n)
                for n in ("logistic_regression", "random_forest", "gradient_boosting")]
+    df.unpersist()
     return SU.comparison(trained, "classification")
 
 
@@ -447,7 +451,9 @@ def q_churn_high_risk_top20(spark, sf):
 def q_churn_permutation_importance(spark, sf):
     df = _labelled(spark, sf).persist()
     tr = SU.train_classifier(df, MODEL_FEATURES, "churn", name="logistic_regression")
-    return EX.permutation_importance(tr, df, "churn", n_repeats=10, seed=0)
+    out = EX.permutation_importance(tr, df, "churn", n_repeats=10, seed=0)  # built from collected rows
+    df.unpersist()
+    return out
 
 
 @register("churn_linear_shap")
