@@ -138,23 +138,29 @@ def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: st
         ids = np.unique(np.concatenate([L["__id"].to_numpy("int64"), R["__id"].to_numpy("int64")]))
         if L.empty or R.empty or len(ids) < 2:
             return pd.DataFrame({"src": np.array([], "int64"), "dst": np.array([], "int64")})
-        parent = np.arange(len(ids))
-
-        def find(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
         li = np.searchsorted(ids, L["__id"].to_numpy("int64"))
         ri = np.searchsorted(ids, R["__id"].to_numpy("int64"))
         xl, xr = L[xcols].to_numpy(float), R[xcols].to_numpy(float)
+        us, vs = [], []
         for lo, adj in _within(xl, xr, eps2):
             a, b = np.nonzero(adj)
-            for u, v in zip(li[lo + a], ri[b]):
-                fu, fv = find(u), find(v)
-                if fu != fv:
-                    parent[max(fu, fv)] = min(fu, fv)
-        roots = np.array([find(i) for i in range(len(ids))])
+            us.append(li[lo + a])
+            vs.append(ri[b])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        # local components: vectorised min-label propagation with pointer jumping
+        roots = np.arange(len(ids))
+        while True:
+            old = roots.copy()
+            m = np.minimum(roots[u], roots[v])
+            np.minimum.at(roots, u, m)
+            np.minimum.at(roots, v, m)
+            while True:
+                jumped = roots[roots]
+                if np.array_equal(jumped, roots):
+                    break
+                roots = jumped
+            if np.array_equal(roots, old):
+                break
         keep = roots != np.arange(len(ids))
         return pd.DataFrame({"src": ids[keep], "dst": ids[roots[keep]]})
 
