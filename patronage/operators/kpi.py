@@ -42,12 +42,15 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
                     "count"))
 
 
-def distribution(df: DataFrame, col: str) -> DataFrame:
+def distribution(df: DataFrame, col: str, approx: bool = False, accuracy: int = 100_000) -> DataFrame:
     """mean, median, population std, min, max, q25, q75, q90 with linear
-    interpolation (A14). ``percentile`` is exact; at very large scale
-    ``percentile_approx`` is the drop-in."""
+    interpolation (A14). ``percentile`` is exact (it keeps the distinct
+    values); ``approx=True`` uses the ``percentile_approx`` sketch with the
+    given accuracy, bounded in memory at any size."""
+    qs = [0.25, 0.5, 0.75, 0.9]
+    q = F.percentile_approx(col, qs, accuracy) if approx else F.percentile(col, qs)
     return df.agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), F.min(col).alias("min"),
-                  F.max(col).alias("max"), F.percentile(col, [0.25, 0.5, 0.75, 0.9]).alias("__q")).select(
+                  F.max(col).alias("max"), q.alias("__q")).select(
         "mean", F.col("__q")[1].alias("median"), "std", "min", "max",
         F.col("__q")[0].alias("q25"), F.col("__q")[2].alias("q75"), F.col("__q")[3].alias("q90"))
 
