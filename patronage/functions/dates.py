@@ -46,3 +46,21 @@ def period_diff(later_start, earlier_start, period: str) -> Column:
     if period == "M":
         return ((F.year(a) - F.year(b)) * 12 + (F.month(a) - F.month(b))).cast("long")
     return ((F.year(a) - F.year(b)) * 4 + (F.quarter(a) - F.quarter(b))).cast("long")
+
+
+def as_timestamp(df, col: str) -> Column:
+    """The column as a timestamp without changing its kind: TIMESTAMP_NTZ
+    stays NTZ (so day arithmetic does not depend on the session time zone),
+    TIMESTAMP stays as is, anything else is parsed with ``to_timestamp``."""
+    from pyspark.sql.types import TimestampNTZType, TimestampType
+    dt = df.schema[col].dataType
+    if isinstance(dt, (TimestampType, TimestampNTZType)):
+        return F.col(col)
+    return F.to_timestamp(F.col(col))
+
+
+def literal_like(df, col: str, value) -> Column:
+    """A reference date literal of the same timestamp kind as ``col``."""
+    from pyspark.sql.types import TimestampNTZType
+    kind = "timestamp_ntz" if isinstance(df.schema[col].dataType, TimestampNTZType) else "timestamp"
+    return F.lit(value).cast(kind)

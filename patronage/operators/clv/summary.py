@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.dates import whole_days
+from ...functions.dates import as_timestamp, literal_like, whole_days
 from ...functions.scaling import attach_row
 from ...functions.validation import require_columns
 
@@ -18,7 +18,7 @@ def clv_summary(txn: DataFrame, customer_col: str = "customer_id", date_col: str
     scalar aggregate). A single grouped aggregation with map-side combine.
     """
     require_columns(txn, [customer_col, date_col, value_col], "clv_summary")
-    ts = F.to_timestamp(F.col(date_col))
+    ts = as_timestamp(txn, date_col)
     agg = (txn.where(F.col(customer_col).isNotNull())
            .groupBy(customer_col)
            .agg(F.min(ts).alias("first_purchase"), F.max(ts).alias("last_purchase"),
@@ -28,7 +28,7 @@ def clv_summary(txn: DataFrame, customer_col: str = "customer_id", date_col: str
         # value never leaves the cluster
         agg = attach_row(agg, txn.agg(F.max(ts).alias("__end")))
     else:
-        agg = agg.withColumn("__end", F.lit(observation_end).cast("timestamp"))
+        agg = agg.withColumn("__end", literal_like(txn, date_col, observation_end))
     end_col = F.col("__end")
     freq = (F.col("__n") - 1).cast("long")
     return agg.select(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import check_period, period_diff, period_start
+from ..functions.dates import as_timestamp, check_period, period_diff, period_start
 from ..functions.validation import require_columns
 
 
@@ -30,7 +30,7 @@ def cohort_report(txn: DataFrame, customer_col: str = "customer_id", date_col: s
     per = (
         txn.where(F.col(customer_col).isNotNull())
         .groupBy(F.col(customer_col).alias("__cust"),
-                 period_start(F.to_timestamp(F.col(date_col)), period).alias("__period"))
+                 period_start(as_timestamp(txn, date_col), period).alias("__period"))
         .agg(F.sum(value_col).alias("__rev"))
     )
     per = (per.withColumn("cohort", F.min("__period").over(Window.partitionBy("__cust")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import whole_days
+from ..functions.dates import as_timestamp, literal_like, whole_days
 from ..functions.scaling import zscore
 from ..functions.validation import require_columns
 from .rank import global_rank, quantile_bin
@@ -33,11 +33,11 @@ def rfm_from_transactions(txn: DataFrame, customer_col: str = "customer_id",
     holding a third of all rows is combined before the shuffle.
     """
     require_columns(txn, [customer_col, date_col, amount_col], "rfm_from_transactions")
-    ref = F.current_timestamp() if reference_date is None else F.lit(reference_date).cast("timestamp")
+    ref = F.current_timestamp() if reference_date is None else literal_like(txn, date_col, reference_date)
     agg = (
         txn.where(F.col(customer_col).isNotNull())
         .groupBy(customer_col)
-        .agg(F.max(F.to_timestamp(F.col(date_col))).alias("__last"),
+        .agg(F.max(as_timestamp(txn, date_col)).alias("__last"),
              F.count(F.lit(1)).alias("frequency"),
              F.coalesce(F.sum(amount_col), F.lit(0.0)).cast("double").alias("monetary"))
     )

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import whole_days
+from ..functions.dates import literal_like, whole_days
 
 
 def purchase_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -33,7 +33,8 @@ def running_rfm(stream: DataFrame) -> DataFrame:
 def with_recency(snapshot: DataFrame, reference_date: str) -> DataFrame:
     """Recency in whole days at ``reference_date`` for a snapshot of the state."""
     return snapshot.select("customer_id", "frequency", "monetary",
-                           whole_days(F.lit(reference_date).cast("timestamp"), F.col("last_purchase")).alias("recency"))
+                           whole_days(literal_like(snapshot, "last_purchase", reference_date),
+                                      F.col("last_purchase")).alias("recency"))
 
 
 def start(stream: DataFrame, checkpoint: str, query_name: str = "running_rfm", trigger_once: bool = False):
