@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup, quality_classifier, suffix_dedup
+from . import minhash_dedup, quality_classifier, source_mix, suffix_dedup
 from .common import table
 
 
@@ -21,13 +21,20 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.plan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_source_mix": op5_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_source_mix": source_mix.PLAN_SQL,
+    }
