@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup, quality_classifier, source_mix, suffix_dedup
+from . import line_quality, minhash_dedup, quality_classifier, source_mix, suffix_dedup
 from .common import table
 
 
@@ -25,12 +25,17 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.plan(table(spark, sf_dir, "documents"))
 
 
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.decide(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_source_mix": op5_source_mix,
+        "op9_line_quality": op9_line_quality,
     }
 
 
