@@ -28,21 +28,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and read it back.
+class Scratch:
+    """Frames written as Parquet to the shared checkpoint folder and read back.
 
-    Cuts the lineage as ``checkpoint()`` does, but compressed and columnar.
+    That cuts the lineage as ``checkpoint()`` does, and a lost executor costs
+    no recomputation; unlike a checkpointed plan, the new one carries no
+    inherited constraints, which grow from round to round of an iteration.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/patronage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.n = spark, 0
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/patronage-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete the files, once all that depends on them is written."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def saved(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a small frame (links, labels, statistics)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+
+def written(df: DataFrame) -> DataFrame:
+    """A frame kept in the checkpoint folder for as long as the caller needs it."""
+    return Scratch(df.sparkSession).keep(df)
 
 
 def column_udf(factory: Callable[[], Callable], returns: DataType | str):
@@ -98,7 +110,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): the smallest id reachable over the links (a, b), for every linked id.
 
     Each round points every vertex at its smallest neighbour, shortens those
@@ -110,16 +122,15 @@ def components(links: DataFrame) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
+    saved = scratch.keep
     left = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                  .where("a < b").distinct())
     labels = None
     while not left.isEmpty():
         up = both(left).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("p")) \
             .select("id", F.least("id", "p").alias("p"))
-        for _ in range(2):
-            up = up.alias("x").join(up.select(F.col("id").alias("p"), F.col("p").alias("q")).alias("y"), "p", "left") \
-                .select("id", F.coalesce("q", "p").alias("p"))
-            up = saved(up)
+        up = saved(up.join(up.select(F.col("id").alias("p"), F.col("p").alias("q")), "p", "left")
+                   .select("id", F.coalesce("q", "p").alias("p")))
         low = up.select(F.col("id").alias("a"), F.col("p").alias("pa"))
         high = up.select(F.col("id").alias("b"), F.col("p").alias("pb"))
         left = saved(left.join(low, "a").join(high, "b")

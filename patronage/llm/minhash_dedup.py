@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, saved, shingles, written
+from .common import Scratch, components, mix64, shingles, written
 
 TREES, LEVELS, MIN_DEPTH = 24, 8, 4
 WINDOW = 10
@@ -159,12 +159,12 @@ def _borders(b: pd.DataFrame) -> pd.DataFrame:
     return _pairs({c: b[c].to_numpy() for c in _COLS}, np.cumsum(new))[["a", "b", "near", "wide"]]
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """Distinct (a, b, near, wide) of classes (id, comp, sig) that are neighbours in a tree."""
     rows = reps.mapInPandas(_plant, "tree int, k1 long, k2 long, id long, comp long")
     order = ["tree", "k1", "k2", "id"]
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(_neighbours, _NEAR))
+    found = scratch.keep(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(_neighbours, _NEAR))
     inner = found.where("a IS NOT NULL").select("a", "b", "near", "wide")
     across = found.where("a IS NULL").select("part", "pos", *_COLS).groupBy(F.lit("")).applyInPandas(
         _borders, "a long, b long, near boolean, wide boolean")
@@ -196,27 +196,28 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[ok, ["a", "b"]]
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    return saved(left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return scratch.keep(left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
                  .select("a", "b", "x", "y").mapInPandas(_confirm, "a long, b long"))
 
 
 def classify(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document of docs (doc_id, text)."""
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(docs.mapInPandas(_sign(shingle_words), "doc_id long, n long, f1 long, f2 long, sig binary"))
+    rows = scratch.keep(docs.mapInPandas(_sign(shingle_words), "doc_id long, n long, f1 long, f2 long, sig binary"))
     sets_of = rows.where("f1 IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(sets_of.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
+    classes = scratch.keep(sets_of.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
                       .select("f1", "f2", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig")))
     # a repeated doc_id may stand for several classes; they are one vertex
-    pairs = written(candidates(classes.select("id", F.col("id").alias("comp"), "sig")).where("a < b"))
+    pairs = scratch.keep(candidates(classes.select("id", F.col("id").alias("comp"), "sig"), scratch).where("a < b"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     packed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(_pack, "id long, z binary")
-    sets = written(packed.join(ids, "id").mapInPandas(_sets(shingle_words), "id long, s binary"))
-    links = confirmed(pairs.where("near").select("a", "b"), sets)
-    comp = components(links)
+    sets = scratch.keep(packed.join(ids, "id").mapInPandas(_sets(shingle_words), "id long, s binary"))
+    links = confirmed(pairs.where("near").select("a", "b"), sets, scratch)
+    comp = components(links, scratch)
 
     def crossing(p: DataFrame, label: DataFrame) -> DataFrame:
         low = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
@@ -227,24 +228,26 @@ def classify(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     def wide(p: DataFrame) -> DataFrame:
         return p.where("wide").select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-    more = confirmed(crossing(pairs.where("NOT near"), comp), sets)
+    more = confirmed(crossing(pairs.where("NOT near"), comp), sets, scratch)
     links = links.union(more)
-    tried, crowd = pairs.select("a", "b"), saved(wide(pairs))
+    tried, crowd = pairs.select("a", "b"), scratch.keep(wide(pairs))
     while not more.isEmpty():
-        comp = components(links)
+        comp = components(links, scratch)
         if crowd.isEmpty():
             break
         again = classes.join(crowd, "id").join(comp, "id", "left") \
             .select("id", F.coalesce("component", "id").alias("comp"), "sig")
-        pairs = written(candidates(again).join(tried, ["a", "b"], "left_anti"))
-        more = confirmed(crossing(pairs, comp), sets)
-        links, tried, crowd = links.union(more), tried.union(pairs.select("a", "b")), saved(wide(pairs))
+        pairs = scratch.keep(candidates(again, scratch).join(tried, ["a", "b"], "left_anti"))
+        more = confirmed(crossing(pairs, comp), sets, scratch)
+        links, tried, crowd = links.union(more), tried.union(pairs.select("a", "b")), scratch.keep(wide(pairs))
     reps = classes.join(comp, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
     out = rows.join(reps, ["f1", "f2"], "left")
     # a document without a set, or one row of several of a doc_id, is its own component
-    return (out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("c"))
+    result = written(out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("c"))
             .select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"),
                     F.coalesce(F.col("c").isNull() | (F.col("c") == F.col("doc_id")), F.lit(True)).alias("kept")))
+    scratch.clear()
+    return result
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import column_udf, mix64, written
+from .common import Scratch, column_udf, mix64, written
 
 LENGTH, ANCHOR = 200, 32
 #: Offsets between an anchor and the starts of its strings: 0 .. SPAN - 1, cut into slices of SLICE.
@@ -196,18 +196,19 @@ class Repeats:
                      F.monotonically_increasing_id().alias("rid"))
          .repartition(parts, "rid").write.bucketBy(parts, "rid").format("parquet").saveAsTable(self.table))
         texts = self.spark.table(self.table).select("rid", "z")
-        self.runs = self._find(texts)
+        self.scratch = Scratch(self.spark)
+        self.runs = self._find(texts, self.scratch.keep)
 
-    def _find(self, texts: DataFrame) -> DataFrame:
+    def _find(self, texts: DataFrame, keep) -> DataFrame:
         """(rid, lo, hi): runs of starts whose 200 bytes start elsewhere too."""
         anchors = texts.mapInPandas(_anchors, "h long, rid long, a int")
         twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        wanted = written(anchors.join(twice, "h", "left_semi").groupBy("rid").agg(F.collect_list("a").alias("at")))
-        slices = written(texts.join(wanted, "rid").mapInPandas(
+        wanted = keep(anchors.join(twice, "h", "left_semi").groupBy("rid").agg(F.collect_list("a").alias("at")))
+        slices = keep(texts.join(wanted, "rid").mapInPandas(
             _slices, "core long, full long, rid long, lo int, hi int"))
         classes = slices.groupBy("core", "full").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("one"))
-        classes = written(classes)
+        classes = keep(classes)
         equal = slices.join(classes.where("n > 1").select("core", "full"), ["core", "full"], "left_semi") \
             .select("rid", "lo", "hi")
         # 144 bytes shared by classes that differ beyond, one of them a single slice
@@ -215,7 +216,7 @@ class Repeats:
             .where("k > 1 AND least = 1").select("core")
         rest = classes.join(open_, "core", "left_semi").select("one.*", (F.col("n") == 1).alias("alone"))
         runs = rest.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "alone")).alias("runs"))
-        starts = written(texts.join(runs, "rid").mapInPandas(_starts, "r long, rid long, s int, alone boolean"))
+        starts = keep(texts.join(runs, "rid").mapInPandas(_starts, "r long, rid long, s int, alone boolean"))
         again = starts.groupBy("r").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r")
         single = starts.where("alone").join(again, "r", "left_semi") \
             .select("rid", F.col("s").alias("lo"), F.col("s").alias("hi"))
@@ -250,7 +251,8 @@ class Repeats:
         return self._joined().select(*[text if c == self.text else F.col("rest")[c].alias(c) for c in self.columns])
 
     def drop(self) -> None:
-        """Remove the table of texts, once every result has been written."""
+        """Remove the table of texts and what was kept beside it, once every result has been written."""
+        self.scratch.clear()
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
