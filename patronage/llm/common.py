@@ -19,7 +19,7 @@ from ..session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries a per-task word cache may hold before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,19 +62,27 @@ def column_udf(factory: Callable[[], Callable], returns: DataType | str):
 
     For a struct type the row function returns a tuple in field order.
     """
+    def rows():
+        f = factory()
+        return lambda values: [f(x) for x in values]
+    return batch_udf(rows, returns)
+
+
+def batch_udf(factory: Callable[[], Callable], returns: DataType | str):
+    """Like ``column_udf``, with a function from the values of an Arrow batch to their results."""
     struct = [f.name for f in returns.fields] if isinstance(returns, StructType) else None
 
     @F.pandas_udf(returns)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = factory()
         for s in batches:
-            yield pd.Series([f(x) for x in s], dtype=object)
+            yield pd.Series(f(s), dtype=object)
 
     @F.pandas_udf(returns)
     def apply_struct(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         f = factory()
         for s in batches:
-            rows = [f(x) for x in s]
+            rows = f(s)
             yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(struct)})
 
     return apply_struct if struct else apply

@@ -182,5 +182,5 @@ def predict(docs: DataFrame, labels: DataFrame, params: Params = Params(), thres
 
 def keep_good(docs: DataFrame, labels: DataFrame, params: Params = Params(), threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not rejected, with the columns of docs."""
-    out = score(docs, fit(docs, labels, params), "__score")
-    return out.where(F.col("__score") >= threshold).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return score(rows, fit(docs, labels, params)).where(F.col("score") >= threshold).select("row.*")

@@ -13,7 +13,7 @@ the ends of a run are taken whole or not at all, and what is taken of a
 document follows from its place on the axis.
 
 Defined cases: a null text has no words; a null source is a source of its own,
-last in order; an empty table gives no rows; sources without words have target
+last in order; documents without words are in no mix; an empty table gives no rows; sources without words have target
 0; rows with equal or null ids are separate documents.
 """
 from __future__ import annotations
@@ -91,9 +91,8 @@ def _within(start: Column, end: Column, low: Column, high: Column) -> Column:
 
 def _placed(docs: DataFrame, rest: list[str]) -> DataFrame:
     """docs with size, source_size, target, start on the shard's axis, whole passes and the ends of the run."""
-    sized = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sized = sized.select(F.struct(*rest).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("src"),
-                         F.col("__size").alias("size"))
+    sized = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("src"),
+                        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     stats = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("src").isNull(), "src")) - 1  # one row a source
     plan = written(stats.withColumn("place", place).groupBy(F.lit("")).applyInPandas(
@@ -140,7 +139,7 @@ def mixed(docs: DataFrame) -> DataFrame:
         return F.array_join(F.slice(words, (at + 1).cast("int"), n.cast("int")), " ")
 
     run = F.col("late") + F.col("early")
-    whole = F.col("passes") + F.when((run == F.col("size")) & (run > 0), 1).otherwise(0)
+    whole = F.when(F.col("size") > 0, F.col("passes") + F.when(run == F.col("size"), 1).otherwise(0)).otherwise(0)
     part = (run > 0) & (run < F.col("size"))
     copies = F.concat(
         F.array_repeat(F.col("row.text"), whole.cast("int")),

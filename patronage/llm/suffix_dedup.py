@@ -237,8 +237,8 @@ class Repeats:
                     kept, removed, spans = _cut(data, r if r is not None else [])
                     rows.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest()))
                 yield pd.DataFrame(rows, columns=_FINDINGS.names)
-        return self._joined().select("rest.*", found("z", "runs").alias("found")).select(
-            *[c for c in self.columns if c != self.text], "found.*")
+        return self._joined().select("rest", found("z", "runs").alias("found")).select(
+            *[F.col("rest")[c].alias(c) for c in self.columns if c != self.text], "found.*")
 
     def cleaned(self) -> DataFrame:
         """docs without the repeated bytes; a character that loses a byte goes whole."""
