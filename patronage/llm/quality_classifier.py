@@ -15,17 +15,21 @@ without labels of both classes every score is 0.5.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, column_udf
+from .common import CACHE_WORDS, batch_udf, column_udf, hash_words, mix64
 
 THRESHOLD = 0.3
 _SAME = b"\x00same"
+#: Words whose features are made together, and texts scored together.
+_GROUP, _TEXTS = 20_000, 500
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -47,36 +51,67 @@ class Model:
     params: Params
 
 
-def word_features(word: bytes, p: Params) -> list[int]:
-    mask = p.buckets - 1
-    s = b"<" + word + b">"
-    out = [xxhash.xxh32_intdigest(word, 1) & mask]
+def word_features(words: list[bytes], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and their n-grams, word after word, and how many each has."""
+    mask = np.uint64(p.buckets - 1)
+    text = np.frombuffer(b"".join(b"<" + w + b">" for w in words) + bytes(max(p.ngrams)), np.uint8).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(size)
+    counts = 1 + sum(np.maximum(size - n + 1, 0) for n in p.ngrams)
+    out = np.empty(int(counts.sum()), np.int64)
+    at = np.cumsum(counts) - counts
+    out[at] = hash_words(words) & mask
+    at = at + 1
+    for n in p.ngrams:  # an n-gram of up to seven bytes is a number
+        have = np.maximum(size - n + 1, 0)
+        value = np.full(len(text) - max(p.ngrams), n, np.uint64)
+        for i in range(n):
+            value = (value << np.uint64(8)) | text[i:i + len(value)]
+        bucket = (mix64(value * _SPREAD) & mask).astype(np.int64)
+        within = np.arange(int(have.sum())) - np.repeat(np.cumsum(have) - have, have)
+        out[np.repeat(at, have) + within] = bucket[np.repeat(end - size, have) + within]
+        at = at + have
+    return out, counts
+
+
+def word_sums(words: list[bytes], weight: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the weights of each word's features, and how many it has."""
+    mask = np.uint64(p.buckets - 1)
+    text = np.frombuffer(b"".join(b"<" + w + b">" for w in words) + bytes(max(p.ngrams)), np.uint8).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(size) - size
+    left = np.repeat(start + size, size) - np.arange(int(size.sum()))  # bytes to the word's end
+    sums = weight[(hash_words(words) & mask).astype(np.int64)]
+    counts = np.ones(len(words), np.int64)
     for n in p.ngrams:
-        out += [xxhash.xxh32_intdigest(s[i:i + n], 2) & mask for i in range(len(s) - n + 1)]
-    return out
+        value = np.full(len(left), n, np.uint64)
+        for i in range(n):
+            value = (value << np.uint64(8)) | text[i:i + len(value)]
+        w = weight[(mix64(value * _SPREAD) & mask).astype(np.int64)]
+        sums = sums + np.add.reduceat(np.where(left >= n, w, 0.0), start)
+        counts += np.maximum(size - n + 1, 0)
+    return sums, counts
 
 
-def text_features(text: str | None, p: Params, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+def _same_bucket(p: Params) -> int:
+    return int(hash_words([_SAME])[0]) & (p.buckets - 1)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+def text_features(text: str | None, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature buckets of a text and their shares (sum 1)."""
-    words = text.encode("utf-8", "surrogatepass").split() if text else []
-    ids: list[int] = []
-    same = xxhash.xxh32_intdigest(_SAME, 1) & (p.buckets - 1)
-    last = None
-    for w in words:
-        f = cache.get(w)
-        if f is None:
-            if len(cache) >= CACHE_WORDS:
-                cache.clear()
-            f = cache[w] = word_features(w, p)
-        ids += f
-        if w == last:
-            ids.append(same)
-        last = w
-    if not ids:
+    words = _words(text)
+    if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    counts = np.bincount(np.asarray(ids))
-    at = np.flatnonzero(counts)
-    return at.astype(np.int32), (counts[at] / len(ids)).astype(np.float32)
+    often = Counter(words)
+    ids, counts = word_features(list(often), p)
+    times = np.bincount(ids, np.repeat(list(often.values()), counts), p.buckets)
+    times[_same_bucket(p)] += sum(map(eq, words, words[1:]))
+    at = np.flatnonzero(times)
+    return at.astype(np.int32), (times[at] / times.sum()).astype(np.float32)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], p: Params) -> Model:
@@ -120,10 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     p = params
 
     def encoded():
-        cache: dict = {}
-
         def f(text):
-            at, share = text_features(text, p, cache)
+            at, share = text_features(text, p)
             return at.tobytes() + share.tobytes()
         return f
 
@@ -145,30 +178,38 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     def scorer():
         packed, bias, p = shared.value
         weight = np.frombuffer(zlib.decompress(packed), np.float32).astype(np.float64)
-        same = float(weight[xxhash.xxh32_intdigest(_SAME, 1) & (p.buckets - 1)])
-        cache: dict[bytes, tuple[float, int]] = {}
-
-        def f(text):
-            words = text.encode("utf-8", "surrogatepass").split() if text else []
-            total, n, last = 0.0, 0, None
-            for w in words:
-                c = cache.get(w)
-                if c is None:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    ids = word_features(w, p)
-                    c = cache[w] = (float(weight[ids].sum()), len(ids))
-                total += c[0]
-                n += c[1]
-                if w == last:
-                    total += same
-                    n += 1
-                last = w
-            z = bias + (total / n if n else 0.0)
+        same = float(weight[_same_bucket(p)])
+        total: dict[bytes, float] = {}  # of a word's features, and how many it has
+        many: dict[bytes, int] = {}
+
+        def learn(new):
+            for i in range(0, len(new), _GROUP):
+                sums, counts = word_sums(new[i:i + _GROUP], weight, p)
+                total.update(zip(new[i:i + _GROUP], sums.tolist(), strict=True))
+                many.update(zip(new[i:i + _GROUP], counts.tolist(), strict=True))
+
+        def rate(words):
+            twins = sum(map(eq, words, words[1:]))
+            n = sum(map(many.__getitem__, words)) + twins
+            z = bias + ((sum(map(total.__getitem__, words)) + same * twins) / n if n else 0.0)
             return 1 / (1 + np.exp(-z)) if z > -700 else 0.0
+
+        def f(texts):
+            out = []
+            for i in range(0, len(texts), _TEXTS):
+                group = [_words(t) for t in texts[i:i + _TEXTS]]
+                words = set().union(*group)
+                new = [w for w in words if w not in total]
+                if len(total) + len(new) > CACHE_WORDS:
+                    total.clear()
+                    many.clear()
+                    new = list(words)
+                learn(new)
+                out += map(rate, group)
+            return out
         return f
 
-    return docs.withColumn(column, column_udf(scorer, "double")(F.col("text")))
+    return docs.withColumn(column, batch_udf(scorer, "double")(F.col("text")))
 
 
 def predict(docs: DataFrame, labels: DataFrame, params: Params = Params(), threshold: float = THRESHOLD) -> DataFrame:
