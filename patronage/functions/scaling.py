@@ -5,6 +5,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def nan_to_null(df: DataFrame, cols) -> DataFrame:
+    """NaN counts as missing: null in the float and double columns among ``cols``."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(kinds[c])) for c in cols
+                           if kinds.get(c) in ("double", "float")})
+
+
 def column_stats(df: DataFrame, cols, ddof: int = 1) -> DataFrame:
     """One-row frame of mean and standard deviation for each column."""
     std = F.stddev_samp if ddof == 1 else F.stddev_pop
@@ -15,14 +22,10 @@ def column_stats(df: DataFrame, cols, ddof: int = 1) -> DataFrame:
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame to every row of ``df``.
-
-    An equi-join on a constant key against a broadcast single row: no shuffle
-    of ``df`` and no pairs beyond one per row.
+    """Attach the columns of a one-row frame (an aggregate without keys) to
+    every row of ``df``: one broadcast row, one output row per row of ``df``.
     """
-    left = df.withColumn("__one", F.lit(1))
-    right = one_row.withColumn("__one", F.lit(1))
-    return left.join(F.broadcast(right), "__one").drop("__one")
+    return df.crossJoin(F.broadcast(one_row))
 
 
 def zscore(df: DataFrame, cols, ddof: int = 1, keep=()) -> DataFrame:
@@ -32,6 +35,7 @@ def zscore(df: DataFrame, cols, ddof: int = 1, keep=()) -> DataFrame:
     population deviation of a standard scaler. A constant column (std 0)
     is divided by 1, as scalers do.
     """
+    df = nan_to_null(df, cols)
     stats = column_stats(df, cols, ddof)
     joined = attach_row(df, stats)
     out = [F.col(k) for k in keep]

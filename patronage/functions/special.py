@@ -73,7 +73,7 @@ def np_lgamma(z: np.ndarray) -> np.ndarray:
 
 
 def hyp2f1_series(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray,
-                  tol: float = 1e-15, max_terms: int = 100_000) -> np.ndarray:
+                  tol: float = 1e-15, max_terms: int = 20_000_000) -> np.ndarray:
     """Vectorised power series of 2F1(a, b; c; z) for 0 <= z < 1.
 
     Each lane stops once its term is below ``tol`` relative to its sum.
@@ -91,6 +91,8 @@ def hyp2f1_series(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray,
         done = np.abs(term[idx]) <= tol * np.abs(total[idx])
         active[idx[done]] = False
         n += 1
+    if active.any():
+        raise ArithmeticError("2F1 series did not converge; its last argument is too close to 1")
     return total
 
 

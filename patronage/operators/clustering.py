@@ -62,80 +62,64 @@ def kmeans_labels(df: DataFrame, cols, k: int = 4, n_init: int = 10, seed: int =
     return relabel(model.transform(vec), model), cost
 
 
+def _centroids(labelled: DataFrame, cols, label: str) -> DataFrame:
+    """Per cluster: size, centroid and mean squared norm; one grouped aggregate."""
+    norm2 = sum(F.col(c) ** 2 for c in cols)
+    return labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n_k"), F.avg(norm2).alias("q_k"),
+                                       *[F.avg(c).alias(f"{c}__c") for c in cols])
+
+
 def quality_indices(labelled: DataFrame, cols, label: str = "cluster") -> DataFrame:
-    """Calinski-Harabasz, Davies-Bouldin and inertia (M4b-M4d) on the
-    given (already scaled) columns; one row. Only centroid-level rows
-    (k of them) are paired, never data rows."""
-    cent = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n_k"), *[F.avg(c).alias(f"{c}__c") for c in cols])
-    glob = labelled.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"{c}__g") for c in cols])
-    j = labelled.join(F.broadcast(cent), label)
+    """Calinski-Harabasz, Davies-Bouldin and inertia (M4b-M4d) on the given
+    (already scaled) columns; one row. Calinski-Harabasz and inertia come
+    from the sums of each cluster; the mean distances that Davies-Bouldin
+    needs take one more pass. Only cluster rows are paired, never data rows.
+    An undefined index (one cluster, equal centroids) is null."""
+    cent = (_centroids(labelled, cols, label))
+    per = labelled.join(cent.select(label, *[f"{c}__c" for c in cols]), label)
     dist2 = sum((F.col(c) - F.col(f"{c}__c")) ** 2 for c in cols)
-    per = j.groupBy(label).agg(F.sum(dist2).alias("w_k"), F.avg(F.sqrt(dist2)).alias("s_k"))
-    cent = cent.join(per, label)
-    cg = attach_row(cent, glob)
-    b_k = F.col("n_k") * sum((F.col(f"{c}__c") - F.col(f"{c}__g")) ** 2 for c in cols)
-    a = cent.select(F.col(label).alias("la"), "s_k", *[F.col(f"{c}__c").alias(f"{c}__a") for c in cols])
-    bb = cent.select(F.col(label).alias("lb"), F.col("s_k").alias("s_j"), *[F.col(f"{c}__c").alias(f"{c}__b") for c in cols])
-    # k x k centroid pairs (k is the number of clusters, not data rows)
-    pairs = a.join(F.broadcast(bb), F.col("la") != F.col("lb"))
+    per = per.groupBy(label).agg(F.sum(dist2).alias("w_k"), F.avg(F.sqrt(dist2)).alias("s_k"))
+    rows = (cent.join(per, label))
+    total = rows.agg(F.sum("n_k").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("w_k").alias("W"),
+                     *[(F.sum(F.col("n_k") * F.col(f"{c}__c")) / F.sum("n_k")).alias(f"{c}__g") for c in cols])
+    between = attach_row(rows, total).agg(
+        F.sum(F.col("n_k") * sum((F.col(f"{c}__c") - F.col(f"{c}__g")) ** 2 for c in cols)).alias("B"),
+        F.first("W").alias("W"), F.first("k").alias("k"), F.first("n").alias("n"))
+    ch = between.select(F.try_divide(F.try_divide(F.col("B"), F.col("k") - 1),
+                                     F.try_divide(F.col("W"), F.col("n") - F.col("k"))).alias("calinski_harabasz"),
+                        F.col("W").alias("inertia"))
+    a = rows.select(F.col(label).alias("la"), "s_k", *[F.col(f"{c}__c").alias(f"{c}__a") for c in cols])
+    b = rows.select(F.col(label).alias("lb"), F.col("s_k").alias("s_j"), *[F.col(f"{c}__c").alias(f"{c}__b") for c in cols])
+    pairs = a.join(b, F.col("la") != F.col("lb"))  # clusters with clusters
     dij = F.sqrt(sum((F.col(f"{c}__a") - F.col(f"{c}__b")) ** 2 for c in cols))
-    db = (pairs.groupBy("la").agg(F.max((F.col("s_k") + F.col("s_j")) / dij).alias("r"))
+    db = (pairs.groupBy("la").agg(F.max(F.try_divide(F.col("s_k") + F.col("s_j"), dij)).alias("r"))
           .agg(F.avg("r").alias("davies_bouldin")))
-    ch = cg.agg(F.sum(b_k).alias("B"), F.sum("w_k").alias("W"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
-    ch = ch.select(((F.col("B") / (F.col("k") - 1)) / (F.col("W") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"),
-                   F.col("W").alias("inertia"))
     return attach_row(ch, db)
 
 
-def silhouette(labelled: DataFrame, cols, label: str = "cluster", cap: int = 2000, seed: int = 7) -> DataFrame:
-    """Mean Euclidean silhouette (M4a), one row.
+def silhouette(labelled: DataFrame, cols, label: str = "cluster") -> DataFrame:
+    """Mean silhouette under squared Euclidean distance (M4a), one row.
 
-    Each point is compared with a reference set per cluster: the whole
-    cluster when it has at most ``cap`` points (then the value is exact),
-    otherwise a hash-drawn subset of about ``cap`` points. The reference set
-    (at most k x cap points) is broadcast to the tasks; no pairs of data
-    rows are formed.
+    The mean squared distance of a point to a cluster follows from the
+    cluster's size, centroid and mean squared norm, so every point is
+    compared with every cluster's summary and with no other point: exact and
+    linear at every size. It differs from the Euclidean silhouette, which
+    needs all pairs. A cluster of one point counts 0, one cluster gives null.
     """
-    sizes = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    u = F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
-    frac = F.create_map(*[v for lab, n in sizes.items() for v in (F.lit(lab), F.lit(min(1.0, cap / n)))])
-    ref = labelled.where(u < frac[F.col(label)]).select(label, *cols).toPandas()
-    labels = sorted(sizes)
-    ref_pts = {lab: ref.loc[ref[label] == lab, list(cols)].to_numpy(float) for lab in labels}
-    exact = {lab: sizes[lab] <= cap for lab in labels}
-
-    pos = {lab: j for j, lab in enumerate(labels)}
-    size_arr = np.array([sizes[lab] for lab in labels])
-
-    def run(batches):
-        for pdf in batches:
-            x_all = pdf[list(cols)].to_numpy(float)
-            own_all = np.array([pos[v] for v in pdf[label].to_numpy()], dtype=int)
-            out = np.zeros(len(pdf))
-            for lo in range(0, len(pdf), 256):  # bounded memory: 256 x cap x d
-                x, own = x_all[lo:lo + 256], own_all[lo:lo + 256]
-                means = np.full((len(x), len(labels)), np.inf)
-                for j, lab in enumerate(labels):
-                    pts = ref_pts[lab]
-                    if len(pts) == 0:
-                        continue
-                    d = np.sqrt(((x[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2)).sum(axis=1)
-                    denom = np.where((own == j) & exact[lab], max(len(pts) - 1, 1), len(pts))
-                    means[:, j] = d / denom
-                rows = np.arange(len(x))
-                a = means[rows, own]
-                other = means.copy()
-                other[rows, own] = np.inf
-                b = other.min(axis=1)
-                b = np.where(np.isinf(b), 0.0, b)
-                m = np.maximum(a, b)
-                sv = np.where(m > 0, (b - a) / np.where(m > 0, m, 1.0), 0.0)
-                sv = np.where(size_arr[own] <= 1, 0.0, sv)
-                out[lo:lo + 256] = sv
-            yield pd.DataFrame({"s": out})
-
-    schema = StructType([StructField("s", DoubleType())])
-    return labelled.select(label, *cols).mapInPandas(run, schema).agg(F.avg("s").alias("silhouette"))
+    cent = _centroids(labelled, cols, label).select(
+        F.struct(F.col(label).alias("l"), "n_k", "q_k", *[F.col(f"{c}__c").alias(f"c{i}") for i, c in enumerate(cols)]).alias("k"))
+    every = cent.agg(F.collect_list("k").alias("ks"))  # one row a cluster
+    norm2 = sum(F.col(c) ** 2 for c in cols)
+
+    def mean2(k):
+        return F.greatest(F.lit(0.0), norm2 + k["q_k"] - 2 * sum(F.col(c) * k[f"c{i}"] for i, c in enumerate(cols)))
+
+    x = attach_row(labelled.select(F.col(label).alias("__l"), *cols), every)
+    own = F.filter("ks", lambda k: k["l"] == F.col("__l"))[0]
+    a = mean2(own) * F.try_divide(own["n_k"], own["n_k"] - 1)  # without the point itself
+    b = F.array_min(F.transform(F.filter("ks", lambda k: k["l"] != F.col("__l")), mean2))
+    s = F.when(b.isNull(), None).when(own["n_k"] == 1, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+    return x.select(s.alias("s")).agg(F.avg("s").alias("silhouette"))
 
 
 def scaled_labelled(vec_labelled: DataFrame, cols) -> DataFrame:

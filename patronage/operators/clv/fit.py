@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 STEPS = (2.0, 1.0, 0.5, 0.25, 0.1, 0.02)  # one pass tries all; 2.0 helps along flat ridges
-MAX_CANDIDATES = 200_000  # broadcast bound of the candidate table
-DIRECT_PARTIALS = 100_000  # above this many partial rows, Spark adds them up
+MAX_CANDIDATES = 200_000  # of one job, whose closure carries them; more take several jobs
 
 
 @dataclass
@@ -77,7 +76,10 @@ def _evaluate(data: DataFrame, kernel, data_cols, names, cands):
     of partial sums per candidate; Spark adds the partials up by candidate.
     """
     if len(cands) > MAX_CANDIDATES:
-        raise ValueError("too many candidate parameter sets for one broadcast")
+        out: dict = {}
+        for i in range(0, len(cands), MAX_CANDIDATES):
+            out |= _evaluate(data, kernel, data_cols, names, cands[i:i + MAX_CANDIDATES])
+        return out
     d = len(names)
     by_rep: dict = {}
     for cid, rep, th in cands:
@@ -113,18 +115,8 @@ def _evaluate(data: DataFrame, kernel, data_cols, names, cands):
             yield frame
 
     partial = data.select("replicate", "w", *data_cols).mapInPandas(run, schema)
-    n_partial = data.rdd.getNumPartitions() * len(cands)
-    if n_partial <= DIRECT_PARTIALS:
-        # few partials (partitions x candidates): add them on the driver and
-        # save the shuffle stage of every pass
-        sums: dict = {}
-        for row in partial.collect():
-            v = np.array([row[c] for c in out_cols], dtype=float)
-            k = int(row["__cid"])
-            sums[k] = sums[k] + v if k in sums else v
-        rows = [dict(zip(["__cid"] + out_cols, [k, *v])) for k, v in sums.items()]
-    else:
-        rows = [r.asDict() for r in partial.groupBy("__cid").agg(*[F.sum(c).alias(c) for c in out_cols]).collect()]
+    # one partial row for each partition and candidate, added in Spark: one row a candidate comes back
+    rows = [r.asDict() for r in partial.groupBy("__cid").agg(*[F.sum(c).alias(c) for c in out_cols]).collect()]
     out = {}
     for row in rows:
         grad = np.array([row[f"g{i}"] for i in range(d)], dtype=float)

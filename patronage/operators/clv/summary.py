@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.dates import as_timestamp, literal_like, whole_days
-from ...functions.scaling import attach_row
+from ...functions.scaling import attach_row, nan_to_null
 from ...functions.validation import require_columns
 
 
@@ -18,6 +18,7 @@ def clv_summary(txn: DataFrame, customer_col: str = "customer_id", date_col: str
     scalar aggregate). A single grouped aggregation with map-side combine.
     """
     require_columns(txn, [customer_col, date_col, value_col], "clv_summary")
+    txn = nan_to_null(txn, [value_col])
     ts = as_timestamp(txn, date_col)
     agg = (txn.where(F.col(customer_col).isNotNull())
            .groupBy(customer_col)

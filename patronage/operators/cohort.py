@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_timestamp, check_period, period_diff, period_start
+from ..functions.scaling import nan_to_null
 from ..functions.validation import require_columns
 
 
@@ -27,6 +28,7 @@ def cohort_report(txn: DataFrame, customer_col: str = "customer_id", date_col: s
     """
     check_period(period)
     require_columns(txn, [customer_col, date_col, value_col], "cohort_report")
+    txn = nan_to_null(txn, [value_col])
     per = (
         txn.where(F.col(customer_col).isNotNull())
         .groupBy(F.col(customer_col).alias("__cust"),

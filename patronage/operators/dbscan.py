@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .features import impute_median
 from .rank import global_rank
 
 
@@ -99,8 +100,12 @@ def _log(msg, t0):
 
 def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: str = "customer_id",
            chunk: int = 2048, max_rounds: int = 200) -> DataFrame:
-    """(id, cluster) for every row; noise is -1."""
+    """(id, cluster) for every row; noise is -1. Missing values are filled
+    with the column median first; a column without any value raises."""
     spark = df.sparkSession
+    df = impute_median(df.select(id_col, *xs), list(xs))
+    if df.where(" OR ".join(f"`{x}` IS NULL" for x in xs)).limit(1).count():
+        raise ValueError("a feature column has no values")
     ensure_checkpoint_dir(spark)
     d = len(xs)
     eps2 = float(eps) * float(eps) * (1 + 1e-12)

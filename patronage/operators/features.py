@@ -1,14 +1,17 @@
 """Customer feature tables and preparation."""
 from __future__ import annotations
 
-from pyspark.ml.feature import Imputer, VectorAssembler
+import math
+
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.scaling import attach_row
+from ..functions.scaling import attach_row, nan_to_null
 from ..functions.validation import require_columns
 from ..sources import tables as src
+from .order_stats import quantiles, select_ranks
 from .rfm import rfm_from_transactions
 
 
@@ -34,17 +37,14 @@ def numeric_features(df: DataFrame, target: str | None = None, exclude=()) -> li
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in skip]
 
 
-def impute_median(df: DataFrame, cols, relative_error: float = 1e-4) -> DataFrame:
-    """Fill missing values with the column median (Spark's Imputer; the
-    median is a quantile sketch with the given relative error)."""
+def impute_median(df: DataFrame, cols) -> DataFrame:
+    """Fill missing values (null or NaN) with the exact column median; a
+    column without values stays missing."""
     if not cols:
         return df
-    tmp = [f"__imp_{c}" for c in cols]
-    casted = df.select("*", *[F.col(c).cast("double").alias(t) for c, t in zip(cols, tmp)])
-    model = Imputer(strategy="median", inputCols=tmp, outputCols=tmp, relativeError=relative_error).fit(casted)
-    out = model.transform(casted)
-    renamed = {c: t for c, t in zip(cols, tmp)}
-    return out.select(*[F.col(renamed[c]).alias(c) if c in renamed else F.col(c) for c in df.columns])
+    casted = nan_to_null(df.withColumns({c: F.col(c).cast("double") for c in cols}), cols)
+    medians = {c: q[0] for c, q in quantiles(casted, list(cols), [0.5]).items()}
+    return casted.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items() if m is not None})
 
 
 def standardize(df: DataFrame, cols, ddof: int = 0, stats: DataFrame | None = None):
@@ -75,43 +75,67 @@ def prepare(df: DataFrame, cols, out: str = "features"):
     return assemble(scaled, cols, out), stats
 
 
+def hash_unit(*parts):
+    """A number in [0, 1) from the md5 of the parts: stable under repartitioning
+    and re-execution, and the same in any engine with md5."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _class_ranks(df: DataFrame, u, stratify: str | None, ranks) -> tuple[dict, dict]:
+    """Class sizes, and per class the value of ``u`` at each rank of ``ranks(class, sizes)``."""
+    cls = F.col(stratify) if stratify else F.lit(0)
+    keyed = df.select(cls.alias("c"), u.alias("u"))
+    sizes = {r["c"]: r["n"] for r in keyed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a class
+    requests = {(c, r): (F.col("c").eqNullSafe(F.lit(c)), "u", r) for c in sizes for r in ranks(c, sizes) if r >= 0}
+    return sizes, {k: v[0] for k, v in select_ranks(keyed, requests).items() if v is not None}
+
+
 def split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: int = 42, exact: bool = False,
           stratify: str | None = None) -> DataFrame:
-    """Add ``is_test`` from a hash of (id, seed) (M9): deterministic, stable
-    under repartitioning and re-execution, and stratified in expectation
-    because the draw is independent of the label.
-
-    ``exact=True`` cuts at exact ranks instead: ceil(test_size * n) test rows
-    (as sklearn), and with ``stratify`` each class gets its share of them
-    (floors first, the remainder to the largest fractions). The ranks come
-    from one range-sorted global rank over (class, hash, id); only the class
-    counts reach the driver.
+    """Add ``is_test`` from a hash of (id, seed) (M9): deterministic, and
+    stratified in expectation because the draw is independent of the label.
+
+    ``exact=True`` takes ceil(test_size * n) test rows, and with ``stratify``
+    each class gets its share of them (floors first, the remainder to the
+    largest fractions): the rows with the smallest hashes of the class. Only
+    the hash at the quota is looked for (counting passes, no sort); rows of
+    equal hash fall on the same side.
     """
-    u = F.xxhash64(F.col(id_col), F.lit(int(seed))).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
+    u = hash_unit(F.col(id_col), F.lit(int(seed)))
     if not exact:
         return df.withColumn("is_test", u < F.lit(float(test_size)))
-    import math
-
-    from .rank import global_rank
-    cls = F.col(stratify) if stratify else F.lit(0)
-    keyed = df.withColumn("__cls", cls).withColumn("__u", u)
-    counts = {r["__cls"]: r["n"] for r in keyed.groupBy("__cls").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(counts.values())
-    n_test = math.ceil(test_size * n)
-    keys = sorted(counts, key=lambda v: (v is None, v))
-    quota = {c: (n_test * counts[c]) // n for c in keys}
-    rest = n_test - sum(quota.values())
-    for c in sorted(keys, key=lambda c: (-((n_test * counts[c]) % n), keys.index(c)))[:rest]:
-        quota[c] += 1
-    offsets, acc = {}, 0
-    for c in keys:
-        offsets[c] = acc
-        acc += counts[c]
-    table = df.sparkSession.createDataFrame([(i, offsets[c], quota[c]) for i, c in enumerate(keys)],
-                                            "__ci int, __off long, __q long")
-    idx = F.create_map(*[v for i, c in enumerate(keys) for v in (F.lit(c), F.lit(i))]) if stratify else F.lit(0)
-    ranked = global_rank(keyed.withColumn("__ci", idx[F.col("__cls")] if stratify else idx),
-                         [F.col("__ci"), F.col("__u"), F.col(id_col)], "__rn")
-    return (ranked.join(F.broadcast(table), "__ci")
-            .withColumn("is_test", F.col("__rn") - F.col("__off") <= F.col("__q"))
-            .drop("__cls", "__u", "__ci", "__rn", "__off", "__q"))
+    quota: dict = {}
+
+    def ranks(c, sizes):
+        if not quota:
+            n = sum(sizes.values())
+            n_test = math.ceil(test_size * n)
+            keys = sorted(sizes, key=lambda v: (v is not None, v))
+            quota.update({k: (n_test * sizes[k]) // n for k in keys})
+            rest = n_test - sum(quota.values())
+            for k in sorted(keys, key=lambda k: (-((n_test * sizes[k]) % n), keys.index(k)))[:rest]:
+                quota[k] += 1
+        return [quota[c] - 1]
+
+    sizes, last = _class_ranks(df, u, stratify, ranks)
+    test = F.lit(False)
+    for (c, _), value in last.items():
+        own = F.col(stratify).eqNullSafe(F.lit(c)) if stratify else F.lit(True)
+        test = test | (own & (u <= F.lit(value)))
+    return df.withColumn("is_test", test)
+
+
+def folds(df: DataFrame, id_col: str, cv: int = 5, seed: int = 43, stratify: str | None = None) -> DataFrame:
+    """Add ``fold`` 0 .. cv - 1 (M14, M22): the rows of each class in hash
+    order, cut into cv parts whose sizes differ by one at most."""
+    u = hash_unit(F.col(id_col), F.lit(int(seed)))
+    sizes, edge = _class_ranks(df, u, stratify, lambda c, n: [n[c] * k // cv - 1 for k in range(1, cv)])
+    fold = F.lit(0)
+    for c, n in sizes.items():
+        own = F.col(stratify).eqNullSafe(F.lit(c)) if stratify else F.lit(True)
+        for k in range(1, cv):
+            value = edge.get((c, n * k // cv - 1))
+            after = own if value is None else own & (u > F.lit(value))
+            fold = fold + F.when(after, 1).otherwise(0)
+    return df.withColumn("fold", fold)

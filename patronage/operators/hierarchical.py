@@ -1,22 +1,22 @@
 """Agglomerative clustering (M6): ward, complete, average, single.
 
-The O(n^2) original is re-aimed: the data are summarised as at most
-``max_micro`` weighted micro-clusters -- every distinct point when there are
-no more than that (then the result is exact), else Spark K-means centres
-with their sizes -- and the merge tree of those summaries is built with the
-nearest-neighbour-chain algorithm and Lance-Williams updates. Ward on
-weighted centres is exact for the merge criterion; complete, average and
-single linkage on centres are approximations above ``max_micro``. Labels go
-back to the rows through a broadcast map of at most ``max_micro`` rows.
+The O(n^2) original is re-aimed: Spark K-means summarises the distinct points
+as ``max_micro`` weighted micro-clusters and the merge tree of those summaries
+is built in one task (a group of at most ``max_micro`` rows) with the
+nearest-neighbour-chain algorithm and Lance-Williams updates. Ward on weighted
+centres is exact for the merge criterion; complete, average and single linkage
+on centres are approximations.
 """
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+
+from .features import impute_median
 
 LINKAGES = ("ward", "complete", "average", "single")
 
@@ -96,42 +96,37 @@ def cut(merges, m: int, n_clusters: int) -> np.ndarray:
 
 
 def hierarchical(df: DataFrame, xs, n_clusters: int = 4, linkage: str = "ward", id_col: str = "customer_id",
-                 max_micro: int = 2000, seed: int = 42) -> DataFrame:
-    """(id, cluster, exact) per row; clusters numbered by size, largest first."""
-    spark = df.sparkSession
-    pts = df.select(id_col, *[F.col(x).cast("double").alias(x) for x in xs])
-    distinct = pts.groupBy(*xs).agg(F.count(F.lit(1)).alias("__w"))
-    n_distinct = distinct.limit(max_micro + 1).count()
-    exact = n_distinct <= max_micro
-    if exact:
-        summ = distinct.collect()  # at most max_micro rows
-        centres = np.array([[r[x] for x in xs] for r in summ], dtype=float)
-        weights = np.array([r["__w"] for r in summ], dtype=float)
-        ids = list(range(len(centres)))
-        key = pts.join(F.broadcast(spark.createDataFrame(
-            [(i, *[float(v) for v in c]) for i, c in enumerate(centres)],
-            StructType([StructField("__micro", LongType())] + [f for f in distinct.select(*xs).schema.fields]))), xs)
-    else:
-        vec = VectorAssembler(inputCols=list(xs), outputCol="__v").transform(pts).persist()
-        # micro-clusters only need to be small cells: random initialisation
-        # (k-means|| ends in a driver-side k-means++ over k x steps candidates)
-        km = KMeans(k=max_micro, seed=seed, featuresCol="__v", predictionCol="__micro", maxIter=20,
-                    initMode="random").fit(vec)
-        key = km.transform(vec).withColumn("__micro", F.col("__micro").cast("long"))
-        sizes = {r["__micro"]: r["n"] for r in key.groupBy("__micro").agg(F.count(F.lit(1)).alias("n")).collect()}
-        ids = sorted(sizes)  # non-empty micro-clusters
-        all_centres = km.clusterCenters()  # one transfer of the k centres
-        centres = np.array([all_centres[i] for i in ids], dtype=float)
-        weights = np.array([sizes[i] for i in ids], dtype=float)
-    if len(centres) < n_clusters:
-        raise ValueError("fewer distinct points than clusters")
-    roots = cut(merge_tree(centres, weights, linkage), len(centres), n_clusters)
-    tot = {}
-    for i, r in enumerate(roots):
-        tot[r] = tot.get(r, 0) + weights[i]
-    order = sorted(tot, key=lambda r: (-tot[r], r))
-    lab = {r: i for i, r in enumerate(order)}
-    # summary position -> micro id (the K-means index, or the distinct-point index)
-    mapping = spark.createDataFrame([(int(ids[i]), int(lab[r])) for i, r in enumerate(roots)],
-                                    "__micro long, cluster long")
-    return key.join(F.broadcast(mapping), "__micro").select(id_col, "cluster", F.lit(exact).alias("exact"))
+                 max_micro: int = 1000, seed: int = 42, max_iter: int = 20) -> DataFrame:
+    """(id, cluster) per row; clusters numbered by size, largest first.
+
+    One method at every size: Spark K-means summarises the distinct points,
+    weighted by their counts, in ``max_micro`` centres, and one task merges
+    those weighted centres. With at most ``max_micro`` distinct points every
+    point is its own centre, so the result is that of plain agglomeration.
+    Missing values are filled with the column median first.
+    """
+    pts = impute_median(df.select(id_col, *xs), list(xs))
+    distinct = pts.groupBy(*xs).agg(F.count(F.lit(1)).cast("double").alias("__w"))
+    vec = VectorAssembler(inputCols=list(xs), outputCol="__v").transform(distinct)
+    # random initialisation takes every distinct point when there are no more than max_micro
+    km = KMeans(k=max_micro, seed=seed, featuresCol="__v", weightCol="__w", predictionCol="__m", maxIter=max_iter,
+                initMode="random").fit(vec)
+    key = km.transform(vec).select(*xs, "__w", F.col("__m").cast("long").alias("__m"))
+    d = range(len(xs))
+    sums = key.groupBy("__m").agg(F.sum("__w").alias("w"), *[(F.sum(F.col(x) * F.col("__w")) / F.sum("__w")).alias(f"c{i}")
+                                                          for i, x in enumerate(xs)])
+
+    def merge(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([f"c{i}" for i in d]).reset_index(drop=True)
+        if len(g) < n_clusters:
+            raise ValueError("fewer distinct points than clusters")
+        w = g["w"].to_numpy(float)
+        roots = cut(merge_tree(g[[f"c{i}" for i in d]].to_numpy(float), w, linkage), len(g), n_clusters)
+        total = pd.Series(w).groupby(roots).sum()
+        order = sorted(total.index, key=lambda r: (-total[r], r))
+        return pd.DataFrame({"__m": g["__m"], "cluster": [order.index(r) for r in roots]})
+
+    # at most max_micro rows meet in the one group
+    named = sums.groupBy(F.lit("")).applyInPandas(merge, "__m long, cluster long")
+    labels = key.join(named, "__m").select(*xs, "cluster")
+    return pts.join(labels, list(xs)).select(id_col, "cluster")

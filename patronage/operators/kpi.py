@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scaling import attach_row
+from ..functions.scaling import attach_row, nan_to_null
+from .order_stats import quantiles
 
 
 def heuristic_ltv(monetary="monetary", frequency="frequency", recency="recency"):
@@ -42,17 +43,15 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
                     "count"))
 
 
-def distribution(df: DataFrame, col: str, approx: bool = False, accuracy: int = 100_000) -> DataFrame:
+def distribution(df: DataFrame, col: str) -> DataFrame:
     """mean, median, population std, min, max, q25, q75, q90 with linear
-    interpolation (A14). ``percentile`` is exact (it keeps the distinct
-    values); ``approx=True`` uses the ``percentile_approx`` sketch with the
-    given accuracy, bounded in memory at any size."""
-    qs = [0.25, 0.5, 0.75, 0.9]
-    q = F.percentile_approx(col, qs, accuracy) if approx else F.percentile(col, qs)
+    interpolation (A14); the quantiles are exact and found by counting passes."""
+    df = nan_to_null(df.select(F.col(col).cast("double").alias(col)), [col])
+    q = quantiles(df, [col], [0.25, 0.5, 0.75, 0.9])[col]
+    lit = [F.lit(x).cast("double") for x in q]
     return df.agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), F.min(col).alias("min"),
-                  F.max(col).alias("max"), q.alias("__q")).select(
-        "mean", F.col("__q")[1].alias("median"), "std", "min", "max",
-        F.col("__q")[0].alias("q25"), F.col("__q")[2].alias("q75"), F.col("__q")[3].alias("q90"))
+                  F.max(col).alias("max")).select(
+        "mean", lit[1].alias("median"), "std", "min", "max", lit[0].alias("q25"), lit[2].alias("q75"), lit[3].alias("q90"))
 
 
 def segment_share(segments: DataFrame, value: str = "monetary") -> DataFrame:

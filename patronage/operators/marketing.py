@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .features import hash_unit
+
 # The reference's strategy texts per segment, in its order
 # (description, characteristics, strategies, channels, budget priority,
 # expected ROI). Results must reproduce these strings exactly.
@@ -218,9 +220,9 @@ def ab_assignment(customers: DataFrame, test_type: str = "discount", segment: st
     if test_type not in AB_TEST_TEMPLATES:
         raise ValueError(f"unknown test type: {test_type}")
     df = customers if segment is None else customers.where(F.col("segment") == segment)
-    h = F.xxhash64(F.col(id_col), F.lit(test_type), F.lit(int(seed)))
+    h = hash_unit(F.col(id_col), F.lit(test_type), F.lit(int(seed)))
     return df.select(id_col, "segment", F.lit(test_type).alias("test_type"),
-                     F.when(F.pmod(h, F.lit(2)) == 0, "A").otherwise("B").alias("variant"))
+                     F.when(h < 0.5, "A").otherwise("B").alias("variant"))
 
 
 def rule_recommendation(recency="recency", frequency="frequency", monetary="monetary"):

@@ -13,12 +13,13 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
     """RMSE, MAE, R^2 (per ``group`` when given) in one aggregate."""
     err = F.col(label) - F.col(prediction)
     aggs = [F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
-            (1 - F.sum(err * err) / F.sum((F.col(label) - F.col("__ybar")) ** 2)).alias("r2")]
+            # null for a constant label
+            (1 - F.try_divide(F.sum(err * err), F.sum((F.col(label) - F.col("__ybar")) ** 2))).alias("r2")]
     ybar = pred.groupBy(*([group] if group else [])).agg(F.avg(label).alias("__ybar"))
     if group:
         j = pred.join(F.broadcast(ybar), group)
     else:
-        j = pred.withColumn("__one", F.lit(1)).join(F.broadcast(ybar.withColumn("__one", F.lit(1))), "__one")
+        j = attach_row(pred, ybar)
     return j.groupBy(*([group] if group else [])).agg(*aggs)
 
 
@@ -46,8 +47,9 @@ def auc_frame(pred: DataFrame, label: str = "label", score: str = "score", group
                F.sum(1 - F.col(label).cast("long")).alias("neg")))
     by = prefix_sums(by, [F.col("__s")], ["neg"], keys, suffix="_below")
     return by.groupBy(*keys).agg(
-        ((F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))))
-         / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+        # null when one class is absent
+        F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))),
+                     F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -57,10 +59,10 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
     rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
-    m = c.select(((tp + tn) / (tp + fp + tn + fn)).alias("accuracy"), prec.alias("precision"), rec.alias("recall"),
+    m = c.select(F.try_divide(tp + tn, tp + fp + tn + fn).alias("accuracy"), prec.alias("precision"), rec.alias("recall"),
                  F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0).alias("f1"))
     a = auc_frame(pred, label, score)
-    return m.withColumn("__one", F.lit(1)).join(F.broadcast(a.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    return attach_row(m, a)
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -73,12 +75,13 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
                                                                  F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def roc_points(pred: DataFrame, label: str = "label", score: str = "score", decimals: int = 6) -> DataFrame:
-    """ROC and precision-recall points per distinct (binned) score, from the
-    highest threshold down: threshold, fpr, tpr, precision, recall. The
+def roc_points(pred: DataFrame, label: str = "label", score: str = "score", decimals: int | None = None) -> DataFrame:
+    """ROC and precision-recall points per distinct score (``decimals`` merges
+    scores on request), from the highest threshold down: threshold, fpr, tpr, precision, recall. The
     running counts are distributed prefix sums; totals are one-row
     aggregates."""
-    by = (pred.groupBy(F.round(F.col(score), decimals).alias("threshold"))
+    s = F.col(score) if decimals is None else F.round(F.col(score), decimals)
+    by = (pred.groupBy(s.alias("threshold"))
           .agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg")))
     by = prefix_sums(by, [F.col("threshold").desc()], ["pos", "neg"], inclusive=True, suffix="_cum")
     by = attach_row(by.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp"),

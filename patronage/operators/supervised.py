@@ -9,39 +9,43 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .features import assemble, split, standardize
+from ..functions.scaling import nan_to_null
+from .features import assemble, folds, split, standardize
 from .metrics import classification_metrics, regression_metrics
+from .order_stats import quantiles
 
 
 @dataclass
 class Prepared:
     features: list
-    imputer: object
+    medians: dict
     stats: DataFrame
 
     def apply(self, df: DataFrame) -> DataFrame:
-        tmp = self.imputer.transform(df.select("*", *[F.col(c).cast("double").alias(f"__i_{c}") for c in self.features]))
-        tmp = tmp.drop(*self.features).select("*", *[F.col(f"__i_{c}").alias(c) for c in self.features]) \
-            .drop(*[f"__i_{c}" for c in self.features])
-        scaled, _ = standardize(tmp, self.features, 0, self.stats)
+        scaled, _ = standardize(_filled(df, self.features, self.medians), self.features, 0, self.stats)
         return assemble(scaled, self.features)
 
 
+def _filled(df: DataFrame, cols, medians: dict) -> DataFrame:
+    out = nan_to_null(df.withColumns({c: F.col(c).cast("double") for c in cols}), cols)
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items() if m is not None})
+
+
 def fit_preparation(train: DataFrame, features) -> Prepared:
+    """Exact medians and population deviations of the training rows."""
     cols = list(features)
-    tmp = train.select(*[F.col(c).cast("double").alias(f"__i_{c}") for c in cols])
-    imp = Imputer(strategy="median", inputCols=[f"__i_{c}" for c in cols],
-                  outputCols=[f"__i_{c}" for c in cols], relativeError=1e-4).fit(tmp)
-    filled = imp.transform(tmp).select(*[F.col(f"__i_{c}").alias(c) for c in cols])
-    stats = filled.agg(*[F.avg(c).alias(f"{c}__m") for c in cols], *[F.stddev_pop(c).alias(f"{c}__s") for c in cols])
-    return Prepared(cols, imp, stats.persist())
+    typed = nan_to_null(train.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols)
+    medians = {c: q[0] for c, q in quantiles(typed, cols, [0.5]).items()}
+    row = _filled(typed, cols, medians).agg(*[F.avg(c).alias(f"{c}__m") for c in cols],
+                                            *[F.stddev_pop(c).alias(f"{c}__s") for c in cols])
+    stats = row.sparkSession.createDataFrame([tuple(row.first())], row.schema)  # one row
+    return Prepared(cols, medians, stats)
 
 
 @dataclass
@@ -61,18 +65,25 @@ def _weights(model, features) -> dict:
     raise TypeError(f"cannot extract feature weights from {type(model).__name__}")
 
 
+def _depth(max_depth: int) -> int:
+    """Spark's trees end at depth 30; a deeper or unlimited tree is refused, not cut."""
+    if max_depth is None or max_depth > 30:
+        raise ValueError("max_depth must be at most 30")
+    return max_depth
+
+
 # ------------------------------------------------------------ regression --
 
 def regressor(name: str, n_train: int, y_std: float, alpha: float = 1.0, n_estimators: int = 100,
-              max_depth: int | None = None, learning_rate: float = 0.1, seed: int = 42):
-    if name == "linear":
+              max_depth: int = 10, learning_rate: float = 0.1, seed: int = 42):
+    if name == "ridge":
         # ridge on the sklearn scale: regParam = alpha * std_pop(y) / n
         return LinearRegression(regParam=alpha * y_std / max(n_train, 1), elasticNetParam=0.0,
                                 standardization=False, solver="normal")
-    if name == "least_squares":
+    if name in ("linear", "least_squares"):
         return LinearRegression(regParam=0.0, standardization=False, solver="normal")
     if name == "random_forest":
-        return RandomForestRegressor(numTrees=n_estimators, maxDepth=min(max_depth or 10, 30),
+        return RandomForestRegressor(numTrees=n_estimators, maxDepth=_depth(max_depth),
                                      featureSubsetStrategy="all", seed=seed)
     if name == "gradient_boosting":
         return GBTRegressor(maxIter=n_estimators, stepSize=learning_rate, maxDepth=3, seed=seed)
@@ -102,14 +113,14 @@ def predict(tr: Trained, df: DataFrame, keep=("customer_id",), out: str = "predi
 
 # -------------------------------------------------------- classification --
 
-def classifier(name: str, n_train: int, C: float = 1.0, n_estimators: int = 100, max_depth: int | None = None,
+def classifier(name: str, n_train: int, C: float = 1.0, n_estimators: int = 100, max_depth: int = 10,
                learning_rate: float = 0.1, balanced: bool = True, seed: int = 42):
     w = {"weightCol": "w"} if balanced else {}
     if name == "logistic_regression":
         return LogisticRegression(regParam=1.0 / (C * max(n_train, 1)), elasticNetParam=0.0,
                                   standardization=False, maxIter=1000, tol=1e-8, **w)
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=n_estimators, maxDepth=min(max_depth or 10, 30),
+        return RandomForestClassifier(numTrees=n_estimators, maxDepth=_depth(max_depth),
                                       featureSubsetStrategy="sqrt", seed=seed, **w)
     if name == "gradient_boosting":
         return GBTClassifier(maxIter=n_estimators, stepSize=learning_rate, maxDepth=3, seed=seed)
@@ -132,7 +143,8 @@ def with_probability(pred: DataFrame) -> DataFrame:
 def train_classifier(df: DataFrame, features, target: str = "churn", id_col: str = "customer_id",
                      name: str = "logistic_regression", test_size: float = 0.2, seed: int = 42,
                      threshold: float = 0.5, **kw) -> Trained:
-    d = split(df.select(id_col, *features, F.col(target).cast("double").alias("label")), id_col, test_size, seed)
+    d = split(df.select(id_col, *features, F.col(target).cast("double").alias("label")), id_col, test_size, seed,
+              exact=True, stratify="label")
     train = d.where(~F.col("is_test"))
     prep = fit_preparation(train, features)
     vec = balanced_weights(prep.apply(d), "label").persist()
@@ -143,7 +155,7 @@ def train_classifier(df: DataFrame, features, target: str = "churn", id_col: str
     test = test.withColumn("prediction", (F.col("score") >= threshold).cast("double"))
     m = classification_metrics(test).first().asDict()
     vec.unpersist()
-    return Trained(name, model, prep, {k: float(v) for k, v in m.items()}, _weights(model, features))
+    return Trained(name, model, prep, {k: None if v is None else float(v) for k, v in m.items()}, _weights(model, features))
 
 
 def churn_probability(tr: Trained, df: DataFrame, keep=("customer_id",)) -> DataFrame:
@@ -184,23 +196,28 @@ def importance(trained, top_n: int = 10) -> DataFrame:
     absolute linear coefficients."""
     by = {t.name: t for t in trained}
     pick = by.get("random_forest") or by.get("gradient_boosting") or \
-        by.get("linear") or by.get("logistic_regression") or trained[0]
+        by.get("linear") or by.get("ridge") or by.get("logistic_regression") or trained[0]
     w = pick.weights
-    if pick.name in ("linear", "logistic_regression", "least_squares"):
+    if pick.name in ("linear", "ridge", "logistic_regression", "least_squares"):
         w = {k: abs(v) for k, v in w.items()}
     spark = pick.prep.stats.sparkSession
     rows = sorted(w.items(), key=lambda kv: -kv[1])[:top_n]
     return spark.createDataFrame(rows, "feature string, importance double").withColumn("model", F.lit(pick.name))
 
 
+def _number(x) -> float:
+    return float("nan") if x is None else float(x)
+
+
 def cross_validate(df: DataFrame, features, target: str, id_col: str = "customer_id", name: str = "linear",
-                   cv: int = 5, seed: int = 42, kind: str = "regression") -> dict:
-    """K-fold CV from a hash fold column (M14/M22); preparation is refitted
-    on each training part. Returns per-fold scores, means and population
+                   cv: int = 5, seed: int = 42, kind: str = "regression", **kw) -> dict:
+    """K-fold CV (M14/M22), stratified by the label for classification;
+    preparation is refitted on each training part. ``kw`` goes to the model;
+    a score that a fold leaves undefined is NaN and left out of the means. Returns per-fold scores, means and population
     deviations."""
     import numpy as np
-    fold = (F.xxhash64(F.col(id_col), F.lit(seed + 1)).bitwiseAND(F.lit((1 << 62) - 1)) % cv).cast("int")
-    base = df.select(id_col, *features, F.col(target).cast("double").alias("label")).withColumn("fold", fold).persist()
+    base = folds(df.select(id_col, *features, F.col(target).cast("double").alias("label")), id_col, cv, seed + 1,
+                 stratify=None if kind == "regression" else "label").persist()
     first, second = [], []
     for k in range(cv):
         d = base.withColumn("is_test", F.col("fold") == k)
@@ -210,21 +227,21 @@ def cross_validate(df: DataFrame, features, target: str, id_col: str = "customer
         trv = vec.where(~F.col("is_test"))
         if kind == "regression":
             st = trv.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
-            model = regressor(name, st["n"], float(st["s"] or 0.0), seed=seed).fit(trv)
+            model = regressor(name, st["n"], float(st["s"] or 0.0), seed=seed, **kw).fit(trv)
             r = regression_metrics(model.transform(vec.where(F.col("is_test")))).first()
-            first.append(float(r["r2"]))
-            second.append(float(r["mae"]))
+            first.append(_number(r["r2"]))
+            second.append(_number(r["mae"]))
         else:
             trv = balanced_weights(trv, "label")
-            model = classifier(name, trv.count(), seed=seed).fit(trv)
+            model = classifier(name, trv.count(), seed=seed, **kw).fit(trv)
             te = with_probability(model.transform(vec.where(F.col("is_test"))))
             te = te.withColumn("prediction", (F.col("score") >= 0.5).cast("double"))
             r = classification_metrics(te).first()
-            first.append(float(r["roc_auc"]))
-            second.append(float(r["f1"]))
+            first.append(_number(r["roc_auc"]))
+            second.append(_number(r["f1"]))
     base.unpersist()
     a, b = np.array(first), np.array(second)
     if kind == "regression":
-        return {"r2_mean": a.mean(), "r2_std": a.std(), "r2_scores": first, "mae_mean": b.mean(), "mae_std": b.std()}
-    return {"roc_auc_mean": a.mean(), "roc_auc_std": a.std(), "roc_auc_scores": first,
-            "f1_mean": b.mean(), "f1_std": b.std()}
+        return {"r2_mean": np.nanmean(a), "r2_std": np.nanstd(a), "r2_scores": first, "mae_mean": np.nanmean(b), "mae_std": np.nanstd(b)}
+    return {"roc_auc_mean": np.nanmean(a), "roc_auc_std": np.nanstd(a), "roc_auc_scores": first,
+            "f1_mean": np.nanmean(b), "f1_std": np.nanstd(b)}

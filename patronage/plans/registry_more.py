@@ -72,7 +72,16 @@ def q_campaign_plan(spark, sf):
         F.round(F.coalesce("m", F.lit(0.0)), 4).alias("target_monetary"))
 
 
-@register("ab_test_assignment")
+def _unit(*parts) -> str:
+    """SQL of ``features.hash_unit``."""
+    text = " || ':' || ".join(f"{x}::VARCHAR" for x in parts)
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@register("ab_test_assignment", f"""WITH {SEG}
+SELECT customer_id, segment, 'discount' AS test_type,
+       CASE WHEN {_unit('customer_id', "'discount'", 42)} < 0.5 THEN 'A' ELSE 'B' END AS variant
+FROM seg WHERE segment = 'At Risk'""")
 def q_ab_test_assignment(spark, sf):
     return MK.ab_assignment(_txn_segments(spark, sf), "discount", "At Risk", seed=42)
 
@@ -128,23 +137,35 @@ def _labelled(spark, sf):
     return FE.labelled_customers(spark, sf)
 
 
-@register("kpi_overview", f"""WITH {LABELLED_SQL}
+ALL_CUSTOMERS_SQL = f"""t AS ({S.TXN}),
+ac AS (SELECT customer_id, sum(amount) AS monetary, sum(CASE WHEN date >= TIMESTAMP '{src.TXN_LABEL_CUT}' THEN amount ELSE 0 END) AS ltv,
+       CASE WHEN max(date) < TIMESTAMP '{src.TXN_LABEL_CUT}' THEN 1 ELSE 0 END AS churn FROM t GROUP BY customer_id)"""
+ATTRIBUTES_SQL = """ca AS (SELECT c_custkey AS customer_id, r_name AS region, c_mktsegment AS mktsegment FROM customer
+       LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)"""
+
+
+@register("kpi_overview", f"""WITH {ALL_CUSTOMERS_SQL}
 SELECT COUNT(*) AS customers, round(avg(ltv), 4) AS avg_ltv, round(avg(churn) * 100, 6) AS churn_rate_pct,
-       round(avg(monetary), 4) AS avg_monetary FROM lc""")
+       round(avg(monetary), 4) AS avg_monetary FROM ac""")
 def q_kpi_overview(spark, sf):
-    o = kpi.overview(_labelled(spark, sf))
+    """Every customer of the purchase log: spend, spend after the label cut, no purchase after it."""
+    cut = F.lit(src.TXN_LABEL_CUT).cast("timestamp_ntz")
+    every = src.txn(spark, sf).groupBy("customer_id").agg(
+        F.sum("amount").alias("monetary"), F.sum(F.when(F.col("date") >= cut, F.col("amount")).otherwise(0.0)).alias("ltv"),
+        F.when(F.max("date") < cut, 1).otherwise(0).alias("churn"))
+    o = kpi.overview(every)
     return o.select("customers", F.round("avg_ltv", 4).alias("avg_ltv"), r6("churn_rate_pct").alias("churn_rate_pct"),
                     F.round("avg_monetary", 4).alias("avg_monetary"))
 
 
-@register("region_counts", f"WITH {LABELLED_SQL} SELECT region, COUNT(*) AS count FROM lc GROUP BY region")
+@register("region_counts", f"WITH {ATTRIBUTES_SQL} SELECT region, COUNT(*) AS count FROM ca GROUP BY region")
 def q_region_counts(spark, sf):
-    return kpi.value_counts(_labelled(spark, sf), "region")
+    return kpi.value_counts(src.customer_attributes(spark, sf), "region")
 
 
-@register("mktsegment_counts", f"WITH {LABELLED_SQL} SELECT mktsegment, COUNT(*) AS count FROM lc GROUP BY mktsegment")
+@register("mktsegment_counts", f"WITH {ATTRIBUTES_SQL} SELECT mktsegment, COUNT(*) AS count FROM ca GROUP BY mktsegment")
 def q_mktsegment_counts(spark, sf):
-    return kpi.value_counts(_labelled(spark, sf), "mktsegment")
+    return kpi.value_counts(src.customer_attributes(spark, sf), "mktsegment")
 
 
 def _hist_sql(col, bins):
@@ -328,7 +349,7 @@ def q_dbscan_profiles(spark, sf):
 @register("hierarchical_segments")
 def q_hierarchical_segments(spark, sf):
     """Ward agglomerative clustering into 4 groups of population-z-scored
-    R/F/M (exact while there are at most 2,000 distinct points)."""
+    R/F/M, over 1,000 weighted K-means centres at every size."""
     z = zscore(_txn_rfm(spark, sf), CLUSTER_FEATURES, ddof=0, keep=["customer_id"])
     return HC.hierarchical(z, CLUSTER_FEATURES, n_clusters=4, linkage="ward")
 
@@ -339,11 +360,30 @@ EMB_DIM_SQL = "len(embedding)"
 
 def _embedding_columns(spark, sf):
     emb = src.table(spark, sf, "embeddings")
-    d = len(emb.select("embedding").first()[0])
+    low, d = emb.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if low != d:
+        raise ValueError("embeddings differ in length")
     cols = [f"e{i}" for i in range(d)]
     return emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]), cols
 
 
+@register("cluster_silhouette_rule", f"""WITH {SEG},
+st AS (SELECT avg(recency) AS mr, stddev_pop(recency) AS sr, avg(frequency) AS mf, stddev_pop(frequency) AS sf,
+       avg(monetary) AS mm, stddev_pop(monetary) AS sm FROM seg),
+z AS (SELECT customer_id, segment, (recency - mr) / sr AS r, (frequency - mf) / sf AS f, (monetary - mm) / sm AS m FROM seg, st),
+k AS (SELECT segment, COUNT(*) AS n, avg(r * r + f * f + m * m) AS q, avg(r) AS cr, avg(f) AS cf, avg(m) AS cm FROM z GROUP BY segment),
+d AS (SELECT customer_id, z.segment AS own, k.segment AS other, n, r * r + f * f + m * m + q - 2 * (r * cr + f * cf + m * cm) AS d
+      FROM z, k),
+s AS (SELECT customer_id, max(CASE WHEN own = other AND n > 1 THEN d * n / (n - 1) END) AS a,
+             min(CASE WHEN own <> other THEN d END) AS b, max(CASE WHEN own = other THEN n END) AS n FROM d GROUP BY customer_id)
+SELECT round(avg(CASE WHEN n = 1 THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM s""")
+def q_cluster_silhouette_rule(spark, sf):
+    """Squared-Euclidean silhouette of the RFM segments on population-z-scored R/F/M."""
+    seg = _txn_segments(spark, sf)
+    z = zscore(seg, CLUSTER_FEATURES, ddof=0, keep=["customer_id", "segment"])
+    return CL.silhouette(z, CLUSTER_FEATURES, "segment").select(r6("silhouette").alias("silhouette"))
+
+
 @register("embedding_label_indices", """WITH
 e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(generate_series(1, len(embedding))) AS dim
       FROM embeddings),
@@ -393,7 +433,7 @@ MODEL_FEATURES = ["recency", "frequency", "monetary", "acctbal"]
 def q_ltv_model_comparison(spark, sf):
     df = _labelled(spark, sf).persist()
     trained = [SU.train_regression(df, MODEL_FEATURES, "ltv", name=n)
-               for n in ("linear", "random_forest", "gradient_boosting")]
+               for n in ("ridge", "random_forest", "gradient_boosting")]
     df.unpersist()
     return SU.comparison(trained, "regression")
 
@@ -409,7 +449,7 @@ def q_ltv_feature_importance(spark, sf):
 @register("ltv_predictions")
 def q_ltv_predictions(spark, sf):
     df = _labelled(spark, sf).persist()
-    tr = SU.train_regression(df, MODEL_FEATURES, "ltv", name="linear")
+    tr = SU.train_regression(df, MODEL_FEATURES, "ltv", name="ridge")
     return SU.predict(tr, df, keep=("customer_id", "ltv"), out="predicted_ltv")
 
 
@@ -418,7 +458,7 @@ def q_ltv_prediction_distribution(spark, sf):
     """Distribution of predicted LTV (A14: mean, median, population std,
     min, max, q25, q75, q90) from the ridge model."""
     df = _labelled(spark, sf).persist()
-    tr = SU.train_regression(df, MODEL_FEATURES, "ltv", name="linear")
+    tr = SU.train_regression(df, MODEL_FEATURES, "ltv", name="ridge")
     return kpi.distribution(SU.predict(tr, df, out="predicted_ltv"), "predicted_ltv")
 
 
@@ -470,6 +510,65 @@ def q_churn_tree_shapley(spark, sf):
     return EX.shapley_sampling(tr, df, n_permutations=10, background=100, seed=0)
 
 
+@register("train_test_split_stratified", f"""WITH {LABELLED_SQL},
+u AS (SELECT customer_id, churn, {_unit('customer_id', 42)} AS u FROM lc),
+n AS (SELECT churn, COUNT(*) AS n, (SELECT CAST(ceil(0.2 * COUNT(*)) AS BIGINT) FROM lc) AS t, (SELECT COUNT(*) FROM lc) AS a
+      FROM lc GROUP BY churn),
+q AS (SELECT churn, t * n // a + CASE WHEN row_number() OVER (ORDER BY (t * n) % a DESC, churn) <= t - sum(t * n // a) OVER ()
+      THEN 1 ELSE 0 END AS quota FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY u) AS r FROM u)
+SELECT customer_id, churn, r <= quota AS is_test FROM r JOIN q USING (churn)""")
+def q_train_test_split_stratified(spark, sf):
+    return FE.split(_labelled(spark, sf).select("customer_id", "churn"), "customer_id", 0.2, 42, exact=True, stratify="churn")
+
+
+@register("cv_folds_stratified", f"""WITH {LABELLED_SQL},
+r AS (SELECT customer_id, churn, row_number() OVER (PARTITION BY churn ORDER BY {_unit('customer_id', 43)}) AS r,
+             COUNT(*) OVER (PARTITION BY churn) AS n FROM lc)
+SELECT customer_id, churn, CAST({' + '.join(f"CASE WHEN r > n * {k} // 5 THEN 1 ELSE 0 END" for k in (1, 2, 3, 4))} AS INTEGER) AS fold
+FROM r""")
+def q_cv_folds_stratified(spark, sf):
+    return FE.folds(_labelled(spark, sf).select("customer_id", "churn"), "customer_id", 5, 43, stratify="churn")
+
+
+@register("ltv_rule_regression_metrics", f"""WITH {LABELLED_SQL},
+p AS (SELECT ltv AS y, monetary * 0.1 + 1000.0 AS x FROM lc)
+SELECT round(sqrt(avg((y - x) * (y - x))), 4) AS rmse, round(avg(abs(y - x)), 4) AS mae,
+       round(1 - sum((y - x) * (y - x)) / (var_pop(y) * COUNT(*)), 6) AS r2 FROM p""")
+def q_ltv_rule_regression_metrics(spark, sf):
+    """M13 for a rule in place of a fitted model."""
+    p = _labelled(spark, sf).select(F.col("ltv").alias("label"), (F.col("monetary") * 0.1 + 1000.0).alias("prediction"))
+    m = ME.regression_metrics(p)
+    return m.select(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), r6("r2").alias("r2"))
+
+
+@register("ltv_least_squares_one_feature", f"""WITH {LABELLED_SQL},
+s AS (SELECT avg(monetary) AS m, stddev_pop(monetary) AS s FROM lc WHERE {_unit('customer_id', 42)} >= 0.2),
+z AS (SELECT customer_id, ltv, (monetary - m) / s AS x, {_unit('customer_id', 42)} < 0.2 AS is_test FROM lc, s),
+b AS (SELECT regr_slope(ltv, x) AS b1, regr_intercept(ltv, x) AS b0 FROM z WHERE NOT is_test)
+SELECT customer_id, round(ltv, 4) AS actual, round(b0 + b1 * x, 2) AS predicted FROM z, b WHERE is_test""")
+def q_ltv_least_squares_one_feature(spark, sf):
+    """Least squares on one scaled feature: predicted against actual on the test part."""
+    df = _labelled(spark, sf)
+    tr = SU.train_regression(df, ["monetary"], "ltv", name="linear")
+    test = FE.split(df, "customer_id").where("is_test")
+    p = SU.predict(tr, test, keep=("customer_id", "ltv"))
+    return p.select("customer_id", F.round("ltv", 4).alias("actual"), F.round("prediction", 2).alias("predicted"))
+
+
+@register("rfm_numeric_features_imputed", f"""WITH {S.rfm_cte()},
+h AS (SELECT customer_id, CASE WHEN frequency > 10 THEN NULL ELSE recency END AS recency, frequency,
+             CASE WHEN recency < 30 THEN NULL ELSE monetary END AS monetary FROM rfm)
+SELECT customer_id, CAST(COALESCE(recency, (SELECT median(recency) FROM h)) AS DOUBLE) AS recency, CAST(frequency AS DOUBLE) AS frequency,
+       round(COALESCE(monetary, (SELECT median(monetary) FROM h)), 6) AS monetary FROM h""")
+def q_rfm_numeric_features_imputed(spark, sf):
+    """Numeric features picked by type (P1), holes filled with the exact median."""
+    x = _txn_rfm(spark, sf).select("customer_id", F.when(F.col("frequency") <= 10, F.col("recency")).alias("recency"),
+                                   "frequency", F.when(F.col("recency") >= 30, F.col("monetary")).alias("monetary"))
+    out = FE.impute_median(x, FE.numeric_features(x, exclude=("customer_id",)))
+    return out.select("customer_id", "recency", "frequency", F.round("monetary", 6).alias("monetary"))
+
+
 def _folds_frame(spark, res: dict, first: str, second: str):
     rows = [(i, float(v)) for i, v in enumerate(res[f"{first}_scores"])]
     df = spark.createDataFrame(rows, f"fold int, {first} double")
@@ -537,15 +636,15 @@ def q_churn_rule_confusion(spark, sf):
 
 
 @register("churn_rule_roc", f"""{_RULE_SQL},
-bysc AS (SELECT round(score, 6) AS threshold, sum(label) AS pos, sum(1 - label) AS neg FROM s GROUP BY 1),
+bysc AS (SELECT score AS threshold, sum(label) AS pos, sum(1 - label) AS neg FROM s GROUP BY 1),
 cum AS (SELECT threshold, sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tp,
                sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS fp,
                sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM bysc)
-SELECT threshold, round(fp / N, 6) AS fpr, round(tp / P, 6) AS tpr, round(tp / (tp + fp), 6) AS precision,
+SELECT round(threshold, 9) AS threshold, round(fp / N, 6) AS fpr, round(tp / P, 6) AS tpr, round(tp / (tp + fp), 6) AS precision,
        round(tp / P, 6) AS recall FROM cum""")
 def q_churn_rule_roc(spark, sf):
     r = ME.roc_points(_rule_scored(spark, sf))
-    return r.select("threshold", *[r6(c).alias(c) for c in ("fpr", "tpr", "precision", "recall")])
+    return r.select(F.round("threshold", 9).alias("threshold"), *[r6(c).alias(c) for c in ("fpr", "tpr", "precision", "recall")])
 
 
 @register("churn_rule_high_risk", f"""{_RULE_SQL}

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,22 +18,43 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "patronage", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the defaults the operators assume."""
-    b = SparkSession.builder.master(master).appName(app_name)
+    """Build (or reuse) a session with the defaults the operators assume.
+
+    Master and shuffle partitions are the submitted ones unless given.
+    """
+    b = SparkSession.builder.appName(app_name)
+    if master is not None:
+        b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("PATRONAGE_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master is not None and master.startswith("local"):
+        conf.setdefault("spark.driver.memory", os.environ.get("PATRONAGE_DRIVER_MEMORY", "16g"))
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    if spark.sparkContext.master.startswith("local"):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once a session), so that UDFs
+    find it from any working directory."""
+    sc = spark.sparkContext
+    if getattr(sc, "_patronage_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="patronage-ship-")  # the driver serves it from here
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "patronage"), "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._patronage_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder.
 
@@ -46,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="patronage-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

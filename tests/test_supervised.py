@@ -23,7 +23,7 @@ FEATS = ["recency", "frequency", "monetary", "age"]
 
 def test_ridge_matches_closed_form(spark):
     df = _data(spark)
-    tr = SU.train_regression(df, FEATS, "ltv", name="linear", alpha=1.0)
+    tr = SU.train_regression(df, FEATS, "ltv", name="ridge", alpha=1.0)
     d = SU.split(df, "customer_id").where(~F.col("is_test")).toPandas()
     X = d[FEATS].to_numpy(float)
     X = (X - X.mean(axis=0)) / X.std(axis=0)
