@@ -12,11 +12,13 @@ of 24 trees with probability 1 - 3e-6.
 Equal sets are one class from the start. All trees are sorted together by a
 range partitioning on (tree, signature, id), which splits a region of any
 size; the first and last rows of each partition are compared in one small
-step. Candidates are confirmed on the full shingle sets in two rounds: first
-the adjacent ones, then those that still join different components, so that a
-large group of copies costs a few confirmations a member and not all its pairs.
-Where a region was wider than the window, its sets are put in order anew with
-only the ends of each run of one component, until that finds no more links.
+step. Candidates are confirmed on the full shingle sets. The first pass takes
+only rows side by side in the first ``FIRST`` trees and notes which sets have
+a neighbour in any tree; its links join most of each group of copies. The next
+passes take the whole window of those sets, but no pair of one component, and
+of a run of one component in a region only its ends, so a large group costs a
+few confirmations a member and not all its pairs. They go on, over the regions
+wider than the window, until they find no more links.
 
 Defined cases: a null or empty text, or one without words, has an empty set
 and no links; a text of fewer words than a shingle is one shingle; rows that
@@ -38,9 +40,13 @@ from .common import Scratch, components, mix64, shingles, written
 
 TREES, LEVELS, MIN_DEPTH = 24, 8, 4
 WINDOW = 10
+#: Trees whose adjacent rows the first pass confirms.
+FIRST = 3
 #: Percent of the union that the intersection must reach.
 PERCENT = 80
 _BATCH = 40_000
+#: Rows of an Arrow batch that are worked on together.
+_SLICE = 1000
 
 _rng = np.random.default_rng(20240601)
 _A = _rng.integers(0, 2**31, TREES * LEVELS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -68,9 +74,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches in slices; what is made of a slice is gone before the next."""
+    for b in batches:
+        for i in range(0, len(b), _SLICE):
+            yield b.iloc[i:i + _SLICE].reset_index(drop=True)
+
+
 def _sign(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _parts(batches):
             sets = [shingles(t, size) for t in b["text"]]
             full = [i for i, s in enumerate(sets) if len(s)]
             sig = signatures([sets[i] for i in full]) if full else None
@@ -99,27 +112,36 @@ def _plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 _COLS = ["tree", "k1", "k2", "id", "comp"]
-_NEAR = "a long, b long, near boolean, wide boolean, part int, pos long, tree int, k1 long, k2 long, id long, comp long"
+_NEAR = "a long, b long, wide boolean, part int, pos long, tree int, k1 long, k2 long, id long, comp long"
 
 
-def _pairs(x: dict[str, np.ndarray], gap: np.ndarray | None = None) -> pd.DataFrame:
-    """Neighbours up to WINDOW rows apart that share MIN_DEPTH levels and are not yet of one component."""
+def _pairs(x: dict[str, np.ndarray], first: bool, gap: np.ndarray | None = None) -> pd.DataFrame:
+    """Neighbours that share MIN_DEPTH levels and are not of one component, up to WINDOW rows apart.
+
+    In the first pass only adjacent rows count; beyond the first trees they
+    are noted as (id, id), in one row each.
+    """
     out = []
     region = np.cumsum(np.r_[True, (x["tree"][1:] != x["tree"][:-1]) | (x["k1"][1:] != x["k1"][:-1])
                              | (False if gap is None else gap[1:] != gap[:-1])]) if len(x["id"]) else np.zeros(0, int)
-    for w in range(1, WINDOW + 1):
+    for w in range(1, 2 if first else WINDOW + 1):
         if len(region) <= w:
             break
         at = np.flatnonzero((region[w:] == region[:-w]) & (x["comp"][w:] != x["comp"][:-w]))
-        if len(at):
-            a, b = x["id"][at], x["id"][at + w]
-            # region goes on past the window: a crowded one
-            wide = np.zeros(len(at), bool)
+        if not len(at):
+            continue
+        a, b = x["id"][at], x["id"][at + w]
+        if first:
+            ids = np.unique(np.concatenate([a, b]))
+            out.append(pd.DataFrame({"a": ids, "b": ids, "wide": False}))
+            near = x["tree"][at] < FIRST
+            a, b, wide = a[near], b[near], np.zeros(int(near.sum()), bool)
+        else:
+            wide = np.zeros(len(at), bool)  # the region goes on past the window
             past = at + WINDOW + 1 < len(region)
             wide[past] = region[at[past] + WINDOW + 1] == region[at[past]]
-            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b),
-                                     "near": (x["tree"][at] < 3) & (w == 1), "wide": wide}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "near": [], "wide": []})
+        out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "wide": wide}))
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "wide": []})
 
 
 def _ends_of_runs(b: pd.DataFrame) -> pd.DataFrame:
@@ -128,65 +150,69 @@ def _ends_of_runs(b: pd.DataFrame) -> pd.DataFrame:
     return b[~(same & np.r_[same[1:], False])] if len(b) else b
 
 
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _neighbours(first: bool):
     """Pairs inside a sorted partition, and its first and last rows for the step over the borders."""
-    part = TaskContext.get().partitionId()
-    tail, head, seen = None, [], 0
-    for b in batches:
-        if not len(b):
-            continue
-        b = _ends_of_runs(b).reset_index(drop=True)
-        if sum(map(len, head)) < WINDOW:
-            head.append(b.iloc[:WINDOW - sum(map(len, head))])
-        x = b if tail is None else pd.concat([tail, b], ignore_index=True)
-        p = _pairs({c: x[c].to_numpy() for c in _COLS})
-        yield p.assign(part=None, pos=None, tree=None, k1=None, k2=None, id=None, comp=None)
-        tail = x.iloc[-WINDOW:]
-        seen += len(b)
-    if seen:
-        first = pd.concat(head, ignore_index=True)
-        # a partition that the borders cover leaves no gap between them
-        ends = pd.concat([first.assign(pos=np.arange(len(first))),
-                          tail.assign(pos=np.arange(seen - len(tail), seen))]).drop_duplicates("pos")
-        yield ends.assign(a=None, b=None, near=None, wide=None, part=part)[
-            ["a", "b", "near", "wide", "part", "pos", *_COLS]]
-
-
-def _borders(b: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        tail, head, seen = None, [], 0
+        for b in batches:
+            if not len(b):
+                continue
+            b = _ends_of_runs(b).reset_index(drop=True)
+            if sum(map(len, head)) < WINDOW:
+                head.append(b.iloc[:WINDOW - sum(map(len, head))])
+            x = b if tail is None else pd.concat([tail, b], ignore_index=True)
+            yield _pairs({c: x[c].to_numpy() for c in _COLS}, first).assign(
+                part=None, pos=None, tree=None, k1=None, k2=None, id=None, comp=None)
+            tail = x.iloc[-WINDOW:]
+            seen += len(b)
+        if seen:
+            begin = pd.concat(head, ignore_index=True)
+            # a partition that the borders cover leaves no gap between them
+            ends = pd.concat([begin.assign(pos=np.arange(len(begin))),
+                              tail.assign(pos=np.arange(seen - len(tail), seen))]).drop_duplicates("pos")
+            yield ends.assign(a=None, b=None, wide=None, part=part)[["a", "b", "wide", "part", "pos", *_COLS]]
+    return run
+
+
+def _borders(first: bool):
     """Pairs across the borders of partitions; 2 * WINDOW rows of each partition."""
-    b = b.sort_values(["part", "pos"])
-    new = (np.diff(b["pos"].to_numpy(), prepend=0) != 1) & (b["pos"].to_numpy() > 0)
-    return _pairs({c: b[c].to_numpy() for c in _COLS}, np.cumsum(new))[["a", "b", "near", "wide"]]
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["part", "pos"])
+        new = (np.diff(b["pos"].to_numpy(), prepend=0) != 1) & (b["pos"].to_numpy() > 0)
+        return _pairs({c: b[c].to_numpy() for c in _COLS}, first, np.cumsum(new))
+    return run
 
 
-def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct (a, b, near, wide) of classes (id, comp, sig) that are neighbours in a tree."""
+def candidates(reps: DataFrame, scratch: Scratch, first: bool = False) -> DataFrame:
+    """Distinct (a, b, wide) of classes (id, comp, sig) that are neighbours in a tree."""
     rows = reps.mapInPandas(_plant, "tree int, k1 long, k2 long, id long, comp long")
     order = ["tree", "k1", "k2", "id"]
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.keep(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(_neighbours, _NEAR))
-    inner = found.where("a IS NOT NULL").select("a", "b", "near", "wide")
+    found = scratch.keep(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                         .mapInPandas(_neighbours(first), _NEAR))
+    inner = found.where("a IS NOT NULL").select("a", "b", "wide")
     across = found.where("a IS NULL").select("part", "pos", *_COLS).groupBy(F.lit("")).applyInPandas(
-        _borders, "a long, b long, near boolean, wide boolean")
-    return inner.union(across).groupBy("a", "b").agg(F.max("near").alias("near"), F.max("wide").alias("wide"))
+        _borders(first), "a long, b long, wide boolean")
+    return scratch.keep(inner.union(across).groupBy("a", "b").agg(F.max("wide").alias("wide")))
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in _parts(batches):
         yield pd.DataFrame({"id": b["doc_id"], "z": [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if t else b""
                                                        for t in b["text"]]})
 
 
 def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _parts(batches):
             yield pd.DataFrame({"id": b["id"], "s": [
                 shingles(zlib.decompress(z).decode("utf-8", "surrogatepass") if z else "", size).tobytes() for z in b["z"]]})
     return run
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in _parts(batches):
         ok = []
         for x, y in zip(b["x"], b["y"], strict=True):
             u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -212,34 +238,26 @@ def classify(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     classes = scratch.keep(sets_of.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
                       .select("f1", "f2", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig")))
     # a repeated doc_id may stand for several classes; they are one vertex
-    pairs = scratch.keep(candidates(classes.select("id", F.col("id").alias("comp"), "sig"), scratch).where("a < b"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    found = candidates(classes.select("id", F.col("id").alias("comp"), "sig"), scratch, first=True)
+    crowd, tried = found.where("a = b").select(F.col("a").alias("id")), found.where("a < b").select("a", "b")
+    # the texts travel once, to the partition of their id; the sets made there are that bucket of
+    # a table, which every later join reads in place
     packed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(_pack, "id long, z binary")
-    sets = scratch.keep(packed.join(ids, "id").mapInPandas(_sets(shingle_words), "id long, s binary"))
-    links = confirmed(pairs.where("near").select("a", "b"), sets, scratch)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = scratch.bucketed(packed.repartition(parts, "id").join(crowd, "id")
+                            .mapInPandas(_sets(shingle_words), "id long, s binary"), "id")
+    links = confirmed(tried, sets, scratch)
     comp = components(links, scratch)
-
-    def crossing(p: DataFrame, label: DataFrame) -> DataFrame:
-        low = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        high = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        return p.join(low, "a", "left").join(high, "b", "left") \
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    def wide(p: DataFrame) -> DataFrame:
-        return p.where("wide").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-    more = confirmed(crossing(pairs.where("NOT near"), comp), sets, scratch)
-    links = links.union(more)
-    tried, crowd = pairs.select("a", "b"), scratch.keep(wide(pairs))
-    while not more.isEmpty():
-        comp = components(links, scratch)
-        if crowd.isEmpty():
-            break
+    while not crowd.isEmpty():
         again = classes.join(crowd, "id").join(comp, "id", "left") \
             .select("id", F.coalesce("component", "id").alias("comp"), "sig")
         pairs = scratch.keep(candidates(again, scratch).join(tried, ["a", "b"], "left_anti"))
-        more = confirmed(crossing(pairs, comp), sets, scratch)
-        links, tried, crowd = links.union(more), tried.union(pairs.select("a", "b")), scratch.keep(wide(pairs))
+        more = confirmed(pairs.select("a", "b"), sets, scratch)
+        if more.isEmpty():
+            break
+        links, tried = links.union(more), tried.union(pairs.select("a", "b"))
+        comp = components(links, scratch)
+        crowd = scratch.keep(pairs.where("wide").select(F.explode(F.array("a", "b")).alias("id")).distinct())
     reps = classes.join(comp, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
     out = rows.join(reps, ["f1", "f2"], "left")
     # a document without a set, or one row of several of a doc_id, is its own component
