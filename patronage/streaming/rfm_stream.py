@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import literal_like, whole_days
+from ..functions.scaling import nan_to_null
 
 
 def purchase_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -25,7 +26,7 @@ def purchase_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def running_rfm(stream: DataFrame) -> DataFrame:
     """Stateful per-customer aggregates (update mode)."""
-    return (stream.where(F.col("customer_id").isNotNull()).groupBy("customer_id")
+    return (nan_to_null(stream, ["amount"]).where(F.col("customer_id").isNotNull()).groupBy("customer_id")
             .agg(F.max("date").alias("last_purchase"), F.count(F.lit(1)).alias("frequency"),
                  F.coalesce(F.sum("amount"), F.lit(0.0)).alias("monetary")))
 
@@ -37,11 +38,23 @@ def with_recency(snapshot: DataFrame, reference_date: str) -> DataFrame:
                                       F.col("last_purchase")).alias("recency"))
 
 
-def start(stream: DataFrame, checkpoint: str, query_name: str = "running_rfm", trigger_once: bool = False):
-    """Start the running aggregate into an in-memory table (tests / demos).
-    ``checkpoint`` must be a shared folder on a cluster."""
-    w = (running_rfm(stream).writeStream.outputMode("complete").format("memory")
-         .queryName(query_name).option("checkpointLocation", checkpoint))
-    if trigger_once:
+def start(stream: DataFrame, target: str, checkpoint: str, available_now: bool = False):
+    """Follow the log: every micro-batch writes the customers it changed as
+    Parquet under ``target/batch=<id>``; a repeated batch replaces its own
+    folder, so restarts lose and double nothing. Both folders must be shared
+    on a cluster."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    w = (running_rfm(stream).writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", checkpoint))
+    if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def snapshot(spark: SparkSession, target: str) -> DataFrame:
+    """The latest row of every customer from what ``start`` has written."""
+    rows = spark.read.parquet(target)
+    latest = rows.groupBy("customer_id").agg(F.max(F.struct("batch", "last_purchase", "frequency", "monetary")).alias("r"))
+    return latest.select("customer_id", "r.last_purchase", "r.frequency", "r.monetary")

@@ -13,10 +13,11 @@ def test_stream_matches_batch(spark):
     schema = schema.replace(":", " ")
     folder = tempfile.mkdtemp(prefix="patronage-stream-")
     os.symlink(os.path.join(SF, "events.parquet"), os.path.join(folder, "part-0.parquet"))
-    q = RS.start(RS.purchase_stream(spark, folder, schema), tempfile.mkdtemp(prefix="patronage-sckpt-"),
-                 "rfm_stream_test", trigger_once=True)
+    target = tempfile.mkdtemp(prefix="patronage-sink-")
+    q = RS.start(RS.purchase_stream(spark, folder, schema), target, tempfile.mkdtemp(prefix="patronage-sckpt-"),
+                 available_now=True)
     q.awaitTermination(120)
-    got = RS.with_recency(spark.table("rfm_stream_test"), src.PURCHASES_REFERENCE_DATE)
+    got = RS.with_recency(RS.snapshot(spark, target), src.PURCHASES_REFERENCE_DATE)
     want = rfm.rfm_from_transactions(src.purchases(spark, SF), "customer_id", "date", "amount",
                                      src.PURCHASES_REFERENCE_DATE)
     cols = ["customer_id", "frequency", "recency"]
