@@ -5,20 +5,23 @@ replicate) pair gets a Poisson(1) weight drawn from a hash of (customer,
 replicate, seed) -- the standard distributed bootstrap, stable under
 re-execution and repartitioning. The weighted data are compressed per
 replicate and all B fits advance together, one Spark job per pass.
-Scoring attaches each replicate's parameters to the original customers by a
-broadcast equi-join on ``replicate``; per-customer statistics come from one
-grouped aggregate (B values per customer, bounded by B).
+Scoring evaluates all B parameter rows for a slice of customers as one numpy
+array inside a task; mean, percentiles and deviation of a customer are made
+there, so nothing is shuffled, and totals leave as one row a partition and
+replicate.
 """
 from __future__ import annotations
 
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ...functions.scaling import attach_row
+from ...functions.special import hyp2f1_series
 from ...functions.validation import require_columns
 from . import estimate as E
 from . import kernels as K
@@ -26,6 +29,7 @@ from . import models as M
 from .fit import maximize
 
 _MASK53 = (1 << 53) - 1
+SLICE = 1024  # customers evaluated together
 
 
 def poisson1_weight(*key_cols, seed: int = 42):
@@ -40,50 +44,85 @@ def poisson1_weight(*key_cols, seed: int = 42):
     return expr.otherwise(21)
 
 
-def params_table(spark, rows: dict) -> DataFrame:
-    """replicate -> (r, alpha, a, b, p, q, gamma) as a small frame."""
-    names = M.BGNBD_NAMES + M.GG_NAMES
-    schema = StructType([StructField("replicate", LongType())] + [StructField(n, DoubleType()) for n in names])
-    return spark.createDataFrame([(int(k), *map(float, v)) for k, v in rows.items()], schema)
+def _draws(x, tx, T, m, mbar, theta, horizon: float, discount_rate: float, formula: str) -> np.ndarray:
+    """CLV of R customers (arrays [R]) under B parameter rows (theta [B, 7]) as [R, B]:
+    the numpy form of ``models.clv_column``."""
+    x, tx, T, m, mbar = (np.asarray(v, float)[:, None] for v in (x, tx, T, m, mbar))
+    r, alpha, a, b, p, q, gamma = theta.T[:, None, :]
+    with np.errstate(all="ignore"):
+        z = horizon / (alpha + T + horizon)
+        c = a + b + x - 1.0
+        lanes = np.broadcast_arrays(c - r - x, a - 1.0, c, z)
+        tail = np.power(1.0 - z, a - 1.0) * hyp2f1_series(*[v.ravel() for v in lanes]).reshape(lanes[0].shape)
+        ratio = np.exp((r + x) * (np.log(alpha + T) - np.log(alpha + tx)))
+        denom = 1.0 + np.where(x > 0, a / np.maximum(b + x - 1.0, 1e-9) * ratio, 0.0)
+        model = (a + b + x - 1.0) / (a - 1.0) * (1.0 - tail) / denom
+        bought = np.maximum(np.where(a <= 1.0, x * (horizon / np.maximum(T, 1e-9)), model), 0.0)
+        den = p * x + q - 1.0
+        if formula == "published":
+            spend = np.where(den > 1e-9, p * (gamma + x * m) / den, mbar)
+        elif formula == "reference":
+            mean = np.where(q > 1.0, gamma * p / (q - 1.0), mbar)
+            spend = (p * x * m + gamma * (q - 1.0) * mean) / np.maximum(den, 1e-9)
+        else:
+            raise ValueError("formula must be 'published' or 'reference'")
+    v = bought * spend
+    return v / (1.0 + discount_rate) ** (horizon / 365.0) if discount_rate > 0 else v
+
+
+def _scored(summary: DataFrame, rows: dict, horizon, discount_rate, formula, id_col):
+    """The frame to score and a function from its Arrow batches to (ids, [rows, replicates]) slices.
+
+    All values of a customer are made in one place, so no row leaves its
+    task more than once; the parameter rows travel in the closure.
+    """
+    base = E.with_spend_fallback(summary.select(id_col, "frequency", "recency", "T", "monetary_value"), formula)
+    theta = np.array([rows[k] for k in sorted(rows)], float)
 
+    def values(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), SLICE):
+                part = pdf.iloc[lo:lo + SLICE]
+                yield part[id_col], _draws(*(part[c].to_numpy(float) for c in (
+                    "frequency", "recency", "T", "monetary_value", "__mbar")), theta, horizon, discount_rate, formula)
 
-def score_replicates(summary: DataFrame, params: DataFrame, n_params: int, horizon: float,
-                     discount_rate: float, formula: str, id_col: str) -> DataFrame:
-    """(customer, replicate, clv) for every customer and parameter row.
+    return base.select(id_col, "frequency", "recency", "T", "monetary_value", "__mbar"), values
+
+
+def _per_customer(base: DataFrame, values, id_col: str, p_low: float, p_high: float, low_name: str, high_name: str):
+    def run(batches):
+        for ids, v in values(batches):
+            low, mid, high = np.percentile(v, [p_low, 50.0, p_high], axis=1)
+            yield pd.DataFrame({id_col: ids.to_numpy(), "clv_mean": v.mean(axis=1), low_name: low, "clv_p50": mid,
+                                high_name: high, "clv_std": v.std(axis=1, ddof=1) if v.shape[1] > 1 else np.nan})
+
+    schema = StructType([base.schema[id_col]] + [StructField(c, DoubleType())
+                                                 for c in ("clv_mean", low_name, "clv_p50", high_name, "clv_std")])
+    return base.mapInPandas(run, schema)
 
-    ``params`` holds at most ``n_params`` rows (checked by the caller); it is
-    broadcast and joined on ``replicate`` after each customer row is
-    exploded to the replicate ids.
-    """
-    ids = [r["replicate"] for r in params.select("replicate").collect()] if n_params is None else None
-    base = E.with_spend_fallback(summary.select(id_col, "frequency", "recency", "T", "monetary_value"), formula)
-    reps = F.array(*[F.lit(int(i)) for i in ids]) if ids is not None else None
-    if reps is None:
-        reps = F.sequence(F.lit(0).cast("long"), F.lit(n_params - 1).cast("long"))
-    joined = base.withColumn("replicate", F.explode(reps)).join(F.broadcast(params), "replicate")
-    clv = M.clv_column(horizon, discount_rate, formula, F.col("__mbar"))
-    return joined.select(id_col, "replicate", clv.alias("clv"))
 
+def _totals(base: DataFrame, values, n: int) -> DataFrame:
+    """(replicate, total): one partial row a partition and replicate, added by Spark."""
+    def run(batches):
+        total = np.zeros(n)
+        for _, v in values(batches):
+            total += np.nansum(v, axis=0)
+        yield pd.DataFrame({"replicate": np.arange(n), "total": total})
 
-def _summarise(scored: DataFrame, id_col: str, p_low: float, p_high: float, low_name: str, high_name: str):
-    per_customer = scored.groupBy(id_col).agg(
-        F.avg("clv").alias("clv_mean"),
-        F.percentile("clv", [p_low / 100.0, 0.5, p_high / 100.0]).alias("__pct"),
-        F.stddev_samp("clv").alias("clv_std"),
-    ).select(id_col, "clv_mean", F.col("__pct")[0].alias(low_name), F.col("__pct")[1].alias("clv_p50"),
-             F.col("__pct")[2].alias(high_name), "clv_std")
-    return per_customer
+    return base.mapInPandas(run, "replicate long, total double").groupBy("replicate").agg(F.sum("total").alias("total"))
 
 
 def bootstrap_clv(summary: DataFrame, horizon: float = 365.0, discount_rate: float = 0.0,
                   n_bootstrap: int = 100, alpha: float = 0.05, seed: int = 42,
-                  id_col: str = "customer_id", formula: str = "published", penalty: float = 1e-3):
+                  id_col: str = "customer_id", formula: str = "published", penalty: float = 1e-3,
+                  with_samples: bool = False):
     """Per-customer CLV distribution over ``n_bootstrap`` refits.
 
     Returns (customer_clv, totals): customer_clv has clv_mean,
     clv_p{low:02d}, clv_p50, clv_p{high:02d}, clv_std per customer; totals is
     one row with horizon_days, n_bootstrap (successful), n_customers,
     n_failed and the mean and interval of the total CLV across replicates.
+    ``with_samples`` adds the total of every replicate as a third frame.
     """
     require_columns(summary, ["frequency", "recency", "T", "monetary_value"], "bootstrap_clv")
     if n_bootstrap < 10:
@@ -120,14 +159,13 @@ def bootstrap_clv(summary: DataFrame, horizon: float = 365.0, discount_rate: flo
     if len(good) < 10:
         raise RuntimeError(f"only {len(good)} bootstrap fits succeeded (< 10)")
     rows = {i: (*bg_fits[b].theta, *gg_fits[b].theta) for i, b in enumerate(good)}
-    params = params_table(spark, rows)
-    scored = score_replicates(summary, params, len(rows), horizon, discount_rate, formula, id_col)
+    base, values = _scored(summary, rows, horizon, discount_rate, formula, id_col)
     p_low, p_high = alpha / 2 * 100, (1 - alpha / 2) * 100
     low_name, high_name = f"clv_p{int(p_low):02d}", f"clv_p{int(p_high):02d}"
-    customer_clv = _summarise(scored, id_col, p_low, p_high, low_name, high_name)
-    totals = (scored.groupBy("replicate").agg(F.sum("clv").alias("total"))
-              .agg(F.avg("total").alias("total_clv_mean"),
-                   F.percentile("total", [p_low / 100.0, p_high / 100.0]).alias("__ci"))
+    customer_clv = _per_customer(base, values, id_col, p_low, p_high, low_name, high_name)
+    samples = _totals(base, values, len(rows))
+    totals = (samples.agg(F.avg("total").alias("total_clv_mean"),
+                          F.percentile("total", [p_low / 100.0, p_high / 100.0]).alias("__ci"))  # one row a replicate
               .select(F.lit(float(horizon)).alias("horizon_days"),
                       F.lit(len(good)).alias("n_bootstrap"),
                       F.lit(n_failed).alias("n_failed"),
@@ -135,7 +173,7 @@ def bootstrap_clv(summary: DataFrame, horizon: float = 365.0, discount_rate: flo
                       F.col("__ci")[0].alias("total_clv_ci_low"),
                       F.col("__ci")[1].alias("total_clv_ci_high")))
     totals = attach_row(totals, summary.agg(F.count(F.lit(1)).alias("n_customers")))
-    return customer_clv, totals
+    return (customer_clv, totals, samples) if with_samples else (customer_clv, totals)
 
 
 def perturbation_draws(bg: M.BGNBDParams, gg: M.GammaGammaParams, n_perturbations: int = 200,
@@ -159,13 +197,12 @@ def parameter_perturbation_clv(bg: M.BGNBDParams, gg: M.GammaGammaParams, summar
                                seed: int = 42, id_col: str = "customer_id",
                                formula: str = "published") -> DataFrame:
     """clv_mean, clv_p05, clv_p95, clv_std per customer over perturbed
-    parameter draws (V12). The draw table (n_perturbations rows) is broadcast."""
+    parameter draws (V12), all draws of a customer in one place."""
     if bg is None or gg is None:
         raise ValueError("both models must be fitted first")
     draws = perturbation_draws(bg, gg, n_perturbations, relative_noise, seed)
-    params = params_table(summary.sparkSession, draws)
-    scored = score_replicates(summary, params, n_perturbations, horizon, discount_rate, formula, id_col)
-    return _summarise(scored, id_col, 5.0, 95.0, "clv_p05", "clv_p95").select(
+    base, values = _scored(summary, draws, horizon, discount_rate, formula, id_col)
+    return _per_customer(base, values, id_col, 5.0, 95.0, "clv_p05", "clv_p95").select(
         id_col, "clv_mean", "clv_p05", "clv_p95", "clv_std")
 
 

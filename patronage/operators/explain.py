@@ -97,11 +97,12 @@ def permutation_importance(tr: Trained, df: DataFrame, target: str, n_repeats: i
     fidx = (F.col("g") / n_repeats).cast("int")
     permuted = joined.select(id_col, "g", "label", *[
         F.when(fidx == i, F.col(f"__d_{f}")).otherwise(F.col(f)).alias(f) for i, f in enumerate(feats)])
+    rated = with_probability
     if not hasattr(tr.model, "probabilityCol"):
-        scoring = "accuracy"
-    scored = with_probability(tr.model.transform(tr.prep.apply(permuted)))
+        scoring, rated = "accuracy", lambda d: d.withColumn("score", F.col("prediction"))
+    scored = rated(tr.model.transform(tr.prep.apply(permuted)))
     score_g = _grouped_score(scored, scoring, "g")
-    base_scored = with_probability(tr.model.transform(tr.prep.apply(base)))
+    base_scored = rated(tr.model.transform(tr.prep.apply(base)))
     baseline = _grouped_score(base_scored, scoring).first()["value"]
     rows = score_g.collect()  # one row per (feature, repeat)
     base.unpersist()
