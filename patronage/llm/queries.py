@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import (chat_format, embedding_dedup, line_quality, minhash_dedup, quality_classifier, sentencepiece_fst,
-               source_mix, suffix_dedup, template_extract, wordpiece_count)
+               source_mix, sql, suffix_dedup, template_extract, wordpiece_count)
 from .common import table
 
 
@@ -74,5 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash_dedup": sql.NEAR_DUPLICATES,
         "op5_source_mix": source_mix.PLAN_SQL,
+        "op6_chat_format": sql.chat_digest(),
+        "op7_embedding_dedup": sql.VECTOR_LINKS,
     }
