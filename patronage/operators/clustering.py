@@ -152,17 +152,22 @@ def k_search(df: DataFrame, cols, k_values=range(2, 11), n_init: int = 10, seed:
     return spark.createDataFrame(rows, schema)
 
 
-def cluster_profiles(df: DataFrame, labels: DataFrame, cols, id_col: str = "customer_id",
+def _with_labels(df: DataFrame, labels: DataFrame | None, id_col: str, label: str) -> DataFrame:
+    """df with the label of each id; without ``labels`` it has its own."""
+    return df if labels is None else df.drop(label).join(labels.select(id_col, label), id_col)
+
+
+def cluster_profiles(df: DataFrame, labels: DataFrame | None, cols, id_col: str = "customer_id",
                      label: str = "cluster") -> DataFrame:
     """Mean of each feature and size per cluster (A8), on original units."""
-    j = df.drop(label).join(labels.select(id_col, label), id_col)
+    j = _with_labels(df, labels, id_col, label)
     return j.groupBy(label).agg(*[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("count"))
 
 
-def cluster_statistics(df: DataFrame, labels: DataFrame, cols, id_col: str = "customer_id",
+def cluster_statistics(df: DataFrame, labels: DataFrame | None, cols, id_col: str = "customer_id",
                        label: str = "cluster") -> DataFrame:
     """Mean, sample std and non-null count per feature and cluster."""
-    j = df.drop(label).join(labels.select(id_col, label), id_col)
+    j = _with_labels(df, labels, id_col, label)
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.count(c).alias(f"{c}_count")]

@@ -255,7 +255,7 @@ def q_segment_radar(spark, sf):
     """Radar normalisation (A9) of group profiles against the data's global
     min and max, with the RFM segments as the groups."""
     segs = _txn_segments(spark, sf)
-    prof = CL.cluster_profiles(segs, segs, CLUSTER_FEATURES, label="segment")
+    prof = CL.cluster_profiles(segs, None, CLUSTER_FEATURES, label="segment")
     out = CL.radar(prof, segs, CLUSTER_FEATURES, label="segment")
     return out.select("segment", *[r6(c).alias(c) for c in CLUSTER_FEATURES])
 
@@ -270,7 +270,7 @@ def q_segment_cluster_statistics(spark, sf):
     """Cluster statistics (A7: mean, sample std, non-null count per feature)
     with the RFM segments as the groups."""
     segs = _txn_segments(spark, sf)
-    st = CL.cluster_statistics(segs, segs, CLUSTER_FEATURES, label="segment")
+    st = CL.cluster_statistics(segs, None, CLUSTER_FEATURES, label="segment")
     cols = []
     for c in CLUSTER_FEATURES:
         nd = 4 if c == "monetary" else 6
@@ -338,12 +338,18 @@ def q_dbscan_segments(spark, sf):
     return DB.dbscan(z, CLUSTER_FEATURES, eps=0.5, min_samples=5)
 
 
-@register("dbscan_profiles")
+@register("dbscan_profiles", S.dbscan_sql(
+    _Z_POINTS, ["recency", "frequency", "monetary"], 0.5, 5,
+    "COALESCE(num.cluster, -1) AS cluster, round(avg(rfm.recency), 6) AS recency, round(avg(rfm.frequency), 6) AS frequency, "
+    "round(avg(rfm.monetary), 4) AS monetary, COUNT(*) AS count",
+    "JOIN rfm ON rfm.customer_id = pts.id GROUP BY 1"))
 def q_dbscan_profiles(spark, sf):
     base = _txn_rfm(spark, sf)
     z = zscore(base, CLUSTER_FEATURES, ddof=0, keep=["customer_id"])
     lab = DB.dbscan(z, CLUSTER_FEATURES, eps=0.5, min_samples=5)
-    return CL.cluster_profiles(base, lab, CLUSTER_FEATURES)
+    p = CL.cluster_profiles(base, lab, CLUSTER_FEATURES)
+    return p.select("cluster", r6("recency").alias("recency"), r6("frequency").alias("frequency"),
+                    F.round("monetary", 4).alias("monetary"), "count")
 
 
 @register("hierarchical_segments")

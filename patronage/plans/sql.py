@@ -150,7 +150,7 @@ SELECT customer_id, round(avg(clv), -1) AS clv_mean, round(quantile_cont(clv, 0.
 FROM v GROUP BY customer_id"""
 
 
-def dbscan_sql(points_cte: str, dims, eps: float, min_samples: int) -> str:
+def dbscan_sql(points_cte: str, dims, eps: float, min_samples: int, select: str = "", tail: str = "") -> str:
     """DBSCAN in SQL: neighbours by a self-join, components by a recursive
     transitive closure over core-core edges, borders to the smallest
     adjacent component; clusters numbered by their smallest core id."""
@@ -166,5 +166,5 @@ border AS (SELECT nb.a AS id, min(comp.lab) AS lab FROM nb JOIN comp ON nb.b = c
            WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
 lab AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
 num AS (SELECT lab, CAST(dense_rank() OVER (ORDER BY lab) - 1 AS BIGINT) AS cluster FROM (SELECT DISTINCT lab FROM comp))
-SELECT pts.id AS customer_id, COALESCE(num.cluster, -1) AS cluster
-FROM pts LEFT JOIN lab ON pts.id = lab.id LEFT JOIN num ON lab.lab = num.lab"""
+SELECT {select or "pts.id AS customer_id, COALESCE(num.cluster, -1) AS cluster"}
+FROM pts LEFT JOIN lab ON pts.id = lab.id LEFT JOIN num ON lab.lab = num.lab {tail}"""
