@@ -9,6 +9,10 @@ A sparse region hands out everything at that depth; in a dense region the
 depth adapts to the region. A pair of similarity 0.8 shares four levels of one
 of 24 trees with probability 1 - 3e-6.
 
+A row also carries one bit of each of ``SKETCH`` MinHash values. Sets of
+similarity s agree in (1 + s) / 2 of them; neighbours that differ in more than
+``DIFFER`` bits are no candidates (at 0.8 that loses one pair in a million).
+
 Equal sets are one class from the start. All trees are sorted together by a
 range partitioning on (tree, signature, id), which splits a region of any
 size; the first and last rows of each partition are compared in one small
@@ -42,6 +46,8 @@ TREES, LEVELS, MIN_DEPTH = 24, 8, 4
 WINDOW = 10
 #: Trees whose adjacent rows the first pass confirms.
 FIRST = 3
+#: Bits of the sketch, and the most of them that candidates may differ in.
+SKETCH, DIFFER = 128, 33
 #: Percent of the union that the intersection must reach.
 PERCENT = 80
 _BATCH = 40_000
@@ -106,13 +112,17 @@ def _plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(b):
             continue
         k = np.frombuffer(b"".join(b["sig"]), np.int64).reshape(len(b), TREES, LEVELS // MIN_DEPTH)
+        bits = np.frombuffer(b"".join(b["sig"]), np.uint16).reshape(len(b), -1)[:, :SKETCH].astype(np.uint8) & 1
+        sketch = np.packbits(bits, axis=1).view(np.int64)
         yield pd.DataFrame({"tree": np.tile(np.arange(TREES, dtype=np.int32), len(b)),
                             "k1": k[:, :, 0].ravel(), "k2": k[:, :, 1].ravel(), "id": np.repeat(b["id"].to_numpy(), TREES),
-                            "comp": np.repeat(b["comp"].to_numpy(), TREES)})
+                            "comp": np.repeat(b["comp"].to_numpy(), TREES),
+                            "s1": np.repeat(sketch[:, 0], TREES), "s2": np.repeat(sketch[:, 1], TREES)})
 
 
-_COLS = ["tree", "k1", "k2", "id", "comp"]
-_NEAR = "a long, b long, wide boolean, part int, pos long, tree int, k1 long, k2 long, id long, comp long"
+_COLS = ["tree", "k1", "k2", "id", "comp", "s1", "s2"]
+_TREE = "tree int, k1 long, k2 long, id long, comp long, s1 long, s2 long"
+_NEAR = f"a long, b long, wide boolean, part int, pos long, {_TREE}"
 
 
 def _pairs(x: dict[str, np.ndarray], first: bool, gap: np.ndarray | None = None) -> pd.DataFrame:
@@ -128,6 +138,8 @@ def _pairs(x: dict[str, np.ndarray], first: bool, gap: np.ndarray | None = None)
         if len(region) <= w:
             break
         at = np.flatnonzero((region[w:] == region[:-w]) & (x["comp"][w:] != x["comp"][:-w]))
+        differ = sum(np.bitwise_count((x[s][at] ^ x[s][at + w]).view(np.uint64)).astype(int) for s in ("s1", "s2"))
+        at = at[differ <= DIFFER]
         if not len(at):
             continue
         a, b = x["id"][at], x["id"][at + w]
@@ -163,7 +175,7 @@ def _neighbours(first: bool):
                 head.append(b.iloc[:WINDOW - sum(map(len, head))])
             x = b if tail is None else pd.concat([tail, b], ignore_index=True)
             yield _pairs({c: x[c].to_numpy() for c in _COLS}, first).assign(
-                part=None, pos=None, tree=None, k1=None, k2=None, id=None, comp=None)
+                part=None, pos=None, **dict.fromkeys(_COLS))
             tail = x.iloc[-WINDOW:]
             seen += len(b)
         if seen:
@@ -186,7 +198,7 @@ def _borders(first: bool):
 
 def candidates(reps: DataFrame, scratch: Scratch, first: bool = False) -> DataFrame:
     """Distinct (a, b, wide) of classes (id, comp, sig) that are neighbours in a tree."""
-    rows = reps.mapInPandas(_plant, "tree int, k1 long, k2 long, id long, comp long")
+    rows = reps.mapInPandas(_plant, _TREE)
     order = ["tree", "k1", "k2", "id"]
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.keep(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
