@@ -7,19 +7,19 @@ to the result. A vector lies in the bucket of its hashes and also looks into
 meet in a bucket of one of ``TABLES`` tables, at home for one of them at least,
 are verified by their cosine in double precision.
 
-Links are counted, not listed: the buckets go to tasks in blocks, a block pair
-is a numpy product, and it counts a verified pair only where the pair meets
-first (every row has its codes of all tables, so the tasks know). What leaves
-a block pair is one row a vector: links found, and its component among them.
-Buckets of more than ``BLOCK`` rows are cut by hash into blocks whose pairs are
-separate groups, so no group exceeds twice that. Equal vectors are one class
-from the start and cost nothing more.
+Buckets are first only (bucket, id) rows: those of a single vector go, and the
+vectors join what is left. Links are counted, not listed: the buckets go to
+tasks in blocks, a block pair is a numpy product, and it counts a verified pair
+only where the pair meets first (every row has its codes of all tables, so the
+tasks know). What leaves a block pair is one row a vector: links found, and its
+component among them. Buckets of more than ``BLOCK`` rows are cut by hash into
+blocks whose pairs are separate groups, so no group exceeds twice that. Equal
+vectors are one class from the start and cost nothing more.
 
 Defined cases: a vector that is null, zero or holds null or non-finite
 components, or whose label or id is null, links with nothing; only vectors of
-equal dimension are compared; rows that repeat an id with the same vector are
-one vector, those of an id with several vectors share its links; an empty table
-gives no rows.
+equal dimension are compared; rows that repeat an id are one vector, of several
+vectors of an id the one of least hash; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, mix64, written
 
 COSINE = 0.98
-TABLES, HASHES, PROBES = 10, 2, 3
+TABLES, HASHES, PROBES = 12, 3, 3
 BLOCK = 1500
 SEED = 20240607
 
@@ -86,35 +86,40 @@ def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return home, probe
 
 
-_ROWS = "bucket long, tab int, label long, id long, size long, at_home boolean, home binary, probe binary, vec binary"
+_CODED = "id long, label long, size long, home binary, probe binary, vec binary"
 
 
-def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each bucket a vector is in or looks into."""
+def _code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Unit vectors with their codes."""
     for b in batches:
-        dims = b["vec"].map(len)
-        for dim, g in b.groupby(dims):
+        for _, g in b.groupby(b["vec"].map(len)):
             x = np.array([np.asarray(v, np.float64) for v in g["vec"]])
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             home, probe = codes(x)
-            every = np.concatenate([home[:, :, None], probe], axis=2).astype(np.int64)  # (n, TABLES, 1 + PROBES)
-            label = g["label"].to_numpy(np.int64)
-            with np.errstate(over="ignore"):
-                salt = mix64(label.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(dim))
-                key = mix64(salt[:, None, None] + mix64(every.view(np.uint64) * np.uint64(TABLES)
-                                                        + np.arange(TABLES, dtype=np.uint64)[None, :, None]))
-            n, each = len(g), TABLES * (1 + PROBES)
-            hb = [h.tobytes() for h in home]
-            pb = [p.tobytes() for p in probe]
-            vb = [v.tobytes() for v in x]
-            at = np.repeat(np.arange(n), each)
-            out = pd.DataFrame({
-                "bucket": key.view(np.int64).ravel(), "tab": np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + PROBES), n),
-                "label": label[at], "id": g["id"].to_numpy()[at], "size": g["size"].to_numpy()[at],
-                "at_home": np.tile(np.arange(1 + PROBES) == 0, n * TABLES),
-                "home": [hb[i] for i in at], "probe": [pb[i] for i in at], "vec": [vb[i] for i in at]})
-            yield out[(every >= 0).ravel()]
+            yield pd.DataFrame({"id": g["id"].to_numpy(), "label": g["label"].to_numpy(), "size": g["size"].to_numpy(),
+                                "home": [h.tobytes() for h in home], "probe": [p.tobytes() for p in probe],
+                                "vec": [v.tobytes() for v in x]})
+
+
+def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each bucket a vector is in or looks into."""
+    for b in batches:
+        if not len(b):
+            continue
+        n = len(b)
+        home = np.frombuffer(b"".join(b["home"]), np.int32).reshape(n, TABLES, 1)
+        probe = np.frombuffer(b"".join(b["probe"]), np.int32).reshape(n, TABLES, PROBES)
+        every = np.concatenate([home, probe], axis=2).astype(np.int64)
+        with np.errstate(over="ignore"):
+            salt = mix64(b["label"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                         + b["dim"].to_numpy(np.int64).view(np.uint64))
+            key = mix64(salt[:, None, None] + mix64(every.view(np.uint64) * np.uint64(TABLES)
+                                                    + np.arange(TABLES, dtype=np.uint64)[None, :, None]))
+        out = pd.DataFrame({
+            "bucket": key.view(np.int64).ravel(), "tab": np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + PROBES), n),
+            "id": np.repeat(b["id"].to_numpy(), TABLES * (1 + PROBES)), "at_home": np.tile(np.arange(1 + PROBES) == 0, n * TABLES)})
+        yield out[(every >= 0).ravel()]
 
 
 def _met(h1, p1, h2, p2, t: int) -> np.ndarray:
@@ -139,8 +144,10 @@ def _merge(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _verify(g: pd.DataFrame) -> pd.DataFrame:
+def _verify(g: pd.DataFrame) -> pd.DataFrame | None:
     """(id, links, low) of the vectors of a block pair: links counted here, smallest id they lead to."""
+    if not g["at_home"].any():
+        return None
     g = g.sort_values("id").reset_index(drop=True)
     t = int(g["tab"].iloc[0])
     dim = len(g["vec"].iloc[0]) // 8
@@ -173,14 +180,32 @@ def _verify(g: pd.DataFrame) -> pd.DataFrame:
         links[i] += v @ size[lo:]
         links[lo:] += size[i] @ v
         pairs.append((at + lo, to + lo))
-    if not pairs:
-        return pd.DataFrame({"id": [], "links": [], "low": []})
+    if not links.any():
+        return None
     a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
     low = ids[_merge(len(g), a, b)]
     some = links > 0
     return pd.DataFrame({"id": ids[some], "links": links[some], "low": low[some]})
 
 
+def _verify_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_verify`` of every block pair of a partition sorted by them; one is held at a time."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        key = b[["bucket", "b1", "b2"]].to_numpy()
+        if not len(key):
+            continue
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        last = cut[-1] if len(cut) else 0
+        for lo, hi in zip(np.r_[0, cut[:-1]], cut, strict=False):
+            if (out := _verify(b.iloc[lo:hi])) is not None:
+                yield out
+        rest = b.iloc[last:].reset_index(drop=True)
+    if rest is not None and len(rest) and (out := _verify(rest)) is not None:
+        yield out
+
+
 def classify(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector of vectors (vec_id, embedding, label)."""
     scratch = Scratch(vectors.sparkSession)
@@ -189,20 +214,26 @@ def classify(vectors: DataFrame) -> DataFrame:
     good = (F.expr("forall(vec, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity'))")
             & F.expr("exists(vec, v -> v <> 0)") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     x = x.withColumn("good", F.coalesce(good, F.lit(False)))
-    print_ = [F.when(F.col("good"), F.xxhash64(F.lit(i), "label", "vec")).alias(f"f{i}") for i in (1, 2)]
-    members = scratch.keep(x.select("vec_id", "good", *print_).distinct())
-    sizes = members.where("good").groupBy("f1", "f2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size"))
-    sizes = scratch.keep(sizes)
-    classes = x.where("good").select(F.col("vec_id").alias("id"), "label", "vec", *print_) \
-        .join(sizes, ["id", "f1", "f2"]).dropDuplicates(["id", "f1", "f2"])
-    rows = scratch.keep(classes.select("id", "label", "vec", "size").mapInPandas(_spread, _ROWS))
-    crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(crowded, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "at_home"), F.col("blocks"))) \
+    marks = [F.xxhash64(F.lit(i), "label", "vec").alias(f"f{i}") for i in (1, 2)]
+    # one vector an id
+    members = scratch.keep(x.select("vec_id", F.when(F.col("good"), F.struct(*marks)).alias("f"))
+                           .groupBy("vec_id").agg(F.min("f").alias("f")).select("vec_id", "f.f1", "f.f2"))
+    sizes = scratch.keep(members.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(
+        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size")))
+    classes = x.where("good").select(F.col("vec_id").alias("id"), "label", "vec", *marks) \
+        .join(sizes, ["id", "f1", "f2"]).dropDuplicates(["id"])
+    coded = scratch.keep(classes.select("id", "label", "vec", "size").mapInPandas(_code, _CODED))
+    keys = scratch.keep(coded.select("id", "label", F.length("vec").alias("dim"), "home", "probe")
+                        .mapInPandas(_spread, "bucket long, tab int, id long, at_home boolean"))
+    crowded = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = keys.join(crowded, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
-    found = scratch.keep(rows.select("bucket", "tab", "id", "size", "at_home", "home", "probe", "vec", "block", "b1", "b2")
-                         .groupBy("bucket", "b1", "b2").applyInPandas(_verify, "id long, links long, low long"))
+    rows = rows.join(coded, "id").select("bucket", "b1", "b2", "tab", "id", "size", "at_home", "home", "probe", "vec", "block")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = scratch.keep(rows.repartition(parts, "bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2")
+                         .mapInPandas(_verify_sorted, "id long, links long, low long"))
     comp = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")), scratch)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     of_class = sizes.join(links, "id", "left").join(comp, "id", "left").select(
