@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
@@ -40,7 +41,9 @@ from .common import CACHE_WORDS, batch_udf, column_udf
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments solved at a time, and the longest that is solved with others.
-_GROUP, _LONG = 20_000, 48
+_GROUP, _LONG = 10_000, 48
+#: Texts encoded together.
+_SLICE = 500
 
 
 @dataclass(frozen=True)
@@ -149,14 +152,13 @@ class Transducer:
             n = i
         return out[::-1]
 
-    def _solve(self, words: list[str]) -> dict[str, np.ndarray]:
-        """``shortest`` of segments of at most _LONG characters, all at once."""
-        words = sorted(words, key=len, reverse=True)
+    def _solve(self, words: list[str]) -> list[bytes]:
+        """``shortest`` of segments of at most _LONG characters, longest first, all at once."""
         size = np.array([len(w) for w in words])
         m, longest, letters = len(words), int(size[0]), len(self.points)
         cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         at = np.minimum(np.searchsorted(self.points, cp), letters - 1)
-        char = np.full((m, longest), -1)
+        char = np.full((m, longest), -1, np.int32)
         cell = np.arange(longest) < size[:, None]
         char[cell] = np.where(self.points[at] == cp, at, -1)
         byte = np.zeros((m, longest))  # weight of the way over bytes, where no piece is the character itself
@@ -167,8 +169,8 @@ class Transducer:
                           for o, c in zip(odd, "".join(words), strict=True)]
         best = np.full((m, longest + 1), np.inf)
         best[:, 0] = 0
-        back = np.zeros((m, longest + 1), np.int64)
-        piece = np.full((m, longest + 1), -1)
+        back = np.zeros((m, longest + 1), np.int32)
+        piece = np.full((m, longest + 1), -1, np.int32)
         for i in range(longest):
             live = np.arange(np.searchsorted(-size, -i))  # sorted by length: those longer than i
             state = np.zeros(len(live), np.int64)
@@ -201,10 +203,11 @@ class Transducer:
             live = live[pos[live] > 0]
         path = np.array(steps[::-1]).T
         rows = path != -2
-        plain = path[rows].astype(np.int32)
-        out = dict(zip(words, np.split(plain, np.cumsum(rows.sum(axis=1))[:-1]), strict=True))
-        for w in {words[i] for i in np.flatnonzero((path == -1).any(axis=1))}:
-            out[w] = np.array(self.shortest(w), np.int32)
+        raw = path[rows].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(rows.sum(axis=1))).tolist()
+        out = [raw[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero((path == -1).any(axis=1)).tolist():  # paths over bytes
+            out[i] = np.array(self.shortest(words[i]), np.int32).tobytes()
         return out
 
     def learn(self, segments: Iterable[str]) -> None:
@@ -214,11 +217,12 @@ class Transducer:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = segments
-        short = sorted((w for w in new if 0 < len(w) <= _LONG), key=len)
+        short = sorted((w for w in new if 0 < len(w) <= _LONG), key=len, reverse=True)
         for i in range(0, len(short), _GROUP):
-            self.known.update((w, x.tobytes()) for w, x in self._solve(short[i:i + _GROUP]).items())
-        for w in [w for w in new if w not in self.known]:
-            self.known[w] = np.array(self.shortest(w), np.int32).tobytes()
+            self.known.update(zip(short[i:i + _GROUP], self._solve(short[i:i + _GROUP]), strict=True))
+        for w in new:
+            if not 0 < len(w) <= _LONG:
+                self.known[w] = np.array(self.shortest(w), np.int32).tobytes()
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Piece ids of each text."""
@@ -234,7 +238,7 @@ class Transducer:
         for text in texts:
             group.append([self.segment.findall(part) for part in self.normalise(text)])
             size += len(text)
-            if size > 4_000_000:  # characters; bounds what is held at once
+            if size > 1_000_000:  # characters; bounds what is held at once
                 yield from solved()
                 group, size = [], 0
         yield from solved()
@@ -251,21 +255,30 @@ _DIGEST = StructType([StructField("n_tokens", LongType()), StructField("ids_sha2
 
 
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs without text, with n_tokens and ids (columns of these names are replaced)."""
+    """docs without text, with n_tokens and ids (columns of these names are replaced).
+
+    Works on slices of the Arrow batches, so that a task holds the ids of
+    ``_SLICE`` texts and not of a whole batch.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))  # the vocabulary
+    rest = [c for c in docs.columns if c not in ("text", *_ENCODED.names)]
 
-    def encoder():
+    def run(batches):
         t = Transducer(shared.value)
-
-        def f(texts):
-            texts = list(texts)
-            ids = t.encode(x or "" for x in texts)
-            return [(len(i), i) if x is not None else (0, None) for x, i in zip(texts, ids, strict=True)]
-        return f
-
-    rest = [c for c in docs.columns if c not in ("text", *_ENCODED.names)]
-    return docs.select(F.struct(*rest).alias("row"), batch_udf(encoder, _ENCODED)(F.col("text")).alias("e")) \
-        .select("row.*", "e.*")
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                texts = part.column("text").to_pylist()
+                ids = list(t.encode(x or "" for x in texts))
+                ends = np.cumsum([0, *map(len, ids)])
+                none = np.array([x is None for x in texts])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()),
+                                                 mask=pa.array(none))
+                counts = pa.array(np.diff(ends), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), counts, lists], [*rest, *_ENCODED.names])
+
+    schema = StructType([docs.schema[c] for c in rest] + _ENCODED.fields)
+    return docs.select(*rest, "text").mapInArrow(run, schema)
 
 
 def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
