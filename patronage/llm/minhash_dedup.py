@@ -18,11 +18,12 @@ range partitioning on (tree, signature, id), which splits a region of any
 size; the first and last rows of each partition are compared in one small
 step. Candidates are confirmed on the full shingle sets. The first pass takes
 only rows side by side in the first ``FIRST`` trees and notes which sets have
-a neighbour in any tree; its links join most of each group of copies. The next
-passes take the whole window of those sets, but no pair of one component, and
-of a run of one component in a region only its ends, so a large group costs a
-few confirmations a member and not all its pairs. They go on, over the regions
-wider than the window, until they find no more links.
+a neighbour in any tree, the second rows side by side in all trees; their links
+join most of each group of copies. The next passes take the whole window. No
+pass takes a pair of one component, and of a run of one component in a region
+only its ends stand in the order, so a large group costs a few confirmations a
+member and not all its pairs. They go on, over the regions wider than the
+window, until they find no more links.
 
 Defined cases: a null or empty text, or one without words, has an empty set
 and no links; a text of fewer words than a shingle is one shingle; rows that
@@ -125,16 +126,17 @@ _TREE = "tree int, k1 long, k2 long, id long, comp long, s1 long, s2 long"
 _NEAR = f"a long, b long, wide boolean, part int, pos long, {_TREE}"
 
 
-def _pairs(x: dict[str, np.ndarray], first: bool, gap: np.ndarray | None = None) -> pd.DataFrame:
-    """Neighbours that share MIN_DEPTH levels and are not of one component, up to WINDOW rows apart.
+def _pairs(x: dict[str, np.ndarray], window: int, gap: np.ndarray | None = None) -> pd.DataFrame:
+    """Neighbours that share MIN_DEPTH levels and are not of one component, up to ``window`` rows apart.
 
-    In the first pass only adjacent rows count; beyond the first trees they
+    In the first pass (0) adjacent rows count; beyond the first trees they
     are noted as (id, id), in one row each.
     """
+    first = window == 0
     out = []
     region = np.cumsum(np.r_[True, (x["tree"][1:] != x["tree"][:-1]) | (x["k1"][1:] != x["k1"][:-1])
                              | (False if gap is None else gap[1:] != gap[:-1])]) if len(x["id"]) else np.zeros(0, int)
-    for w in range(1, 2 if first else WINDOW + 1):
+    for w in range(1, max(window, 1) + 1):
         if len(region) <= w:
             break
         at = np.flatnonzero((region[w:] == region[:-w]) & (x["comp"][w:] != x["comp"][:-w]))
@@ -150,8 +152,8 @@ def _pairs(x: dict[str, np.ndarray], first: bool, gap: np.ndarray | None = None)
             a, b, wide = a[near], b[near], np.zeros(int(near.sum()), bool)
         else:
             wide = np.zeros(len(at), bool)  # the region goes on past the window
-            past = at + WINDOW + 1 < len(region)
-            wide[past] = region[at[past] + WINDOW + 1] == region[at[past]]
+            past = at + window + 1 < len(region)
+            wide[past] = region[at[past] + window + 1] == region[at[past]]
         out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "wide": wide}))
     return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "wide": []})
 
@@ -162,7 +164,7 @@ def _ends_of_runs(b: pd.DataFrame) -> pd.DataFrame:
     return b[~(same & np.r_[same[1:], False])] if len(b) else b
 
 
-def _neighbours(first: bool):
+def _neighbours(window: int):
     """Pairs inside a sorted partition, and its first and last rows for the step over the borders."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
@@ -174,7 +176,7 @@ def _neighbours(first: bool):
             if sum(map(len, head)) < WINDOW:
                 head.append(b.iloc[:WINDOW - sum(map(len, head))])
             x = b if tail is None else pd.concat([tail, b], ignore_index=True)
-            yield _pairs({c: x[c].to_numpy() for c in _COLS}, first).assign(
+            yield _pairs({c: x[c].to_numpy() for c in _COLS}, window).assign(
                 part=None, pos=None, **dict.fromkeys(_COLS))
             tail = x.iloc[-WINDOW:]
             seen += len(b)
@@ -187,25 +189,25 @@ def _neighbours(first: bool):
     return run
 
 
-def _borders(first: bool):
+def _borders(window: int):
     """Pairs across the borders of partitions; 2 * WINDOW rows of each partition."""
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["part", "pos"])
         new = (np.diff(b["pos"].to_numpy(), prepend=0) != 1) & (b["pos"].to_numpy() > 0)
-        return _pairs({c: b[c].to_numpy() for c in _COLS}, first, np.cumsum(new))
+        return _pairs({c: b[c].to_numpy() for c in _COLS}, window, np.cumsum(new))
     return run
 
 
-def candidates(reps: DataFrame, scratch: Scratch, first: bool = False) -> DataFrame:
+def candidates(reps: DataFrame, scratch: Scratch, window: int) -> DataFrame:
     """Distinct (a, b, wide) of classes (id, comp, sig) that are neighbours in a tree."""
     rows = reps.mapInPandas(_plant, _TREE)
     order = ["tree", "k1", "k2", "id"]
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.keep(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                         .mapInPandas(_neighbours(first), _NEAR))
+                         .mapInPandas(_neighbours(window), _NEAR))
     inner = found.where("a IS NOT NULL").select("a", "b", "wide")
     across = found.where("a IS NULL").select("part", "pos", *_COLS).groupBy(F.lit("")).applyInPandas(
-        _borders(first), "a long, b long, wide boolean")
+        _borders(window), "a long, b long, wide boolean")
     return scratch.keep(inner.union(across).groupBy("a", "b").agg(F.max("wide").alias("wide")))
 
 
@@ -250,7 +252,7 @@ def classify(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     classes = scratch.keep(sets_of.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
                       .select("f1", "f2", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig")))
     # a repeated doc_id may stand for several classes; they are one vertex
-    found = candidates(classes.select("id", F.col("id").alias("comp"), "sig"), scratch, first=True)
+    found = candidates(classes.select("id", F.col("id").alias("comp"), "sig"), scratch, 0)
     crowd, tried = found.where("a = b").select(F.col("a").alias("id")), found.where("a < b").select("a", "b")
     # the texts travel once, to the partition of their id; the sets made there are that bucket of
     # a table, which every later join reads in place
@@ -260,16 +262,22 @@ def classify(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
                             .mapInPandas(_sets(shingle_words), "id long, s binary"), "id")
     links = confirmed(tried, sets, scratch)
     comp = components(links, scratch)
+    window = 1
     while not crowd.isEmpty():
         again = classes.join(crowd, "id").join(comp, "id", "left") \
             .select("id", F.coalesce("component", "id").alias("comp"), "sig")
-        pairs = scratch.keep(candidates(again, scratch).join(tried, ["a", "b"], "left_anti"))
+        pairs = scratch.keep(candidates(again, scratch, window).join(tried, ["a", "b"], "left_anti"))
         more = confirmed(pairs.select("a", "b"), sets, scratch)
-        if more.isEmpty():
+        if not more.isEmpty():
+            links = links.union(more)
+            comp = components(links, scratch)
+        elif window == WINDOW:
             break
-        links, tried = links.union(more), tried.union(pairs.select("a", "b"))
-        comp = components(links, scratch)
-        crowd = scratch.keep(pairs.where("wide").select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        tried = tried.union(pairs.select("a", "b"))
+        if window == WINDOW:
+            wide = pairs.where("wide")
+            crowd = scratch.keep(wide.select(F.col("a").alias("id")).union(wide.select(F.col("b").alias("id"))).distinct())
+        window = WINDOW
     reps = classes.join(comp, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
     out = rows.join(reps, ["f1", "f2"], "left")
     # a document without a set, or one row of several of a doc_id, is its own component
