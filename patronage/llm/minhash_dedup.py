@@ -1,16 +1,13 @@
 """MinHash near-duplicates with an LSH forest.
 
 Every set of shingles gets ``TREES`` signatures of ``LEVELS`` 16-bit MinHash
-values. One tree is the sets in signature order; sets that share a long prefix
-stand beside each other, so the candidates of a set are its neighbours in
-each order that share at least ``MIN_DEPTH`` levels (packed into one long).
-A sparse region hands out everything at that depth; in a dense region the
-``WINDOW`` neighbours are those of the longest common prefix, that is, the
-depth adapts to the region. A pair of similarity 0.8 shares four levels of one
-of 24 trees with probability 1 - 3e-6.
+values. One tree is the sets in signature order; the sets of a tree that share
+``MIN_DEPTH`` levels (packed into one long) are a region, and the candidates of
+a set are all others of its regions. A pair of similarity 0.8 shares a region
+of one of 24 trees with probability 1 - 3e-6.
 
 A row also carries one bit of each of ``SKETCH`` MinHash values. Sets of
-similarity s agree in (1 + s) / 2 of them; neighbours that differ in more than
+similarity s agree in (1 + s) / 2 of them; sets that differ in more than
 ``DIFFER`` bits are no candidates (at 0.8 that loses one pair in a million).
 
 Equal sets are one class from the start. All trees are sorted together by a
@@ -19,11 +16,11 @@ size; the first and last rows of each partition are compared in one small
 step. Candidates are confirmed on the full shingle sets. The first pass takes
 only rows side by side in the first ``FIRST`` trees and notes which sets have
 a neighbour in any tree, the second rows side by side in all trees; their links
-join most of each group of copies. The next passes take the whole window. No
-pass takes a pair of one component, and of a run of one component in a region
-only its ends stand in the order, so a large group costs a few confirmations a
-member and not all its pairs. They go on, over the regions wider than the
-window, until they find no more links.
+join most of each group of copies. The last takes all pairs of every region
+that are not of one component, so a large group is not compared with itself,
+but each set outside it with all its members. Regions of more than ``BLOCK``
+rows are cut into blocks, whose pairs are separate groups. No link is left
+after it, as no pair of a region is untried.
 
 Defined cases: a null or empty text, or one without words, has an empty set
 and no links; a text of fewer words than a shingle is one shingle; rows that
@@ -44,7 +41,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, mix64, shingles, written
 
 TREES, LEVELS, MIN_DEPTH = 24, 8, 4
-WINDOW = 10
+#: Rows of a region that are compared in one group, at most twice as many in a pair of blocks.
+BLOCK = 8192
 #: Trees whose adjacent rows the first pass confirms.
 FIRST = 3
 #: Bits of the sketch, and the most of them that candidates may differ in.
@@ -123,39 +121,23 @@ def _plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 _COLS = ["tree", "k1", "k2", "id", "comp", "s1", "s2"]
 _TREE = "tree int, k1 long, k2 long, id long, comp long, s1 long, s2 long"
-_NEAR = f"a long, b long, wide boolean, part int, pos long, {_TREE}"
+_NEAR = f"a long, b long, part int, pos long, {_TREE}"
 
 
-def _pairs(x: dict[str, np.ndarray], window: int, gap: np.ndarray | None = None) -> pd.DataFrame:
-    """Neighbours that share MIN_DEPTH levels and are not of one component, up to ``window`` rows apart.
+def _pairs(x: dict[str, np.ndarray], first: bool, gap: np.ndarray | None = None) -> pd.DataFrame:
+    """Adjacent rows that share MIN_DEPTH levels and are not of one component.
 
-    In the first pass (0) adjacent rows count; beyond the first trees they
-    are noted as (id, id), in one row each.
+    In the first pass, those of the first trees; the ids of all rows beside
+    another of their region are noted as (id, id), however much they differ.
     """
-    first = window == 0
-    out = []
     region = np.cumsum(np.r_[True, (x["tree"][1:] != x["tree"][:-1]) | (x["k1"][1:] != x["k1"][:-1])
                              | (False if gap is None else gap[1:] != gap[:-1])]) if len(x["id"]) else np.zeros(0, int)
-    for w in range(1, max(window, 1) + 1):
-        if len(region) <= w:
-            break
-        at = np.flatnonzero((region[w:] == region[:-w]) & (x["comp"][w:] != x["comp"][:-w]))
-        differ = sum(np.bitwise_count((x[s][at] ^ x[s][at + w]).view(np.uint64)).astype(int) for s in ("s1", "s2"))
-        at = at[differ <= DIFFER]
-        if not len(at):
-            continue
-        a, b = x["id"][at], x["id"][at + w]
-        if first:
-            ids = np.unique(np.concatenate([a, b]))
-            out.append(pd.DataFrame({"a": ids, "b": ids, "wide": False}))
-            near = x["tree"][at] < FIRST
-            a, b, wide = a[near], b[near], np.zeros(int(near.sum()), bool)
-        else:
-            wide = np.zeros(len(at), bool)  # the region goes on past the window
-            past = at + window + 1 < len(region)
-            wide[past] = region[at[past] + window + 1] == region[at[past]]
-        out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "wide": wide}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "wide": []})
+    at = np.flatnonzero((region[1:] == region[:-1]) & (x["comp"][1:] != x["comp"][:-1]))
+    noted = np.unique(np.concatenate([x["id"][at], x["id"][at + 1]])) if first else np.zeros(0, np.int64)
+    differ = sum(np.bitwise_count((x[s][at] ^ x[s][at + 1]).view(np.uint64)).astype(int) for s in ("s1", "s2"))
+    at = at[(differ <= DIFFER) & ((x["tree"][at] < FIRST) | (not first))]
+    a, b = x["id"][at], x["id"][at + 1]
+    return pd.DataFrame({"a": np.r_[np.minimum(a, b), noted], "b": np.r_[np.maximum(a, b), noted]})
 
 
 def _ends_of_runs(b: pd.DataFrame) -> pd.DataFrame:
@@ -164,7 +146,7 @@ def _ends_of_runs(b: pd.DataFrame) -> pd.DataFrame:
     return b[~(same & np.r_[same[1:], False])] if len(b) else b
 
 
-def _neighbours(window: int):
+def _neighbours(first: bool):
     """Pairs inside a sorted partition, and its first and last rows for the step over the borders."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
@@ -173,42 +155,124 @@ def _neighbours(window: int):
             if not len(b):
                 continue
             b = _ends_of_runs(b).reset_index(drop=True)
-            if sum(map(len, head)) < WINDOW:
-                head.append(b.iloc[:WINDOW - sum(map(len, head))])
+            if not head:
+                head.append(b.iloc[:1])
             x = b if tail is None else pd.concat([tail, b], ignore_index=True)
-            yield _pairs({c: x[c].to_numpy() for c in _COLS}, window).assign(
+            yield _pairs({c: x[c].to_numpy() for c in _COLS}, first).assign(
                 part=None, pos=None, **dict.fromkeys(_COLS))
-            tail = x.iloc[-WINDOW:]
+            tail = x.iloc[-1:]
             seen += len(b)
         if seen:
             begin = pd.concat(head, ignore_index=True)
             # a partition that the borders cover leaves no gap between them
             ends = pd.concat([begin.assign(pos=np.arange(len(begin))),
                               tail.assign(pos=np.arange(seen - len(tail), seen))]).drop_duplicates("pos")
-            yield ends.assign(a=None, b=None, wide=None, part=part)[["a", "b", "wide", "part", "pos", *_COLS]]
+            yield ends.assign(a=None, b=None, part=part)[["a", "b", "part", "pos", *_COLS]]
     return run
 
 
-def _borders(window: int):
-    """Pairs across the borders of partitions; 2 * WINDOW rows of each partition."""
+def _borders(first: bool):
+    """Pairs across the borders of partitions; two rows of each partition."""
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["part", "pos"])
         new = (np.diff(b["pos"].to_numpy(), prepend=0) != 1) & (b["pos"].to_numpy() > 0)
-        return _pairs({c: b[c].to_numpy() for c in _COLS}, window, np.cumsum(new))
+        return _pairs({c: b[c].to_numpy() for c in _COLS}, first, np.cumsum(new))
     return run
 
 
-def candidates(reps: DataFrame, scratch: Scratch, window: int) -> DataFrame:
-    """Distinct (a, b, wide) of classes (id, comp, sig) that are neighbours in a tree."""
+def candidates(reps: DataFrame, scratch: Scratch, first: bool) -> DataFrame:
+    """Distinct (a, b) of classes (id, comp, sig) that are adjacent in a tree."""
     rows = reps.mapInPandas(_plant, _TREE)
     order = ["tree", "k1", "k2", "id"]
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.keep(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                         .mapInPandas(_neighbours(window), _NEAR))
-    inner = found.where("a IS NOT NULL").select("a", "b", "wide")
+                         .mapInPandas(_neighbours(first), _NEAR))
+    inner = found.where("a IS NOT NULL").select("a", "b")
     across = found.where("a IS NULL").select("part", "pos", *_COLS).groupBy(F.lit("")).applyInPandas(
-        _borders(window), "a long, b long, wide boolean")
-    return scratch.keep(inner.union(across).groupBy("a", "b").agg(F.max("wide").alias("wide")))
+        _borders(first), "a long, b long")
+    return scratch.keep(inner.union(across).distinct())
+
+
+def meetings(rows: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """The rows (region, id, comp, ...) of regions of several components, with the groups they meet in.
+
+    A region of ``block`` rows or less is one group. A wider one is cut into
+    blocks (name), those of a component of more rows than that apart from the
+    others, and every two blocks but those of one component are a group (meet).
+    """
+    sizes = scratch.keep(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"),
+                                                    F.max("comp").alias("hi")).where("n > 2 AND lo < hi").select("region", "n"))
+    rows = scratch.keep(rows.join(sizes, "region"))
+    zero = F.lit(0).cast("long")
+    narrow = rows.where(F.col("n") <= block).drop("n").withColumns({"name": zero, "meet": zero})
+    wide = rows.where(F.col("n") > block).drop("n")
+    units = wide.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("c")) \
+        .withColumn("big", F.col("c") > block).withColumn("unit", F.when(F.col("big"), F.col("comp")).otherwise(zero))
+    whole = units.groupBy("region", "big", "unit").agg(F.ceil(F.sum("c") / block).alias("blocks"))
+    units = scratch.keep(units.join(whole, ["region", "big", "unit"]).select("region", "comp", "big", "unit", "blocks"))
+    name = F.xxhash64("big", "unit", "block")
+    names = scratch.keep(units.drop("comp").distinct().withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+                         .select("region", "big", "unit", name.alias("name")))
+    x, y = names.alias("x"), names.alias("y")
+    apart = F.expr("x.name < y.name AND NOT (x.big AND y.big AND x.unit = y.unit) OR x.name = y.name AND NOT x.big")
+    two = x.join(y, (F.col("x.region") == F.col("y.region")) & apart).select(
+        "x.region", F.array_distinct(F.array("x.name", "y.name")).alias("names"), F.xxhash64("x.name", "y.name").alias("meet"))
+    two = two.select("region", F.explode("names").alias("name"), "meet")
+    dealt = wide.join(units, ["region", "comp"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))) \
+        .withColumn("name", name).drop("big", "unit", "blocks", "block").join(two, ["region", "name"])
+    return narrow.unionByName(dealt)
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The groups (region, meet) of a partition sorted by them; one is held at a time."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        r, m = b["region"].to_numpy(), b["meet"].to_numpy()
+        if held and (held[-1]["region"].iloc[-1], held[-1]["meet"].iloc[-1]) != (r[0], m[0]):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        cut = np.r_[0, np.flatnonzero((r[1:] != r[:-1]) | (m[1:] != m[:-1])) + 1, len(b)]
+        for lo, hi in zip(cut[:-2], cut[1:-1], strict=True):
+            yield pd.concat([*held, b.iloc[lo:hi]], ignore_index=True) if held else b.iloc[lo:hi]
+            held = []
+        held.append(b.iloc[cut[-2]:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _others(comp: np.ndarray, name: np.ndarray, step: int) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(rows, later rows, which pairs count) of a group sorted by component: all pairs of two components, and of two blocks if there are two."""
+    two = len(name) > 0 and (name != name[0]).any()
+    for lo in range(0, len(comp), step):
+        i, j = slice(lo, min(lo + step, len(comp))), slice(int(np.searchsorted(comp, comp[lo], "right")), len(comp))
+        if j.start == j.stop:
+            return
+        v = comp[i][:, None] < comp[j][None, :]
+        yield i, j, v & (name[i][:, None] != name[j][None, :]) if two else v
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pairs of a group of two components whose sketches are near."""
+    for g in _groups(batches):
+        g = g.iloc[np.argsort(g["comp"].to_numpy(), kind="stable")]
+        ids, s1, s2 = g["id"].to_numpy(), g["s1"].to_numpy().view(np.uint64), g["s2"].to_numpy().view(np.uint64)
+        for i, j, v in _others(g["comp"].to_numpy(), g["name"].to_numpy(), 256):
+            v &= np.bitwise_count(s1[i][:, None] ^ s1[j]) + np.bitwise_count(s2[i][:, None] ^ s2[j]) <= DIFFER
+            at, to = np.nonzero(v)
+            a, b = ids[i][at], ids[j][to]
+            if len(a):
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def regions(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct (a, b) of classes (id, comp, sig) that share a region, not a component."""
+    rows = reps.mapInPandas(_plant, _TREE).select(F.xxhash64("tree", "k1").alias("region"), "id", "comp", "s1", "s2")
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = meetings(rows, BLOCK, scratch).select("id", "comp", "s1", "s2", "region", "name", "meet")
+    return scratch.keep(dealt.repartition(parts, "region", "meet").sortWithinPartitions("region", "meet")
+                        .mapInPandas(_compare, "a long, b long").distinct())
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +316,7 @@ def classify(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     classes = scratch.keep(sets_of.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
                       .select("f1", "f2", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig")))
     # a repeated doc_id may stand for several classes; they are one vertex
-    found = candidates(classes.select("id", F.col("id").alias("comp"), "sig"), scratch, 0)
+    found = candidates(classes.select("id", F.col("id").alias("comp"), "sig"), scratch, True)
     crowd, tried = found.where("a = b").select(F.col("a").alias("id")), found.where("a < b").select("a", "b")
     # the texts travel once, to the partition of their id; the sets made there are that bucket of
     # a table, which every later join reads in place
@@ -262,22 +326,15 @@ def classify(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
                             .mapInPandas(_sets(shingle_words), "id long, s binary"), "id")
     links = confirmed(tried, sets, scratch)
     comp = components(links, scratch)
-    window = 1
-    while not crowd.isEmpty():
+    for search in (lambda x: candidates(x, scratch, False), lambda x: regions(x, scratch)):
         again = classes.join(crowd, "id").join(comp, "id", "left") \
             .select("id", F.coalesce("component", "id").alias("comp"), "sig")
-        pairs = scratch.keep(candidates(again, scratch, window).join(tried, ["a", "b"], "left_anti"))
-        more = confirmed(pairs.select("a", "b"), sets, scratch)
+        pairs = scratch.keep(search(again).join(tried, ["a", "b"], "left_anti"))
+        more = confirmed(pairs, sets, scratch)
         if not more.isEmpty():
             links = links.union(more)
             comp = components(links, scratch)
-        elif window == WINDOW:
-            break
-        tried = tried.union(pairs.select("a", "b"))
-        if window == WINDOW:
-            wide = pairs.where("wide")
-            crowd = scratch.keep(wide.select(F.col("a").alias("id")).union(wide.select(F.col("b").alias("id"))).distinct())
-        window = WINDOW
+        tried = tried.union(pairs)
     reps = classes.join(comp, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
     out = rows.join(reps, ["f1", "f2"], "left")
     # a document without a set, or one row of several of a doc_id, is its own component

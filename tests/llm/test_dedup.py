@@ -63,6 +63,23 @@ def test_minhash_dense_region(spark):
     assert got == brute_components(rows, 2)
 
 
+@pytest.mark.parametrize(("copies", "block"), [(40, 8192), (200, 64), (2000, 8192)])
+def test_minhash_star(spark, monkeypatch, copies, block):
+    """Copies that are similar to their base only, not to each other."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    base = ["w%d" % i for i in range(1000)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, copies + 1):
+        words = list(base)
+        for k in rng.choice(1000, 81, replace=False):
+            words[k] = "q%d" % rng.integers(10**9)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.classify(docs, 1).collect()}
+    assert got == dict.fromkeys(range(copies + 1), 0)
+
+
 def test_minhash_empty_and_keep_one(spark, corpus, rows):
     assert minhash_dedup.classify(corpus.where("false")).collect() == []
     out = minhash_dedup.keep_one(corpus, 5)
