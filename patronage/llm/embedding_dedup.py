@@ -58,8 +58,8 @@ def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.pad(x, ((0, 0), (0, d - dim)))
     rng = np.random.default_rng(SEED + d)
     best = min(d, PROBES + 1)
-    home = np.zeros((n, TABLES), np.int32)
-    probe = np.full((n, TABLES, PROBES), -1, np.int32)
+    home = np.zeros((n, TABLES), np.int64)  # codes run up to (2 * d) ** HASHES
+    probe = np.full((n, TABLES, PROBES), -1, np.int64)
     rows = np.arange(n)
     for t in range(TABLES):
         near, loss = [], []
@@ -108,9 +108,9 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(b):
             continue
         n = len(b)
-        home = np.frombuffer(b"".join(b["home"]), np.int32).reshape(n, TABLES, 1)
-        probe = np.frombuffer(b"".join(b["probe"]), np.int32).reshape(n, TABLES, PROBES)
-        every = np.concatenate([home, probe], axis=2).astype(np.int64)
+        home = np.frombuffer(b"".join(b["home"]), np.int64).reshape(n, TABLES, 1)
+        probe = np.frombuffer(b"".join(b["probe"]), np.int64).reshape(n, TABLES, PROBES)
+        every = np.concatenate([home, probe], axis=2)
         with np.errstate(over="ignore"):
             salt = mix64(b["label"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                          + b["dim"].to_numpy(np.int64).view(np.uint64))
@@ -152,8 +152,8 @@ def _verify(g: pd.DataFrame) -> pd.DataFrame | None:
     t = int(g["tab"].iloc[0])
     dim = len(g["vec"].iloc[0]) // 8
     x = np.frombuffer(b"".join(g["vec"]), np.float64).reshape(-1, dim)
-    home = np.frombuffer(b"".join(g["home"]), np.int32).reshape(-1, TABLES)
-    probe = np.frombuffer(b"".join(g["probe"]), np.int32).reshape(-1, TABLES, PROBES)
+    home = np.frombuffer(b"".join(g["home"]), np.int64).reshape(-1, TABLES)
+    probe = np.frombuffer(b"".join(g["probe"]), np.int64).reshape(-1, TABLES, PROBES)
     own, ids, size = g["at_home"].to_numpy(), g["id"].to_numpy(), g["size"].to_numpy()
     block, one = g["block"].to_numpy(), g["b1"].iloc[0] == g["b2"].iloc[0]
     links = np.zeros(len(g), np.int64)

@@ -199,3 +199,13 @@ def test_embeddings_equal_brute_force(spark, vectors, block, monkeypatch):
     assert {tuple(r)[:3] for r in got if r.vec_id is not None} == brute_vectors(vectors)
     assert len(got) == len({r[0] for r in vectors})
     assert embedding_dedup.classify(df.where("false")).collect() == []
+
+
+def test_embeddings_of_768_dimensions(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(30):
+        base = rng.normal(size=768)
+        rows += [(3 * i + k, (base + rng.normal(size=768) * 0.08 * k).tolist(), 1) for k in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {tuple(r)[:3] for r in embedding_dedup.classify(df).collect()} == brute_vectors(rows)
