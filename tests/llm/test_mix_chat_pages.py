@@ -147,6 +147,26 @@ def test_pages(spark):
     assert template_extract.extract(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("attribute", ['style="overflow:hidden"', 'aria-hidden="false"', 'data-title="Hidden gems"'])
+def test_pages_loose_signs_keep_an_element(attribute):
+    assert template_extract.main_text(f"<article><p>One</p><div {attribute}><p>Two</p></div></article>", [], 1) == "One\n\nTwo"
+
+
+@pytest.mark.parametrize("sign", ["hidden", 'hidden=""', 'style="color:red; display : none"', "aria-hidden=true"])
+def test_pages_hidden_parts_go(sign):
+    assert template_extract.main_text(f"<article><p>One</p><div {sign}><p>Two</p></div></article>", [], 1) == "One"
+
+
+def test_pages_class_words_need_the_template(spark):
+    page = ('<body class="has-sidebar"><main id="main-no-sidebar"><article class="post has-comments"><p>Story {n}</p>{more}'
+            '<div class="related"><p>See {n}</p></div></article></main></body>')
+    df = spark.createDataFrame([(i, "http://d.example/%d" % i, page.format(
+        n=i, more='<section class="social"><p>Social history</p></section>' if i == 3 else "")) for i in range(5)],
+                               "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in template_extract.extract(df).collect()}
+    assert got == {i: f"Story {i}" + ("\n\nSocial history" if i == 3 else "") for i in range(5)}
+
+
 def test_pages_without_article_use_the_template(spark):
     page = ("<html><body><div><p>Home</p><p>Shop</p></div><div><p>Story {n} of the day with many words {n}</p><p>More {n}</p></div>"
             "<div><p>All rights reserved</p></div></body></html>")
