@@ -34,11 +34,17 @@ class Scratch:
     That cuts the lineage as ``checkpoint()`` does, and a lost executor costs
     no recomputation; unlike a checkpointed plan, the new one carries no
     inherited constraints, which grow from round to round of an iteration.
+    What ``clear`` has not deleted goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.n, self.tables = spark, 0, []
         self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/patronage-{uuid.uuid4().hex}"
+        self._files().deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(self.path))
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -50,7 +56,7 @@ class Scratch:
         """Write a frame as a table in buckets of ``key``: joins on the key read it without a shuffle."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"patronage_{uuid.uuid4().hex}"
-        df.write.bucketBy(parts, key).format("parquet").saveAsTable(name)
+        df.write.bucketBy(parts, key).format("parquet").option("path", f"{self.path}/{name}").saveAsTable(name)
         self.tables.append(name)
         return self.spark.table(name)
 
@@ -58,8 +64,7 @@ class Scratch:
         """Delete the files, once all that depends on them is written."""
         for name in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path), True)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import (chat_format, embedding_dedup, line_quality, minhash_dedup, quality_classifier, sentencepiece_fst,
-               source_mix, sql, suffix_dedup, template_extract, wordpiece_count)
+from . import (centroid_clusters, chat_format, decontaminate, embedding_dedup, importance_resample, line_quality,
+               minhash_dedup, quality_classifier, sentencepiece_fst, source_mix, sql, suffix_dedup, template_extract,
+               wordpiece_count)
 from .common import table
 
 
@@ -56,6 +57,18 @@ def op10_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -68,6 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece_fst": op8_sentencepiece_fst,
         "op9_line_quality": op9_line_quality,
         "op10_template_extract": op10_template_extract,
+        "op11_centroid_clusters": op11_centroid_clusters,
+        "op12_decontaminate": op12_decontaminate,
+        "op13_importance_resample": op13_importance_resample,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -78,4 +94,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_source_mix": source_mix.PLAN_SQL,
         "op6_chat_format": sql.chat_digest(),
         "op7_embedding_dedup": sql.VECTOR_LINKS,
+        "op11_centroid_clusters": centroid_clusters.cluster_sql(),
+        "op12_decontaminate": decontaminate.DIGEST_SQL,
+        "op13_importance_resample": importance_resample.SCORE_SQL,
     }
