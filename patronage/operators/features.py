@@ -11,6 +11,7 @@ from pyspark.sql.types import NumericType
 from ..functions.scaling import attach_row, nan_to_null
 from ..functions.validation import require_columns
 from ..sources import tables as src
+from ..storage import kept
 from .order_stats import quantiles, select_ranks
 from .rfm import rfm_from_transactions
 
@@ -85,10 +86,11 @@ def hash_unit(*parts):
 def _class_ranks(df: DataFrame, u, stratify: str | None, ranks) -> tuple[dict, dict]:
     """Class sizes, and per class the value of ``u`` at each rank of ``ranks(class, sizes)``."""
     cls = F.col(stratify) if stratify else F.lit(0)
-    keyed = df.select(cls.alias("c"), u.alias("u"))
+    keyed = kept(df.select(cls.alias("c"), u.alias("u")))
     sizes = {r["c"]: r["n"] for r in keyed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a class
-    requests = {(c, r): (F.col("c").eqNullSafe(F.lit(c)), "u", r) for c in sizes for r in ranks(c, sizes) if r >= 0}
-    return sizes, {k: v[0] for k, v in select_ranks(keyed, requests).items() if v is not None}
+    own = {c: F.col("c").eqNullSafe(F.lit(c)) for c in sizes}
+    requests = {(c, r): (own[c], "u", r) for c in sizes for r in ranks(c, sizes) if r >= 0}
+    return sizes, {k: v for k, v in select_ranks(keyed, requests).items() if v is not None}
 
 
 def split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: int = 42, exact: bool = False,

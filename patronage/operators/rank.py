@@ -43,21 +43,6 @@ def global_rank(df: DataFrame, order_cols, name: str = "rn") -> DataFrame:
     )
 
 
-def quantile_bin(rn, n: int, q: int = 5):
-    """Bin 1..q of position ``rn`` among ``n`` rows, edges interpolated.
-
-    Equals ``qcut(rank, q)``: bin = ceil(q (rn - 1) / (n - 1)), at least 1.
-    Written with the integer edge ranks e_i = floor(i (n - 1) / q) + 1:
-    bin = 1 + #{i : rn > e_i}.
-    """
-    rn = F.col(rn) if isinstance(rn, str) else rn
-    out = F.lit(1)
-    for i in range(1, q):
-        edge = (i * (n - 1)) // q + 1
-        out = out + F.when(rn > F.lit(edge), 1).otherwise(0)
-    return out
-
-
 def prefix_sums(df: DataFrame, order_cols, value_cols, group_cols=(), inclusive: bool = False,
                 suffix: str = "_before") -> DataFrame:
     """Running sums of ``value_cols`` along ``order_cols`` within each group,

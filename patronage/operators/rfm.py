@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import as_timestamp, literal_like, whole_days
 from ..functions.scaling import nan_to_null, zscore
 from ..functions.validation import require_columns
+from ..storage import kept
 from .order_stats import select_ranks
-from .rank import global_rank
 
 # Segment labels in rule order (must equal the reference's).
 SEGMENTS = [
@@ -51,60 +51,42 @@ def rfm_from_transactions(txn: DataFrame, customer_col: str = "customer_id",
     )
 
 
-def _column_facts(df: DataFrame, cols) -> dict:
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count(c).alias(f"nn_{i}") for i, c in enumerate(cols)]).first()
-    return {"n": int(row["n"]), **{c: int(row[f"nn_{i}"]) for i, c in enumerate(cols)}}
-
-
-def _tied_id(df: DataFrame, col: str, value: float, id_col: str, rank: int):
-    """The id at ``rank`` (0-based) among the rows of one value, for ids that are no numbers."""
-    tied = df.where(F.col(col).cast("double") == F.lit(value)).select(id_col)
-    return global_rank(tied, [F.col(id_col)], "__rn").where(F.col("__rn") == rank + 1).first()[id_col]
-
-
 def rfm_scores(rfm: DataFrame, recency_col: str = "recency", frequency_col: str = "frequency",
                monetary_col: str = "monetary", id_col: str = "customer_id",
                method: str = "quantile") -> DataFrame:
     """R/F/M scores 1..5 by quintile of the rank and their sum RFM_score.
 
     Low recency scores 5; high frequency and monetary score 5. Ties are
-    broken by ``id_col`` ascending. A column with a missing value (null or
-    NaN), or a frame of one row, scores 3 throughout (the reference's
-    fallback). Only the four edge rows of a column are looked for, by counting
-    passes over all columns at once; no row is sorted or shuffled.
+    broken by ``id_col`` ascending, in its own type. A column with a missing
+    value (null or NaN), or a frame of one row, scores 3 throughout (the
+    reference's fallback). The frame is written once; only the four edge rows
+    of a column are looked for (``order_stats``), no row is sorted or shuffled.
     """
     if method != "quantile":
         raise ValueError("only the 'quantile' method is supported")
     require_columns(rfm, [id_col, recency_col, frequency_col, monetary_col], "rfm_scores")
     cols = [recency_col, frequency_col, monetary_col]
-    rfm = nan_to_null(rfm, cols)
-    facts = _column_facts(rfm, cols)
-    n = facts["n"]
-    edges = [(i * (n - 1)) // 5 for i in range(1, 5)]  # 0-based ranks of the last rows of bins 1..4
-    ranked = [c for c in cols if n > 1 and facts[c] == n]
-    found = select_ranks(rfm, {(c, e): (None, c, e) for c in ranked for e in edges})
-    # among rows of an edge's value the id decides
-    numeric = dict(rfm.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
-    if numeric:
-        ids = select_ranks(rfm, {k: (F.col(k[0]).cast("double") == F.lit(v), id_col, t) for k, (v, t) in found.items()})
-        tie = F.col(id_col).cast("double")
-        last = {k: F.lit(x[0]) for k, x in ids.items()}
-    else:
-        tie = F.col(id_col)
-        last = {k: F.lit(_tied_id(rfm, k[0], v, id_col, t)) for k, (v, t) in found.items()}
-    out = rfm
+    out = rfm = kept(nan_to_null(rfm, cols))
+
+    def edge(i: int):
+        """0-based rank of the last row of bin i, if no value is missing and there are two rows."""
+        return lambda n, rows: (i * (n - 1)) // 5 if n == rows and n > 1 else None
+
+    found = select_ranks(rfm, {(c, i): (None, c, edge(i)) for c in cols for i in range(1, 5)}, id_col)
+    id_type = rfm.schema[id_col].dataType
+    tie = F.col(id_col)
     for c, score, reverse in ((recency_col, "R_score", True),
                               (frequency_col, "F_score", False),
                               (monetary_col, "M_score", False)):
-        if c not in ranked:
+        if found[c, 1] is None:
             out = out.withColumn(score, F.lit(3))
             continue
         v = F.col(c).cast("double")
         b = F.lit(1)
-        for e in edges:
-            edge = F.lit(found[c, e][0])
-            b = b + F.when((v > edge) | ((v == edge) & (tie > last[c, e])), 1).otherwise(0)
+        for i in range(1, 5):
+            value, last = found[c, i]
+            later = tie.isNotNull() if last is None else tie > F.lit(last).cast(id_type)
+            b = b + F.when((v > F.lit(value)) | ((v == F.lit(value)) & later), 1).otherwise(0)
         out = out.withColumn(score, (F.lit(6) - b) if reverse else b)
     return out.withColumn("RFM_score", F.col("R_score") + F.col("F_score") + F.col("M_score"))
 

@@ -1,4 +1,7 @@
+from decimal import Decimal
+
 import numpy as np
+import pytest
 
 from patronage.functions.scaling import zscore
 from patronage.operators.clv.summary import clv_summary
@@ -6,6 +9,7 @@ from patronage.operators.cohort import cohort_report
 from patronage.operators.dbscan import dbscan
 from patronage.operators.features import folds, impute_median, split
 from patronage.operators.metrics import classification_metrics, regression_metrics
+from patronage.operators import order_stats
 from patronage.operators.order_stats import quantiles, select_ranks
 from patronage.operators.rfm import rfm_from_transactions, rfm_scores
 from pyspark.sql import functions as F
@@ -27,6 +31,41 @@ def test_quantiles_equal_numpy(spark):
     assert select_ranks(df, {"x": (None, "ties", 400)}) == {"x": None}
 
 
+@pytest.mark.parametrize(("grid", "margin"), [(1000, 2), (4, 0)])
+def test_ranks_with_ids_of_any_type(spark, monkeypatch, grid, margin):
+    """Large numbers, strings with a shared head, repeated and null ids; brackets that miss are widened."""
+    monkeypatch.setattr(order_stats, "GRID", grid)
+    monkeypatch.setattr(order_stats, "MARGIN", margin)
+    rng = np.random.default_rng(4)
+    value = [float(x) for x in rng.choice([1.0, 1.0, 1.0, 2.0, 7.5, -3.0], 900)]
+    for kind, ids in (("long", [2**60 + int(i) for i in rng.permutation(900)]),
+                      ("string", ["customer-%07d" % i for i in rng.permutation(900)]),
+                      ("string", [None if i == 3 else "é" * (i % 5) + str(i // 2) for i in range(900)]),
+                      ("decimal(20,0)", [Decimal(2**60 + int(i)) for i in rng.permutation(900)])):
+        df = spark.createDataFrame([(i, v, "x") for i, v in zip(ids, value)], f"who {kind}, value double, id string").repartition(6)
+        want = sorted(zip(value, ids), key=lambda r: (r[0], r[1] is not None, r[1].encode() if isinstance(r[1], str) else r[1]))
+        ranks = [0, 1, 100, 449, 450, 700, 898, 899]
+        got = select_ranks(df, {r: (None, "value", r) for r in ranks}, "who")
+        assert [got[r] for r in ranks] == [want[r] for r in ranks]
+
+
+def test_scores_of_large_ids_and_jobs(spark):
+    """All ties: 200 customers a score; ids beyond 2^53 are told apart, and the log is read once."""
+    for kind, ids in (("long", [2**60 + i for i in range(1000)]), ("string", ["%020d" % (2**60 + i) for i in range(1000)])):
+        df = spark.createDataFrame([(i, 1, 2, 3.0) for i in ids], f"customer_id {kind}, recency long, frequency long, monetary double")
+        got = rfm_scores(df).orderBy("customer_id").collect()
+        assert [r.F_score for r in got] == [1 + sum(i > j * 999 // 5 for j in range(1, 5)) for i in range(1000)]
+        assert [r.R_score for r in got] == [6 - r.F_score for r in got]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        read.add(1)
+        return x
+    rfm_scores(df.withColumn("frequency", seen("frequency"))).count()
+    assert read.value == 1000
+
+
 def test_nan_counts_as_missing(spark):
     txn = spark.createDataFrame([(1, "2024-01-01", 10.0), (1, "2024-01-05", NAN), (2, "2024-02-01", 5.0)],
                                 "customer_id long, date string, amount double").withColumn("date", F.to_timestamp("date"))

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from patronage.operators import rfm
-from patronage.operators.rank import quantile_bin
 
 
 def _txn(spark):
@@ -55,13 +54,6 @@ def test_scores_match_qcut_rule_and_ranges(spark):
     assert got.RFM_score.between(3, 15).all()
 
 
-@pytest.mark.parametrize("n", [2, 3, 4, 7, 11, 26])
-def test_quantile_bin_edges(spark, n):
-    df = spark.range(1, n + 1).withColumn("b", quantile_bin(F.col("id"), n))
-    got = [r.b for r in df.orderBy("id").collect()]
-    assert got == [max(1, math.ceil(5 * (rn - 1) / (n - 1))) for rn in range(1, n + 1)]
-
-
 def test_single_row_scores_three(spark):
     df = spark.createDataFrame([(1, 30, 1, 100.0)], "customer_id long, recency long, frequency long, monetary double")
     r = rfm.rfm_scores(df).first()
