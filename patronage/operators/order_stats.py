@@ -34,8 +34,13 @@ GRID, ACCURACY = 1000, 10_000
 MARGIN = 2
 
 
-def _sketch(v: Column) -> list[Column]:
-    return [F.count(v), F.min(v), F.max(v), F.percentile_approx(v, [i / GRID for i in range(GRID + 1)], ACCURACY)]
+def _sketch(v: Column, points: Column) -> list[Column]:
+    return [F.count(v), F.min(v), F.max(v), F.percentile_approx(v, points, ACCURACY)]
+
+
+def _points() -> Column:
+    """0, 1 / GRID, ... 1 as one literal: an array of as many literals costs a call to the driver's JVM each."""
+    return F.split(F.lit(" ".join(str(i / GRID) for i in range(GRID + 1))), " ").cast("array<double>")
 
 
 def _bracket(sketch, rank: int, margin: int) -> tuple[float, float]:
@@ -88,8 +93,9 @@ def select_ranks(df: DataFrame, requests: dict, id_col: str | None = None) -> di
     df = kept(df.select(*[F.when(yes if cond is None else cond, F.nanvl(F.col(col).cast("double"), F.lit(None))).alias(f"v{g}")
                           for g, cond, col in groups.values()], *([F.col(id_col).alias("id")] if id_col else [])))
     position = _id_position(df, "id") if id_col else None
+    points = _points()
     first = df.agg(F.count(F.lit(1)).alias("rows"), *[
-        x.alias(f"{g}_{k}") for g, *_ in groups.values() for k, x in enumerate(_sketch(F.col(f"v{g}")))]).first()
+        x.alias(f"{g}_{k}") for g, *_ in groups.values() for k, x in enumerate(_sketch(F.col(f"v{g}"), points))]).first()
     sketch = {g: [first[f"{g}_{k}"] for k in range(4)] for g, *_ in groups.values()}
     out, rank, margin = {}, {}, {}
     for n, (_, _, r) in requests.items():
@@ -111,7 +117,7 @@ def select_ranks(df: DataFrame, requests: dict, id_col: str | None = None) -> di
 
 def _located(df: DataFrame, wanted: dict, margin: dict, position: Column | None) -> tuple[dict, dict]:
     """{name: ("at", value, rank among its rows) or ("in", (lo, hi), rank inside)}, and the id sketches at values."""
-    place, ids_at = {}, {}
+    place, ids_at, points = {}, {}, _points()
     while len(place) < len(wanted):
         open_ = [n for n in wanted if n not in place]
         ends = {n: _bracket(wanted[n][1], wanted[n][2], margin[n]) for n in open_}
@@ -122,7 +128,7 @@ def _located(df: DataFrame, wanted: dict, margin: dict, position: Column | None)
                 aggs.append(F.count(F.when(c, 1)).alias(f"c{i}_{k}"))
         at = sorted({(wanted[n][0], x) for n in open_ for x in ends[n]}) if position is not None else []
         for j, (c, x) in enumerate(at):
-            aggs += [s.alias(f"s{j}_{k}") for k, s in enumerate(_sketch(F.when(F.col(c) == F.lit(x), position)))]
+            aggs += [s.alias(f"s{j}_{k}") for k, s in enumerate(_sketch(F.when(F.col(c) == F.lit(x), position), points))]
         row = df.agg(*aggs).first()
         for j, key in enumerate(at):
             ids_at[key] = [row[f"s{j}_{k}"] for k in range(4)]
