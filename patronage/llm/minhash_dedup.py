@@ -13,19 +13,29 @@ similarity s agree in (1 + s) / 2 of them; sets that differ in more than
 Equal sets are one class from the start. All trees are sorted together by a
 range partitioning on (tree, signature, id), which splits a region of any
 size; the first and last rows of each partition are compared in one small
-step. Candidates are confirmed on the full shingle sets. The first pass takes
-only rows side by side in the first ``FIRST`` trees and notes which sets have
-a neighbour in any tree, the second rows side by side in all trees; their links
-join most of each group of copies. The last takes all pairs of every region
-that are not of one component, so a large group is not compared with itself,
-but each set outside it with all its members. Regions of more than ``BLOCK``
-rows are cut into blocks, whose pairs are separate groups. No link is left
-after it, as no pair of a region is untried.
+step. The rows side by side in a tree are those with the longest common
+prefix, to whatever depth the region has. Candidates are confirmed on the full
+shingle sets. The first pass takes only the neighbours of the first ``FIRST``
+trees and notes which sets have a neighbour in any tree, the second the
+neighbours in all trees; their links join most of each group of copies.
+
+Regions that are still wide (three rows or more, of several components) are
+not compared by pairs, as deeper levels do not part sets of similarity 0.75
+from those of 0.8. Their sets are filtered exactly: shingles are ordered from
+rare to frequent, by a table of ``SLOTS`` counts over these sets that is added
+up from all tasks, and a set is listed under its first shingles, as many as a
+partner of similarity 0.8 cannot all lack. Two sets listed under one shingle
+are candidates only if what follows it in the shorter rest could still make
+the similarity (and if their sketches are near). Sets that share a licence or
+a passage have it last in their order, so they list no pairs. A shingle of more
+than ``BLOCK`` sets is cut into blocks, whose pairs are separate groups. No link
+is left after this, as every pair that could be one is listed.
 
 Defined cases: a null or empty text, or one without words, has an empty set
 and no links; a text of fewer words than a shingle is one shingle; rows that
 repeat a doc_id are one document, linked if any of its texts is; rows with a
-null doc_id come back with null component and are kept.
+null doc_id come back with null component and are kept. ``keep_one`` decides by
+row: rows that repeat a doc_id, or have none, are documents of their own.
 """
 from __future__ import annotations
 
@@ -41,8 +51,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, mix64, shingles, written
 
 TREES, LEVELS, MIN_DEPTH = 24, 8, 4
-#: Rows of a region that are compared in one group, at most twice as many in a pair of blocks.
+#: Sets under a shingle that are compared in one group, at most twice as many in a pair of blocks.
 BLOCK = 8192
+#: Counts of the table that tells rare shingles from frequent ones; it only sets the order, the result is the same with any.
+SLOTS = 1 << 18
+#: Groups up to this size are compared together.
+NARROW = 64
 #: Trees whose adjacent rows the first pass confirms.
 FIRST = 3
 #: Bits of the sketch, and the most of them that candidates may differ in.
@@ -194,14 +208,14 @@ def candidates(reps: DataFrame, scratch: Scratch, first: bool) -> DataFrame:
 
 
 def meetings(rows: DataFrame, block: int, scratch: Scratch) -> DataFrame:
-    """The rows (region, id, comp, ...) of regions of several components, with the groups they meet in.
+    """The rows (region, id, comp, ...) of regions (shingles) of several components, with the groups they meet in.
 
     A region of ``block`` rows or less is one group. A wider one is cut into
     blocks (name), those of a component of more rows than that apart from the
     others, and every two blocks but those of one component are a group (meet).
     """
     sizes = scratch.keep(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"),
-                                                    F.max("comp").alias("hi")).where("n > 2 AND lo < hi").select("region", "n"))
+                                                    F.max("comp").alias("hi")).where("lo < hi").select("region", "n"))
     rows = scratch.keep(rows.join(sizes, "region"))
     zero = F.lit(0).cast("long")
     narrow = rows.where(F.col("n") <= block).drop("n").withColumns({"name": zero, "meet": zero})
@@ -224,20 +238,21 @@ def meetings(rows: DataFrame, block: int, scratch: Scratch) -> DataFrame:
 
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The groups (region, meet) of a partition sorted by them; one is held at a time."""
+    """The rows of a partition sorted by (region, meet), cut only between groups; the last group is held back."""
     held: list[pd.DataFrame] = []
     for b in batches:
         if not len(b):
             continue
         r, m = b["region"].to_numpy(), b["meet"].to_numpy()
+        cut = np.flatnonzero((r[1:] != r[:-1]) | (m[1:] != m[:-1])) + 1
         if held and (held[-1]["region"].iloc[-1], held[-1]["meet"].iloc[-1]) != (r[0], m[0]):
             yield pd.concat(held, ignore_index=True)
             held = []
-        cut = np.r_[0, np.flatnonzero((r[1:] != r[:-1]) | (m[1:] != m[:-1])) + 1, len(b)]
-        for lo, hi in zip(cut[:-2], cut[1:-1], strict=True):
-            yield pd.concat([*held, b.iloc[lo:hi]], ignore_index=True) if held else b.iloc[lo:hi]
-            held = []
-        held.append(b.iloc[cut[-2]:])
+        if len(cut):
+            yield pd.concat([*held, b.iloc[:cut[-1]]], ignore_index=True)
+            held = [b.iloc[cut[-1]:]]
+        else:
+            held.append(b)
     if held:
         yield pd.concat(held, ignore_index=True)
 
@@ -253,24 +268,95 @@ def _others(comp: np.ndarray, name: np.ndarray, step: int) -> Iterator[tuple[sli
         yield i, j, v & (name[i][:, None] != name[j][None, :]) if two else v
 
 
+def _may_link(n, rest, s1, s2, m, rest2, t1, t2):
+    """Sets of n and m shingles with ``rest`` from the shared one on: can they overlap enough, and are the sketches near?"""
+    return ((100 + PERCENT) * np.minimum(rest, rest2) >= PERCENT * (n + m)) & (
+        np.bitwise_count(s1 ^ t1).astype(np.int16) + np.bitwise_count(s2 ^ t2) <= DIFFER)
+
+
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All pairs of a group of two components whose sketches are near."""
+    """Distinct pairs of two components of a group that may be similar enough."""
     for g in _groups(batches):
-        g = g.iloc[np.argsort(g["comp"].to_numpy(), kind="stable")]
-        ids, s1, s2 = g["id"].to_numpy(), g["s1"].to_numpy().view(np.uint64), g["s2"].to_numpy().view(np.uint64)
-        for i, j, v in _others(g["comp"].to_numpy(), g["name"].to_numpy(), 256):
-            v &= np.bitwise_count(s1[i][:, None] ^ s1[j]) + np.bitwise_count(s2[i][:, None] ^ s2[j]) <= DIFFER
-            at, to = np.nonzero(v)
-            a, b = ids[i][at], ids[j][to]
-            if len(a):
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def regions(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct (a, b) of classes (id, comp, sig) that share a region, not a component."""
-    rows = reps.mapInPandas(_plant, _TREE).select(F.xxhash64("tree", "k1").alias("region"), "id", "comp", "s1", "s2")
+        r, m = g["region"].to_numpy(), g["meet"].to_numpy()
+        first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (m[1:] != m[:-1])])
+        size = np.diff(np.r_[first, len(g)])
+        ids, comp, name = (g[c].to_numpy() for c in ("id", "comp", "name"))
+        facts = [g["n"].to_numpy(np.int64), g["rest"].to_numpy(np.int64), g["s1"].to_numpy().view(np.uint64),
+                 g["s2"].to_numpy().view(np.uint64)]
+        of = np.repeat(np.arange(len(first)), size)
+        narrow = (size <= NARROW) & (m[first] == 0)
+        after = np.where(narrow[of], first[of] + size[of] - np.arange(len(g)), 0)  # rows from here to the end of a narrow group
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(1, int(after.max(initial=0))):
+            a = np.flatnonzero(after > k)
+            a = a[comp[a] != comp[a + k]]
+            a = a[_may_link(*[x[a] for x in facts], *[x[a + k] for x in facts])]
+            found.append(np.stack([ids[a], ids[a + k]], axis=1))
+        for k in np.flatnonzero(~narrow):
+            at = np.arange(first[k], first[k] + size[k])
+            at = at[np.argsort(comp[at], kind="stable")]
+            own = [x[at] for x in facts]
+            for i, j, v in _others(comp[at], name[at], 256):
+                v &= _may_link(*[x[i][:, None] for x in own], *[x[j][None, :] for x in own])
+                x, y = np.nonzero(v)
+                found.append(np.unique(np.stack([ids[at[i]][x], ids[at[j]][y]], axis=1), axis=0))
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        if len(pairs):
+            yield pd.DataFrame(pairs, columns=["a", "b"])
+
+
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (mix64(s) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _count_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(SLOTS, np.int64)
+    with np.errstate(over="ignore"):
+        for b in batches:
+            for s in b["s"]:
+                total += np.bincount(_slot(np.frombuffer(s, np.uint64)), minlength=SLOTS)
+    full = np.flatnonzero(total)
+    if len(full):
+        yield pd.DataFrame({"slot": full, "n": total[full]})
+
+
+def _head(counts: np.ndarray):
+    """A row for each of the first shingles of a set, rare ones first: what is left from there on, and the sketch."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _parts(batches):
+            out = []
+            with np.errstate(over="ignore"):
+                for i, c, sig, raw in zip(b["id"], b["comp"], b["sig"], b["s"], strict=True):
+                    s = np.frombuffer(raw, np.uint64)
+                    bits = np.frombuffer(sig, np.uint16)[:SKETCH].astype(np.uint8) & 1
+                    sketch = np.packbits(bits).view(np.int64)
+                    head = s[np.lexsort((s, counts[_slot(s)]))][:len(s) * (100 - PERCENT) // 100 + 1].view(np.int64)
+                    out.append(pd.DataFrame({"region": head, "id": i, "comp": c, "s1": sketch[0], "s2": sketch[1],
+                                             "n": len(s), "rest": len(s) - np.arange(len(head))}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+    return run
+
+
+def wide(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id) of the classes (id, comp, sig) that stand in a region of three rows or more and several components."""
+    rows = scratch.keep(reps.mapInPandas(_plant, _TREE).select(F.xxhash64("tree", "k1").alias("region"), "id", "comp"))
+    regions = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
+        .where("n > 2 AND lo < hi").select("region")
+    return scratch.keep(rows.join(regions, "region", "left_semi").select("id").distinct())
+
+
+def filtered(reps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct (a, b) of classes (id, comp, sig) of wide regions that may be similar enough, of two components."""
+    own = scratch.keep(sets.join(wide(reps, scratch), "id"))
+    counts = np.zeros(SLOTS, np.int64)
+    slots = own.select("s").mapInPandas(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.int64)  # at most SLOTS rows
+    rows = scratch.keep(own.join(reps, "id").select("id", "comp", "sig", "s").mapInPandas(
+        _head(counts), "region long, id long, comp long, s1 long, s2 long, n int, rest int"))
+    sizes = rows.withColumnRenamed("n", "size")
+    dealt = meetings(sizes, BLOCK, scratch).withColumnRenamed("size", "n")
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = meetings(rows, BLOCK, scratch).select("id", "comp", "s1", "s2", "region", "name", "meet")
     return scratch.keep(dealt.repartition(parts, "region", "meet").sortWithinPartitions("region", "meet")
                         .mapInPandas(_compare, "a long, b long").distinct())
 
@@ -310,7 +396,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
 def classify(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    try:
+        return _classify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle_words, scratch)
+    finally:
+        scratch.clear()
+
+
+def _classify(docs: DataFrame, shingle_words: int, scratch: Scratch) -> DataFrame:
     rows = scratch.keep(docs.mapInPandas(_sign(shingle_words), "doc_id long, n long, f1 long, f2 long, sig binary"))
     sets_of = rows.where("f1 IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch.keep(sets_of.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
@@ -326,7 +418,7 @@ def classify(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
                             .mapInPandas(_sets(shingle_words), "id long, s binary"), "id")
     links = confirmed(tried, sets, scratch)
     comp = components(links, scratch)
-    for search in (lambda x: candidates(x, scratch, False), lambda x: regions(x, scratch)):
+    for search in (lambda x: candidates(x, scratch, False), lambda x: filtered(x, sets, scratch)):
         again = classes.join(crowd, "id").join(comp, "id", "left") \
             .select("id", F.coalesce("component", "id").alias("comp"), "sig")
         pairs = scratch.keep(search(again).join(tried, ["a", "b"], "left_anti"))
@@ -338,14 +430,22 @@ def classify(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     reps = classes.join(comp, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
     out = rows.join(reps, ["f1", "f2"], "left")
     # a document without a set, or one row of several of a doc_id, is its own component
-    result = written(out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("c"))
+    return written(out.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("c"))
             .select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"),
                     F.coalesce(F.col("c").isNull() | (F.col("c") == F.col("doc_id")), F.lit(True)).alias("kept")))
-    scratch.clear()
-    return result
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """One document of each component, with the columns of docs; rows that repeat a doc_id are one document."""
-    kept = classify(docs, shingle_words).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.where("doc_id IS NULL").union(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each component of rows, with the columns of docs: the one of the smallest doc_id, null ones last."""
+    scratch = Scratch(docs.sparkSession)
+    try:
+        row, own = "__row", "__own"
+        numbered = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()))
+        ids = numbered.select(F.col(row), F.col("doc_id").cast("long").alias(own))
+        of = classify(numbered.select(F.col(row).alias("doc_id"), "text"), shingle_words) \
+            .select(F.col("doc_id").alias(row), "component_id")
+        first = of.join(ids, row).groupBy("component_id").agg(
+            F.min(F.struct(F.isnull(own).alias("none"), F.col(own), F.col(row))).alias("m")).select(F.col(f"m.{row}").alias(row))
+        return written(numbered.join(first, row, "left_semi").select(*docs.columns))
+    finally:
+        scratch.clear()

@@ -194,5 +194,5 @@ def test_pipeline_stages(spark, tmp_path, corpus):
 
 def test_registered():
     names = queries.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert set(queries.oracle_sql()) <= set(names)
