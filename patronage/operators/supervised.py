@@ -65,9 +65,11 @@ def _weights(model, features) -> dict:
     raise TypeError(f"cannot extract feature weights from {type(model).__name__}")
 
 
-def _depth(max_depth: int) -> int:
-    """Spark's trees end at depth 30; a deeper or unlimited tree is refused, not cut."""
-    if max_depth is None or max_depth > 30:
+def _depth(max_depth: int | None) -> int:
+    """None (unlimited) is 30, where Spark's trees end: a billion leaves; an explicit depth beyond is refused, not cut."""
+    if max_depth is None:
+        return 30
+    if max_depth > 30:
         raise ValueError("max_depth must be at most 30")
     return max_depth
 
@@ -191,6 +193,14 @@ def comparison(trained, kind: str = "regression") -> DataFrame:
     return spark.createDataFrame(rows, schema).orderBy(F.desc(sort))
 
 
+def held_out_predictions(trained: Trained, df: DataFrame, target: str = "ltv", id_col: str = "customer_id",
+                          test_size: float = 0.2, seed: int = 42) -> DataFrame:
+    """(id, actual, predicted) of the rows that the model was not fitted on (M17); the split is that of the training."""
+    test = split(df, id_col, test_size, seed).where("is_test")
+    return predict(trained, test, keep=(id_col, target)).select(
+        id_col, F.col(target).cast("double").alias("actual"), F.col("prediction").alias("predicted"))
+
+
 def importance(trained, top_n: int = 10) -> DataFrame:
     """Top-N feature weights (T3): random forest first, then boosting, then
     absolute linear coefficients."""

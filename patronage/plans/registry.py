@@ -209,6 +209,16 @@ def q_clv_fixed_params(spark, sf):
     return out.select("customer_id", F.round("clv_365d", 0).alias("clv_365d"))
 
 
+@register("clv_discounted", f"""WITH {S.clv_summary_cte()},
+{S.expected_purchases_cte(BG_FIXED.r, BG_FIXED.alpha, BG_FIXED.a, BG_FIXED.b, 180.0)}
+SELECT customer_id, round(expected_purchases * {_P} * ({_G} + frequency * monetary_value)
+                          / ({_P} * frequency + {_Q} - 1) / pow(1.1, 180.0 / 365.0), 0) AS clv_180d FROM ep""")
+def q_clv_discounted(spark, sf):
+    """Half a year's value at a yearly discount of 10 %."""
+    out = CE.score(_txn_summary(spark, sf), BG_FIXED, GG_FIXED, horizon=180.0, discount_rate=0.1)
+    return out.select("customer_id", F.round("clv_180d", 0).alias("clv_180d"))
+
+
 @register("bgnbd_fit")
 def q_bgnbd_fit(spark, sf):
     s = _txn_summary(spark, sf).persist()

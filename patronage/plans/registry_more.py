@@ -11,6 +11,7 @@ from ..operators import hierarchical as HC
 from ..operators import explain as EX
 from ..operators import features as FE
 from ..operators import kpi
+from ..operators import linear_cv as LC
 from ..operators import marketing as MK
 from ..operators import metrics as ME
 from ..operators import rfm
@@ -562,6 +563,35 @@ def q_ltv_least_squares_one_feature(spark, sf):
     return p.select("customer_id", F.round("ltv", 4).alias("actual"), F.round("prediction", 2).alias("predicted"))
 
 
+@register("ltv_cross_validation_linear", f"""WITH {LABELLED_SQL},
+r AS (SELECT ltv AS y, monetary AS a, frequency AS b, row_number() OVER (ORDER BY {_unit('customer_id', 43)}) AS r,
+             COUNT(*) OVER () AS n FROM lc),
+f AS (SELECT y, a, b, {' + '.join(f"CASE WHEN r > n * {k} // 5 THEN 1 ELSE 0 END" for k in (1, 2, 3, 4))} AS fold FROM r),
+m AS (SELECT k, COUNT(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS saa, covar_pop(a, b) AS sab,
+             covar_pop(b, b) AS sbb, covar_pop(a, y) AS say, covar_pop(b, y) AS sby
+      FROM f, (SELECT unnest(range(5)) AS k) WHERE fold <> k GROUP BY k),
+w AS (SELECT k, n, my, ma, mb, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS wa,
+             (sby * saa - say * sab) / (saa * sbb - sab * sab) AS wb FROM m),
+e AS (SELECT fold, n, y, y - my - wa * (a - ma) - wb * (b - mb) AS e FROM f JOIN w ON fold = k)
+SELECT CAST(fold AS INTEGER) AS fold, n AS n_train, COUNT(*) AS n_test, round(1 - avg(e * e) / var_pop(y), 6) AS r2,
+       round(sqrt(avg(e * e)), 3) AS rmse FROM e GROUP BY fold, n""")
+def q_ltv_cross_validation_linear(spark, sf):
+    """Five-fold scores of least squares on two features from the folds' moments."""
+    out = LC.cross_validate_linear(_labelled(spark, sf), ["monetary", "frequency"], "ltv")
+    return out.select("fold", "n_train", "n_test", r6("r2").alias("r2"), F.round("rmse", 3).alias("rmse"))
+
+
+@register("ltv_test_predictions", f"""WITH {LABELLED_SQL},
+z AS (SELECT customer_id, ltv, frequency AS x, {_unit('customer_id', 42)} < 0.2 AS is_test FROM lc),
+b AS (SELECT regr_slope(ltv, x) AS b1, regr_intercept(ltv, x) AS b0 FROM z WHERE NOT is_test)
+SELECT customer_id, round(ltv, 4) AS actual, round(b0 + b1 * x, 2) AS predicted FROM z, b WHERE is_test""")
+def q_ltv_test_predictions(spark, sf):
+    """Actual against predicted on the rows that the model was not fitted on."""
+    df = _labelled(spark, sf)
+    p = SU.held_out_predictions(SU.train_regression(df, ["frequency"], "ltv", name="linear"), df)
+    return p.select("customer_id", F.round("actual", 4).alias("actual"), F.round("predicted", 2).alias("predicted"))
+
+
 @register("rfm_numeric_features_imputed", f"""WITH {S.rfm_cte()},
 h AS (SELECT customer_id, CASE WHEN frequency > 10 THEN NULL ELSE recency END AS recency, frequency,
              CASE WHEN recency < 30 THEN NULL ELSE monetary END AS monetary FROM rfm)
