@@ -6,12 +6,20 @@ core id); the rest is noise (-1). Clusters are numbered by their smallest
 core id.
 
 Scale design:
-* Points go to an eps-grid; only the 3^d neighbouring cells can hold
-  neighbours. Each cell is split into hash chunks of at most ~``chunk``
-  points, so a cell holding a third of the data becomes many bounded blocks.
-* Every (block, neighbouring block) pair meets in one ``applyInPandas``
-  group; distances are computed there in numpy, in row slices, and only
-  per-point results leave the task: neighbour counts, the stars of the
+* Two grids. Cells of a fine one (side eps / sqrt(d)) that hold ``min_samples``
+  points are full: all their points are core and of one cluster, and are never
+  compared with each other. Neighbours are counted for the points of the other
+  cells only, of which a cell holds fewer than ``min_samples``.
+* Blocks of a coarse grid decide which points meet: its side is eps times the
+  power of two at which occupied blocks hold about ``chunk / 2`` points, from
+  counts of distinct cells, so that a far point adds one block and changes
+  nothing else. Only the 3^d neighbouring blocks can hold neighbours. A block of
+  more than ``chunk`` points is split into hash chunks, so one that holds a third
+  of the data becomes many bounded ones.
+* Every (block, neighbouring block) pair meets in one ``applyInPandas`` group;
+  distances are computed there in numpy, in row slices. Two full cells are
+  united by the first pair found, cells already united are not looked at again.
+  Only per-point results leave the task: neighbour counts, the stars of the
   local core components, border labels. No pair of data rows is emitted.
 * Global components come from min-label propagation with pointer jumping
   over the star edges; labels are checkpointed every round.
@@ -19,6 +27,7 @@ Scale design:
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import time
 
@@ -32,26 +41,34 @@ from .features import impute_median
 from .rank import global_rank
 
 
+LEVELS = 24
+
+
 def grid_side(df: DataFrame, xs, eps: float, target: int) -> float:
-    """Cell side: at least eps (so 3^d cells hold every neighbour), larger
-    when the data are sparse, aiming at ~``target`` points per occupied
-    cell from the bounding box (one scalar aggregate)."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)],
-                 *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]).first()
-    n = row["n"] or 1
-    vol = 1.0
-    for i in range(len(xs)):
-        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
-        vol *= (float(hi - lo) if lo is not None else 0.0) + eps
-    return max(float(eps), (vol * target / n) ** (1.0 / len(xs)))
-
-
-def _cells(df: DataFrame, xs, eps: float, chunk: int, id_col: str):
+    """Block side: eps times the largest power of two at which occupied blocks hold ``target`` points or fewer on average."""
+    distinct = [F.approx_count_distinct(F.xxhash64(*[F.floor(F.col(x).cast("double") / F.lit(eps * 2.0 ** k)) for x in xs]))
+                .alias(f"k{k}") for k in range(LEVELS)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *distinct).first()
+    fits = [k for k in range(LEVELS) if row["n"] <= target * row[f"k{k}"]]
+    return float(eps) * 2.0 ** (max(fits) if row["n"] and fits else 0)
+
+
+def _fine_side(eps: float, d: int) -> float:
+    """Two points of one fine cell are within eps."""
+    return eps / math.sqrt(d) * (1 - 1e-9)
+
+
+def _cells(df: DataFrame, xs, eps: float, min_samples: int, chunk: int, id_col: str):
     d = len(xs)
     side = grid_side(df, xs, eps, max(chunk // 2, 1))
+    fine = [F.floor(F.col(f"__x{i}") / F.lit(_fine_side(eps, d))).cast("long").alias(f"__f{i}") for i in range(d)]
     cell_cols = [F.floor(F.col(x) / F.lit(side)).cast("long").alias(f"__c{i}") for i, x in enumerate(xs)]
     pts = df.select(F.col(id_col).alias("__id"), *[F.col(x).cast("double").alias(f"__x{i}") for i, x in enumerate(xs)],
                     *cell_cols)
+    pts = pts.select("*", *fine)
+    full = pts.groupBy(*[f"__f{i}" for i in range(d)]).agg(F.min("__id").alias("__head"), F.count(F.lit(1)).alias("__k"))
+    pts = pts.join(full.where(F.col("__k") >= min_samples).drop("__k"), [f"__f{i}" for i in range(d)], "left") \
+        .drop(*[f"__f{i}" for i in range(d)])
     cc = [f"__c{i}" for i in range(d)]
     cells = pts.groupBy(*cc).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk))).cast("int").alias("__nch"))
     pts = pts.join(cells, cc).withColumn("__ch", F.pmod(F.xxhash64("__id"), F.col("__nch")).cast("int")).drop("__nch")
@@ -80,28 +97,79 @@ def _pairs(left: DataFrame, right: DataFrame, cells: DataFrame, cc, d: int) -> D
                    *[F.col(cc[i]).alias(f"__b{i}") for i in range(d)], F.col("__ch").alias("__bch"),
                    F.lit("R").alias("__side"), "*"))
     keep = key + ["__side", "__id"] + [f"__x{i}" for i in range(d)] + \
-        [c for c in ("__core", "__label") if c in left.columns or c in right.columns]
+        [c for c in ("__head", "__label") if c in left.columns or c in right.columns]
     lft = lft.select(*[F.col(c) if c in lft.columns else F.lit(None).cast("long").alias(c) for c in keep])
     rgt = rgt.select(*[F.col(c) if c in rgt.columns else F.lit(None).cast("long").alias(c) for c in keep])
     return lft.unionByName(rgt), key
 
 
-def _within(xl, xr, eps2, rows=512):
-    """Yield (row slice, boolean adjacency block) without a full matrix."""
+def _within(xl, xr, eps2, seen=None, rows=512):
+    """Yield (row slice, boolean adjacency block) without a full matrix; ``seen`` counts the distances."""
     for lo in range(0, len(xl), rows):
         diff = xl[lo:lo + rows, None, :] - xr[None, :, :]
+        if seen is not None:
+            seen.add(diff.shape[0] * diff.shape[1])
         yield lo, (diff * diff).sum(axis=2) <= eps2
 
 
+def _rooted(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest member of the component of each of n points under the links (u, v): propagation with pointer jumping."""
+    roots = np.arange(n)
+    while True:
+        old = roots.copy()
+        m = np.minimum(roots[u], roots[v])
+        np.minimum.at(roots, u, m)
+        np.minimum.at(roots, v, m)
+        while True:
+            jumped = roots[roots]
+            if np.array_equal(jumped, roots):
+                break
+            roots = jumped
+        if np.array_equal(roots, old):
+            return roots
+
+
+def _touching_cells(xl, hl, xr, hr, eps2, seen=None):
+    """Links (head, head) between full cells (points of equal ``h``) of two sides, enough to join all that touch."""
+    heads, at = np.unique(np.concatenate([hl, hr]), return_inverse=True)
+    x = np.concatenate([xl, xr])
+    side = np.r_[np.zeros(len(xl), bool), np.ones(len(xr), bool)]
+    order = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[order], np.arange(len(heads)))
+    low, high = np.minimum.reduceat(x[order], first), np.maximum.reduceat(x[order], first)
+    rep = x[order][first]  # one point of each cell joins most of them
+    us, vs = [], []
+    for lo, adj in _within(rep, rep, eps2, seen):
+        a, b = np.nonzero(adj)
+        us.append(lo + a)
+        vs.append(b)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    roots = _rooted(len(heads), u, v)
+    links = [(int(a), int(r)) for a, r in enumerate(roots) if a != r]
+    members = np.split(order, first[1:])
+    for a in range(len(heads)):
+        gap = np.maximum(np.maximum(low[a] - high, low - high[a]), 0)
+        for b in np.flatnonzero((gap * gap).sum(axis=1) <= eps2):
+            if b <= a or roots[a] == roots[b]:
+                continue
+            p, q = members[a], members[b]
+            if any(adj.any() for s, t in ((p[~side[p]], q[side[q]]), (p[side[p]], q[~side[q]]))
+                   for _, adj in _within(x[s], x[t], eps2, seen, 64)):
+                links.append((a, int(b)))
+                roots[roots == roots[b]] = roots[a]
+    return [(heads[a], heads[b]) for a, b in links]
+
+
 def _log(msg, t0):
     if os.environ.get("PATRONAGE_DEBUG"):
         print(f"[dbscan] {msg} {time.time() - t0:.2f}s", flush=True)
 
 
 def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: str = "customer_id",
-           chunk: int = 2048, max_rounds: int = 200) -> DataFrame:
+           chunk: int = 2048, max_rounds: int = 200, seen=None) -> DataFrame:
     """(id, cluster) for every row; noise is -1. Missing values are filled
-    with the column median first; a column without any value raises."""
+    with the column median first; a column without any value raises.
+    ``seen``, an accumulator, counts the distances computed."""
     spark = df.sparkSession
     df = impute_median(df.select(id_col, *xs), list(xs))
     if df.where(" OR ".join(f"`{x}` IS NULL" for x in xs)).limit(1).count():
@@ -110,14 +178,14 @@ def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: st
     d = len(xs)
     eps2 = float(eps) * float(eps) * (1 + 1e-12)
     xcols = [f"__x{i}" for i in range(d)]
-    pts, cells, cc = _cells(df, xs, eps, chunk, id_col)
+    pts, cells, cc = _cells(df, xs, eps, min_samples, chunk, id_col)
     t0 = time.time()
     pts = pts.checkpoint(eager=True)
     cells = cells.checkpoint(eager=True)
     _log("cells", t0)
 
-    # 1. neighbour counts (self included)
-    pairs, key = _pairs(pts, pts, cells, cc, d)
+    # 1. neighbour counts (self included) of the points outside full cells
+    pairs, key = _pairs(pts.where("__head IS NULL"), pts, cells, cc, d)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         L, R = pdf[pdf["__side"] == "L"], pdf[pdf["__side"] == "R"]
@@ -125,12 +193,13 @@ def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: st
             return pd.DataFrame({"__id": L["__id"].astype("int64"), "__n": np.zeros(len(L), dtype="int64")})
         xl, xr = L[xcols].to_numpy(float), R[xcols].to_numpy(float)
         n = np.zeros(len(L), dtype="int64")
-        for lo, adj in _within(xl, xr, eps2):
+        for lo, adj in _within(xl, xr, eps2, seen):
             n[lo:lo + len(adj)] = adj.sum(axis=1)
         return pd.DataFrame({"__id": L["__id"].to_numpy("int64"), "__n": n})
 
     counts = pairs.groupBy(*key).applyInPandas(count, "__id long, __n long").groupBy("__id").agg(F.sum("__n").alias("__n"))
-    pts = pts.join(counts, "__id").withColumn("__core", (F.col("__n") >= min_samples).cast("long")).drop("__n")
+    pts = pts.join(counts, "__id", "left").withColumn("__core", F.when(
+        F.col("__head").isNotNull() | (F.col("__n") >= min_samples), 1).otherwise(0).cast("long")).drop("__n")
     pts = pts.checkpoint(eager=True)
     _log("counts", t0)
     core = pts.where(F.col("__core") == 1)
@@ -146,30 +215,23 @@ def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: st
         li = np.searchsorted(ids, L["__id"].to_numpy("int64"))
         ri = np.searchsorted(ids, R["__id"].to_numpy("int64"))
         xl, xr = L[xcols].to_numpy(float), R[xcols].to_numpy(float)
-        us, vs = [], []
-        for lo, adj in _within(xl, xr, eps2):
+        fl, fr = L["__head"].notna().to_numpy(), R["__head"].notna().to_numpy()
+        us, vs = [np.zeros(0, int)], [np.zeros(0, int)]
+        for lo, adj in _within(xl[~fl], xr, eps2, seen):
             a, b = np.nonzero(adj)
-            us.append(li[lo + a])
+            us.append(li[~fl][lo + a])
             vs.append(ri[b])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        # local components: vectorised min-label propagation with pointer jumping
-        roots = np.arange(len(ids))
-        while True:
-            old = roots.copy()
-            m = np.minimum(roots[u], roots[v])
-            np.minimum.at(roots, u, m)
-            np.minimum.at(roots, v, m)
-            while True:
-                jumped = roots[roots]
-                if np.array_equal(jumped, roots):
-                    break
-                roots = jumped
-            if np.array_equal(roots, old):
-                break
+        roots = _rooted(len(ids), np.concatenate(us), np.concatenate(vs))
         keep = roots != np.arange(len(ids))
-        return pd.DataFrame({"src": ids[keep], "dst": ids[roots[keep]]})
+        src, dst = ids[keep], ids[roots[keep]]
+        if fl.any() and fr.any():
+            joined = np.array(_touching_cells(xl[fl], L["__head"].to_numpy()[fl].astype("int64"), xr[fr],
+                                              R["__head"].to_numpy()[fr].astype("int64"), eps2, seen), "int64").reshape(-1, 2)
+            src, dst = np.r_[src, joined[:, 0]], np.r_[dst, joined[:, 1]]
+        return pd.DataFrame({"src": src, "dst": dst})
 
-    edges = pairs.groupBy(*key).applyInPandas(stars, "src long, dst long").distinct()
+    edges = pairs.groupBy(*key).applyInPandas(stars, "src long, dst long") \
+        .unionByName(core.where("__head <> __id").select(F.col("__id").alias("src"), F.col("__head").alias("dst"))).distinct()
     edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).checkpoint(eager=True)
     _log("stars", t0)
 
@@ -203,7 +265,7 @@ def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: st
         xl, xr = L[xcols].to_numpy(float), R[xcols].to_numpy(float)
         lab = R["__label"].to_numpy("int64")
         best = np.full(len(L), np.iinfo(np.int64).max)
-        for lo, adj in _within(xl, xr, eps2):
+        for lo, adj in _within(xl, xr, eps2, seen):
             cand = np.where(adj, lab[None, :], np.iinfo(np.int64).max)
             best[lo:lo + len(adj)] = cand.min(axis=1)
         ok = best != np.iinfo(np.int64).max

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from patronage.operators.dbscan import dbscan
 
@@ -37,3 +38,19 @@ def test_dbscan_matches_brute_force(spark):
         got = {r.customer_id: r.cluster for r in dbscan(df, ["a", "b", "c"], eps, ms, chunk=chunk).collect()}
         want = brute_dbscan(x, eps, ms)
         assert [got[i] for i in range(len(x))] == list(want)
+
+
+@pytest.mark.parametrize("case", ["outlier", "half in one cell"])
+def test_dbscan_distances(spark, case):
+    """A far outlier does not widen the grid; a cell that holds half of the points is not compared inside."""
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 12, size=(1500, 2))
+    if case == "outlier":
+        x[0] = 1e6
+    else:
+        x[:750] = 6 + rng.uniform(0, 1e-3, size=(750, 2))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "customer_id long, a double, b double")
+    seen = spark.sparkContext.accumulator(0)
+    got = {r.customer_id: r.cluster for r in dbscan(df, ["a", "b"], 0.4, 5, chunk=64, seen=seen).collect()}
+    assert [got[i] for i in range(len(x))] == list(brute_dbscan(x, 0.4, 5))
+    assert 0 < seen.value < 0.6 * len(x) ** 2
