@@ -1,7 +1,8 @@
 """Batched maximum likelihood for BG/NBD and Gamma-Gamma without scipy.
 
 The data side is a compressed frame (one row per distinct observation with a
-weight column ``w`` and a ``replicate`` key). One optimisation pass is one
+weight column ``w`` and a ``replicate`` key, or an array ``weights`` of one
+weight a replicate). One optimisation pass is one
 Spark job: every candidate parameter set of every chain is attached to the
 rows of its replicate by a broadcast equi-join on ``replicate`` (the
 candidate table is bounded by chains x step lengths, checked below), and a
@@ -90,13 +91,25 @@ def _evaluate(data: DataFrame, kernel, data_cols, names, cands):
     out_cols = ["ll"] + [f"g{i}" for i in range(d)] + [f"o{i}_{k}" for i, k in pairs]
     schema = StructType([StructField("__cid", LongType())] + [StructField(c, DoubleType()) for c in out_cols])
 
+    arrays = "weights" in data.columns
+
+    def parts(pdf):
+        """(replicate, its rows with their weight)."""
+        if not arrays:
+            yield from pdf.groupby("replicate", sort=False)
+            return
+        weights = np.vstack(pdf["weights"].to_list()) if len(pdf) else np.zeros((0, 0))
+        for rep in by_rep if len(pdf) else ():
+            drawn = weights[:, rep] > 0
+            yield rep, pdf.loc[drawn, data_cols].assign(w=weights[drawn, rep])
+
     def run(batches):
         import pandas as pd
         acc = {}
         for pdf in batches:
-            for rep, sub in pdf.groupby("replicate", sort=False):
+            for rep, sub in parts(pdf):
                 got = by_rep.get(int(rep))
-                if got is None:
+                if got is None or not len(sub):
                     continue
                 cids, theta = got
                 cols = [sub[c].to_numpy(dtype=float)[None, :] for c in data_cols]
@@ -114,7 +127,7 @@ def _evaluate(data: DataFrame, kernel, data_cols, names, cands):
             frame.insert(0, "__cid", np.array(keys, dtype=np.int64))
             yield frame
 
-    partial = data.select("replicate", "w", *data_cols).mapInPandas(run, schema)
+    partial = data.select(*(["weights"] if arrays else ["replicate", "w"]), *data_cols).mapInPandas(run, schema)
     # one partial row for each partition and candidate, added in Spark: one row a candidate comes back
     rows = [r.asDict() for r in partial.groupBy("__cid").agg(*[F.sum(c).alias(c) for c in out_cols]).collect()]
     out = {}

@@ -1,10 +1,10 @@
 """CLV uncertainty (V10-V12): customer bootstrap and parameter perturbation.
 
-Bootstrap: instead of materialising B resampled copies, every (customer,
-replicate) pair gets a Poisson(1) weight drawn from a hash of (customer,
-replicate, seed) -- the standard distributed bootstrap, stable under
-re-execution and repartitioning. The weighted data are compressed per
-replicate and all B fits advance together, one Spark job per pass.
+Bootstrap: instead of materialising B resampled copies, every cell of customers
+with equal observations gets one Poisson(count) weight a replicate (``cells``),
+the standard distributed bootstrap, stable under re-execution and
+repartitioning. A cell stays one row, with its B weights as an array, and all B
+fits advance together, one Spark job per pass.
 Scoring evaluates all B parameter rows for a slice of customers as one numpy
 array inside a task; mean, percentiles and deviation of a customer are made
 there, so nothing is shuffled, and totals leave as one row a partition and
@@ -12,8 +12,6 @@ replicate.
 """
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,27 +21,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ...functions.scaling import attach_row
 from ...functions.special import hyp2f1_series
 from ...functions.validation import require_columns
+from ...storage import kept
 from . import estimate as E
 from . import kernels as K
 from . import models as M
+from .cells import cell_weights, summed
 from .fit import maximize
 
-_MASK53 = (1 << 53) - 1
 SLICE = 1024  # customers evaluated together
 
 
-def poisson1_weight(*key_cols, seed: int = 42):
-    """Poisson(1) draw from a 53-bit uniform hash of the key columns."""
-    u = F.xxhash64(*key_cols, F.lit(int(seed))).bitwiseAND(F.lit(_MASK53)).cast("double") / float(1 << 53)
-    expr = None
-    cdf, pmf = 0.0, math.exp(-1.0)
-    for k in range(0, 21):
-        cdf += pmf
-        pmf /= (k + 1)
-        expr = F.when(u < cdf, k) if expr is None else expr.when(u < cdf, k)
-    return expr.otherwise(21)
-
-
 def _draws(x, tx, T, m, mbar, theta, horizon: float, discount_rate: float, formula: str) -> np.ndarray:
     """CLV of R customers (arrays [R]) under B parameter rows (theta [B, 7]) as [R, B]:
     the numpy form of ``models.clv_column``."""
@@ -132,15 +119,13 @@ def bootstrap_clv(summary: DataFrame, horizon: float = 365.0, discount_rate: flo
     spark = summary.sparkSession
     bg0, gg0 = E.fit_both(summary, penalty)
 
-    weighted = (summary.select(id_col, "frequency", "recency", "T", "monetary_value")
-                .withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bootstrap - 1).cast("long"))))
-                .withColumn("w", poisson1_weight(F.col(id_col), F.col("replicate"), seed=seed))
-                .where(F.col("w") > 0))
-    bg_data = weighted.groupBy("replicate", "frequency", "recency", "T").agg(F.sum("w").alias("w")).persist()
-    gg_data = (weighted.where(F.col("frequency") >= 1)
-               .groupBy("replicate", "frequency", "monetary_value").agg(F.sum("w").alias("w")).persist())
+    cell = ["frequency", "recency", "T", "monetary_value"]
+    weighted = kept(cell_weights(summary.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")), cell, n_bootstrap, seed))
+    bg_data = summed(weighted, ["frequency", "recency", "T"], n_bootstrap).persist()
+    gg_data = summed(weighted.where(F.col("frequency") >= 1), ["frequency", "monetary_value"], n_bootstrap).persist()
     try:
-        repeat = {r["replicate"]: r["n"] for r in gg_data.groupBy("replicate").agg(F.sum("w").alias("n")).collect()}
+        drawn = gg_data.agg(*[F.sum(F.col("weights")[b]).alias(f"n{b}") for b in range(n_bootstrap)]).first()
+        repeat = {b: drawn[b] or 0 for b in range(n_bootstrap)}
         start_bg = np.array([bg0.r, bg0.alpha, bg0.a, bg0.b])
         start_gg = np.array([gg0.p, gg0.q, gg0.gamma])
         ok_gg = [b for b in range(n_bootstrap) if repeat.get(b, 0) >= 2]

@@ -17,6 +17,7 @@ from ..operators import rfm
 from ..operators.clv import estimate as CE
 from ..operators.clv import models as M
 from ..operators.clv import uncertainty as CU
+from ..operators.clv.cells import cell_weights
 from ..operators.clv.summary import clv_summary
 from ..sources import tables as src
 from . import sql as S
@@ -234,6 +235,23 @@ def q_clv_fitted(spark, sf):
     return CE.score(s, bg, gg, horizon=365.0, purchases_t=30.0).drop("first_purchase", "last_purchase")
 
 
+@register("bootstrap_cell_weights", f"""WITH {S.clv_summary_cte()},
+c AS (SELECT frequency, recency, T, COUNT(*) AS n FROM s GROUP BY ALL),
+d AS (SELECT n, greatest(0, CAST(trunc(n - 12 * sqrt(n) - 12) AS BIGINT)) AS low, CAST(trunc(n + 12 * sqrt(n) + 40) AS BIGINT) AS high
+      FROM (SELECT DISTINCT n FROM c)),
+p AS (SELECT n, low, k, exp(k * ln(n) - n - lgamma(k + 1)) AS p FROM (SELECT n, low, unnest(range(low, high + 1)) AS k FROM d)),
+f AS (SELECT n, low, sum(p) OVER (PARTITION BY n ORDER BY k) / sum(p) OVER (PARTITION BY n) AS f FROM p),
+u AS (SELECT *, ('0x' || substr(md5(frequency::VARCHAR || ':' || recency::VARCHAR || ':' || T::VARCHAR || ':' || replicate::VARCHAR
+        || ':42'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM c, (SELECT unnest(range(10)) AS replicate))
+SELECT frequency, recency, T, replicate::INTEGER AS replicate, CAST(min(low) + COUNT(*) FILTER (WHERE f <= u) AS BIGINT) AS weight
+FROM u JOIN f USING (n) GROUP BY frequency, recency, T, replicate""")
+def q_bootstrap_cell_weights(spark, sf):
+    """Poisson bootstrap weights of ten replicates for each distinct (x, t_x, T)."""
+    keys = ["frequency", "recency", "T"]
+    cells = _txn_summary(spark, sf).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return cell_weights(cells, keys, 10, 42).select(*keys, F.posexplode("weights").alias("replicate", "weight"))
+
+
 @register("clv_bootstrap")
 def q_clv_bootstrap(spark, sf):
     s = _txn_summary(spark, sf).persist()
