@@ -15,6 +15,7 @@ from ..operators import linear_cv as LC
 from ..operators import marketing as MK
 from ..operators import metrics as ME
 from ..operators import rfm
+from ..operators import shapley as SH
 from ..operators import supervised as SU
 from ..sources import tables as src
 from . import sql as S
@@ -592,6 +593,34 @@ def q_ltv_test_predictions(spark, sf):
     return p.select("customer_id", F.round("actual", 4).alias("actual"), F.round("predicted", 2).alias("predicted"))
 
 
+def _shapley_sql(feature: str) -> str:
+    """The value of one feature of ``_rule_score``: what it adds to each coalition of the others, by weight."""
+    others = [f for f in CLUSTER_FEATURES if f != feature]
+
+    def scored(members) -> str:
+        r, f, m = (f"{'x' if c in members else 'b'}.{c}" for c in CLUSTER_FEATURES)
+        return f"({r} * 0.01 + {f} * {m} / 1000000.0 - {m} / ({r} + 10.0) / 1000.0)"
+
+    return " + ".join(f"({scored({*c, feature})} - {scored(set(c))}) / {(3, 6, 3)[len(c)]}.0"
+                      for c in ((), (others[0],), (others[1],), tuple(others)))
+
+
+def _rule_score(x):
+    """A score with products and quotients of recency, frequency and monetary."""
+    return x[:, 0] * 0.01 + x[:, 1] * x[:, 2] / 1000000.0 - x[:, 2] / (x[:, 0] + 10.0) / 1000.0
+
+
+@register("shapley_rule", f"""WITH {S.rfm_cte()},
+b AS (SELECT avg(recency) AS recency, avg(frequency) AS frequency, avg(monetary) AS monetary FROM rfm)
+SELECT customer_id, {', '.join(f'round({_shapley_sql(f)}, 6) AS shap_{f}' for f in CLUSTER_FEATURES)} FROM rfm x, b""")
+def q_shapley_rule(spark, sf):
+    """Exact Shapley values of a rule score against the mean customer."""
+    base = _txn_rfm(spark, sf)
+    mean = base.agg(*[F.avg(c) for c in CLUSTER_FEATURES]).first()
+    out = SH.exact_shapley(base, CLUSTER_FEATURES, _rule_score, [list(mean)])
+    return out.select("customer_id", *[r6(f"shap_{f}").alias(f"shap_{f}") for f in CLUSTER_FEATURES])
+
+
 @register("rfm_numeric_features_imputed", f"""WITH {S.rfm_cte()},
 h AS (SELECT customer_id, CASE WHEN frequency > 10 THEN NULL ELSE recency END AS recency, frequency,
              CASE WHEN recency < 30 THEN NULL ELSE monetary END AS monetary FROM rfm)
