@@ -176,6 +176,69 @@ def test_pages_without_article_use_the_template(spark):
     assert got == {i: f"Story {i} of the day with many words {i}\n\nMore {i}" for i in range(5)}
 
 
+def from_hosts(spark, pages):
+    """Texts by page_id, all pages of one host."""
+    df = spark.createDataFrame([(i, f"http://e.example/{i}", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in template_extract.extract(df).collect()}
+
+
+def test_pages_that_are_copies_keep_their_text(spark):
+    page = "<body><div><p>Top {n}</p></div><div><h1>Head</h1><p>Same story told twice</p></div></body>"
+    assert from_hosts(spark, [page.format(n=1)] * 2) == dict.fromkeys(range(2), "Top 1\n\nHead\n\nSame story told twice")
+    article = "<div class=ad>Buy {n}</div><article><p>Same story</p></article>"
+    assert set(from_hosts(spark, [article.format(n=i) for i in range(5)]).values()) == {"Same story"}
+
+
+def test_pages_keep_lists_and_quotations(spark):
+    page = ("<body><div><a>Home</a></div><div><h1>Head {n}</h1><p>Para {n}</p><ul><li>Only item {n}</ul>"
+            "<blockquote>Said {n}</blockquote><p>End {n}</p></div><div>Imprint</div></body>")
+    assert from_hosts(spark, [page.format(n=i) for i in range(6)]) == {
+        i: f"Head {i}\n\nPara {i}\n\nOnly item {i}\n\nSaid {i}\n\nEnd {i}" for i in range(6)}
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<article><p>One</p><svg width=1/><p>Two</p></article>", "One\n\nTwo"),
+    ('<article><p>One</p><svg width="1"/><p>Two</p></article>', "One\n\nTwo"),
+    ("<article><p>One</p><svg><path d='x'><p>Two</p></article>", "One\n\nTwo"),
+    ("<article><p>One</p><svg><text>no</text></svg><p>Two</p></article>", "One\n\nTwo"),
+    ("<article><p title=it's>Hello I don't know</p></article>", "Hello I don't know"),
+    ("<article><p title='a>b' lang=\"c>d\">One</p></article>", "One"),
+    ("<article><p>One</p><p><span hidden>x</span>Two</p></article>", "One\n\nTwo"),
+    ("<article><p>One <span hidden>x</span>more</p></article>", "One more"),
+    ("<article><p>Teaser</p></article><div><p>" + "The real story " * 9 + "</p></div>", ("The real story " * 9).strip()),
+])
+def test_pages_tokens(html, text):
+    assert template_extract.main_text(html, [], 1) == text
+
+
+def test_pages_template_decides_in_the_article(spark):
+    page = ("<body><article><h1>Head {n}</h1><div>Please mind our <b>notice</b></div><p>As ever</p><p>Story {n} <i>and</i> more</p>{more}</article></body>")
+    some = "<div class=comments><p>Reader {n}</p></div>"
+    pages = [page.format(n=i, more=some.format(n=i) if i < 2 else "<p>Said twice</p>" if i < 4 else "") for i in range(6)]
+    assert from_hosts(spark, pages) == {
+        i: f"Head {i}\n\nAs ever\n\nStory {i} and more" + ("\n\nSaid twice" if i in (2, 3) else "") for i in range(6)}
+
+
+def test_pages_templates_equal_plain_counting(spark):
+    """Classes of a host against vectors laid out in full."""
+    pages = [PAGE.format(n=i % 7) for i in range(9)] + [f"<article><p>Own {i}</p><p>Notice</p></article>" for i in range(12)]
+    df = spark.createDataFrame([(i, "http://a.example/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    got = template_extract.templates(df).collect()
+    counts = {}
+    for x in pages:
+        own, marks, tokens = template_extract.page_tokens(x)
+        counts[own] = ({(t, True): n for t, n in marks.items()} | {(t, False): n for t, n in tokens.items()})
+    vectors = {}
+    for t in {t for c in counts.values() for t in c}:
+        v = tuple(c.get(t, 0) for c in counts.values())
+        held = sum(n > 0 for n in v)
+        if held > 1 and (t[1] or 2 * held > len(counts)):
+            vectors.setdefault((t[1], v), set()).add(t[0])
+    assert len(got) == 1 and got[0].pages == len(counts) == 19
+    assert sorted((c.mark, c.n_pages, c.total, sorted(c.tokens)) for c in got[0].template) == \
+        sorted((m, sum(n > 0 for n in v), sum(v), sorted(ts)) for (m, v), ts in vectors.items())
+
+
 def test_pipeline_stages(spark, tmp_path, corpus):
     labels = spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
     corpus.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
