@@ -2,64 +2,34 @@
 indices, k search, PCA projection, profiles."""
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.scaling import attach_row
+from ..storage import kept
+from . import kmeans_chains as KC
 from .features import prepare
 
 
-MAX_CONCURRENT_FITS = 16
-
-
-def _fit_many(vec: DataFrame, specs, features: str = "features", max_iter: int = 300, tol: float = 1e-4):
-    """Fit K-means for every (k, seed) in ``specs`` as concurrent Spark jobs
-    (each fit is a chain of small jobs; running them side by side keeps the
-    executors busy). Returns {(k, seed): (cost, model)}."""
-    def one(spec):
-        k, sd = spec
-        m = KMeans(k=k, seed=sd, maxIter=max_iter, tol=tol, featuresCol=features, predictionCol="cluster").fit(vec)
-        return spec, (m.summary.trainingCost, m)
-    with ThreadPoolExecutor(max_workers=min(len(specs), MAX_CONCURRENT_FITS)) as pool:
-        return dict(pool.map(one, specs))
-
-
-def _best(fits: dict, k: int):
-    spec = min((s for s in fits if s[0] == k), key=lambda s: (fits[s][0], s[1]))
-    return fits[spec][1], fits[spec][0]
-
-
-def kmeans_best_of(vec: DataFrame, k: int, n_init: int = 10, seed: int = 42, features: str = "features",
-                   max_iter: int = 300, tol: float = 1e-4):
-    """K-means from ``n_init`` seeds, keeping the least inertia (M2)."""
-    fits = _fit_many(vec, [(k, seed + i) for i in range(n_init)], features, max_iter, tol)
-    return _best(fits, k)
-
-
-def relabel(labelled: DataFrame, model, col: str = "cluster") -> DataFrame:
-    """Renumber labels by descending size, ties by centre, so ids do not
-    depend on the seed. k rows reach the driver."""
-    sizes = {r[col]: r["n"] for r in labelled.groupBy(col).agg(F.count(F.lit(1)).alias("n")).collect()}
-    centres = model.clusterCenters()
-    order = sorted(sizes, key=lambda c: (-sizes[c], tuple(np.round(centres[c], 12))))
-    mapping = F.create_map(*[v for new, old in enumerate(order) for v in (F.lit(old), F.lit(new))])
-    return labelled.withColumn(col, mapping[F.col(col)])
+def _points(df: DataFrame, cols, id_col: str) -> DataFrame:
+    """Prepared features (vector, and ``__p`` as an array), written once: every iteration reads them."""
+    vec, _ = prepare(df.select(id_col, *cols), cols)
+    return kept(vec.withColumn("__p", vector_to_array("features")))
 
 
 def kmeans_labels(df: DataFrame, cols, k: int = 4, n_init: int = 10, seed: int = 42, id_col: str = "customer_id"):
-    """Prepared features + cluster label per row. Returns (frame, inertia)."""
-    vec, _ = prepare(df.select(id_col, *cols), cols)
-    vec = vec.persist()
-    vec.count()  # materialise once before the concurrent fits read it
-    model, cost = kmeans_best_of(vec, k, n_init, seed)
-    return relabel(model.transform(vec), model), cost
+    """Prepared features + cluster label per row, by K-means from ``n_init`` seeds that
+    keeps the least inertia (M2). Returns (frame, inertia)."""
+    points = _points(df, cols, id_col)
+    fits = KC.fit(points, [(k, seed + i) for i in range(n_init)], "__p", id_col)
+    if not fits:  # no rows
+        return points.withColumn("cluster", F.lit(None).cast("long")).drop("__p"), 0.0
+    cost, centres, _ = KC.best(fits, k)
+    return points.withColumn("cluster", KC.nearest("__p", centres)[0]).drop("__p"), cost
 
 
 def _centroids(labelled: DataFrame, cols, label: str) -> DataFrame:
@@ -122,30 +92,24 @@ def silhouette(labelled: DataFrame, cols, label: str = "cluster") -> DataFrame:
     return x.select(s.alias("s")).agg(F.avg("s").alias("silhouette"))
 
 
-def scaled_labelled(vec_labelled: DataFrame, cols) -> DataFrame:
-    """Expose the scaled vector components as columns for the indices."""
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array("features")
-    return vec_labelled.select("*", *[arr[i].alias(f"__x{i}") for i in range(len(cols))])
-
-
 def k_search(df: DataFrame, cols, k_values=range(2, 11), n_init: int = 10, seed: int = 42,
              id_col: str = "customer_id") -> DataFrame:
     """Silhouette, Davies-Bouldin, Calinski-Harabasz and inertia per k (M3)."""
     spark = df.sparkSession
-    vec, _ = prepare(df.select(id_col, *cols), cols)
-    vec = scaled_labelled(vec, cols).persist()
-    vec.count()  # materialise once before the concurrent fits read it
+    points = _points(df, cols, id_col)
     xs = [f"__x{i}" for i in range(len(cols))]
+    k_values = [int(k) for k in k_values]
+    fits = KC.fit(points, [(k, seed + i) for k in k_values for i in range(n_init)], "__p", id_col)
     rows = []
-    fits = _fit_many(vec, [(int(k), seed + i) for k in k_values for i in range(n_init)])
-    for k in k_values:
-        model, cost = _best(fits, int(k))
-        lab = model.transform(vec)
-        q = quality_indices(lab, xs).first()
-        sil = silhouette(lab, xs).first()["silhouette"]
-        rows.append((int(k), float(sil), float(q["davies_bouldin"]), float(q["calinski_harabasz"]), float(cost)))
-    vec.unpersist()
+    if fits:
+        found = [KC.best(fits, k) for k in k_values]
+        labelled = kept(points.select(*[F.col("__p")[i].alias(x) for i, x in enumerate(xs)],
+                                      KC.nearest("__p", *[c for _, c, _ in found]).alias("labels")))
+        for i, k in enumerate(k_values):
+            lab = labelled.select(*xs, F.col("labels")[i].alias("cluster"))
+            q = quality_indices(lab, xs).first()
+            sil = silhouette(lab, xs).first()["silhouette"]
+            rows.append((k, sil, q["davies_bouldin"], q["calinski_harabasz"], float(found[i][0])))
     schema = StructType([StructField("k", LongType()), StructField("silhouette", DoubleType()),
                          StructField("davies_bouldin", DoubleType()), StructField("calinski_harabasz", DoubleType()),
                          StructField("inertia", DoubleType())])
@@ -190,7 +154,6 @@ def pca_projection(vec_labelled: DataFrame, n_features: int, keep=("customer_id"
     for j in range(2):
         if pc[np.argmax(np.abs(pc[:, j])), j] < 0:
             pc[:, j] = -pc[:, j]
-    from pyspark.ml.functions import vector_to_array
     arr = vector_to_array("features")
     comps = [sum(arr[i] * float(pc[i, j]) for i in range(n_features)).alias(f"PC{j + 1}") for j in range(2)]
     return vec_labelled.select(*keep, *comps)

@@ -2,6 +2,7 @@
 supervised models and explanations."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scaling import zscore
@@ -10,6 +11,7 @@ from ..operators import dbscan as DB
 from ..operators import hierarchical as HC
 from ..operators import explain as EX
 from ..operators import features as FE
+from ..operators import kmeans_chains as KC
 from ..operators import kpi
 from ..operators import linear_cv as LC
 from ..operators import marketing as MK
@@ -18,6 +20,7 @@ from ..operators import rfm
 from ..operators import shapley as SH
 from ..operators import supervised as SU
 from ..sources import tables as src
+from ..storage import kept
 from . import sql as S
 from .registry import _txn_rfm, _txn_segments, r6, register
 
@@ -332,6 +335,36 @@ pts AS (SELECT customer_id AS id, (recency - mr) / sr AS recency, (frequency - m
                (monetary - mm) / sm AS monetary FROM rfm, zst)"""
 
 
+#: Centres (recency, frequency, monetary, on population z-scores) for one checked K-means step.
+STEP_CENTRES = [[-0.5, -1.0, -0.75], [-0.5, 1.0, 1.0], [1.5, -1.0, -1.0], [0.25, 0.25, 0.0]]
+_CENTRE_ROWS = ", ".join(f"({i}, {a!r}, {b!r}, {c!r})" for i, (a, b, c) in enumerate(STEP_CENTRES))
+
+
+@register("kmeans_assignment_step", f"""WITH {_Z_POINTS},
+cen(cluster, a, b, c) AS (VALUES {_CENTRE_ROWS}),
+d AS (SELECT pts.*, cluster, power(recency - a, 2) + power(frequency - b, 2) + power(monetary - c, 2) AS d2 FROM pts, cen),
+near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, cluster) AS rn FROM d)
+SELECT cluster, COUNT(*) AS size, round(avg(recency), 6) AS recency, round(avg(frequency), 6) AS frequency,
+       round(avg(monetary), 6) AS monetary, (SELECT round(sum(d2), 4) FROM near WHERE rn = 1) AS inertia
+FROM near WHERE rn = 1 GROUP BY cluster""")
+def q_kmeans_assignment_step(spark, sf):
+    """One step of the K-means chains from given centres: sizes, new centres and inertia."""
+    z = zscore(_txn_rfm(spark, sf), CLUSTER_FEATURES, ddof=0, keep=["customer_id"])
+    points = kept(z.select(F.array(*CLUSTER_FEATURES).alias("x")))
+    n, centres, cost = KC.step(points, "x", np.array(STEP_CENTRES))
+    rows = [(i, int(n[i]), *map(float, c), float(cost)) for i, c in enumerate(centres) if n[i]]
+    out = spark.createDataFrame(rows, "cluster long, size long, recency double, frequency double, monetary double, inertia double")
+    return out.select("cluster", "size", *[r6(c).alias(c) for c in CLUSTER_FEATURES], F.round("inertia", 4).alias("inertia"))
+
+
+@register("scatter_segments", f"""WITH {SEG} SELECT customer_id, recency, round(monetary, 6) AS monetary, segment FROM seg""")
+def q_scatter_segments(spark, sf):
+    """Two features with the label of each customer (M8), for the RFM segments."""
+    seg = _txn_segments(spark, sf)
+    out = CL.scatter(seg.drop("segment"), seg.select("customer_id", "segment"), "recency", "monetary", label="segment")
+    return out.select("customer_id", "recency", r6("monetary").alias("monetary"), "segment")
+
+
 @register("dbscan_segments", S.dbscan_sql(_Z_POINTS, ["recency", "frequency", "monetary"], 0.5, 5))
 def q_dbscan_segments(spark, sf):
     """DBSCAN with the reference defaults (eps 0.5, min_samples 5) on
