@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shuffle import targets
+from ..storage import kept
 from .metrics import auc_frame
 from .rank import global_rank
 from .supervised import Trained, with_probability
@@ -69,50 +71,49 @@ def _grouped_score(scored: DataFrame, scoring: str, group: str | None = None) ->
     raise ValueError(f"unknown scoring: {scoring}")
 
 
-def permutation_importance(tr: Trained, df: DataFrame, target: str, n_repeats: int = 10,
-                           seed: int = 0, id_col: str = "customer_id", scoring: str = "roc_auc") -> DataFrame:
-    """Drop in the score when one feature is shuffled (M27): importance_mean
+def permutation_importance_of(df: DataFrame, features, target: str, rated, n_repeats: int = 10, seed: int = 0,
+                              id_col: str = "customer_id", scoring: str = "roc_auc") -> DataFrame:
+    """Drop in the score of any rating when one feature is shuffled (M27): importance_mean
     and importance_std (population) over ``n_repeats`` shuffles per feature.
-    ``scoring`` is roc_auc (default), accuracy or f1; a model without class
-    probabilities is scored by accuracy.
-
-    Shuffle g = (feature, repeat) pairs the i-th row in id order with the
-    i-th row in the order of hash(id, g, seed). Both orders are exact global
-    ranks (range-partitioned sorts), so no group is ever gathered into one
-    task; donors are attached with two equi-joins, and all shuffles are
-    scored by one model transform and one grouped AUC.
+
+    ``rated`` adds the column ``score`` to a frame with the features; ``scoring``
+    is roc_auc, accuracy or f1 of it against ``target``. Features become doubles.
+
+    Rows get positions in id order once. Shuffle g = (feature, repeat) is a keyed
+    permutation of the positions, computed without a sort; only the shuffled
+    value travels, in one equi-join on the position, and all shuffles are rated
+    in one pass. Rows may share an id; a null value is shuffled like any other;
+    no rows give no rows.
     """
-    feats = list(tr.prep.features)
-    base = df.select(id_col, *feats, F.col(target).cast("double").alias("label")).persist()
-    n = base.count()
-    base_pos = global_rank(base, [F.col(id_col)], "pos")
-    G = len(feats) * n_repeats
-    ex = (base.select(F.col(id_col).alias("donor"))
-          .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(G - 1))))
-          .withColumn("__h", F.xxhash64("donor", "g", F.lit(int(seed)))))
-    ex = global_rank(ex, [F.col("g"), F.col("__h"), F.col("donor")], "__rn")
-    ex = ex.select("g", "donor", (F.col("__rn") - F.col("g").cast("long") * n).alias("pos"))
-    donors = base.select(F.col(id_col).alias("donor"), *[F.col(f).alias(f"__d_{f}") for f in feats])
-    joined = ex.join(base_pos, "pos").join(donors, "donor")
-    fidx = (F.col("g") / n_repeats).cast("int")
-    permuted = joined.select(id_col, "g", "label", *[
-        F.when(fidx == i, F.col(f"__d_{f}")).otherwise(F.col(f)).alias(f) for i, f in enumerate(feats)])
+    feats = list(features)
+    base = df.select(id_col, *[F.col(f).cast("double").alias(f) for f in feats], F.col(target).cast("double").alias("label"))
+    base = kept(global_rank(base, [F.col(id_col)], "pos").withColumn("pos", F.col("pos") - 1))
+    spark, n = df.sparkSession, base.count()
+    out = []
+    if n:
+        sent = base.select(F.array(*feats).alias("own"), F.posexplode(targets("pos", n, len(feats) * n_repeats, seed)).alias("g", "pos"))
+        fidx = (F.col("g") / n_repeats).cast("int")
+        sent = sent.select("g", "pos", F.get("own", fidx).alias("__v"))
+        shuffled = sent.join(base, "pos").select(id_col, "g", "label", *[
+            F.when(fidx == i, F.col("__v")).otherwise(F.col(f)).alias(f) for i, f in enumerate(feats)])
+        baseline = _grouped_score(rated(base.drop("pos")), scoring).first()["value"]
+        drops: dict = {}
+        for r in sorted(_grouped_score(rated(shuffled), scoring, "g").collect(), key=lambda r: r["g"]):  # one row a shuffle
+            drops.setdefault(r["g"] // n_repeats, []).append(baseline - r["value"])
+        out = [(feats[i], float(np.mean(v)), float(np.std(v))) for i, v in drops.items()]
+    return (spark.createDataFrame(out, "feature string, importance_mean double, importance_std double")
+            .orderBy(F.desc("importance_mean"), "feature"))
+
+
+def permutation_importance(tr: Trained, df: DataFrame, target: str, n_repeats: int = 10,
+                           seed: int = 0, id_col: str = "customer_id", scoring: str = "roc_auc") -> DataFrame:
+    """``permutation_importance_of`` a trained model; one without class probabilities is
+    scored by accuracy."""
     rated = with_probability
     if not hasattr(tr.model, "probabilityCol"):
         scoring, rated = "accuracy", lambda d: d.withColumn("score", F.col("prediction"))
-    scored = rated(tr.model.transform(tr.prep.apply(permuted)))
-    score_g = _grouped_score(scored, scoring, "g")
-    base_scored = rated(tr.model.transform(tr.prep.apply(base)))
-    baseline = _grouped_score(base_scored, scoring).first()["value"]
-    rows = score_g.collect()  # one row per (feature, repeat)
-    base.unpersist()
-    spark = df.sparkSession
-    drops = {}
-    for r in rows:
-        drops.setdefault(int(r["g"]) // n_repeats, []).append(baseline - r["value"])
-    out = [(feats[i], float(np.mean(v)), float(np.std(v))) for i, v in sorted(drops.items())]
-    return (spark.createDataFrame(out, "feature string, importance_mean double, importance_std double")
-            .orderBy(F.desc("importance_mean")))
+    return permutation_importance_of(df, tr.prep.features, target, lambda d: rated(tr.model.transform(tr.prep.apply(d))),
+                                     n_repeats, seed, id_col, scoring)
 
 
 def shapley_sampling(tr: Trained, df: DataFrame, n_permutations: int = 10, background: int = 100,

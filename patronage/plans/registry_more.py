@@ -705,6 +705,33 @@ _RULE_SQL = f"""WITH {LABELLED_SQL}, s AS (SELECT customer_id, churn AS label, {
        CASE WHEN {_RULE} >= 0.5 THEN 1 ELSE 0 END AS prediction FROM lc)"""
 
 
+_POINTS_RULE = ("CASE WHEN recency >= 120 THEN 0.5 ELSE 0.0 END + CASE WHEN frequency <= 6 THEN 0.375 ELSE 0.0 END"
+                " + CASE WHEN monetary < 900000 THEN 0.25 ELSE 0.0 END")
+
+
+@register("permutation_importance_rule", f"""WITH {LABELLED_SQL},
+z AS (SELECT *, row_number() OVER (ORDER BY customer_id) - 1 AS pos, COUNT(*) OVER () AS n FROM lc),
+zz AS (SELECT *, (n + a - 1) // a AS b FROM (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM z)),
+src AS (SELECT zz.*, g FROM zz, (SELECT unnest(generate_series(0, 11)) AS g)),
+{S.permuted_sql('n', 'a', 'b', 'g', 'pos', 'src', seed=3)},
+mixed AS (SELECT p.g, t.churn, CASE WHEN p.g // 4 = 0 THEN d.recency ELSE t.recency END AS recency,
+                 CASE WHEN p.g // 4 = 1 THEN d.frequency ELSE t.frequency END AS frequency,
+                 CASE WHEN p.g // 4 = 2 THEN d.monetary ELSE t.monetary END AS monetary
+          FROM permuted p JOIN z d ON d.pos = p.pos JOIN z t ON t.pos = p.x),
+v AS (SELECT g, avg(CASE WHEN churn = CASE WHEN {_POINTS_RULE} >= 0.5 THEN 1 ELSE 0 END THEN 1.0 ELSE 0.0 END) AS v
+      FROM mixed GROUP BY g),
+base AS (SELECT avg(CASE WHEN churn = CASE WHEN {_POINTS_RULE} >= 0.5 THEN 1 ELSE 0 END THEN 1.0 ELSE 0.0 END) AS v FROM z)
+SELECT CASE v.g // 4 WHEN 0 THEN 'recency' WHEN 1 THEN 'frequency' ELSE 'monetary' END AS feature,
+       round(avg(base.v - v.v), 6) AS importance_mean, round(stddev_pop(base.v - v.v), 6) AS importance_std
+FROM v, base GROUP BY 1""")
+def q_permutation_importance_rule(spark, sf):
+    """Accuracy lost by a points rule for churn when one feature is shuffled, four shuffles each."""
+    out = EX.permutation_importance_of(_labelled(spark, sf), CLUSTER_FEATURES, "churn",
+                                       lambda d: d.withColumn("score", F.expr(_POINTS_RULE)),
+                                       n_repeats=4, seed=3, scoring="accuracy")
+    return out.select("feature", r6("importance_mean").alias("importance_mean"), r6("importance_std").alias("importance_std"))
+
+
 @register("churn_rule_metrics", f"""{_RULE_SQL},
 c AS (SELECT sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) tp,
              sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) fp,

@@ -1,5 +1,6 @@
 """Shared SQL fragments for the DuckDB oracle texts (views are the driver
 tables; the bindings below mirror ``patronage.sources.tables``)."""
+from ..functions import shuffle as SH
 from ..sources.tables import PURCHASES_REFERENCE_DATE, TXN_REFERENCE_DATE
 
 TXN = "SELECT o_custkey AS customer_id, o_orderdate AS date, o_totalprice AS amount FROM orders"
@@ -168,3 +169,27 @@ lab AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
 num AS (SELECT lab, CAST(dense_rank() OVER (ORDER BY lab) - 1 AS BIGINT) AS cluster FROM (SELECT DISTINCT lab FROM comp))
 SELECT {select or "pts.id AS customer_id, COALESCE(num.cluster, -1) AS cluster"}
 FROM pts LEFT JOIN lab ON pts.id = lab.id LEFT JOIN num ON lab.lab = num.lab {tail}"""
+
+
+def permuted_sql(n: str, a: str, b: str, group: str, position: str, source: str, seed: int = 0, walks: int = 6) -> str:
+    """CTEs w0 .. that end in ``permuted(<group>, <position>, x)``: keyed permutations of the
+    positions of ``source``, whose columns n, a and b hold the size and the two bases."""
+    def hashed(digit: str, r: int) -> str:
+        key = f"((({seed * SH.KEY_SEED + r * SH.KEY_ROUND + 1} + {group} * {SH.KEY_GROUP}) % {SH.PRIME}) * {SH.FACTOR} % {SH.PRIME})"
+        t = f"(({digit} + {key}) % {SH.PRIME})"
+        return f"((({t} * {t} + {key}) % {SH.PRIME}) * {SH.FACTOR} % {SH.PRIME})"
+
+    keep = f"{group}, {position}, {n}, {a}, {b}"
+    parts, last = [f"w0 AS (SELECT {keep}, CAST({position} AS BIGINT) AS x FROM {source})"], "w0"
+    for w in range(walks):
+        again = f"{n} <= x" if w else "TRUE"
+        parts.append(f"w{w}s AS (SELECT *, x // {b} AS l, x % {b} AS r FROM {last})")
+        prev = f"w{w}s"
+        for i in range(SH.ROUNDS):
+            new = f"l, (r + {hashed('l', i)}) % {b} AS r" if i % 2 else f"(l + {hashed('r', i)}) % {a} AS l, r"
+            parts.append(f"w{w}r{i} AS (SELECT {keep}, x, {new} FROM {prev})")
+            prev = f"w{w}r{i}"
+        last = f"w{w + 1}"
+        parts.append(f"{last} AS (SELECT {keep}, CASE WHEN {again} THEN l * {b} + r ELSE x END AS x FROM {prev})")
+    parts.append(f"permuted AS (SELECT {group}, {position}, x FROM {last})")
+    return ",\n".join(parts)
