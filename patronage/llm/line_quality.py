@@ -7,7 +7,11 @@ weight for each feature and state, and transition weights; it is learned by
 stochastic gradient descent on the conditional likelihood, with numpy, from a
 bounded hash-ordered sample of labelled documents (``max_train``). Lines have
 no labels of their own: those of a document marked 0 count as boilerplate,
-all others as content.
+all others as content. As such documents are of one state throughout, every
+other step puts a run of lines of a document of the other class into the
+document, so that the field learns to change its state within a text.
+
+Words are runs of characters other than U+0020 and U+0009-U+000D everywhere.
 
 Defined cases: a null or empty text has no words and fails the base rule; a
 text whose lines hold no words is not kept; without labels of both classes
@@ -15,6 +19,7 @@ every line is content; rows and repeated rows are kept one for one.
 """
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import column_udf, hash_words, mix64
+from .common import WORD, column_udf, hash_words, mix64
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,6 +36,10 @@ MIN_WORDS, MAX_REPEAT = 20, 30
 #: Share of a text's words in content lines that keeps it.
 CONTENT = 0.5
 N_FEATURES = 18
+#: Most lines of another document that a training step puts into a document.
+MIXED = 8
+
+_WORDS = re.compile(WORD)
 
 
 @dataclass(frozen=True)
@@ -53,7 +62,7 @@ def line_features(lines: list[str]) -> np.ndarray:
     out = np.zeros((len(lines), N_FEATURES), np.uint8)
     seen: set[str] = set()
     for i, line in enumerate(lines):
-        words = line.split()
+        words = _WORDS.findall(line)
         n = len(words)
         row = out[i]
         row[0] = 1
@@ -70,7 +79,7 @@ def line_features(lines: list[str]) -> np.ndarray:
         row[9] = 2 * upper > n and n > 1
         row[10] = 4 * line.count("!!") > n
         row[11] = 10 * sum(map(str.isdigit, line)) > 3 * chars
-        row[12] = line.rstrip()[-1] in ".!?:;\"'"
+        row[12] = line.rstrip(SPACES)[-1] in ".!?:;\"'"
         row[13] = line in seen
         row[14] = n > 4 and 10 * sum(map(str.__eq__, words, words[1:])) > 2 * n
         row[15] = n > 9 and 2 * len(set(words)) < n
@@ -119,22 +128,32 @@ def _expected(u: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, pairs.sum(axis=0)
 
 
+def _mix(x: np.ndarray, y: int, other: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of a document of class y around a run of lines of one of the other class, with their states."""
+    n = int(rng.integers(1, min(MIXED, len(other)) + 1))
+    start, at = int(rng.integers(len(other) - n + 1)), int(rng.integers(len(x) + 1))
+    return (np.concatenate([x[:at], other[start:start + n], x[at:]]),
+            np.concatenate([np.full(at, y), np.full(n, 1 - y), np.full(len(x) - at, y)]))
+
+
 def train(rows: list[tuple[np.ndarray, int]], p: Params) -> Field:
-    """Stochastic gradient descent over (features, label of all its lines) documents."""
+    """Stochastic gradient descent over (features, label of all its lines) documents and mixtures of two."""
     emit, move = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
     if len({y for _, y in rows}) < 2:
         return Field(emit, move)
+    of_class = [[x for x, y in rows if y == c] for c in (0, 1)]
     rng, total, step = np.random.default_rng(p.seed), p.epochs * len(rows), 0
     for _ in range(p.epochs):
         for i in rng.permutation(len(rows)):
             x, y = rows[i]
+            state = np.full(len(x), y)
+            if step % 2:
+                x, state = _mix(x, y, of_class[1 - y][int(rng.integers(len(of_class[1 - y])))], rng)
             rate = p.rate * (1 - step / total) / len(x)
             step += 1
             states, moves = _expected(x @ emit.T, move)
-            gold = np.zeros_like(states)
-            gold[:, y] = 1
-            gold_moves = np.zeros((2, 2))
-            gold_moves[y, y] = len(x) - 1
+            gold = np.eye(2)[state]
+            gold_moves = gold[:-1].T @ gold[1:]
             emit += rate * ((gold - states).T @ x) - 1e-5 * emit
             move += rate * (gold_moves - moves) - 1e-5 * move
     return Field(emit, move)
@@ -189,7 +208,7 @@ def judge(text: str | None, field: Field) -> tuple:
     failed = len(words) < MIN_WORDS or 100 * repeated > MAX_REPEAT * len(words)
     x = line_features(lines)
     content = viterbi(x, field)
-    sizes = [len(x.split()) for x in lines]
+    sizes = [len(_WORDS.findall(x)) for x in lines]
     total = sum(sizes)
     share = sum(s for s, c in zip(sizes, content, strict=True) if c) / total if total else 0.0
     return (len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)),

@@ -114,6 +114,42 @@ def test_line_field_learns(labelled):
     assert all(r.kept != r.base_failed for r in line_quality.decide(docs, labels.where("false")).collect())
 
 
+def test_lines_change_state_within_a_document(labelled):
+    """Junk lines planted in good documents are marked; a clean line beside them may be too, as the
+    training documents marked 0 hold clean lines."""
+    field = line_quality.fit(*labelled)
+    rng, junk_marked, clean_marked, n_clean = random.Random(31), 0, 0, 0
+    for _ in range(100):
+        lines = [prose(rng, rng.randrange(5, 25)).rstrip(",.") + "." for _ in range(rng.randrange(3, 9))]
+        junk = [" ".join(w + "###" for w in prose(rng, rng.randrange(5, 25)).split()) for _ in range(2)]
+        at = rng.randrange(len(lines) + 1)
+        mixed = lines[:at] + junk + lines[at:]
+        got = line_quality.viterbi(line_quality.line_features(mixed), field)
+        junk_marked += int((~got[at:at + 2]).sum())
+        clean_marked += int((~got).sum() - (~got[at:at + 2]).sum())
+        n_clean += len(lines)
+        share = line_quality.judge("\n".join(mixed), field)[6]
+        words = np.array([len(x.split()) for x in mixed])
+        assert abs(share - words[got].sum() / words.sum()) < 1e-12
+        assert line_quality.viterbi(line_quality.line_features(lines), field).all()
+    assert junk_marked >= 195 and clean_marked <= 0.06 * n_clean, (junk_marked, clean_marked, n_clean)
+
+
+def test_mixtures():
+    rng = np.random.default_rng(0)
+    x, other = np.arange(6.0).reshape(3, 2), -1 - np.arange(40.0).reshape(20, 2)
+    for _ in range(50):
+        lines, state = line_quality._mix(x, 1, other, rng)
+        assert lines[state == 1].tolist() == x.tolist() and 1 <= (state == 0).sum() <= line_quality.MIXED
+        run = lines[state == 0]
+        assert (run < 0).all() and (np.diff(run[:, 0]) == -2).all() and np.abs(np.diff(state)).sum() <= 2
+
+
+def test_line_words_are_cut_at_the_six_spaces():
+    f = line_quality.line_features(["a\u00a0b c\x1cd"])  # two words
+    assert f[0, 2] == 1 and line_quality.judge("a\u00a0b c\x1cd", line_quality.Field(np.zeros((2, 18)), np.zeros((2, 2))))[0] == 2
+
+
 def test_viterbi_and_expectations_equal_enumeration():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5):
