@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.scaling import attach_row
 from ...functions.validation import count_violations, require_columns
+from ...storage import kept
 from . import kernels as K
 from . import models as M
 from .fit import maximize
@@ -61,12 +62,9 @@ def fit_bgnbd(summary: DataFrame, penalty: float = 1e-3, max_iter: int = 500) ->
     """Maximum penalised likelihood from the reference's three starts; the
     best converged start wins (V3)."""
     check_bgnbd_input(summary)
-    data = bgnbd_data(summary).persist()
-    try:
-        res = maximize(data, K.bgnbd, ["frequency", "recency", "T"], M.BGNBD_NAMES,
-                       {0: list(M.BGNBD_STARTS)}, M.BGNBD_LOWER, M.BGNBD_UPPER, penalty, max_iter)
-    finally:
-        data.unpersist()
+    data = kept(bgnbd_data(summary))  # small files: a pass is a few short tasks
+    res = maximize(data, K.bgnbd, ["frequency", "recency", "T"], M.BGNBD_NAMES,
+                   {0: list(M.BGNBD_STARTS)}, M.BGNBD_LOWER, M.BGNBD_UPPER, penalty, max_iter)
     if 0 not in res:
         raise RuntimeError("BG/NBD fit failed from every start")
     return M.BGNBDParams(*map(float, res[0].theta))
@@ -75,12 +73,9 @@ def fit_bgnbd(summary: DataFrame, penalty: float = 1e-3, max_iter: int = 500) ->
 def fit_gamma_gamma(summary: DataFrame, penalty: float = 1e-3, max_iter: int = 500) -> M.GammaGammaParams:
     """Gamma-Gamma fit over repeat buyers (V7)."""
     check_gg_input(summary)
-    data = gg_data(summary).persist()
-    try:
-        res = maximize(data, K.gamma_gamma, ["frequency", "monetary_value"], M.GG_NAMES,
-                       {0: list(M.GG_STARTS)}, M.GG_LOWER, M.GG_UPPER, penalty, max_iter)
-    finally:
-        data.unpersist()
+    data = kept(gg_data(summary))  # small files: a pass is a few short tasks
+    res = maximize(data, K.gamma_gamma, ["frequency", "monetary_value"], M.GG_NAMES,
+                   {0: list(M.GG_STARTS)}, M.GG_LOWER, M.GG_UPPER, penalty, max_iter)
     if 0 not in res:
         raise RuntimeError("Gamma-Gamma fit failed")
     return M.GammaGammaParams(*map(float, res[0].theta))
