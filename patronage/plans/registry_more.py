@@ -18,6 +18,7 @@ from ..operators import marketing as MK
 from ..operators import metrics as ME
 from ..operators import rfm
 from ..operators import shapley as SH
+from ..operators import single_linkage as SL
 from ..operators import supervised as SU
 from ..sources import tables as src
 from ..storage import kept
@@ -395,6 +396,21 @@ def q_hierarchical_segments(spark, sf):
     return HC.hierarchical(z, CLUSTER_FEATURES, n_clusters=4, linkage="ward")
 
 
+@register("single_linkage_segments", S.single_linkage_sql(_Z_POINTS, CLUSTER_FEATURES, 4))
+def q_single_linkage_segments(spark, sf):
+    """Exact single linkage into 4 groups of population-z-scored R/F/M."""
+    z = zscore(_txn_rfm(spark, sf), CLUSTER_FEATURES, ddof=0, keep=["customer_id"])
+    return SL.single_linkage(z, CLUSTER_FEATURES, n_clusters=4)
+
+
+@register("single_linkage_heights", S.single_linkage_sql(_Z_POINTS, CLUSTER_FEATURES))
+def q_single_linkage_heights(spark, sf):
+    """The heights of all merges of single linkage (the dendrogram's levels) with their counts."""
+    z = zscore(_txn_rfm(spark, sf), CLUSTER_FEATURES, ddof=0, keep=["customer_id"])
+    return (SL.merges(z, CLUSTER_FEATURES).groupBy(F.round("height", 6).alias("height"))
+            .agg(F.count(F.lit(1)).alias("merges")))
+
+
 # second clustering input: the embedding vectors
 EMB_DIM_SQL = "len(embedding)"
 

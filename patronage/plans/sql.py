@@ -171,6 +171,37 @@ SELECT {select or "pts.id AS customer_id, COALESCE(num.cluster, -1) AS cluster"}
 FROM pts LEFT JOIN lab ON pts.id = lab.id LEFT JOIN num ON lab.lab = num.lab {tail}"""
 
 
+def single_linkage_sql(points_cte: str, dims, n_clusters: int = 0) -> str:
+    """Single linkage in SQL: the minimum spanning tree point by point (Prim) in recursive steps.
+    With ``n_clusters`` the labels after the longest edges are left out, else the heights and their counts."""
+    d2 = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in dims)
+    nd2 = " + ".join(f"({c} - p_{c}) * ({c} - p_{c})" for c in dims)
+    xs = ", ".join(dims)
+    picked = ", ".join(f"first_value({c}) OVER w AS p_{c}" for c in dims)
+    nearer = "nd < d OR (nd = d AND (nlo < lo OR (nlo = lo AND nhi < hi)))"
+    tree = f"""WITH RECURSIVE {points_cte},
+uniq AS (SELECT {xs}, min(id) AS id FROM pts GROUP BY {xs}),
+prim AS (
+  SELECT 0 AS step, q.id, {", ".join(f"q.{c}" for c in dims)}, {d2} AS d, least(p.id, q.id) AS lo, greatest(p.id, q.id) AS hi
+  FROM uniq p JOIN uniq q ON p.id <> q.id WHERE p.id = (SELECT min(id) FROM uniq)
+  UNION ALL
+  SELECT step + 1, id, {xs}, CASE WHEN {nearer} THEN nd ELSE d END, CASE WHEN {nearer} THEN nlo ELSE lo END,
+         CASE WHEN {nearer} THEN nhi ELSE hi END
+  FROM (SELECT *, {nd2} AS nd, least(id, p_id) AS nlo, greatest(id, p_id) AS nhi
+        FROM (SELECT *, first_value(id) OVER w AS p_id, {picked} FROM prim WINDOW w AS (ORDER BY d, lo, hi)) WHERE id <> p_id)),
+tree AS (SELECT d, lo, hi FROM prim QUALIFY row_number() OVER (PARTITION BY step ORDER BY d, lo, hi) = 1)"""
+    if not n_clusters:
+        return tree + "\nSELECT round(sqrt(d), 6) AS height, COUNT(*) AS merges FROM tree GROUP BY 1"
+    return tree + f""",
+short AS (SELECT lo, hi FROM tree ORDER BY d DESC, lo DESC, hi DESC OFFSET {n_clusters - 1}),
+links AS (SELECT lo AS a, hi AS b FROM short UNION ALL SELECT hi, lo FROM short),
+reach(src, dst) AS (SELECT id, id FROM uniq UNION SELECT r.src, links.b FROM reach r JOIN links ON r.dst = links.a),
+comp AS (SELECT src AS id, min(dst) AS lab FROM reach GROUP BY src),
+named AS (SELECT pts.id, comp.lab FROM pts JOIN uniq USING ({xs}) JOIN comp ON comp.id = uniq.id),
+num AS (SELECT lab, CAST(row_number() OVER (ORDER BY COUNT(*) DESC, min(id)) - 1 AS BIGINT) AS cluster FROM named GROUP BY lab)
+SELECT named.id AS customer_id, cluster FROM named JOIN num USING (lab)"""
+
+
 def permuted_sql(n: str, a: str, b: str, group: str, position: str, source: str, seed: int = 0, walks: int = 6) -> str:
     """CTEs w0 .. that end in ``permuted(<group>, <position>, x)``: keyed permutations of the
     positions of ``source``, whose columns n, a and b hold the size and the two bases."""
