@@ -91,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_dedup": sql.NEAR_DUPLICATES,
+        "op4_suffix_dedup": sql.REPEATED_STRINGS,
         "op5_source_mix": source_mix.PLAN_SQL,
         "op6_chat_format": sql.chat_digest(),
         "op7_embedding_dedup": sql.VECTOR_LINKS,

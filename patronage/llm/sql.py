@@ -23,6 +23,28 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, m.low AS component_id, m.low = n.doc
 FROM n JOIN (SELECT id, min(low) AS low FROM c GROUP BY id) m ON m.id = n.doc_id
 """
 
+#: Every 200-byte string that starts twice, in texts cut into pieces that overlap by 199 bytes; bytes as hex digits.
+REPEATED_STRINGS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT r, h, unnest(range(0, strlen(h) // 2 - 199, 500)) AS p FROM d WHERE strlen(h) >= 400),
+piece AS (SELECT r, p, substr(h, CAST(2 * p + 1 AS BIGINT), 1398) AS h FROM places),
+starts AS (SELECT r, p, h, unnest(range(0, strlen(h) // 2 - 199)) AS i FROM piece),
+named AS (SELECT r, p + i AS p, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS k FROM starts),
+twice AS (SELECT k FROM named GROUP BY k HAVING COUNT(*) > 1),
+hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM named SEMI JOIN twice USING (k)),
+run AS (SELECT r, p, sum(CASE WHEN q IS NULL OR p > q + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS g FROM hit),
+span AS (SELECT r, g, min(p) AS lo, max(p) + 200 AS hi FROM run GROUP BY r, g),
+gap AS (SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS lo, lo AS hi FROM span
+        UNION ALL SELECT r, max(hi), NULL FROM span GROUP BY r),
+rest AS (SELECT gap.r, string_agg(substr(h, CAST(2 * gap.lo + 1 AS BIGINT), CAST(2 * (coalesce(gap.hi, strlen(h) // 2) - gap.lo) AS BIGINT)), ''
+                                  ORDER BY gap.lo) AS h
+         FROM gap JOIN d ON gap.r = d.r GROUP BY gap.r),
+cut AS (SELECT r, sum(hi - lo) AS n, COUNT(*) AS k FROM span GROUP BY r)
+SELECT doc_id, CAST(strlen(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(cut.k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN cut ON d.r = cut.r LEFT JOIN rest ON d.r = rest.r
+"""
+
 #: Pairs of one label by cosine, and their closure.
 VECTOR_LINKS = """
 WITH RECURSIVE

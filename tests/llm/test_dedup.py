@@ -2,11 +2,13 @@
 import hashlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from patronage.llm import embedding_dedup, minhash_dedup, suffix_dedup
+from patronage.llm import embedding_dedup, minhash_dedup, sql, suffix_dedup
 from patronage.llm.common import Scratch, components, shingles
 
 
@@ -165,6 +167,13 @@ def test_suffix_equals_brute_force(corpus, rows):
     assert suffix_dedup.digest(corpus.where("false")).collect() == []
 
 
+def test_suffix_sql_equals_brute_force(rows):
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    got = Counter(con.execute("SELECT doc_id, n_bytes, n_removed, n_spans, kept_sha256 FROM (" + sql.REPEATED_STRINGS + ")").fetchall())
+    assert got == Counter((i, *x) for (i, *_), x in zip(rows, brute_repeats([(t or "").encode() for _, t, _ in rows])))
+
+
 def test_suffix_over_chunk_borders(spark, monkeypatch):
     rng = np.random.default_rng(1)
     a = bytes(rng.integers(97, 123, 5000, dtype=np.uint8))
