@@ -165,16 +165,24 @@ def churn_probability(tr: Trained, df: DataFrame, keep=("customer_id",)) -> Data
     return with_probability(tr.model.transform(tr.prep.apply(df))).select(*keep, F.col("score").alias("churn_probability"))
 
 
+def decide(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """0/1 decision churn_probability >= threshold (P6); no probability, no decision."""
+    return scored.withColumn("churn_prediction", (F.col("churn_probability") >= threshold).cast("int"))
+
+
 def predict_churn(tr: Trained, df: DataFrame, threshold: float = 0.5, keep=("customer_id",)) -> DataFrame:
-    """0/1 decision p >= threshold."""
-    p = churn_probability(tr, df, keep)
-    return p.withColumn("churn_prediction", (F.col("churn_probability") >= threshold).cast("int"))
+    """The decision of a fitted model for each row."""
+    return decide(churn_probability(tr, df, keep), threshold)
+
+
+def at_risk(scored: DataFrame, threshold: float = 0.7, id_col: str = "customer_id") -> DataFrame:
+    """Rows with churn_probability >= threshold, highest first (P5)."""
+    return scored.where(F.col("churn_probability") >= threshold).orderBy(F.desc("churn_probability"), id_col)
 
 
 def high_risk(tr: Trained, df: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Customers with churn probability >= threshold, highest first (P5)."""
-    p = churn_probability(tr, df, keep=df.columns)
-    return p.where(F.col("churn_probability") >= threshold).orderBy(F.desc("churn_probability"), "customer_id")
+    """Customers at risk by a fitted model."""
+    return at_risk(churn_probability(tr, df, keep=df.columns), threshold)
 
 
 # ---------------------------------------------------------- comparisons --

@@ -20,8 +20,9 @@ from ..operators import rfm
 from ..operators import shapley as SH
 from ..operators import single_linkage as SL
 from ..operators import supervised as SU
+from ..sources import files
 from ..sources import tables as src
-from ..storage import kept
+from ..storage import kept, kept_csv
 from . import sql as S
 from .registry import _txn_rfm, _txn_segments, r6, register
 
@@ -796,6 +797,38 @@ def q_churn_rule_high_risk(spark, sf):
     return h.select("high_risk", r6("high_risk_pct").alias("high_risk_pct"))
 
 
+def _rule_probabilities(spark, sf):
+    return _rule_scored(spark, sf).select("customer_id", F.col("score").alias("churn_probability"))
+
+
+@register("churn_rule_decisions", f"""{_RULE_SQL}
+SELECT customer_id, round(score, 9) AS churn_probability, CAST(prediction AS INTEGER) AS churn_prediction FROM s""")
+def q_churn_rule_decisions(spark, sf):
+    """The 0/1 decision for every customer (P6), of a rule score in place of a model."""
+    return SU.decide(_rule_probabilities(spark, sf)).withColumn("churn_probability", F.round("churn_probability", 9))
+
+
+@register("churn_rule_at_risk", f"""{_RULE_SQL}
+SELECT customer_id, round(score, 9) AS churn_probability FROM s WHERE score >= 0.7""")
+def q_churn_rule_at_risk(spark, sf):
+    """All customers at or above the risk threshold (P5), of a rule score in place of a model."""
+    return SU.at_risk(_rule_probabilities(spark, sf)).withColumn("churn_probability", F.round("churn_probability", 9))
+
+
+@register("csv_purchase_months", """
+SELECT strftime(o_orderdate, '%Y-%m') AS month, COUNT(*) AS purchases, COUNT(DISTINCT o_custkey) AS customers,
+       round(sum(o_totalprice), 2) AS amount FROM orders GROUP BY 1""")
+def q_csv_purchase_months(spark, sf):
+    """The whole purchase log through CSV files: scan with a schema (S1), column mapping (S2), day/month/year dates (S3)."""
+    log = src.table(spark, sf, "orders").select("o_custkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), "o_totalprice")
+    df = files.read_csv(spark, kept_csv(log), "o_custkey BIGINT, day STRING, o_totalprice DOUBLE")
+    df = files.map_columns(df, {"customer_id": "o_custkey", "transaction_date": "day", "amount": "o_totalprice"})
+    df = files.parse_dates(df, "transaction_date", "dd/MM/yyyy")
+    return df.groupBy(F.date_format("transaction_date", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("purchases"), F.countDistinct("customer_id").alias("customers"),
+        F.round(F.sum("amount"), 2).alias("amount"))
+
+
 CONTRIB_WEIGHTS = {"recency": 0.8, "frequency": -0.5, "monetary": 0.3, "acctbal": 0.1}
 CONTRIB_MEANS = {"recency": 100.0, "frequency": 8.0, "monetary": 2000000.0, "acctbal": 4500.0}
 

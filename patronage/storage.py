@@ -3,18 +3,31 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .session import ensure_checkpoint_dir
 
 
+def _place(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, whose files go when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The frame as Parquet in the shared checkpoint folder: later passes read columns
     of it and not its lineage, and a lost executor costs no recomputation. The
     files go when the driver ends."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = _place(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_csv(df: DataFrame) -> str:
+    """Path of the frame as CSV files with a header row, in the same folder."""
+    path = _place(df.sparkSession)
+    df.write.option("header", True).csv(path)
+    return path
