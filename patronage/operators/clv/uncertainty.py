@@ -22,6 +22,7 @@ from ...functions.scaling import attach_row
 from ...functions.special import hyp2f1_series
 from ...functions.validation import require_columns
 from ...storage import kept
+from ..order_stats import quantiles
 from . import estimate as E
 from . import kernels as K
 from . import models as M
@@ -192,7 +193,14 @@ def parameter_perturbation_clv(bg: M.BGNBDParams, gg: M.GammaGammaParams, summar
 
 
 def describe(customer_clv: DataFrame) -> DataFrame:
-    """count, mean, std, min, quartiles and max of every per-customer column
-    (A23, the reference's ``describe()`` in the result's dictionary form)."""
+    """count, mean, std, min, quartiles and max of every per-customer column, a row a statistic.
+    Quartiles are exact, by linear interpolation; a column without values counts 0 and has nulls."""
     cols = [c for c in customer_clv.columns if c.startswith("clv_")]
-    return customer_clv.select(*cols).summary("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
+    values = kept(customer_clv.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    plain = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = values.agg(*[f(c).cast("double").alias(f"{c}_{name}") for c in cols for name, f in plain.items()]).first()
+    quartile = {"25%": 0, "50%": 1, "75%": 2}
+    found = quantiles(values, cols, [0.25, 0.5, 0.75])
+    rows = [(name, *[(found[c] or [None] * 3)[quartile[name]] if name in quartile else row[f"{c}_{name}"] for c in cols])
+            for name in ("count", "mean", "std", "min", "25%", "50%", "75%", "max")]
+    return values.sparkSession.createDataFrame(rows, "statistic string, " + ", ".join(f"{c} double" for c in cols))

@@ -201,15 +201,32 @@ def q_gg_expected_spend_reference(spark, sf):
     return out.select("customer_id", r6("expected_spend").alias("expected_spend"))
 
 
-@register("clv_fixed_params", f"""WITH {S.clv_summary_cte()},
+_CLV_FIXED = f"""WITH {S.clv_summary_cte()},
 {S.expected_purchases_cte(BG_FIXED.r, BG_FIXED.alpha, BG_FIXED.a, BG_FIXED.b, 365.0)}
 SELECT customer_id, round(expected_purchases * {_P} * ({_G} + frequency * monetary_value)
-                          / ({_P} * frequency + {_Q} - 1), 0) AS clv_365d FROM ep""")
+                          / ({_P} * frequency + {_Q} - 1), 0) AS clv_365d FROM ep"""
+
+
+@register("clv_fixed_params", _CLV_FIXED)
 def q_clv_fixed_params(spark, sf):
     out = CE.score(_txn_summary(spark, sf), BG_FIXED, GG_FIXED, horizon=365.0)
     return out.select("customer_id", F.round("clv_365d", 0).alias("clv_365d"))
 
 
+_DESCRIBED = {"count": "COUNT({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})",
+              "25%": "quantile_cont({c}, 0.25)", "50%": "quantile_cont({c}, 0.5)", "75%": "quantile_cont({c}, 0.75)",
+              "max": "max({c})"}
+
+
+@register("clv_describe", f"WITH c AS ({_CLV_FIXED}) " + " UNION ALL ".join(
+    f"SELECT '{name}' AS statistic, round(CAST({call.format(c='clv_365d')} AS DOUBLE), 4) AS clv_365d FROM c"
+    for name, call in _DESCRIBED.items()))
+def q_clv_describe(spark, sf):
+    """The describe table of all customers' values."""
+    out = CU.describe(q_clv_fixed_params(spark, sf))
+    return out.select("statistic", F.round("clv_365d", 4).alias("clv_365d"))
+
+
 @register("clv_discounted", f"""WITH {S.clv_summary_cte()},
 {S.expected_purchases_cte(BG_FIXED.r, BG_FIXED.alpha, BG_FIXED.a, BG_FIXED.b, 180.0)}
 SELECT customer_id, round(expected_purchases * {_P} * ({_G} + frequency * monetary_value)
