@@ -94,7 +94,8 @@ def permutation_importance_of(df: DataFrame, features, target: str, rated, n_rep
         sent = base.select(F.array(*feats).alias("own"), F.posexplode(targets("pos", n, len(feats) * n_repeats, seed)).alias("g", "pos"))
         fidx = (F.col("g") / n_repeats).cast("int")
         sent = sent.select("g", "pos", F.get("own", fidx).alias("__v"))
-        shuffled = sent.join(base, "pos").select(id_col, "g", "label", *[
+        # both sides grow with the table, however small its files: neither may be broadcast
+        shuffled = sent.join(base.hint("merge"), "pos").select(id_col, "g", "label", *[
             F.when(fidx == i, F.col("__v")).otherwise(F.col(f)).alias(f) for i, f in enumerate(feats)])
         baseline = _grouped_score(rated(base.drop("pos")), scoring).first()["value"]
         drops: dict = {}

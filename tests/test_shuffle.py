@@ -63,3 +63,17 @@ def test_one_id_for_all_rows(spark):
     df = spark.createDataFrame([(5, float(i % 2), i % 2) for i in range(40)], "customer_id long, a double, y int")
     got = EX.permutation_importance_of(df, ["a"], "y", lambda d: d.withColumn("score", F.col("a")), 4, scoring="accuracy").first()
     assert 0.2 < got.importance_mean < 0.8
+
+
+def test_importance_broadcasts_no_table(spark):
+    """The rows meet their shuffled values by a shuffle, however small their files: a broadcast would pass the driver."""
+    plans = []
+
+    def rated(d):
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        return d.withColumn("score", F.col("a"))
+
+    df = spark.createDataFrame([(i, float(i % 7), i % 2) for i in range(50)], "customer_id long, a double, y int")
+    assert EX.permutation_importance_of(df, ["a"], "y", rated, 3, scoring="accuracy").count() == 1
+    joined = [p for p in plans if "Join" in p]
+    assert joined and all("SortMergeJoin" in p and "Broadcast" not in p for p in joined)
