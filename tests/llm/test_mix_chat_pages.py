@@ -219,6 +219,18 @@ def test_pages_template_decides_in_the_article(spark):
         i: f"Head {i}\n\nAs ever\n\nStory {i} and more" + ("\n\nSaid twice" if i in (2, 3) else "") for i in range(6)}
 
 
+def test_pages_template_confirms_the_article(spark):
+    """An article element on one page of a host is a quotation there; without the template's word no such element counts."""
+    page = "<body><div><h1>Head {n}</h1><p>Story {n} begins</p>{more}<p>Story {n} ends</p></div></body>"
+    quoted = "<article><p>A post that is quoted in the story</p></article>"
+    assert from_hosts(spark, [page.format(n=i, more=quoted if i == 1 else "") for i in range(5)]) == {
+        i: f"Head {i}\n\nStory {i} begins\n\n" + ("A post that is quoted in the story\n\n" if i == 1 else "") + f"Story {i} ends"
+        for i in range(5)}
+    both = "<body><div class=ad>Buy {n} now</div><article><p>Story {n}</p></article></body>"
+    assert from_hosts(spark, [both.format(n=i) for i in range(4)]) == {i: f"Story {i}" for i in range(4)}
+    assert template_extract.main_text(both.format(n=1), [], 0) == "Buy 1 now\n\nStory 1"
+
+
 def test_pages_templates_equal_plain_counting(spark):
     """Classes of a host against vectors laid out in full."""
     pages = [PAGE.format(n=i % 7) for i in range(9)] + [f"<article><p>Own {i}</p><p>Notice</p></article>" for i in range(12)]
