@@ -16,13 +16,15 @@ Scale design:
   nothing else. Only the 3^d neighbouring blocks can hold neighbours. A block of
   more than ``chunk`` points is split into hash chunks, so one that holds a third
   of the data becomes many bounded ones.
-* Every (block, neighbouring block) pair meets in one ``applyInPandas`` group;
-  distances are computed there in numpy, in row slices. Two full cells are
-  united by the first pair found, cells already united are not looked at again.
-  Only per-point results leave the task: neighbour counts, the stars of the
-  local core components, border labels. No pair of data rows is emitted.
-* Global components come from min-label propagation with pointer jumping
-  over the star edges; labels are checkpointed every round.
+* A chunk of a block is one ``applyInPandas`` group: the points looked at are sent
+  once, and the points that look are copied to the neighbouring blocks whose
+  bounds are within eps. Those are few where points are dense: the points outside
+  full cells and one representative of every full cell. Distances are computed in
+  numpy, in row slices; only per-point results and stars leave the task.
+* Components are those of nodes (full cells and other core points): first by
+  representatives, then full cells of different components whose bounds are within
+  eps compare the points that face each other. Labels come from min-label
+  propagation with pointer jumping, written every round.
 """
 from __future__ import annotations
 
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..storage import kept
 from .features import impute_median
 from .rank import global_rank
 
@@ -58,7 +61,8 @@ def _fine_side(eps: float, d: int) -> float:
     return eps / math.sqrt(d) * (1 - 1e-9)
 
 
-def _cells(df: DataFrame, xs, eps: float, min_samples: int, chunk: int, id_col: str):
+def _cells(df: DataFrame, xs, eps: float, min_samples: int, chunk: int, id_col: str) -> DataFrame:
+    """Points with their block (``__c``) and, in a full cell, the smallest id of the cell (``__head``)."""
     d = len(xs)
     side = grid_side(df, xs, eps, max(chunk // 2, 1))
     fine = [F.floor(F.col(f"__x{i}") / F.lit(_fine_side(eps, d))).cast("long").alias(f"__f{i}") for i in range(d)]
@@ -69,38 +73,48 @@ def _cells(df: DataFrame, xs, eps: float, min_samples: int, chunk: int, id_col:
     full = pts.groupBy(*[f"__f{i}" for i in range(d)]).agg(F.min("__id").alias("__head"), F.count(F.lit(1)).alias("__k"))
     pts = pts.join(full.where(F.col("__k") >= min_samples).drop("__k"), [f"__f{i}" for i in range(d)], "left") \
         .drop(*[f"__f{i}" for i in range(d)])
-    cc = [f"__c{i}" for i in range(d)]
-    cells = pts.groupBy(*cc).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk))).cast("int").alias("__nch"))
-    pts = pts.join(cells, cc).withColumn("__ch", F.pmod(F.xxhash64("__id"), F.col("__nch")).cast("int")).drop("__nch")
-    return pts, cells, cc
-
-
-def _pairs(left: DataFrame, right: DataFrame, cells: DataFrame, cc, d: int) -> DataFrame:
-    """Rows of ``left`` keyed by every neighbouring block, rows of ``right``
-    keyed by every block they neighbour; the union grouped by key brings each
-    block pair together."""
-    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in itertools.product((-1, 0, 1), repeat=d)])
-    nb_cells = cells.select(*[F.col(c).alias(f"{c}n") for c in cc], F.col("__nch").alias("__nchn"))
-    key = [f"__a{i}" for i in range(d)] + ["__ach"] + [f"__b{i}" for i in range(d)] + ["__bch"]
-    lft = (left.withColumn("__o", F.explode(offs))
-           .select("*", *[(F.col(cc[i]) + F.col("__o")[i]).alias(f"{cc[i]}n") for i in range(d)])
-           .join(nb_cells, [f"{c}n" for c in cc])
-           .withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__nchn") - 1)))
-           .select(*[F.col(cc[i]).alias(f"__a{i}") for i in range(d)], F.col("__ch").alias("__ach"),
-                   *[F.col(f"{cc[i]}n").alias(f"__b{i}") for i in range(d)], F.col("__j").alias("__bch"),
-                   F.lit("L").alias("__side"), "*"))
-    rgt = (right.withColumn("__o", F.explode(offs))
-           .select("*", *[(F.col(cc[i]) - F.col("__o")[i]).alias(f"{cc[i]}n") for i in range(d)])
-           .join(nb_cells, [f"{c}n" for c in cc])
-           .withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__nchn") - 1)))
-           .select(*[F.col(f"{cc[i]}n").alias(f"__a{i}") for i in range(d)], F.col("__j").alias("__ach"),
-                   *[F.col(cc[i]).alias(f"__b{i}") for i in range(d)], F.col("__ch").alias("__bch"),
-                   F.lit("R").alias("__side"), "*"))
-    keep = key + ["__side", "__id"] + [f"__x{i}" for i in range(d)] + \
-        [c for c in ("__head", "__label") if c in left.columns or c in right.columns]
-    lft = lft.select(*[F.col(c) if c in lft.columns else F.lit(None).cast("long").alias(c) for c in keep])
-    rgt = rgt.select(*[F.col(c) if c in rgt.columns else F.lit(None).cast("long").alias(c) for c in keep])
-    return lft.unionByName(rgt), key
+    return pts
+
+
+def meetings(left: DataFrame, right: DataFrame, d: int, reach: float, chunk: int, extra=(), half: bool = False,
+             label: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Rows that may lie within ``reach`` of each other, by group, and the columns of a group.
+
+    A group is a chunk of a block: its rows of ``right`` are sent once, with the rows of
+    ``left`` (``__l``) from neighbouring blocks whose distance to the bounds of the block's
+    rows is at most ``reach``. Chunks hold about ``chunk`` rows of ``right`` and four times
+    as many of ``left``. ``half``: two blocks meet once, for equal sides. Rows do not meet
+    a block that has their ``label`` alone.
+    """
+    cc, xs = [f"__c{i}" for i in range(d)], [f"__x{i}" for i in range(d)]
+    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in itertools.product((-1, 0, 1), repeat=d)
+                     if not half or o >= (0,) * d])
+
+    def spread(df: DataFrame, *cols: str) -> DataFrame:
+        moved = df.withColumn("__o", F.explode(offs))
+        return moved.select(*cols, *[(F.col(c) + F.col("__o")[i]).alias(c) for i, c in enumerate(cc)])
+
+    range_of = [F.min(label).alias("__low"), F.max(label).alias("__high")] if label else []
+    rb = kept(right.groupBy(*cc).agg(F.count(F.lit(1)).alias("__n"), *range_of, *[F.min(x).alias(f"{x}l") for x in xs],
+                                     *[F.max(x).alias(f"{x}h") for x in xs]))
+    lb = left.groupBy(*cc).agg(F.count(F.lit(1)).alias("__m"), *[F.min(label).alias("__a"), F.max(label).alias("__b")] if label else [])
+    near = spread(lb, "__m", *(["__a", "__b"] if label else [])).join(rb, cc)
+    if label:
+        near = near.where("NOT (__a = __b AND __low = __high AND __a = __low)")
+    blocks = rb.join(near.groupBy(*cc).agg(F.sum("__m").alias("__m")), cc)
+    blocks = kept(blocks.withColumns({"__nr": F.ceil(F.col("__n") / float(chunk)).cast("int"),
+                                      "__nl": F.ceil(F.col("__m") / (4.0 * chunk)).cast("int")}).drop("__n", "__m"))
+    gap = sum((F.pow(F.greatest(F.col(f"{x}l") - F.col(x), F.col(x) - F.col(f"{x}h"), F.lit(0.0)), F.lit(2.0)) for x in xs), F.lit(0.0))
+    lft = spread(left, "__id", *xs, *extra).join(blocks, cc).where(gap <= F.lit(float(reach) ** 2 * (1 + 1e-9)))
+    if label:
+        lft = lft.where(f"NOT (__low = __high AND __low = {label})")
+    cols = ["__id", *xs, *extra]
+    lft = lft.select(*cc, F.explode(F.sequence(F.lit(0), F.col("__nr") - 1)).alias("__rch"),
+                     F.pmod(F.xxhash64("__id"), F.col("__nl")).cast("int").alias("__lch"), F.lit(True).alias("__l"), *cols)
+    rgt = right.join(blocks, cc).select(*cc, F.pmod(F.xxhash64("__id"), F.col("__nr")).cast("int").alias("__rch"),
+                                        F.explode(F.sequence(F.lit(0), F.col("__nl") - 1)).alias("__lch"),
+                                        F.lit(False).alias("__l"), *cols)
+    return lft.unionByName(rgt), [*cc, "__rch", "__lch"]
 
 
 def _within(xl, xr, eps2, seen=None, rows=512):
@@ -129,35 +143,49 @@ def _rooted(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return roots
 
 
-def _touching_cells(xl, hl, xr, hr, eps2, seen=None):
-    """Links (head, head) between full cells (points of equal ``h``) of two sides, enough to join all that touch."""
-    heads, at = np.unique(np.concatenate([hl, hr]), return_inverse=True)
-    x = np.concatenate([xl, xr])
-    side = np.r_[np.zeros(len(xl), bool), np.ones(len(xr), bool)]
-    order = np.argsort(at, kind="stable")
-    first = np.searchsorted(at[order], np.arange(len(heads)))
-    low, high = np.minimum.reduceat(x[order], first), np.maximum.reduceat(x[order], first)
-    rep = x[order][first]  # one point of each cell joins most of them
-    us, vs = [], []
-    for lo, adj in _within(rep, rep, eps2, seen):
-        a, b = np.nonzero(adj)
-        us.append(lo + a)
-        vs.append(b)
-    u, v = np.concatenate(us), np.concatenate(vs)
-    roots = _rooted(len(heads), u, v)
-    links = [(int(a), int(r)) for a, r in enumerate(roots) if a != r]
-    members = np.split(order, first[1:])
-    for a in range(len(heads)):
-        gap = np.maximum(np.maximum(low[a] - high, low - high[a]), 0)
-        for b in np.flatnonzero((gap * gap).sum(axis=1) <= eps2):
-            if b <= a or roots[a] == roots[b]:
-                continue
-            p, q = members[a], members[b]
-            if any(adj.any() for s, t in ((p[~side[p]], q[side[q]]), (p[side[p]], q[~side[q]]))
-                   for _, adj in _within(x[s], x[t], eps2, seen, 64)):
-                links.append((a, int(b)))
-                roots[roots == roots[b]] = roots[a]
-    return [(heads[a], heads[b]) for a, b in links]
+def _components(nodes: DataFrame, edges: DataFrame, max_rounds: int, t0: float) -> DataFrame:
+    """(v, lab): the smallest node reachable, by min-label propagation with pointer jumping."""
+    both = kept(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    labels = kept(nodes.select("v", F.col("v").alias("lab")))
+    for _ in range(max_rounds):
+        nb = (both.join(labels.withColumnRenamed("v", "dst"), "dst")
+              .groupBy("src").agg(F.min("lab").alias("nl")))
+        l1 = (labels.join(nb, labels.v == nb.src, "left")
+              .select("v", "lab", F.least("lab", F.coalesce("nl", "lab")).alias("new")))
+        l2 = kept(l1.alias("a").join(l1.alias("b"), F.col("a.new") == F.col("b.v"), "left")
+                  .select(F.col("a.v").alias("v"), F.col("a.lab").alias("old"),
+                          F.least(F.col("a.new"), F.coalesce(F.col("b.new"), F.col("a.new"))).alias("lab")))
+        changed = l2.where(F.col("lab") != F.col("old")).count()
+        labels = l2.drop("old")
+        _log(f"round changed={changed}", t0)
+        if changed == 0:
+            return labels
+    raise RuntimeError("DBSCAN label propagation did not converge")
+
+
+def _open_cells(full: DataFrame, labels: DataFrame, d: int, eps: float, chunk: int) -> DataFrame:
+    """(a, b, chunks and bounds of both): full cells of different components whose bounds are within eps."""
+    xs, bb = [f"__x{i}" for i in range(d)], [f"__b{i}" for i in range(d)]
+    cells = full.groupBy("__head").agg(F.ceil(F.count(F.lit(1)) / float(chunk)).cast("int").alias("k"),
+                                       *[F.min(x).alias(f"{x}l") for x in xs], *[F.max(x).alias(f"{x}h") for x in xs])
+    # lower corners of such cells are within three times eps: a cell is at most eps wide
+    cells = kept(cells.join(labels.select(F.col("v").alias("__head"), "lab"), "__head")
+                 .select("*", *[F.floor(F.col(f"{x}l") / F.lit(3.0 * eps)).cast("long").alias(b) for x, b in zip(xs, bb)]))
+    around = cells.groupBy(*bb).agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"))
+    for b in bb:
+        around = around.withColumn(b, F.explode(F.array(F.col(b) - 1, F.col(b), F.col(b) + 1)))
+        around = around.groupBy(*bb).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    some = kept(cells.join(around.where("lo <> hi").select(*bb), bb))
+    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in itertools.product((-1, 0, 1), repeat=d)])
+    box = ["k", "lab", *[f"{x}{e}" for x in xs for e in "lh"]]
+    a = some.withColumn("__o", F.explode(offs)).select(
+        F.col("__head").alias("a"), *[F.col(c).alias(f"a_{c}") for c in box],
+        *[(F.col(b) + F.col("__o")[i]).alias(b) for i, b in enumerate(bb)])
+    b = some.select(F.col("__head").alias("b"), *[F.col(c).alias(f"b_{c}") for c in box], *bb)
+    gap = sum((F.pow(F.greatest(F.col(f"a_{x}l") - F.col(f"b_{x}h"), F.col(f"b_{x}l") - F.col(f"a_{x}h"), F.lit(0.0)), F.lit(2.0))
+               for x in xs), F.lit(0.0))
+    return a.join(b, bb).where((F.col("a") < F.col("b")) & (F.col("a_lab") != F.col("b_lab"))
+                               & (gap <= F.lit(eps * eps * (1 + 1e-9)))).drop(*bb, "a_lab", "b_lab")
 
 
 def _log(msg, t0):
@@ -178,96 +206,94 @@ def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: st
     d = len(xs)
     eps2 = float(eps) * float(eps) * (1 + 1e-12)
     xcols = [f"__x{i}" for i in range(d)]
-    pts, cells, cc = _cells(df, xs, eps, min_samples, chunk, id_col)
     t0 = time.time()
-    pts = pts.checkpoint(eager=True)
-    cells = cells.checkpoint(eager=True)
+    pts = kept(_cells(df, xs, eps, min_samples, chunk, id_col))
+    full, loose = pts.where("__head IS NOT NULL"), pts.where("__head IS NULL")
     _log("cells", t0)
 
+    def sides(pdf: pd.DataFrame):
+        left = pdf["__l"].to_numpy(bool)
+        x = pdf[xcols].to_numpy(float)
+        return pdf[left], pdf[~left], x[left], x[~left]
+
     # 1. neighbour counts (self included) of the points outside full cells
-    pairs, key = _pairs(pts.where("__head IS NULL"), pts, cells, cc, d)
+    pairs, key = meetings(loose, pts, d, eps, chunk)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        L, R = pdf[pdf["__side"] == "L"], pdf[pdf["__side"] == "R"]
-        if L.empty or R.empty:
-            return pd.DataFrame({"__id": L["__id"].astype("int64"), "__n": np.zeros(len(L), dtype="int64")})
-        xl, xr = L[xcols].to_numpy(float), R[xcols].to_numpy(float)
+        L, R, xl, xr = sides(pdf)
         n = np.zeros(len(L), dtype="int64")
         for lo, adj in _within(xl, xr, eps2, seen):
             n[lo:lo + len(adj)] = adj.sum(axis=1)
         return pd.DataFrame({"__id": L["__id"].to_numpy("int64"), "__n": n})
 
     counts = pairs.groupBy(*key).applyInPandas(count, "__id long, __n long").groupBy("__id").agg(F.sum("__n").alias("__n"))
-    pts = pts.join(counts, "__id", "left").withColumn("__core", F.when(
-        F.col("__head").isNotNull() | (F.col("__n") >= min_samples), 1).otherwise(0).cast("long")).drop("__n")
-    pts = pts.checkpoint(eager=True)
+    loose = kept(loose.join(counts, "__id", "left").withColumn("__core", F.coalesce(F.col("__n") >= min_samples, F.lit(False)))
+                 .drop("__n", "__head").withColumn("__head", F.lit(None).cast("long")))
     _log("counts", t0)
-    core = pts.where(F.col("__core") == 1)
+    single = loose.where("__core").drop("__core")
+    core = full.unionByName(single)
 
-    # 2. stars of local core components
-    pairs, key = _pairs(core, core, cells, cc, d)
+    # 2. components of nodes: core points outside full cells, and full cells by their heads
+    reps = full.where("__head = __id")
+    pairs, key = meetings(reps.unionByName(single), core, d, eps, chunk, ["__head"])
 
     def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        L, R = pdf[pdf["__side"] == "L"], pdf[pdf["__side"] == "R"]
-        ids = np.unique(np.concatenate([L["__id"].to_numpy("int64"), R["__id"].to_numpy("int64")]))
-        if L.empty or R.empty or len(ids) < 2:
-            return pd.DataFrame({"src": np.array([], "int64"), "dst": np.array([], "int64")})
-        li = np.searchsorted(ids, L["__id"].to_numpy("int64"))
-        ri = np.searchsorted(ids, R["__id"].to_numpy("int64"))
-        xl, xr = L[xcols].to_numpy(float), R[xcols].to_numpy(float)
-        fl, fr = L["__head"].notna().to_numpy(), R["__head"].notna().to_numpy()
-        us, vs = [np.zeros(0, int)], [np.zeros(0, int)]
-        for lo, adj in _within(xl[~fl], xr, eps2, seen):
+        L, R, xl, xr = sides(pdf)
+        left = L["__id"].to_numpy("int64")  # a representative carries its cell's name
+        right = R["__head"].where(R["__head"].notna(), R["__id"]).to_numpy("int64")
+        ids = np.unique(np.r_[left, right])
+        li, ri = np.searchsorted(ids, left), np.searchsorted(ids, right)
+        links = [np.zeros(0, "int64")]
+        for lo, adj in _within(xl, xr, eps2, seen):
             a, b = np.nonzero(adj)
-            us.append(li[~fl][lo + a])
-            vs.append(ri[b])
-        roots = _rooted(len(ids), np.concatenate(us), np.concatenate(vs))
+            links.append(np.unique(li[lo + a] * len(ids) + ri[b]))
+        links = np.unique(np.concatenate(links))
+        roots = _rooted(len(ids), links // max(len(ids), 1), links % max(len(ids), 1))
         keep = roots != np.arange(len(ids))
-        src, dst = ids[keep], ids[roots[keep]]
-        if fl.any() and fr.any():
-            joined = np.array(_touching_cells(xl[fl], L["__head"].to_numpy()[fl].astype("int64"), xr[fr],
-                                              R["__head"].to_numpy()[fr].astype("int64"), eps2, seen), "int64").reshape(-1, 2)
-            src, dst = np.r_[src, joined[:, 0]], np.r_[dst, joined[:, 1]]
-        return pd.DataFrame({"src": src, "dst": dst})
-
-    edges = pairs.groupBy(*key).applyInPandas(stars, "src long, dst long") \
-        .unionByName(core.where("__head <> __id").select(F.col("__id").alias("src"), F.col("__head").alias("dst"))).distinct()
-    edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).checkpoint(eager=True)
-    _log("stars", t0)
+        return pd.DataFrame({"src": ids[keep], "dst": ids[roots[keep]]})
 
-    # 3. global components: min-label propagation with pointer jumping
-    labels = core.select(F.col("__id").alias("v"), F.col("__id").alias("lab")).checkpoint(eager=True)
-    for _ in range(max_rounds):
-        nb = (edges.join(labels.withColumnRenamed("v", "dst"), "dst")
-              .groupBy("src").agg(F.min("lab").alias("nl")))
-        l1 = (labels.join(nb, labels.v == nb.src, "left")
-              .select("v", F.least("lab", F.coalesce("nl", "lab")).alias("lab")))
-        l2 = (l1.alias("a").join(l1.alias("b"), F.col("a.lab") == F.col("b.v"), "left")
-              .select(F.col("a.v").alias("v"), F.least(F.col("a.lab"), F.coalesce(F.col("b.lab"), F.col("a.lab"))).alias("lab")))
-        l2 = l2.checkpoint(eager=True)
-        changed = l2.join(labels.withColumnRenamed("lab", "old"), "v").where(F.col("lab") != F.col("old")).count()
-        labels = l2
-        _log(f"round changed={changed}", t0)
-        if changed == 0:
-            break
-    else:
-        raise RuntimeError("DBSCAN label propagation did not converge")
+    edges = kept(pairs.groupBy(*key).applyInPandas(stars, "src long, dst long").distinct())
+    _log("stars", t0)
+    nodes = reps.unionByName(single).select(F.col("__id").alias("v"))
+    labels = _components(nodes, edges, max_rounds, t0)
+
+    # 3. full cells of different components that may still touch: only their points meet
+    opened = kept(_open_cells(full, labels, d, eps, chunk))
+    if not opened.isEmpty():
+        def facing(own: str, other: str) -> DataFrame:
+            """The points of one cell that lie within eps of the other's bounds."""
+            gap = sum((F.pow(F.greatest(F.col(f"{other}_{x}l") - F.col(x), F.col(x) - F.col(f"{other}_{x}h"), F.lit(0.0)), F.lit(2.0))
+                       for x in xcols), F.lit(0.0))
+            near = full.join(opened.withColumnRenamed(own, "__head").withColumn(own, F.col("__head")), "__head") \
+                .where(gap <= F.lit(eps2 * (1 + 1e-9)))
+            at = F.pmod(F.xxhash64("__id"), F.col(f"{own}_k")).cast("int")
+            met = F.explode(F.sequence(F.lit(0), F.col(f"{other}_k") - 1))
+            i, j = (at, met) if own == "a" else (met, at)
+            return near.select("a", "b", i.alias("i"), j.alias("j"), F.lit(own == "a").alias("__l"), *xcols)
+
+        def touch(pdf: pd.DataFrame) -> pd.DataFrame:
+            _, _, xl, xr = sides(pdf)
+            hit = len(xl) > 0 and len(xr) > 0 and any(adj.any() for _, adj in _within(xl, xr, eps2, seen, 64))
+            return pd.DataFrame({"src": pdf["a"][:int(hit)], "dst": pdf["b"][:int(hit)]})
+
+        more = facing("a", "b").unionByName(facing("b", "a")).groupBy("a", "b", "i", "j").applyInPandas(touch, "src long, dst long")
+        labels = _components(nodes, edges.unionByName(more.distinct()), max_rounds, t0)
+    labels = kept(labels)
 
     # 4. border points: smallest component label among core neighbours
-    core_l = core.join(labels.withColumnRenamed("v", "__id"), "__id").withColumnRenamed("lab", "__label")
-    border = pts.where(F.col("__core") == 0)
-    pairs, key = _pairs(border, core_l, cells, cc, d)
+    core_l = core.withColumn("v", F.coalesce("__head", "__id")).join(labels, "v").withColumnRenamed("lab", "__label")
+    border = loose.where("NOT __core").withColumn("__label", F.lit(None).cast("long"))
+    pairs, key = meetings(border, core_l, d, eps, chunk, ["__label"])
 
     def reach(pdf: pd.DataFrame) -> pd.DataFrame:
-        L, R = pdf[pdf["__side"] == "L"], pdf[pdf["__side"] == "R"]
+        L, R, xl, xr = sides(pdf)
         if L.empty or R.empty:
             return pd.DataFrame({"__id": np.array([], "int64"), "__label": np.array([], "int64")})
-        xl, xr = L[xcols].to_numpy(float), R[xcols].to_numpy(float)
         lab = R["__label"].to_numpy("int64")
         best = np.full(len(L), np.iinfo(np.int64).max)
         for lo, adj in _within(xl, xr, eps2, seen):
             cand = np.where(adj, lab[None, :], np.iinfo(np.int64).max)
-            best[lo:lo + len(adj)] = cand.min(axis=1)
+            best[lo:lo + len(adj)] = np.minimum(best[lo:lo + len(adj)], cand.min(axis=1))
         ok = best != np.iinfo(np.int64).max
         return pd.DataFrame({"__id": L["__id"].to_numpy("int64")[ok], "__label": best[ok]})
 
@@ -277,7 +303,7 @@ def dbscan(df: DataFrame, xs, eps: float = 0.5, min_samples: int = 5, id_col: st
     # 5. number clusters 0.. by their smallest core id
     comp = labels.select(F.col("lab").alias("__label")).distinct()
     comp = global_rank(comp, [F.col("__label")], "__rn").select("__label", (F.col("__rn") - 1).alias("cluster"))
-    assigned = core_l.select("__id", "__label").unionByName(reached)
-    out = (pts.select("__id").join(assigned, "__id", "left").join(comp, "__label", "left")
+    assigned = core_l.select("__id", "__label").unionByName(border.select("__id").join(reached, "__id", "left"))
+    out = (assigned.join(comp, "__label", "left")
            .select(F.col("__id").alias(id_col), F.coalesce(F.col("cluster"), F.lit(-1)).cast("long").alias("cluster")))
     return out

@@ -7,12 +7,15 @@ distance, smaller id, larger id): the tree is unique, reruns agree.
 
 * A level of side s takes the edges of at most s between points of different
   components; all shorter ones have been taken, so levels never disagree. Points
-  meet in neighbouring cells of side s only, and cells whose neighbourhood is of
-  one component are left out: the inside of a cluster is never looked at again.
-* A pair of cells meets in one group (cells of more than ``chunk`` points in hash
-  chunks) that keeps the minimum spanning forest of its edges between components:
-  an edge that is not in it cannot be in the tree. No pair of rows leaves a task
-  but those edges, fewer than the components met.
+  meet in neighbouring cells of side s only, and two cells of one and the same
+  component are not compared: the inside of a cluster is never looked at again.
+  The first side is small enough that a point's cell holds few points.
+* A cell meets the half of its neighbours in one group (more than ``chunk`` points in
+  hash chunks), to which they send the points within s of the bounds of its points; the
+  group keeps the minimum spanning forest of its edges between components: an
+  edge that is not in it cannot be in the tree. No pair of rows leaves a task
+  but those edges, fewer than the components met. Labels join by shuffles: no
+  table passes the driver but the counts of cells.
 * Borůvka rounds in Spark take the lightest edge of every component, join the
   components by pointer jumping and drop the edges inside; when at most
   ``finish`` edges are left, one group of that bounded size ends the level with
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import kept
-from .dbscan import _pairs, _rooted, grid_side
+from .dbscan import _rooted, grid_side, meetings
 from .features import impute_median
 
 #: Factor between the sides of two levels.
@@ -66,7 +69,14 @@ def _start_side(pts: DataFrame, xs: list[str]) -> float:
     q = pts.agg(*[F.percentile_approx(x, [0.25, 0.75]).alias(x) for x in xs],
                 *[(F.max(x) - F.min(x)).alias(f"{x}_r") for x in xs]).first()
     spread = max([q[x][1] - q[x][0] for x in xs]) or max(q[f"{x}_r"] for x in xs)
-    return grid_side(pts, xs, spread / 2.0 ** 16, FIRST)
+    side = grid_side(pts, xs, spread / 2.0 ** 16, FIRST)
+    for _ in range(8):  # where points are much denser than in an average cell, cells are smaller
+        cells = pts.groupBy(*[F.floor(F.col(x) / F.lit(side)) for x in xs]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        met = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+        if met <= 4 * FIRST:
+            break
+        side /= 2.0
+    return side
 
 
 def _candidates(pts: DataFrame, xs: list[str], side: float, chunk: int, seen) -> DataFrame:
@@ -74,22 +84,11 @@ def _candidates(pts: DataFrame, xs: list[str], side: float, chunk: int, seen) ->
     d = len(xs)
     cc = [f"__c{i}" for i in range(d)]
     placed = pts.select("*", *[F.floor(F.col(x) / F.lit(side)).cast("long").alias(c) for x, c in zip(xs, cc)])
-    cells = placed.groupBy(*cc).agg(F.min("__label").alias("lo"), F.max("__label").alias("hi"),
-                                    F.ceil(F.count(F.lit(1)) / F.lit(float(chunk))).cast("int").alias("__nch"))
-    cells = kept(cells)
-    around = cells
-    for c in cc:  # the neighbourhood's smallest and largest component, one dimension at a time
-        around = around.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-        around = around.groupBy(*cc).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    live = kept(cells.select(*cc, "__nch").join(around.where("lo <> hi").select(*cc), cc))
-    met = placed.join(live, cc).withColumn("__ch", F.pmod(F.xxhash64("__id"), F.col("__nch")).cast("int")).drop("__nch")
-    pairs, key = _pairs(met, met, live, cc, d)
-    left, right = (F.struct(*[F.col(f"__{s}{i}").alias(f"c{i}") for i in range(d)], F.col(f"__{s}ch").alias("ch")) for s in "ab")
-    pairs = pairs.where(left <= right)  # a pair of cells meets once
+    pairs, key = meetings(placed, placed, d, side, chunk, ["__label"], half=True, label="__label")
     xcols, limit = [f"__x{i}" for i in range(d)], side * side
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        L, R = pdf[pdf["__side"] == "L"], pdf[pdf["__side"] == "R"]
+        L, R = pdf[pdf["__l"]], pdf[~pdf["__l"]]
         out = [np.zeros(0), *[np.zeros(0, "int64")] * 4]
         labels = pd.concat([L["__label"], R["__label"]])
         if len(L) and len(R) and labels.nunique() > 1:
@@ -117,12 +116,12 @@ def _round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = (edges.select("ca", edge.alias("e")).unionByName(edges.select(F.col("cb").alias("ca"), edge.alias("e")))
             .groupBy(F.col("ca").alias("c")).agg(F.min("e").alias("e")))
     best = kept(best.select("c", "e", F.when(F.col("e.ca") == F.col("c"), F.col("e.cb")).otherwise(F.col("e.ca")).alias("to")))
-    back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
+    back = best.select(F.col("c").alias("to"), F.col("to").alias("back")).hint("merge")
     up = best.join(back, "to").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c"))
                                       .otherwise(F.col("to")).alias("root"))
     while True:
         up = kept(up)
-        above = up.select(F.col("c").alias("root"), F.col("root").alias("top"))
+        above = up.select(F.col("c").alias("root"), F.col("root").alias("top")).hint("merge")
         jump = up.join(above, "root")
         if jump.where("top <> root").isEmpty():
             return best.select("e.*").distinct(), up
@@ -131,7 +130,7 @@ def _round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _relabel(df: DataFrame, roots: DataFrame, col: str) -> DataFrame:
     """``col`` through (c, root); components not in ``roots`` stay."""
-    return (df.join(roots.select(F.col("c").alias(col), "root"), col, "left")
+    return (df.join(roots.select(F.col("c").alias(col), "root").hint("merge"), col, "left")
             .withColumn(col, F.coalesce("root", col)).drop("root"))
 
 
@@ -162,7 +161,7 @@ def _merge(edges: DataFrame, finish: int) -> tuple[DataFrame, DataFrame]:
 
 def _through(first: DataFrame, second: DataFrame) -> DataFrame:
     """Component -> root by two maps in turn; every component of ``second`` is a root of ``first``."""
-    then = second.select(F.col("c").alias("root"), F.col("root").alias("top"))
+    then = second.select(F.col("c").alias("root"), F.col("root").alias("top")).hint("merge")
     return kept(first.join(then, "root", "left").select("c", F.coalesce("top", "root").alias("root")))
 
 
@@ -187,7 +186,7 @@ def _grow(df: DataFrame, xs, id_col: str, until: int, chunk: int, finish: int, s
             cut = edges.orderBy(F.desc("w"), F.desc("a"), F.desc("b")).limit(n - left + until)
             edges = kept(edges.join(F.broadcast(cut), ["w", "a", "b"], "left_anti"))
             n = left - until
-            of = pts.select(F.col("__id"), F.col("__label"))
+            of = pts.select(F.col("__id"), F.col("__label")).hint("merge")
             ends = edges.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(*_EDGE_COLS)
             up = _merge(kept(ends), finish)[1]
         if n:
@@ -213,7 +212,7 @@ def single_linkage(df: DataFrame, xs, n_clusters: int = 4, id_col: str = "custom
                    finish: int = 1_000_000, seen=None) -> DataFrame:
     """(id, cluster) per row; clusters numbered by size, largest first, then by smallest id."""
     rows, pts, cols, _ = _grow(df, xs, id_col, n_clusters, chunk, finish, seen)
-    named = rows.join(pts.select(*cols, "__label"), cols).select("__id", "__label")
+    named = rows.join(pts.select(*cols, "__label").hint("merge"), cols).select("__id", "__label")
     sizes = named.groupBy("__label").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("head"))
     order = sizes.select("__label", (F.row_number().over(Window.orderBy(F.desc("n"), "head")) - 1).cast("long").alias("cluster"))
     return named.join(F.broadcast(order), "__label").select(F.col("__id").alias(id_col), "cluster")  # n_clusters rows

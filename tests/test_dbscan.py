@@ -54,3 +54,25 @@ def test_dbscan_distances(spark, case):
     got = {r.customer_id: r.cluster for r in dbscan(df, ["a", "b"], 0.4, 5, chunk=64, seen=seen).collect()}
     assert [got[i] for i in range(len(x))] == list(brute_dbscan(x, 0.4, 5))
     assert 0 < seen.value < 0.6 * len(x) ** 2
+
+
+def test_dbscan_full_cells_that_touch_at_their_edges(spark, monkeypatch):
+    """Dense cells whose representatives are too far apart are joined by their facing points; a dense set is sent about once."""
+    from patronage.operators import dbscan as module
+    rng = np.random.default_rng(8)
+    dense = [rng.normal(c, 0.01, size=(150, 2)) for c in ([0.02, 0.02], [0.68, 0.02], [1.6, 0.02], [3.0, 3.0])]
+    edge = [rng.normal(c, 0.002, size=(8, 2)) for c in ([0.26, 0.02], [0.98, 0.02])]
+    x = np.vstack(dense + edge)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "customer_id long, a double, b double")
+    sent, meet = [], module.meetings
+
+    def counted(*args, **kw):
+        pairs, key = meet(*args, **kw)
+        sent.append(pairs.count())
+        return pairs, key
+
+    monkeypatch.setattr(module, "meetings", counted)
+    for eps in (0.4, 0.45):
+        got = {r.customer_id: r.cluster for r in dbscan(df, ["a", "b"], eps, 5, chunk=64).collect()}
+        assert [got[i] for i in range(len(x))] == list(brute_dbscan(x, eps, 5))
+    assert max(sent) < 3 * len(x)  # 18 copies of every point before

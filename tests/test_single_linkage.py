@@ -77,3 +77,12 @@ def test_forest_keeps_the_lightest_edges():
     at, nodes, root = forest(w, a, b, a, b)
     assert sorted(at) == [1, 2, 3]
     assert dict(zip(nodes, root)) == {0: 0, 1: 0, 2: 0, 5: 5, 6: 5}
+
+
+def test_labels_do_not_pass_the_driver(spark):
+    """Component labels grow with the points: their joins are shuffles, however small the files."""
+    from patronage.operators import single_linkage as module
+    up = spark.createDataFrame([(i, i // 2) for i in range(8)], "c long, root long")
+    rows = spark.createDataFrame([(i, i) for i in range(8)], "v long, ca long")
+    plan = module._relabel(rows, up, "ca")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
