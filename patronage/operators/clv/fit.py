@@ -94,26 +94,27 @@ def _evaluate(data: DataFrame, kernel, data_cols, names, cands):
     arrays = "weights" in data.columns
 
     def parts(pdf):
-        """(replicate, its rows with their weight)."""
+        """(replicate, columns of its rows, their weights)."""
         if not arrays:
-            yield from pdf.groupby("replicate", sort=False)
+            for rep, sub in pdf.groupby("replicate", sort=False):
+                yield rep, [sub[c].to_numpy(dtype=float) for c in data_cols], sub["w"].to_numpy(dtype=float)
             return
         weights = np.vstack(pdf["weights"].to_list()) if len(pdf) else np.zeros((0, 0))
+        cols = [pdf[c].to_numpy(dtype=float) for c in data_cols]
         for rep in by_rep if len(pdf) else ():
             drawn = weights[:, rep] > 0
-            yield rep, pdf.loc[drawn, data_cols].assign(w=weights[drawn, rep])
+            yield rep, [c[drawn] for c in cols], weights[drawn, rep].astype(float)
 
     def run(batches):
         import pandas as pd
         acc = {}
         for pdf in batches:
-            for rep, sub in parts(pdf):
+            for rep, cols, w in parts(pdf):
                 got = by_rep.get(int(rep))
-                if got is None or not len(sub):
+                if got is None or not len(w):
                     continue
                 cids, theta = got
-                cols = [sub[c].to_numpy(dtype=float)[None, :] for c in data_cols]
-                w = sub["w"].to_numpy(dtype=float)[None, :]
+                cols, w = [c[None, :] for c in cols], w[None, :]
                 with np.errstate(all="ignore"):
                     ll, grads = kernel(cols, theta)
                     vals = [(w * ll).sum(axis=1)] + [(w * g).sum(axis=1) for g in grads]

@@ -40,3 +40,24 @@ def test_array_weights_fit_as_exploded_rows(spark):
     assert set(got) == set(want) == {0, 1}
     for b in got:
         assert np.allclose(got[b].theta, want[b].theta, rtol=1e-4)
+
+
+def test_kernels_evaluate_a_count_once(monkeypatch):
+    """Log-gamma and digamma of many rows with few purchase counts cost as many values as there are counts."""
+    import numpy as np
+
+    from patronage.operators.clv import kernels as K
+    rng = np.random.default_rng(1)
+    x = rng.integers(1, 9, 4000).astype(float)
+    tx, T, m = rng.uniform(0, 300, 4000), rng.uniform(300, 700, 4000), rng.uniform(5, 90, 4000)
+    sizes = []
+    for name in ("lg", "psi"):
+        f = getattr(K, name)
+        monkeypatch.setattr(K, name, lambda z, f=f: (sizes.append(np.size(z)), f(z))[1])
+    for kernel, cols, theta in ((K.bgnbd, (x, tx, T), [[0.4, 30.0, 0.8, 2.5], [1.1, 9.0, 1.4, 3.0]]),
+                                (K.gamma_gamma, (x, m), [[2.0, 3.5, 40.0], [6.0, 3.0, 15.0]])):
+        ll, grads = kernel([c[None, :] for c in cols], np.array(theta))
+        for i in (0, 7, 3999):  # a row on its own
+            one, own = kernel([c[None, i:i + 1] for c in cols], np.array(theta))
+            assert np.allclose(ll[:, i], one[:, 0], rtol=1e-13) and all(np.allclose(g[:, i], o[:, 0], rtol=1e-12) for g, o in zip(grads, own))
+    assert max(sizes) <= 2 * 8
