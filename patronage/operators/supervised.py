@@ -92,20 +92,28 @@ def regressor(name: str, n_train: int, y_std: float, alpha: float = 1.0, n_estim
     raise ValueError(f"unknown model type: {name}")
 
 
-def train_regression(df: DataFrame, features, target: str = "ltv", id_col: str = "customer_id",
-                     name: str = "linear", test_size: float = 0.2, seed: int = 42, **kw) -> Trained:
+def train_regressions(df: DataFrame, features, target: str = "ltv", id_col: str = "customer_id",
+                      names=("linear",), test_size: float = 0.2, seed: int = 42, **kw) -> list[Trained]:
+    """One model a name, on one split and one preparation."""
     d = split(df.select(id_col, *features, F.col(target).cast("double").alias("label")), id_col, test_size, seed)
-    train = d.where(~F.col("is_test"))
-    prep = fit_preparation(train, features)
+    prep = fit_preparation(d.where(~F.col("is_test")), features)
     vec = prep.apply(d).persist()
     tr = vec.where(~F.col("is_test"))
     st = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
-    model = regressor(name, st["n"], float(st["s"] or 0.0), seed=seed, **kw).fit(tr)
-    pred = model.transform(vec).withColumn("part", F.when(F.col("is_test"), "test").otherwise("train"))
-    m = {r["part"]: r for r in regression_metrics(pred, group="part").collect()}
-    metrics = {f"{p}_{k}": float(m[p][k]) for p in ("train", "test") if p in m for k in ("rmse", "mae", "r2")}
+    out = []
+    for name in names:
+        model = regressor(name, st["n"], float(st["s"] or 0.0), seed=seed, **kw).fit(tr)
+        pred = model.transform(vec).withColumn("part", F.when(F.col("is_test"), "test").otherwise("train"))
+        m = {r["part"]: r for r in regression_metrics(pred, group="part").collect()}
+        metrics = {f"{p}_{k}": float(m[p][k]) for p in ("train", "test") if p in m for k in ("rmse", "mae", "r2")}
+        out.append(Trained(name, model, prep, metrics, _weights(model, features)))
     vec.unpersist()
-    return Trained(name, model, prep, metrics, _weights(model, features))
+    return out
+
+
+def train_regression(df: DataFrame, features, target: str = "ltv", id_col: str = "customer_id",
+                     name: str = "linear", test_size: float = 0.2, seed: int = 42, **kw) -> Trained:
+    return train_regressions(df, features, target, id_col, [name], test_size, seed, **kw)[0]
 
 
 def predict(tr: Trained, df: DataFrame, keep=("customer_id",), out: str = "prediction") -> DataFrame:
@@ -142,22 +150,31 @@ def with_probability(pred: DataFrame) -> DataFrame:
     return pred.withColumn("score", vector_to_array("probability")[1])
 
 
-def train_classifier(df: DataFrame, features, target: str = "churn", id_col: str = "customer_id",
-                     name: str = "logistic_regression", test_size: float = 0.2, seed: int = 42,
-                     threshold: float = 0.5, **kw) -> Trained:
+def train_classifiers(df: DataFrame, features, target: str = "churn", id_col: str = "customer_id",
+                      names=("logistic_regression",), test_size: float = 0.2, seed: int = 42,
+                      threshold: float = 0.5, **kw) -> list[Trained]:
+    """One model a name, on one split and one preparation."""
     d = split(df.select(id_col, *features, F.col(target).cast("double").alias("label")), id_col, test_size, seed,
               exact=True, stratify="label")
-    train = d.where(~F.col("is_test"))
-    prep = fit_preparation(train, features)
+    prep = fit_preparation(d.where(~F.col("is_test")), features)
     vec = balanced_weights(prep.apply(d), "label").persist()
     tr = vec.where(~F.col("is_test"))
     n = tr.count()
-    model = classifier(name, n, seed=seed, **kw).fit(tr)
-    test = with_probability(model.transform(vec.where(F.col("is_test"))))
-    test = test.withColumn("prediction", (F.col("score") >= threshold).cast("double"))
-    m = classification_metrics(test).first().asDict()
+    out = []
+    for name in names:
+        model = classifier(name, n, seed=seed, **kw).fit(tr)
+        test = with_probability(model.transform(vec.where(F.col("is_test"))))
+        test = test.withColumn("prediction", (F.col("score") >= threshold).cast("double"))
+        m = classification_metrics(test).first().asDict()
+        out.append(Trained(name, model, prep, {k: None if v is None else float(v) for k, v in m.items()}, _weights(model, features)))
     vec.unpersist()
-    return Trained(name, model, prep, {k: None if v is None else float(v) for k, v in m.items()}, _weights(model, features))
+    return out
+
+
+def train_classifier(df: DataFrame, features, target: str = "churn", id_col: str = "customer_id",
+                     name: str = "logistic_regression", test_size: float = 0.2, seed: int = 42,
+                     threshold: float = 0.5, **kw) -> Trained:
+    return train_classifiers(df, features, target, id_col, [name], test_size, seed, threshold, **kw)[0]
 
 
 def churn_probability(tr: Trained, df: DataFrame, keep=("customer_id",)) -> DataFrame:

@@ -490,8 +490,7 @@ MODEL_FEATURES = ["recency", "frequency", "monetary", "acctbal"]
 @register("ltv_model_comparison")
 def q_ltv_model_comparison(spark, sf):
     df = _labelled(spark, sf).persist()
-    trained = [SU.train_regression(df, MODEL_FEATURES, "ltv", name=n)
-               for n in ("ridge", "random_forest", "gradient_boosting")]
+    trained = SU.train_regressions(df, MODEL_FEATURES, "ltv", names=("ridge", "random_forest", "gradient_boosting"))
     df.unpersist()
     return SU.comparison(trained, "regression")
 
@@ -523,8 +522,8 @@ def q_ltv_prediction_distribution(spark, sf):
 @register("churn_model_comparison")
 def q_churn_model_comparison(spark, sf):
     df = _labelled(spark, sf).persist()
-    trained = [SU.train_classifier(df, MODEL_FEATURES, "churn", name=n)
-               for n in ("logistic_regression", "random_forest", "gradient_boosting")]
+    trained = SU.train_classifiers(df, MODEL_FEATURES, "churn",
+                                   names=("logistic_regression", "random_forest", "gradient_boosting"))
     df.unpersist()
     return SU.comparison(trained, "classification")
 

@@ -74,3 +74,17 @@ def test_permutation_scorings(spark):
     for scoring in ("accuracy", "f1"):
         pi = EX.permutation_importance(tr, df, "churn", n_repeats=2, scoring=scoring).toPandas()
         assert len(pi) == len(FEATS) and np.isfinite(pi.importance_mean).all()
+
+
+def test_models_share_a_preparation(spark, monkeypatch):
+    """Several models cost one preparation and come out as if trained alone."""
+    from patronage.operators import supervised as module
+    df = spark.createDataFrame([(i, float(i % 13), float(i * 7 % 11), float(i % 13 + i % 3), int(i % 13 > 6)) for i in range(200)],
+                               "customer_id long, a double, b double, ltv double, churn int")
+    alone = [module.train_regression(df, ["a", "b"], name=n) for n in ("ridge", "linear")]
+    fitted, fit = [], module.fit_preparation
+    monkeypatch.setattr(module, "fit_preparation", lambda *args: fitted.append(1) or fit(*args))
+    both = module.train_regressions(df, ["a", "b"], names=("ridge", "linear"))
+    assert [(t.name, t.metrics, t.weights) for t in both] == [(t.name, t.metrics, t.weights) for t in alone]
+    kinds = module.train_classifiers(df, ["a", "b"], names=("logistic_regression", "gradient_boosting"), n_estimators=2)
+    assert [t.name for t in kinds] == ["logistic_regression", "gradient_boosting"] and len(fitted) == 2
