@@ -6,6 +6,7 @@ population deviations), then applied to both parts and to scoring data.
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -74,6 +75,20 @@ def _depth(max_depth: int | None) -> int:
     return max_depth
 
 
+#: Rows a task of a model fit reads, where there are more than two tasks a core.
+FIT_ROWS = 100_000
+
+
+def held(vec: DataFrame, n: int) -> DataFrame:
+    """The ``n`` prepared rows in memory, in as many tasks as cores and rows ask for.
+
+    Trees and boosting scan them in hundreds of short stages, whose time is that of
+    their tasks: a shuffle's many small partitions would each be one, every time.
+    """
+    tasks = max(2 * vec.sparkSession.sparkContext.defaultParallelism, math.ceil(n / FIT_ROWS))
+    return vec.coalesce(tasks).persist()
+
+
 # ------------------------------------------------------------ regression --
 
 def regressor(name: str, n_train: int, y_std: float, alpha: float = 1.0, n_estimators: int = 100,
@@ -97,7 +112,7 @@ def train_regressions(df: DataFrame, features, target: str = "ltv", id_col: str
     """One model a name, on one split and one preparation."""
     d = split(df.select(id_col, *features, F.col(target).cast("double").alias("label")), id_col, test_size, seed)
     prep = fit_preparation(d.where(~F.col("is_test")), features)
-    vec = prep.apply(d).persist()
+    vec = held(prep.apply(d), df.count())
     tr = vec.where(~F.col("is_test"))
     st = tr.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
     out = []
@@ -157,7 +172,7 @@ def train_classifiers(df: DataFrame, features, target: str = "churn", id_col: st
     d = split(df.select(id_col, *features, F.col(target).cast("double").alias("label")), id_col, test_size, seed,
               exact=True, stratify="label")
     prep = fit_preparation(d.where(~F.col("is_test")), features)
-    vec = balanced_weights(prep.apply(d), "label").persist()
+    vec = held(balanced_weights(prep.apply(d), "label"), df.count())
     tr = vec.where(~F.col("is_test"))
     n = tr.count()
     out = []

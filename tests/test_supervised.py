@@ -88,3 +88,22 @@ def test_models_share_a_preparation(spark, monkeypatch):
     assert [(t.name, t.metrics, t.weights) for t in both] == [(t.name, t.metrics, t.weights) for t in alone]
     kinds = module.train_classifiers(df, ["a", "b"], names=("logistic_regression", "gradient_boosting"), n_estimators=2)
     assert [t.name for t in kinds] == ["logistic_regression", "gradient_boosting"] and len(fitted) == 2
+
+
+def test_fits_read_few_tasks(spark, monkeypatch):
+    """However many partitions the rows come in, a fit scans them in two tasks a core, and all of them."""
+    df = _data(spark).repartition(150)
+    most, met = 2 * spark.sparkContext.defaultParallelism, []
+    for kind in ("classifier", "regressor"):
+        def estimator(*a, make=getattr(SU, kind), **kw):
+            model = make(*a, **kw)
+            fit = model.fit
+            model.fit = lambda tr: met.append((tr.rdd.getNumPartitions(), tr.count())) or fit(tr)
+            return model
+        monkeypatch.setattr(SU, kind, estimator)
+    SU.train_classifier(df, FEATS, "churn")
+    SU.train_regression(df, FEATS, "ltv")
+    rows = [SU.split(df, "customer_id", exact=True, stratify="churn"), SU.split(df, "customer_id")]
+    assert [n for _, n in met] == [x.where("NOT is_test").count() for x in rows]
+    assert all(parts <= most for parts, _ in met)
+    assert SU.held(df, 151 * SU.FIT_ROWS).rdd.getNumPartitions() == 150  # many rows stay as many tasks
