@@ -16,6 +16,13 @@ distance, smaller id, larger id): the tree is unique, reruns agree.
   edge that is not in it cannot be in the tree. No pair of rows leaves a task
   but those edges, fewer than the components met. Labels join by shuffles: no
   table passes the driver but the counts of cells.
+* From the second level on, points of one box of side s / (4 sqrt(d)) are within the
+  side of the level before, so of one component: boxes meet first, as rows of bounds.
+  Two boxes of different components are opened only if they are nearer than the
+  farthest points of any two boxes of these components, as the lightest edge between
+  two components is all that can be in the tree. The points of an opened box are sent once, in
+  hash chunks; those of the smaller box of a pair look, one edge each, if they are as near as that.
+* Files of a level go when it ends but for its points and edges.
 * Borůvka rounds in Spark take the lightest edge of every component, join the
   components by pointer jumping and drop the edges inside; when at most
   ``finish`` edges are left, one group of that bounded size ends the level with
@@ -28,12 +35,14 @@ cell, so d is meant to be small, as for DBSCAN.
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import kept
+from ..storage import discard, kept, passing
 from .dbscan import _rooted, grid_side, meetings
 from .features import impute_median
 
@@ -110,6 +119,107 @@ def _candidates(pts: DataFrame, xs: list[str], side: float, chunk: int, seen) ->
     return pairs.groupBy(*key).applyInPandas(local, EDGE)
 
 
+def _nearest(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of boxes that may hold the lightest edge between their components."""
+    best = pairs.groupby(["la", "lb"])["far"].transform("min")
+    return pairs[pairs["gap"] <= best * (1 + 1e-9)]
+
+
+def _opened(boxes: DataFrame, d: int, side: float, width: float, chunk: int) -> DataFrame:
+    """(u, v, squared distances of their bounds, bounds of u): pairs of boxes of different components that may
+    hold an edge; v is the box of fewer points."""
+    low, high = [f"__x{i}" for i in range(d)], [f"__h{i}" for i in range(d)]
+    limit = side * side * (1 + 1e-9)
+    reach = (side + width * math.sqrt(d)) * (1 + 1e-9)  # of lower corners
+    met, key = meetings(boxes, boxes, d, reach, chunk, ["__label", "__n", *high], half=True, label="__label")
+    bounds = ", ".join(f"{x} double" for x in low + high)
+    cols = ["u", "v", "n", "m", "la", "lb", "gap", "far", *low, *high]
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        L, R = pdf[pdf["__l"]], pdf[~pdf["__l"]]
+        out = pd.DataFrame({c: np.zeros(0, "float64" if c in cols[6:] else "int64") for c in cols})
+        (ll, lh), (rl, rh) = ((s[low].to_numpy(float), s[high].to_numpy(float)) for s in (L, R))
+        (il, kl, nl), (ir, kr, nr) = (tuple(s[c].to_numpy("int64") for c in ("__id", "__label", "__n")) for s in (L, R))
+        for at in range(0, len(L) if len(R) else 0, 64):
+            to = slice(at, at + 64)
+            gap = np.maximum(np.maximum(ll[to, None] - rh[None], rl[None] - lh[to, None]), 0.0)
+            gap = (gap * gap).sum(axis=2)
+            p, q = np.nonzero((gap <= limit) & (kl[to, None] != kr[None]))
+            gap, p = gap[p, q], at + p
+            far = np.maximum(lh[p] - rl[q], rh[q] - ll[p])
+            right = (nr[q] > nl[p]) | ((nr[q] == nl[p]) & (ir[q] > il[p]))  # the box on the right is u
+            new = {"u": np.where(right, ir[q], il[p]), "v": np.where(right, il[p], ir[q]),
+                   "n": np.maximum(nl[p], nr[q]), "m": np.minimum(nl[p], nr[q]),
+                   "la": np.minimum(kl[p], kr[q]), "lb": np.maximum(kl[p], kr[q]),
+                   "gap": gap, "far": (far * far).sum(axis=1)}
+            for i in range(d):
+                new[low[i]] = np.where(right, rl[q, i], ll[p, i])
+                new[high[i]] = np.where(right, rh[q, i], lh[p, i])
+            out = _nearest(pd.concat([out, pd.DataFrame(new)]))
+        return out[cols]
+
+    pairs = kept(met.groupBy(*key).applyInPandas(
+        near, f"u long, v long, n long, m long, la long, lb long, gap double, far double, {bounds}"))
+    best = pairs.groupBy("la", "lb").agg(F.min("far").alias("best"))
+    found = pairs.join(best, ["la", "lb"]).where(F.col("gap") <= F.col("best") * F.lit(1 + 1e-9))
+    return kept(found.dropDuplicates(["u", "v"])
+                .withColumn("within", F.least("best", F.lit(side * side)) * F.lit(1 + 1e-9)).drop("best", "far", "gap", "la", "lb"))
+
+
+def _between_boxes(pts: DataFrame, xs: list[str], side: float, chunk: int, seen) -> DataFrame:
+    """Edges of at most ``side`` between components, among them all of the tree, where points
+    within ``side / GROWTH`` are of one component."""
+    d = len(xs)
+    parts = int(GROWTH * math.sqrt(d)) + 1
+    width, limit = side / parts, side * side
+    ff, cc, high = ([f"__{c}{i}" for i in range(d)] for c in "fch")
+    fine = pts.select("*", *[F.floor(F.col(x) / F.lit(width)).cast("long").alias(f) for x, f in zip(xs, ff)])
+    boxes = fine.groupBy(*ff).agg(F.min("__id").alias("__id"), F.max("__label").alias("__label"), F.count(F.lit(1)).alias("__n"),
+                                  *[F.min(x).alias(x) for x in xs], *[F.max(x).alias(h) for x, h in zip(xs, high)])
+    boxes = kept(boxes.withColumns({c: ((F.col(f) - F.pmod(f, F.lit(parts))) / parts).cast("long") for f, c in zip(ff, cc)}))
+    pairs = _opened(boxes, d, side, width, chunk)
+    # the points of u in chunks, which those of every v meet
+    groups = kept(pairs.groupBy("u").agg(F.ceil(F.max("n") / float(chunk)).cast("int").alias("nr"),
+                                         F.ceil(F.sum("m") / (16.0 * chunk)).cast("int").alias("nl")))
+    ends = pairs.select(F.col("u").alias("__id")).union(pairs.select("v")).distinct()
+    of = boxes.join(ends, "__id").select(*ff, F.col("__id").alias("__box"))
+    cols = ["__id", "__label", *xs]
+    inside = kept(fine.join(of, ff).select("__box", *cols))
+    rgt = inside.withColumnRenamed("__box", "u").join(groups, "u").select(
+        "u", F.pmod(F.xxhash64("__id"), F.col("nr")).cast("int").alias("j"),
+        F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.lit(False).alias("__l"), *cols)
+    bounds = pairs.select("u", F.col("v").alias("__box"), "within", *[F.col(x).alias(f"{x}l") for x in xs],
+                          *[F.col(h).alias(f"{x}h") for x, h in zip(xs, high)])
+    gap = sum((F.pow(F.greatest(F.col(f"{x}l") - F.col(x), F.col(x) - F.col(f"{x}h"), F.lit(0.0)), F.lit(2.0)) for x in xs), F.lit(0.0))
+    lft = inside.join(bounds, "__box").where(gap <= F.col("within") * F.lit(1 + 1e-9)).select("u", *cols).join(groups, "u").select(
+        "u", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"),
+        F.pmod(F.xxhash64("__id"), F.col("nl")).cast("int").alias("i"), F.lit(True).alias("__l"), *cols)
+
+    def look(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf["__l"].to_numpy(bool)
+        L, R = pdf[left], pdf[~left].sort_values("__id")  # of equal edges the one to the smaller id
+        out = [np.zeros(0), *[np.zeros(0, "int64")] * 4]
+        if len(L) and len(R):
+            xl, xr = L[xs].to_numpy(float), R[xs].to_numpy(float)
+            il, ir, kl, kr = (s[c].to_numpy("int64") for c in ("__id", "__label") for s in (L, R))
+            w, q = np.zeros(len(L)), np.zeros(len(L), int)
+            for at in range(0, len(L), 256):
+                diff = xl[at:at + 256, None, :] - xr[None, :, :]
+                if seen is not None:
+                    seen.add(diff.shape[0] * diff.shape[1])
+                met = (diff * diff).sum(axis=2)
+                q[at:at + 256] = met.argmin(axis=1)
+                w[at:at + 256] = met.min(axis=1)
+            p = np.nonzero(w <= limit)[0]
+            ids = il[p], ir[q[p]]
+            out = [w[p], np.minimum(*ids), np.maximum(*ids), kl[p], kr[q[p]]]
+            taken = forest(*out)[0]
+            out = [c[taken] for c in out]
+        return pd.DataFrame(dict(zip(_EDGE_COLS, out)))
+
+    return lft.unionByName(rgt).groupBy("u", "j", "i").applyInPandas(look, EDGE)
+
+
 def _round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One Borůvka round: (edges taken, component -> root)."""
     edge = F.struct(*_EDGE_COLS)
@@ -165,6 +275,26 @@ def _through(first: DataFrame, second: DataFrame) -> DataFrame:
     return kept(first.join(then, "root", "left").select("c", F.coalesce("top", "root").alias("root")))
 
 
+def _level(pts: DataFrame, cols: list[str], side: float, left: int, until: int, chunk: int, finish: int, seen, first: bool, stay: list):
+    """(points with new components, edges taken, their number): the tree's edges of at most ``side``, with ``left`` components before."""
+    near = _candidates if first else _between_boxes
+    edges, up = _merge(kept(near(pts, cols, side, chunk, seen)), finish)
+    edges = kept(edges)
+    n = edges.count()
+    if n > left - until:  # the longest go: fewer than ``until`` edges
+        cut = edges.orderBy(F.desc("w"), F.desc("a"), F.desc("b")).limit(n - left + until)
+        edges = kept(edges.join(F.broadcast(cut), ["w", "a", "b"], "left_anti"))
+        n = left - until
+        of = pts.select(F.col("__id"), F.col("__label")).hint("merge")
+        ends = edges.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(*_EDGE_COLS)
+        up = _merge(kept(ends), finish)[1]
+    if n:
+        old, pts = pts, kept(_relabel(pts, up, "__label"))
+        discard(old)
+        stay += [edges, pts]
+    return pts, edges, n
+
+
 def _grow(df: DataFrame, xs, id_col: str, until: int, chunk: int, finish: int, seen):
     """(points with component, tree edges taken) with ``until`` components left."""
     cols = [f"__x{i}" for i in range(len(xs))]
@@ -178,22 +308,14 @@ def _grow(df: DataFrame, xs, id_col: str, until: int, chunk: int, finish: int, s
     if left < until and left:
         raise ValueError("fewer distinct points than clusters")
     side = _start_side(pts, cols) if left > until else 1.0
+    first = True
     while left > until:
-        edges, up = _merge(kept(_candidates(pts, cols, side, chunk, seen)), finish)
-        edges = kept(edges)
-        n = edges.count()
-        if n > left - until:  # the longest go: fewer than ``until`` edges
-            cut = edges.orderBy(F.desc("w"), F.desc("a"), F.desc("b")).limit(n - left + until)
-            edges = kept(edges.join(F.broadcast(cut), ["w", "a", "b"], "left_anti"))
-            n = left - until
-            of = pts.select(F.col("__id"), F.col("__label")).hint("merge")
-            ends = edges.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(*_EDGE_COLS)
-            up = _merge(kept(ends), finish)[1]
+        with passing() as stay:
+            pts, edges, n = _level(pts, cols, side, left, until, chunk, finish, seen, first, stay)
         if n:
             tree.append(edges)
-            pts = kept(_relabel(pts, up, "__label"))
             left -= n
-        side *= GROWTH
+        side, first = side * GROWTH, False
     return rows, pts, cols, tree
 
 

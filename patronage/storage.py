@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,35 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = _place(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    if _passing:
+        _passing[-1].append(out)
+    return out
+
+
+#: Frames kept inside the ``passing`` blocks that are open.
+_passing: list[list[DataFrame]] = []
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of kept frames that nothing will read again."""
+    for df in frames:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Frames kept inside are deleted at the end, but those put into the list it gives."""
+    made, stay = [], []
+    _passing.append(made)
+    try:
+        yield stay
+    finally:
+        _passing.pop()
+        left = {df._kept_at for df in stay}
+        discard(*[df for df in made if df._kept_at not in left])
 
 
 def kept_csv(df: DataFrame) -> str:

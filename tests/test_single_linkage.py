@@ -86,3 +86,28 @@ def test_labels_do_not_pass_the_driver(spark):
     rows = spark.createDataFrame([(i, i) for i in range(8)], "v long, ca long")
     plan = module._relabel(rows, up, "ca")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_near_components_open_few_boxes(spark):
+    """Two long components side by side meet by their boxes: few distances, the same edge, and no files of a level stay."""
+    import pathlib
+
+    from patronage.session import ensure_checkpoint_dir
+    rng = np.random.default_rng(3)
+    x = np.c_[rng.uniform(0, 60, 6000), np.repeat([0.0, 1.0], 3000)]
+    folder = pathlib.Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("kept-*"))
+    seen = spark.sparkContext.accumulator(0)
+    got = merges(frame(spark, x), ["u", "v"], chunk=256, seen=seen).toPandas()
+    left = len(set(folder.glob("kept-*")) - before)
+    low, high = np.arange(3000), np.arange(3000, 6000)
+    d = (x[low, None, 0] - x[None, high, 0]) ** 2 + 1.0
+    at = np.unravel_index(d.argmin(), d.shape)
+    cross = got[(got.a < 3000) & (got.b >= 3000)]
+    assert len(got) == 5999 and [(r.a, r.b) for r in cross.itertuples()] == [(low[at[0]], high[at[1]])]
+    for ids in (low, high):  # along a line the tree links neighbours
+        order = ids[np.argsort(x[ids, 0])]
+        own = got[got.a.isin(ids) & got.b.isin(ids)]
+        assert set(zip(own.a, own.b)) == {(min(p), max(p)) for p in zip(order.tolist(), order[1:].tolist())}
+    assert seen.value < len(x) ** 2 / 40
+    assert left <= 12
