@@ -251,6 +251,47 @@ def test_pages_templates_equal_plain_counting(spark):
         sorted((m, sum(n > 0 for n in v), sum(v), sorted(ts)) for (m, v), ts in vectors.items())
 
 
+def test_pages_roles_of_a_text_differ_by_its_place(spark):
+    """The host's title in its place is the template's; the same block on one page, after the story, is that page's."""
+    page = "<body><div>Weekly</div><h1>Head {n}</h1><p>Story {n} of the week</p>{more}<div>Imprint</div></body>"
+    got = from_hosts(spark, [page.format(n=i, more="<div>Weekly</div>" if i == 1 else "") for i in range(5)])
+    assert got == {i: f"Head {i}\n\nStory {i} of the week" + ("\n\nWeekly" if i == 1 else "") for i in range(5)}
+
+
+def test_pages_texts_that_move_are_the_template(spark):
+    """A class that is not ordered gives no place to others; its texts go wherever they stand."""
+    page = "<body><div>{a}</div><div>{b}</div><h1>Head {n}</h1><p>Story {n} of the week</p><div>Imprint</div></body>"
+    moves = [dict(a="Home", b="Shop"), dict(a="Shop", b="Home")]
+    assert from_hosts(spark, [page.format(n=i, **moves[i % 2]) for i in range(6)]) == {
+        i: f"Head {i}\n\nStory {i} of the week" for i in range(6)}
+
+
+def test_pages_classes_nest(spark):
+    """Items lie in a gap of the root, in order; the second, equal list on the page is told apart by its gap."""
+    page = "<body><ul>{a}</ul><p>Story {n}</p><ul>{b}</ul><div>End</div></body>"
+    item = "<li><b>Go</b></li>"
+    df = spark.createDataFrame([(i, "http://f.example/", page.format(n=i, a=item * (i % 3 + 1), b=item * (i % 2 + 1))) for i in range(6)],
+                               "page_id long, url string, html string")
+    distinct = template_extract.orders(df)
+    found = template_extract._templates(distinct)
+    row = template_extract.nested(distinct, found).collect()
+    assert len(row) == 1
+    tag, text = (lambda x: template_extract.token("tag", x)), template_extract.token("text", "Go", ">body>ul>li>b")
+    first, last = row[0].rounds[0], row[0].rounds[-1]
+    root = [tag(">body"), tag(">body>p"), tag(">body</p"), tag(">body>div"), template_extract.token("text", "End", ">body>div")]
+    assert next(c for c in first if root[0] in c)[:len(root)] == root  # in page order
+    roles = {r.role: r.token for r in row[0].roles}
+    assert [roles[r] for r in roles if roles[r] == text] == [text] * 2  # one role a list
+    whole = [roles[r] for r in max(last, key=len)]
+    lists = [tag(">body>ul"), tag(">body</ul")]
+    assert [t for t in whole if t in root[:3] + lists] == root[:1] + lists + root[1:3] + lists  # both lists have come to the root
+    _, wrong = template_extract.told_apart([1, 2, 3, 1, 2], template_extract.places([[1, 2], [3, 4]]))
+    assert wrong == {3}
+    out, wrong = template_extract.told_apart([1, 7, 2, 5, 7, 6, 3], template_extract.places([[1, 2, 3], [5, 6]]))
+    assert not wrong and out[0] == 1 and len(set(out)) == 7
+    assert template_extract.told_apart([1, 5, 2, 6, 3], template_extract.places([[1, 2, 3], [5, 6]]))[1] == {5}
+
+
 def test_pipeline_stages(spark, tmp_path, corpus):
     labels = spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
     corpus.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
