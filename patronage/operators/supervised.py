@@ -80,13 +80,13 @@ FIT_ROWS = 100_000
 
 
 def held(vec: DataFrame, n: int) -> DataFrame:
-    """The ``n`` prepared rows in memory, in as many tasks as cores and rows ask for.
+    """The ``n`` prepared rows in memory, in no more tasks than cores and rows ask for.
 
     Trees and boosting scan them in hundreds of short stages, whose time is that of
     their tasks: a shuffle's many small partitions would each be one, every time.
     """
     tasks = max(2 * vec.sparkSession.sparkContext.defaultParallelism, math.ceil(n / FIT_ROWS))
-    return vec.coalesce(tasks).persist()
+    return (vec.coalesce(tasks) if vec.rdd.getNumPartitions() > tasks else vec).persist()
 
 
 # ------------------------------------------------------------ regression --
